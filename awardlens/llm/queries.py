@@ -5,29 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from awardlens.llm import quality_rules, simhash
+from awardlens.llm import license_scan, packing, quality_rules, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("ids")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     wanted = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
     return quality_rules.with_verdict(book).select(*wanted)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.default_list(spark))
+    return found.withColumn("rule", F.when(F.col("rank") == 1, F.col("rule"))).drop("rank")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    return {f.__name__: f for f in (op5_quality_rules, op8_simhash)}
+    return {f.__name__: f for f in (op1_license_scan, op3_packing, op5_quality_rules, op7_url_filter, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express a query."""
-    return {"op5_quality_rules": quality_rules.ORACLE}
+    return {"op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE}
