@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from awardlens.llm import license_scan, packing, quality_rules, simhash, url_filter
+from awardlens.llm import cnn, html_extract, license_scan, minhash, mixing, packing, quality_rules, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +22,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("ids")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.successor_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     wanted = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
     return quality_rules.with_verdict(book).select(*wanted)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.default_list(spark))
     return found.withColumn("rule", F.when(F.col("rank") == 1, F.col("rule"))).drop("rank")
@@ -37,9 +45,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cnn.classified(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    return {f.__name__: f for f in (op1_license_scan, op3_packing, op5_quality_rules, op7_url_filter, op8_simhash)}
+    every = (op1_license_scan, op3_packing, op4_minhash, op5_quality_rules, op6_html_extract, op7_url_filter, op8_simhash, op9_quality_classifier, op10_mixing)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
