@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from awardlens.llm import cnn, html_extract, license_scan, minhash, mixing, packing, quality_rules, simhash, url_filter
+from awardlens.llm import cnn, html_extract, license_scan, lm, minhash, mixing, packing, quality_rules, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("ids")
 
@@ -55,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    every = (op1_license_scan, op3_packing, op4_minhash, op5_quality_rules, op6_html_extract, op7_url_filter, op8_simhash, op9_quality_classifier, op10_mixing)
+    every = (op1_license_scan, op2_language_model, op3_packing, op4_minhash, op5_quality_rules, op6_html_extract, op7_url_filter, op8_simhash, op9_quality_classifier, op10_mixing)
     return {f.__name__: f for f in every}
 
 
