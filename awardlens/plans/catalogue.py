@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Plan modules with QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES: list[str] = []
+MODULES = ["rollups"]
 
 
 def _modules():
