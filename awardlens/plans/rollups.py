@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from awardlens.operators import rollups as op
+from awardlens.plans.registry import registry
 from awardlens.sources.tables import FOCUS, Domain, oracle
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a function of a Domain under its name, with its oracle."""
-
-    def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registry()
 
 
 @query(oracle("""SELECT office, round(CASE WHEN sum(v) > 0 THEN 10000.0 * sum(v * v) / (sum(v) * sum(v)) ELSE 0 END, 4) AS hhi, count(*) AS n_firms, round(sum(v), 2) AS val
@@ -124,8 +114,6 @@ def geography_share(d: Domain):
 @query(oracle("""SELECT office, CAST(k AS INT) AS k, firm, n FROM (SELECT office, firm, count(*) AS n, row_number() OVER (PARTITION BY firm ORDER BY count(*) DESC, office) AS k FROM focus GROUP BY 1, 2) WHERE k <= 6"""))
 def firm_top_offices(d: Domain):
     """The six offices where a firm holds most focus contracts."""
-    from pyspark.sql import Window
-
     counted = d.focus.groupBy("office", "firm").agg(F.count("*").alias("n"))
     order = Window.partitionBy("firm").orderBy(F.desc("n"), "office")
     return counted.withColumn("k", F.row_number().over(order)).where("k <= 6").select("office", "k", "firm", "n")
