@@ -56,7 +56,7 @@ def _bits(h: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
     """Line and word masks of each hash: (n,), (n, 8)."""
     line = (h >> np.uint64(32)) % np.uint64(lines)
     masks = np.zeros((len(h), 8), dtype=np.uint64)
-    step = (h | np.uint64(1)) & np.uint64(0x1FF)
+    step = ((h >> np.uint64(9)) & np.uint64(0x1FF)) | np.uint64(1)
     at = h & np.uint64(0x1FF)
     rows = np.arange(len(h))
     for _ in range(PROBES):
