@@ -103,10 +103,10 @@ def localities(d: Domain):
     return d.firms.select("firm", fn.locality(address).alias("locality"))
 
 
-@query(oracle("""SELECT home AS locality, count(*) AS n, array_to_string(list_sort(list(name)), '; ') AS members FROM firms GROUP BY 1 HAVING count(*) >= 2"""))
+@query(oracle("""SELECT home_region AS locality, count(*) AS n, array_to_string(list_sort(list(name)), '; ') AS members FROM firms GROUP BY 1 HAVING count(*) >= 2"""))
 def locality_clusters(d: Domain):
-    """Places where two or more firms are registered."""
-    return d.firms.groupBy(F.col("home").alias("locality")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), "; ").alias("members")).where("n >= 2")
+    """Regions where two or more firms are registered."""
+    return d.firms.groupBy(F.col("home_region").alias("locality")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), "; ").alias("members")).where("n >= 2")
 
 
 @query(oracle("""SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name AND (x.name[1] = y.name[1] OR string_split(x.name, ' ')[-1] = string_split(y.name, ' ')[-1]) WHERE abs(length(x.name) - length(y.name)) <= greatest(length(x.name), length(y.name)) * 0.5)
