@@ -19,7 +19,9 @@ ids are packed each; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,38 @@ from awardlens.llm.text import byte_column, stored
 
 WINDOW = 2048
 END_ID = 1
-#: Words kept by a worker; a full cache is emptied.
+#: Words, and units of words, kept by a worker; a full cache is emptied.
 CACHE_WORDS = 600_000
 LONG_WORD = 100
 
 _STATE: dict = {}
 
+#: Letters that lie in one run of letters whatever stands beside them: a-z and Latin-1's.
+_LETTERS = rb"(?:[a-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_OTHER = re.compile(rb"'|[\xc4-\xff]|\xc2|\xc3[\x97\xb7]")
+_UNIT = re.compile(_LETTERS + rb"|[^a-z\x80-\xff]+")
+#: A special token's start, or combining marks, which may join with a capital in another way.
+_AS_IS = re.compile(rb"<\||\xcc|\xcd")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SHOWN = _byte_letters()
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """White-space separated words, lower-cased where that cannot change a token.
+
+    The tokenizer drops white space and ignores case. A text with a special token's start or
+    with combining marks keeps its capitals.
+    """
+    return (text if _AS_IS.search(text) else text.lower()).split()
+
 
 def default_tokenizer() -> str:
     """Path of the public word-level BPE vocabulary on this machine."""
@@ -47,9 +75,10 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of a text through a cache of its white-space separated words.
+    """Ids of a text through caches of its words' and their units' ids.
 
-    The tokenizer drops white space before it merges, so a text's ids are its words' ids.
+    A word is cut between plain letters and other ASCII characters, which the tokenizer never
+    merges, so that most units are frequent.
     """
 
     def __init__(self, path: str):
@@ -58,7 +87,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.cache: dict[bytes, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -66,13 +97,32 @@ class WordEncoder:
             _STATE[path] = cls(path)
         return _STATE[path]
 
+    def unit(self, unit: bytes) -> bytes:
+        """Ids of a run of plain letters, or of a run of other ASCII characters."""
+        if (found := self.units.get(unit)) is None:
+            if unit[0] >= 0x61 and unit[0] != 0x7B and unit[0] not in b"|}~\x7f":
+                shown = unit.decode().lower().encode()
+                text = shown.decode() if shown.isascii() else "".join(map(_SHOWN.__getitem__, shown))
+                ids = [t.id for t in self.tokenizer.model.tokenize(text)]  # one run, so no splitting is left to do
+            else:
+                ids = self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids
+            found = array(self.code, ids).tobytes()
+            if len(self.units) >= CACHE_WORDS:
+                self.units.clear()
+            if len(unit) <= LONG_WORD:
+                self.units[unit] = found
+        return found
+
+    def word(self, word: bytes) -> bytes:
+        """Ids of a word: by its units, or whole if it has an apostrophe or rarer characters."""
+        if _OTHER.search(word) or _AS_IS.search(word) or word != word.lower():
+            return array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.unit, _UNIT.findall(word)))
+
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        missing = list(set(words).difference(self.cache))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.cache.update(zip(part, (np.array(e.ids, dtype=self.kind).tobytes() for e in found), strict=True))
+        words = words_of(text)
+        missing = set(words).difference(self.cache)
+        self.cache.update((w, self.word(w)) for w in missing)
         out = b"".join(map(self.cache.__getitem__, words))
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
