@@ -183,3 +183,26 @@ def digest(scanned: DataFrame) -> DataFrame:
         joined(F.concat(base, F.transform("matches", lambda m: m["label"]))).alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
     )
+
+
+def oracle(templates=TEMPLATES, threshold: float = 0.8) -> str:
+    """DuckDB SQL for the digest of a scan of `documents`."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    phrases = ", ".join("([{}], '{}')".format(", ".join(f"'{w.decode()}'" for w in p.split()), label) for p, label in PHRASES.items())
+    known = ", ".join("({}, '{}', [{}], {})".format(i, label, ", ".join(f"'{x.decode()}'" for x in sorted(w)), _need(len(w), threshold)) for i, label, w in template_words(templates))
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({low}, '{word}') AS w FROM documents),
+phrases(p, label) AS (VALUES {phrases}), known(i, label, t, need) AS (VALUES {known}),
+places AS (SELECT doc_id, label, pos FROM (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM d), phrases WHERE w[pos + 1:pos + len(p)] = p),
+lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split({low}, chr(10))), '{word}') AS w FROM documents),
+blocks AS (SELECT doc_id, list_distinct(w[pos + 1:pos + {BLOCK_WORDS}]) AS b FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {BLOCK_WORDS // 2}), {BLOCK_WORDS // 2})) AS pos FROM lines WHERE len(w) > 0)),
+found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, known WHERE len(list_intersect(b, t)) >= need),
+a AS (SELECT doc_id, count(*) AS n, min(pos) AS x, max(pos) AS y, list(DISTINCT label) AS ls FROM places GROUP BY 1),
+m AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS ls FROM found GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(x AS BIGINT) AS first_word, CAST(y AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(a.ls), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(a.ls, []), coalesce(m.ls, [])))), ','), '') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+"""

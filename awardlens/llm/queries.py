@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express a query."""
-    return {"op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE}

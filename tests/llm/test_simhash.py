@@ -128,6 +128,14 @@ def test_dedup_keeps_one_of_each_group_and_all_clean_rows(spark):
     assert 7 in kept and 8 not in kept
 
 
+def test_dedup_of_null_and_clashing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    df = spark.createDataFrame([(None, a), (None, b), (None, a), (4, c), (4, c), (4, b), (-2, c)], SCHEMA)
+    kept = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in simhash.keep_one_of_each(df).collect())
+    assert kept == [(False, 0, a), (True, -2, c), (True, 4, b)]
+    assert simhash.keep_one_of_each(df.limit(0)).count() == 0
+
+
 def test_components_match_union_find(spark):
     rnd = random.Random(2)
     edges = [(f"{rnd.randrange(300):03}", f"{rnd.randrange(300):03}") for _ in range(220)]
