@@ -286,3 +286,28 @@ def test_cosine_neighbours(spark):
         s = u @ u[r.query]
         s[r.query] = -9
         assert r.id == int(np.argsort(-s)[r.k - 1])
+
+
+def test_walks_follow_edges_and_repeat(spark):
+    from awardlens.operators import embed
+
+    edges = [(a, b, 1.0 + b % 2) for a, b in small_graph()]
+    near = neighbours([(a, b) for a, b, _ in edges])
+    e = spark.createDataFrame(edges, "src long, dst long, weight double")
+    first = sorted(tuple(r.walk) for r in embed.random_walks(e, 8, 3).collect())
+    assert len(first) == 3 * len(near) and all(len(w) == 8 for w in first)
+    assert all(int(b) in near[int(a)] for w in first for a, b in itertools.pairwise(w))
+    assert first == sorted(tuple(r.walk) for r in embed.random_walks(e.repartition(3), 8, 3).collect())
+
+
+def test_rewiring_keeps_degrees(spark):
+    from collections import Counter
+
+    from awardlens.operators import embed
+
+    edges = sorted({(i % 12, f"o{(i * 7 + i // 5) % 9}") for i in range(60)})
+    got = embed.rewired(spark.createDataFrame(edges, "left long, right string"), 3).collect()
+    for k in (1, 2, 3):
+        own = [(r.left, r.right) for r in got if r.replicate == k]
+        assert len(set(own)) == len(own) == len(edges) and set(own) != set(edges)
+        assert Counter(a for a, _ in own) == Counter(a for a, _ in edges) and Counter(b for _, b in own) == Counter(b for _, b in edges)

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 #: The smallest tables have too few firms for these to find any.
-MAY_BE_EMPTY = {"flag_phoenix", "phoenix_companies", "flag_shell_network", "footprint_pairs", "co_located", "temporal_link_auc", "temporal_link_hits", "temporal_link_nulls", "temporal_motifs", "adamic_adar", "fuzzy_merge_map", "flag_circular", "cycles_2_4", "multi_hop_paths", "reciprocal_loops", "alternation", "sudden_entrants", "cobid_hubs", "identical_amounts", "split_clusters", "splitting_pairs_30d", "flag_political", "neighbors_page", "campaign_contracts", "agency_clusters", "concentrated_by_year", "community_modularity", "quality_outliers", "entity_search_exact"}
+MAY_BE_EMPTY = {"node2vec_ties", "surname_links", "flag_phoenix", "phoenix_companies", "flag_shell_network", "footprint_pairs", "co_located", "temporal_link_auc", "temporal_link_hits", "temporal_link_nulls", "temporal_motifs", "adamic_adar", "fuzzy_merge_map", "flag_circular", "cycles_2_4", "multi_hop_paths", "reciprocal_loops", "alternation", "sudden_entrants", "cobid_hubs", "identical_amounts", "split_clusters", "splitting_pairs_30d", "flag_political", "neighbors_page", "campaign_contracts", "agency_clusters", "concentrated_by_year", "community_modularity", "quality_outliers", "entity_search_exact"}
 
 
 @pytest.fixture(scope="module")
