@@ -116,7 +116,7 @@ def _rotated(fps: np.ndarray, block: int, blocks: int) -> np.ndarray:
     return out
 
 
-def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, first: Budget, totals: tuple[Budget, ...], frontier: int = 1 << 19) -> np.ndarray:
+def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, first: Budget, totals: tuple[Budget, ...], frontier: int = 1 << 17) -> np.ndarray:
     """For each fingerprint row the smallest row it is linked with, itself included.
 
     fps: (n, words) already rotated. group: rows of different groups never meet. side: 0 for
@@ -195,15 +195,36 @@ def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, first: Budg
     return links.root
 
 
+def node_name(low, fp):
+    """A name that sorts by a fingerprint's smallest id (none last) and ends with the fingerprint.
+
+    The smallest name of a component then tells its smallest id, without a further grouping.
+    """
+    shifted = (low.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.concat(F.coalesce(F.lpad(shifted.cast("string"), 20, "0"), F.lit("~" * 20)), fp)
+
+
+def id_of(name):
+    """The id that a node's name begins with, null for none."""
+    shifted = F.when(F.substring(name, 1, 1) != "~", F.substring(name, 1, 20))
+    return (shifted.cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")
+
+
+def nodes_of(prints: DataFrame) -> DataFrame:
+    """`name, fp, n_shingles` of the distinct fingerprints."""
+    grouped = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("n_shingles").alias("n_shingles"))
+    return stored(grouped.select(node_name(F.col("low"), F.col("fp")).alias("name"), "fp", "n_shingles"), "fingerprint-nodes")
+
+
 def _joined(rows: DataFrame, words: int, blocks: int, first: Budget, totals: tuple[Budget, ...]) -> DataFrame:
-    """`src, dst` links of `task, side, block, fp` rows; each partition joins its tasks' tries."""
+    """`src, dst` names linked among `task, side, block, name` rows; each partition joins its tasks' tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        names = table.column("fp").to_pylist()
-        raw = np.frombuffer(bytes.fromhex("".join(names)), dtype=">u8").astype(np.uint64).reshape(-1, words)
+        names = table.column("name").to_pylist()
+        raw = np.frombuffer(bytes.fromhex("".join(n[20:] for n in names)), dtype=">u8").astype(np.uint64).reshape(-1, words)
         block, task, side = (table.column(c).to_numpy() for c in ("block", "task", "side"))
         turned = raw.copy()
         for k in range(blocks):
@@ -227,25 +248,24 @@ def hamming_links(nodes: DataFrame, errors: int = 3, blocks: int = 4) -> DataFra
     key = F.conv(F.col("fp"), 16, -10).cast("long")
     piece = lambda k: F.shiftrightunsigned(F.shiftleft(key, k * width), 64 - width)
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), (F.lit(k) * (1 << width) + piece(k)).alias("task")) for k in range(blocks))))
-    rows = nodes.select("fp", each.alias("b")).select("fp", "b.block", "b.task", F.lit(0).alias("side"))
+    rows = nodes.select("name", each.alias("b")).select("name", "b.block", "b.task", F.lit(0).alias("side"))
     return _joined(rows, 1, blocks, Budget(width, 0), (Budget(64, errors),))
 
 
-def linked_classes(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """`fp, component_id`: the smallest doc_id of the class of linked fingerprints."""
-    lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links).withColumnRenamed("node", "fp")
-    named = lowest.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+def linked_classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`fp, root, component_id`: the smallest name and id of the class of linked fingerprints."""
+    roots = components(links).withColumnRenamed("node", "name")
+    named = nodes.select("name", "fp").join(roots, "name", "left")
+    root = F.coalesce("root", "name")
+    return named.select("fp", root.alias("root"), id_of(root).alias("component_id"))
 
 
 def near_components(docs: DataFrame, size: int = 3, errors: int = 3) -> DataFrame:
     """`doc_id, fingerprint, component_id` for every row: the smallest id reachable over links."""
-    prints = stored(fingerprints(docs, size).select("doc_id", "fp"), "fingerprints")
-    nodes = stored(prints.select("fp").distinct(), "fingerprint-nodes")
-    classes = linked_classes(prints, hamming_links(nodes, errors))
-    return prints.join(classes, "fp").select("doc_id", F.col("fp").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    prints = stored(fingerprints(docs, size).select("doc_id", "fp", "n_shingles"), "fingerprints")
+    nodes = nodes_of(prints)
+    classes = linked_classes(nodes, hamming_links(nodes, errors))
+    return prints.select("doc_id", "fp").join(classes, "fp").select("doc_id", F.col("fp").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 # ------------------------------------------------------------------ near copies of five-word shingles
@@ -256,10 +276,10 @@ def expected_errors(similarity: float, bits: int) -> float:
     return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similarity_links(prints: DataFrame, similarity: float = 0.8, words: int = 4, blocks: int = 4, cap: int = 1 << 16) -> DataFrame:
+def similarity_links(nodes: DataFrame, similarity: float = 0.8, words: int = 4, blocks: int = 4, cap: int = 1 << 16) -> DataFrame:
     """Spanning links of fingerprints whose estimated Jaccard similarity reaches `similarity`.
 
-    prints: `fp, n_shingles`. Budgets are the expected differing bits plus one standard
+    nodes: `name, fp, n_shingles`. Budgets are the expected differing bits plus one standard
     deviation: over the first 64 bits and over all `64 * words`. A pair meets only where its
     shingle counts fit the similarity: a class of counts meets itself and the next class. A class
     of over `cap` fingerprints is split in pieces that meet pairwise.
@@ -270,10 +290,10 @@ def similarity_links(prints: DataFrame, similarity: float = 0.8, words: int = 4,
     total = math.floor(64 * words * p + deviation(p, 64 * words))
     base = math.log((1 + similarity) / (2 * similarity) / similarity * 1.05)
     level = F.floor(F.log(F.greatest(F.col("n_shingles"), F.lit(1))) / base).cast("int")
-    nodes = stored(prints.groupBy("fp").agg(F.min("n_shingles").alias("n_shingles")).select("fp", level.alias("level")), "similar-nodes")
+    nodes = nodes.select("name", "fp", level.alias("level"))
     counts = {r["level"]: r["n"] for r in nodes.groupBy("level").agg(F.count("*").alias("n")).collect()}  # one row per class of counts
     pieces = {k: -(-n // cap) for k, n in counts.items()}
-    spark = prints.sparkSession
+    spark = nodes.sparkSession
     plan = []  # level, piece, task, side
     task = 0
     for k, m in sorted(pieces.items()):
@@ -290,7 +310,7 @@ def similarity_links(prints: DataFrame, similarity: float = 0.8, words: int = 4,
     m = F.create_map(*(F.lit(v) for kv in pieces.items() for v in kv))
     rows = nodes.withColumn("piece", F.pmod(F.xxhash64("fp"), m[F.col("level")].cast("long")).cast("int")).join(dealt, ["level", "piece"])
     rows = rows.withColumn("block", F.explode(F.array(*(F.lit(k) for k in range(blocks)))))
-    rows = rows.select("fp", "block", (F.col("task") * blocks + F.col("block")).alias("task"), "side")
+    rows = rows.select("name", "block", (F.col("task") * blocks + F.col("block")).alias("task"), "side")
     return _joined(rows, words, blocks, Budget(64 // blocks, near // blocks), (Budget(64, near), Budget(64 * words, total)))
 
 
@@ -300,11 +320,11 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     All input columns are returned. Equal ids with equal texts count as copies.
     """
     prints = stored(fingerprints(docs, size, 4), "dedup-fingerprints")
-    classes = linked_classes(prints, similarity_links(prints, similarity))
-    best = prints.join(classes, "fp").groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("text_hash"))).alias("best"),
-    )
-    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
+    nodes = nodes_of(prints)
+    classes = linked_classes(nodes, similarity_links(nodes, similarity))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    best = prints.join(classes, "fp").where(own).groupBy("doc_id", "root").agg(F.min("text_hash").alias("h"))
+    best = best.select(F.col("doc_id").alias("_id"), F.col("h").alias("_hash"))
     marked = docs.withColumn("_th", F.xxhash64("text"))
     kept = marked.join(best, marked["doc_id"].cast("long").eqNullSafe(best["_id"]) & (marked["_th"] == best["_hash"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
