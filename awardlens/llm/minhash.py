@@ -109,7 +109,7 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     targets = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("look")))
     wrap = F.array(F.struct(ring[F.col("k")].alias("part"), F.when(F.col("k") == order[0][1], 2).otherwise(1).alias("look")))
     both = rows.withColumn("to", F.explode(F.when(F.col("k").isin(list(before)), F.concat(targets, wrap)).otherwise(targets)))
-    return both.select("to.part", "to.look", "doc_id", "k", "t").repartition(parts, "part").sortWithinPartitions("part", "look", "k", "t").select("part", "look", "doc_id", "t")
+    return both.select("to.part", "to.look", "doc_id", "k", "t").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "look", "k", "t").select("part", "look", "doc_id", "t")
 
 
 def successor_report(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
