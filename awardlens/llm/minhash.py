@@ -159,7 +159,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, s
 
     Rows with equal texts are one node. Nodes that share a band of the signature are candidates;
     a candidate pair is a link if the Jaccard similarity of its shingle sets, compared exactly,
-    reaches `similarity`. links counts a node's links to other texts.
+    reaches `similarity`. links counts a node's links to other texts, so every candidate is
+    compared: pairs grow with the square of the different near copies in a band (never with
+    exact copies), and AQE splits a band that is large. simhash.keep_one_of_each needs no pairs.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     keyed = keyed.withColumn("node", F.sha2("t", 256))
