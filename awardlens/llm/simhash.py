@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -216,40 +216,99 @@ def nodes_of(prints: DataFrame) -> DataFrame:
     return stored(grouped.select(node_name(F.col("low"), F.col("fp")).alias("name"), "fp", "n_shingles"), "fingerprint-nodes")
 
 
+NODE = ["block", "level", "prefix"]
+
+#: Rows of one side of a task; a worker holds about twice as many at a time.
+TASK_ROWS = 1 << 16
+
+
+def dealt(rows: DataFrame, masks: list[int], classes: int = 0, cap: int = TASK_ROWS) -> DataFrame:
+    """`task, side, block, name`: every row once for each task in which its trie node takes part.
+
+    rows: `name, block, level, prefix`; the rows of one block, class and prefix are a node of the
+    upper trie. A node meets itself and the nodes of its own and the next `classes` classes whose
+    prefix differs by one of `masks`. A node of over `cap` rows is cut in pieces by a hash, and its
+    pieces meet pairwise, so a hot node only means more tasks. Nodes and their meetings are tables;
+    the driver sees none of them, and a node that meets nothing sends no row.
+    """
+    nodes = rows.groupBy(*NODE).agg(F.count("*").alias("n")).withColumn("pieces", F.ceil(F.col("n") / cap).cast("int"))
+    nodes = stored(nodes, "trie-nodes")
+    mask = F.explode(F.array(*(F.lit(m).cast("long") for m in masks)))
+    ahead = nodes.select(*NODE, "n", "pieces", mask.alias("mask")).withColumn("up", F.explode(F.sequence(F.lit(0), F.lit(classes))))
+    ahead = ahead.withColumn("level_b", F.col("level") + F.col("up")).withColumn("prefix_b", F.col("prefix").bitwiseXOR(F.col("mask")))
+    itself = (F.col("up") == 0) & (F.col("mask") == 0)
+    ahead = ahead.where((F.col("up") > 0) | (F.col("prefix_b") >= F.col("prefix"))).where(~itself | (F.col("n") > 1))
+    other = nodes.select("block", F.col("level").alias("level_b"), F.col("prefix").alias("prefix_b"), F.col("pieces").alias("pieces_b"))
+    met = ahead.join(other, ["block", "level_b", "prefix_b"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    met = met.withColumn("y", F.explode(F.sequence(F.when(itself, F.col("x")).otherwise(0), F.col("pieces_b") - 1)))
+    met = met.withColumn("alone", itself & (F.col("x") == F.col("y")))
+    met = stored(met.select(*NODE, "level_b", "prefix_b", "x", "y", "alone", F.monotonically_increasing_id().alias("task")), "trie-meetings")
+    left = met.select(*NODE, F.col("x").alias("piece"), "task", F.lit(0).alias("side"))
+    right = met.where("NOT alone").select("block", F.col("level_b").alias("level"), F.col("prefix_b").alias("prefix"), F.col("y").alias("piece"), "task", F.lit(1).alias("side"))
+    cut = rows.join(nodes.select(*NODE, "pieces"), NODE).withColumn("piece", F.pmod(F.xxhash64("name"), F.col("pieces").cast("long")).cast("int"))
+    return cut.join(left.unionByName(right), [*NODE, "piece"]).select("task", "side", "block", "name")
+
+
+def whole_tasks(batches: Iterator[pa.RecordBatch], least: int = TASK_ROWS) -> Iterator[pa.Table]:
+    """Tables of whole tasks, of `least` rows or one task each, from batches sorted by task."""
+    held, size = [], 0
+    for batch in batches:
+        task = batch.column("task").to_numpy()
+        edges = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)] if len(task) else [0]
+        last = held[-1].column("task")[-1].as_py() if held else None
+        start = 0
+        for at in edges[:-1]:
+            if size + at - start >= least and (at or task[0] != last):
+                yield pa.Table.from_batches([*held, batch.slice(start, at - start)])
+                held, size, start = [], 0, at
+        if start < len(task):
+            held.append(batch.slice(start))
+            size += len(task) - start
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _joined(rows: DataFrame, words: int, blocks: int, first: Budget, totals: tuple[Budget, ...]) -> DataFrame:
-    """`src, dst` names linked among `task, side, block, name` rows; each partition joins its tasks' tries."""
+    """`src, dst` names linked among `task, side, block, name` rows; a worker walks a few tasks' tries at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        names = table.column("name").to_pylist()
-        raw = np.frombuffer(bytes.fromhex("".join(n[20:] for n in names)), dtype=">u8").astype(np.uint64).reshape(-1, words)
-        block, task, side = (table.column(c).to_numpy() for c in ("block", "task", "side"))
-        turned = raw.copy()
-        for k in range(blocks):
-            turned[block == k] = _rotated(raw[block == k], k, blocks)
-        root = trie_links(turned, task, side, first, totals)
-        at = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.string()), pa.array([names[i] for i in root[at]], pa.string())], names=["src", "dst"])
-
-    return rows.repartition("task").mapInArrow(run, "src string, dst string").where("src <> dst").distinct()
-
-
-def hamming_links(nodes: DataFrame, errors: int = 3, blocks: int = 4) -> DataFrame:
+        for table in whole_tasks(batches):
+            names = table.column("name").to_pylist()
+            raw = np.frombuffer(bytes.fromhex("".join(n[20:] for n in names)), dtype=">u8").astype(np.uint64).reshape(-1, words)
+            block, task, side = (table.column(c).to_numpy() for c in ("block", "task", "side"))
+            turned = raw.copy()
+            for k in range(blocks):
+                turned[block == k] = _rotated(raw[block == k], k, blocks)
+            root = trie_links(turned, task, side, first, totals)
+            at = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.string()), pa.array([names[i] for i in root[at]], pa.string())], names=["src", "dst"])
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "src string, dst string").where("src <> dst").distinct()
+
+
+def _first_bits(block: int, width: int, depth: int):
+    """Column: the first `depth` bits of a block of a fingerprint's first word."""
+    word = F.conv(F.substring("fp", 1, 16), 16, -10).cast("long")
+    return F.shiftrightunsigned(F.shiftleft(word, block * width), 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def _by_block(nodes: DataFrame, level, blocks: int, depth: int) -> DataFrame:
+    """`name, block, level, prefix` of every fingerprint, once for each block."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _first_bits(k, 64 // blocks, depth).alias("prefix")) for k in range(blocks))))
+    return nodes.select("name", level.alias("level"), each.alias("b")).select("name", "b.block", "level", "b.prefix")
+
+
+def hamming_links(nodes: DataFrame, errors: int = 3, blocks: int = 4, cap: int = TASK_ROWS) -> DataFrame:
     """Spanning links of all 64-bit fingerprints at `errors` or fewer differing bits; exact.
 
-    With errors < blocks some block is equal, so a task is a block's value: its trie holds the
-    fingerprints that share those bits. Two fingerprints of a component are joined by a path of
-    links, though not by every link.
+    With errors < blocks some block is equal, so the tries of a block's values are walked each by
+    itself: they hold the fingerprints that share those bits. Two fingerprints of a component are
+    joined by a path of links, though not by every link.
     """
     assert errors < blocks and 64 % blocks == 0
     width = 64 // blocks
-    key = F.conv(F.col("fp"), 16, -10).cast("long")
-    piece = lambda k: F.shiftrightunsigned(F.shiftleft(key, k * width), 64 - width)
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), (F.lit(k) * (1 << width) + piece(k)).alias("task")) for k in range(blocks))))
-    rows = nodes.select("name", each.alias("b")).select("name", "b.block", "b.task", F.lit(0).alias("side"))
-    return _joined(rows, 1, blocks, Budget(width, 0), (Budget(64, errors),))
+    rows = _by_block(nodes, F.lit(0), blocks, width)
+    return _joined(dealt(rows, [0], cap=cap), 1, blocks, Budget(width, 0), (Budget(64, errors),))
 
 
 def linked_classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -276,42 +335,29 @@ def expected_errors(similarity: float, bits: int) -> float:
     return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similarity_links(nodes: DataFrame, similarity: float = 0.8, words: int = 4, blocks: int = 4, cap: int = 1 << 16) -> DataFrame:
+def similarity_links(nodes: DataFrame, similarity: float = 0.8, words: int = 4, blocks: int = 4, cap: int = TASK_ROWS) -> DataFrame:
     """Spanning links of fingerprints whose estimated Jaccard similarity reaches `similarity`.
 
     nodes: `name, fp, n_shingles`. Budgets are the expected differing bits plus one standard
     deviation: over the first 64 bits and over all `64 * words`. A pair meets only where its
-    shingle counts fit the similarity: a class of counts meets itself and the next class. A class
-    of over `cap` fingerprints is split in pieces that meet pairwise.
+    shingle counts fit the similarity: a class of counts meets itself and the next class. The
+    upper levels of the trie are walked by Spark: a class of over `cap` fingerprints is cut in the
+    trie's nodes at the depth where nodes have about `cap`, and node pairs beyond the leading
+    block's budget never meet. So a fingerprint is sent to as many tasks as there are prefixes
+    within the budget (697 of 65,536 at most for each block and class), besides pieces of hot nodes.
     """
     deviation = lambda p, n: math.sqrt(n * p * (1 - p))
     p = expected_errors(similarity, 1)
     near = math.floor(64 * p + 1.2 * deviation(p, 64))
     total = math.floor(64 * words * p + deviation(p, 64 * words))
+    width, lead = 64 // blocks, near // blocks
     base = math.log((1 + similarity) / (2 * similarity) / similarity * 1.05)
     level = F.floor(F.log(F.greatest(F.col("n_shingles"), F.lit(1))) / base).cast("int")
-    nodes = nodes.select("name", "fp", level.alias("level"))
-    counts = {r["level"]: r["n"] for r in nodes.groupBy("level").agg(F.count("*").alias("n")).collect()}  # one row per class of counts
-    pieces = {k: -(-n // cap) for k, n in counts.items()}
-    spark = nodes.sparkSession
-    plan = []  # level, piece, task, side
-    task = 0
-    for k, m in sorted(pieces.items()):
-        for x in range(m):
-            for y in range(x, m):
-                plan += [(k, x, task, 0)] + [(k, y, task, 1)] * (y > x)
-                task += 1
-            for y in range(pieces.get(k + 1, 0)):
-                plan += [(k, x, task, 0), (k + 1, y, task, 1)]
-                task += 1
-    if not plan:
-        return spark.createDataFrame([], "src string, dst string")
-    dealt = F.broadcast(spark.createDataFrame(plan, "level int, piece int, task long, side int"))  # classes x pieces rows
-    m = F.create_map(*(F.lit(v) for kv in pieces.items() for v in kv))
-    rows = nodes.withColumn("piece", F.pmod(F.xxhash64("fp"), m[F.col("level")].cast("long")).cast("int")).join(dealt, ["level", "piece"])
-    rows = rows.withColumn("block", F.explode(F.array(*(F.lit(k) for k in range(blocks)))))
-    rows = rows.select("name", "block", (F.col("task") * blocks + F.col("block")).alias("task"), "side")
-    return _joined(rows, words, blocks, Budget(64 // blocks, near // blocks), (Budget(64, near), Budget(64 * words, total)))
+    largest = nodes.groupBy(level.alias("level")).count().agg(F.max("count")).first()[0] or 1
+    depth = min(width, max(0, math.ceil(math.log2(largest / cap))))
+    masks = [sum(1 << i for i in bits) for n in range(min(lead, depth) + 1) for bits in combinations(range(depth), n)]
+    rows = dealt(_by_block(nodes, level, blocks, depth), masks, 1, cap)
+    return _joined(rows, words, blocks, Budget(width, lead), (Budget(64, near), Budget(64 * words, total)))
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

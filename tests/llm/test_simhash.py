@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -153,3 +155,56 @@ def test_components_match_union_find(spark):
         parent[max(x, y)] = min(x, y)
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "src string, dst string")).collect()}
     assert got == {(x, find(x)) for x in parent}
+
+
+def classes(nodes, links):
+    return {(r.fp, r.root) for r in simhash.linked_classes(nodes, links).collect()}
+
+
+@pytest.mark.parametrize("cap", [1 << 16, 3])
+def test_nodes_over_the_cap_lose_no_link(spark, cap):
+    rnd = np.random.default_rng(8)
+    centre = int(rnd.integers(0, 2**63))
+    values = {centre}
+    for _ in range(60):  # a hot group around one fingerprint, all of whose blocks are hot nodes
+        values.add(centre ^ sum(1 << int(b) for b in rnd.choice(64, 3, replace=False)))
+    values |= {int(v) for v in rnd.integers(0, 2**63, 40)}
+    keys = sorted(values)
+    prints = spark.createDataFrame([(i, f"{v:016x}", 9) for i, v in enumerate(keys)], "doc_id long, fp string, n_shingles long")
+    nodes = simhash.nodes_of(prints)
+    got = {(r.fp, r.component_id) for r in simhash.linked_classes(nodes, simhash.hamming_links(nodes, cap=cap)).collect()}
+    parent = list(range(len(keys)))
+    for _ in range(len(keys)):
+        for i in range(len(keys)):
+            for j in range(len(keys)):
+                if (keys[i] ^ keys[j]).bit_count() <= 3:
+                    parent[i] = min(parent[i], parent[j])
+    assert got == {(f"{v:016x}", parent[i]) for i, v in enumerate(keys)}
+
+
+def test_similarity_links_do_not_depend_on_the_cap(spark):
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(25):
+        base = rnd.getrandbits(256)
+        for _ in range(rnd.randint(1, 12)):
+            near = base
+            for bit in rnd.sample(range(256), rnd.randint(0, 20)):
+                near ^= 1 << bit
+            rows.append((len(rows), f"{near:064x}", rnd.choice([100, 110, 120, 900])))
+    nodes = simhash.nodes_of(spark.createDataFrame(rows, "doc_id long, fp string, n_shingles long"))
+    whole = classes(nodes, simhash.similarity_links(nodes))
+    assert classes(nodes, simhash.similarity_links(nodes, cap=4)) == whole
+    assert 25 < len({root for _, root in whole}) < len(rows)
+
+
+def test_tasks_stay_whole_over_batches():
+    tasks = [0, 0, 0, 1, 1, 2, 5, 5, 5, 5, 5, 6, 7]
+    for size in (1, 2, 3, 5, 20):
+        batches = [pa.RecordBatch.from_pydict({"task": pa.array(tasks[i : i + size], pa.int64())}) for i in range(0, len(tasks), size)]
+        for least in (1, 2, 4, 100):
+            found = [t.column("task").to_pylist() for t in simhash.whole_tasks(iter(batches), least)]
+            assert sum(found, []) == tasks
+            assert all(a[-1] != b[0] for a, b in zip(found, found[1:], strict=False))
+            assert all(len(f) >= least for f in found[:-1])
+    assert list(simhash.whole_tasks(iter([]))) == []
