@@ -26,6 +26,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from awardlens.llm.text import BROADCAST_ROWS
+
 BUCKETS = 64
 BUCKET_ROWS = 500_000
 MAX_BLOCKS = 20_000
@@ -92,7 +94,9 @@ def mixed(docs: DataFrame, power: float = 0.5, block_rows: int = 16, max_blocks:
     for s, block, slot, phase in plan:
         table.append((s, block, slot, at, phase))
         at += min(size, counts[s] - block * size)
-    slots = F.broadcast(spark.createDataFrame(table, "_s string, block long, slot long, _p long, phase int"))
+    slots = spark.createDataFrame(table, "_s string, block long, slot long, _p long, phase int")
+    if len(table) <= BROADCAST_ROWS:  # beyond (very many sources), a join on the block
+        slots = F.broadcast(slots)
     order = Window.partitionBy("_s", "_b").orderBy("_h", *(F.col(c) for c in ["doc_id"] if c in rows.columns))
     ranked = keyed.withColumn("_r", F.row_number().over(order) - 1)
     ranked = ranked.join(base, ["_s", "_b"]).withColumn("source_rank", F.col("_o") + F.col("_r"))

@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import byte_column, stored
+from awardlens.llm.text import BROADCAST_ROWS, byte_column, stored
 
 WINDOW = 2048
 END_ID = 1
@@ -174,7 +174,9 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
     for split, n in totals:
         bases.append((split, at))
         at += n
-    offsets = F.broadcast(spark.createDataFrame(bases, "split string, base long"))
+    offsets = spark.createDataFrame(bases, "split string, base long")
+    if len(bases) <= BROADCAST_ROWS:  # beyond, a join on the split
+        offsets = F.broadcast(offsets)
     placed = ready.join(offsets, "split").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

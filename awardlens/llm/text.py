@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker holds as numpy arrays at a time.
 SLICE_BYTES = 2 << 20
+#: Rows of a small table (a few hundred bytes each) that are still broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
