@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from awardlens.llm.components import components
@@ -84,6 +84,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half] if half else text
 
 
+def range_of(key: Column, cuts: list[int], first: int = 0) -> Column:
+    """`first` plus the number of sorted cuts up to the key: a balanced tree, so its depth is their logarithm."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(key < cuts[mid], range_of(key, cuts[:mid], first)).otherwise(range_of(key, cuts[mid + 1 :], first + mid + 1))
+
+
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """`part, look, doc_id, t` where each part also holds the row that follows its last one.
 
@@ -95,9 +103,7 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"))
     cuts = sorted({int(v) for v in (ids.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()[0] or [])}) if parts > 1 else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + F.when(F.col("k") >= c, 1).otherwise(0)
+    part = range_of(F.col("k"), cuts)
     firsts = ids.groupBy(part.alias("p")).agg(F.min("k").alias("k")).collect()  # one row per part
     order = sorted((r.p, r.k) for r in firsts)
     before = {k: order[i - 1][0] for i, (_, k) in enumerate(order)}  # the first id of a part follows the part before; the first of all closes the ring
