@@ -8,7 +8,8 @@ pages. Labelled pages come from `labelled_pages`: layouts with known main blocks
 a seed, so that training needs no table and has a fixed size.
 
 Defined results: null or empty html gives an empty text; comments, scripts, styles and the
-document head hold no blocks; an unclosed tag ends with its parent; text cut off inside a tag ends
+document head hold no blocks; a head whose end tag is left out ends, as in HTML, at the first tag
+or text that may not stand in one; an unclosed tag ends with its parent, however deep it lies; text cut off inside a tag ends
 before it; repeated rows and ids keep a row each; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,7 +31,12 @@ from pyspark.sql import DataFrame
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|[!?][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
-RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "head"))
+_UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
+RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select"))
+#: What may stand in a head: elements whose text is skipped, and void ones. Of end tags, these end a head.
+HEAD_RAW = frozenset(("title", "script", "style", "noscript", "noframes", "template"))
+HEAD_VOID = frozenset(("base", "basefont", "bgsound", "link", "meta"))
+HEAD_ENDS = frozenset(("head", "body", "html", "br"))
 VOID = frozenset(("br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"))
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -71,18 +78,66 @@ def _hints(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class _Open:
+    """The open elements, with the places of each tag and counts of hints, so that no lookup walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.hints: Counter = Counter()
+        self.blocks: list[int] = []
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of a name, -1 for none."""
+        return self.places[name][-1] if name in self.places else -1
+
+    def push(self, name: str, hints: frozenset[str]) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.hints.update(hints)
+        self.stack.append((name, hints))
+
+    def cut(self, k: int) -> None:
+        """End the elements from place k on."""
+        while len(self.stack) > k:
+            name, hints = self.stack.pop()
+            places = self.places[name]
+            places.pop()
+            if not places:
+                del self.places[name]
+            for h in hints:
+                self.hints[h] -= 1
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+
+    def close(self, name: str, barrier: frozenset[str]) -> None:
+        """End an open element that the next tag implies is over."""
+        k = self.last(name)
+        if k >= 0 and k > max(map(self.last, barrier)):
+            self.cut(k)
+
+
+def _after(page: str, name: str, at: int) -> int:
+    """Where the text of a skipped element ends."""
+    closing = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+    return closing.end() if closing else len(page)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's blocks of text in order; character references decoded, white space folded."""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    open_ = _Open()
     parts: list[str] = []
     linked = 0
+    in_head = False
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append(Block(text, frozenset(t for t, _ in stack), frozenset().union(*(h for _, h in stack)), next((t for t, _ in reversed(stack) if t in BLOCK), ""), linked))
+            own = open_.stack[open_.blocks[-1]][0] if open_.blocks else ""
+            blocks.append(Block(text, frozenset(open_.places), frozenset(h for h, n in open_.hints.items() if n), own, linked))
         parts.clear()
         linked = 0
 
@@ -91,7 +146,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if "a" in open_.places:
                 linked += len(text)
 
     at, end = 0, len(page)
@@ -100,29 +155,40 @@ def leaf_blocks(page: str) -> list[Block]:
         if not m:
             add(page[at:].split("<", 1)[0] if re.match(r"[^<]*<[a-zA-Z/!]", page[at:]) else page[at:])
             break
-        add(page[at : m.start()])
+        raw = page[at : m.start()]
+        add(raw)
         at = m.end()
+        if in_head and raw.strip():
+            in_head = False
         name = (m[2] or "").lower()
         if not name:
             continue
+        if in_head:
+            if m[1]:
+                in_head = name not in HEAD_ENDS
+                if in_head or name == "head":
+                    continue
+            elif name in HEAD_RAW:
+                at = _after(page, name, at)
+                continue
+            elif name in HEAD_VOID or name == "head":
+                continue
+            else:
+                in_head = False
         if m[1]:
-            if name in BLOCK or any(t == name for t, _ in stack):
-                if name in BLOCK:
-                    flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if any(t in BLOCK for t, _ in stack[k:]):
-                            flush()
-                        del stack[k:]
-                        break
+            k = open_.last(name)
+            if name in BLOCK or (k >= 0 and open_.blocks and open_.blocks[-1] >= k):
+                flush()
+            if k >= 0:
+                open_.cut(k)
+            continue
+        if name == "head":
+            in_head = True
+            parts.append(" ")
             continue
         if name in RAW:
-            closing = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            if name == "head":
-                body = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
-                at = end if body is None else body.end() if body[0][1] == "/" else body.start()
-            else:
-                at = closing.end() if closing else end
+            if name != "svg" or not m[3].endswith("/") or _UNQUOTED.search(m[3]):
+                at = _after(page, name, at)
             if name not in {"svg", "canvas"}:
                 parts.append(" ")
             continue
@@ -133,34 +199,22 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
             if name in CLOSES_P:
-                _close(stack, "p", frozenset(("table", "button")))
+                open_.close("p", frozenset(("table", "button")))
             if name == "li":
-                _close(stack, "li", frozenset(("ul", "ol", "menu")))
+                open_.close("li", frozenset(("ul", "ol", "menu")))
             elif name in {"td", "th"}:
-                _close(stack, "td", frozenset(("table", "tr")))
-                _close(stack, "th", frozenset(("table", "tr")))
+                open_.close("td", frozenset(("table", "tr")))
+                open_.close("th", frozenset(("table", "tr")))
             elif name == "tr":
-                _close(stack, "tr", frozenset(("table",)))
+                open_.close("tr", frozenset(("table",)))
             elif name in {"dt", "dd"}:
-                _close(stack, "dt", frozenset(("dl",)))
-                _close(stack, "dd", frozenset(("dl",)))
-        stack.append((name, _hints(m[3]) if m[3] else frozenset()))
-        if len(stack) > 400:
-            del stack[200]
+                open_.close("dt", frozenset(("dl",)))
+                open_.close("dd", frozenset(("dl",)))
+        open_.push(name, _hints(m[3]) if m[3] else frozenset())
     flush()
     return blocks
 
 
-def _close(stack: list, name: str, barrier: frozenset[str]) -> None:
-    """End an open element that the next tag implies is over."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == name:
-            del stack[k:]
-            return
-        if stack[k][0] in barrier:
-            return
-
-
 _TAGS = "nav header footer aside form article main section ul ol li table td blockquote pre figure figcaption p div h1 h2 h3 h4 h5 h6 a button label dialog details".split()
 _NAMES = (
     ["bias", *(f"in:{t}" for t in _TAGS), *(f"own:{t}" for t in _TAGS), *(f"hint:{h}" for h in HINTS)]

@@ -37,6 +37,24 @@ def test_main_text_of_odd_pages():
     assert [b.text for b in op.leaf_blocks(deep)] == ["t"]
 
 
+def test_no_text_is_lost_to_heads_drawings_or_depth():
+    def texts(page):
+        return [b.text for b in op.leaf_blocks(page)]
+
+    assert texts("<head><title>x</title><meta charset=utf-8><h1>One</h1><p>Two") == ["One", "Two"]
+    assert texts("<head><title>x</title></ul>  <!-- c --> Words first<p>Two") == ["Words first", "Two"]
+    assert texts("<html><head><style>p{}</style><script>'</head>'</script><body><p>One") == ["One"]
+    assert texts("<html><head><title>a <p> b</title></head><p>One") == ["One"]
+    assert texts('<p>One <svg class="i"/>two</p><p>Three</p>') == ["One two", "Three"]
+    assert texts("<p>One <svg/>two<svg width=1 /> more</p><svg><text>no</text></svg>") == ["One two more"]
+    assert texts("<p>One <svg href=a/><text>no</text></svg>two</p>") == ["One two"]
+    inside = "<article class=comments>" + "<div>" * 199 + "<nav>" + "<div>" * 900
+    blocks = op.leaf_blocks(inside + "in" + "</div>" * 900 + "<p>menu</nav>" + "side" + "</div>" * 199 + "main</article>out")
+    assert [b.text for b in blocks] == ["in", "menu", "side", "main", "out"]
+    assert [("nav" in b.tags, "article" in b.tags, "talk" in b.hints) for b in blocks] == [(True, True, True)] * 2 + [(False, True, True)] * 2 + [(False, False, False)]
+    assert [b.tag for b in blocks] == ["div", "p", "div", "article", ""]
+
+
 def test_rows_are_kept(spark):
     df = spark.createDataFrame([(1, "u", None, 5), (1, "u", None, 5), (None, None, f"<article><p>{ARTICLE}</p></article>", 6)], "page_id long, url string, html string, text int")
     got = op.extracted(df).collect()
