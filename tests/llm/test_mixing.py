@@ -58,3 +58,43 @@ def test_mixed_layout_keeps_rows_and_columns(spark):
     out = op.in_mixed_order(df, block_rows=5)
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+
+
+def reference(blocks, weights):
+    """Earliest deadline first over every block, without periods."""
+    plan, slot, phase, done = [], 0, 0, dict.fromkeys(blocks, 0)
+    while live := [s for s in sorted(blocks) if done[s] < blocks[s]]:
+        share = {s: weights[s] / sum(weights[x] for x in live) for s in live}
+        placed, now, ended = dict.fromkeys(live, 0), 0, False
+        while not ended:
+            s = min((s for s in live if placed[s] // share[s] <= now), key=lambda s: (-(-(placed[s] + 1) // share[s]), live.index(s)))
+            plan.append((s, done[s], slot, phase))
+            done[s], placed[s], slot, now = done[s] + 1, placed[s] + 1, slot + 1, now + 1
+            ended = done[s] == blocks[s]
+        phase += 1
+    return plan
+
+
+def test_periods_give_the_order_of_all_blocks():
+    for counts, weights in (
+        ({"a": 500, "b": 300, "c": 7, "d": 90}, {"a": 5, "b": 4, "c": 1, "d": 2}),
+        ({"a": 61, "b": 60, "c": 59}, {"a": 1, "b": 1, "c": 1}),
+        ({"a": 100, "b": 1, "c": 3}, {"a": 1, "b": 90, "c": 7}),
+        ({str(i): 3 + i * i for i in range(12)}, {str(i): 1 + i for i in range(12)}),
+    ):
+        exact = {s: Fraction(w, sum(weights.values())) for s, w in weights.items()}
+        assert op.schedule(counts, exact) == reference(counts, exact)
+
+
+def test_blocks_keep_their_rows_and_the_plan_its_size_in_a_large_table(spark):
+    counts = {"a": 900_000_000, "b": 90_000_000, "c": 9_000_001, "d": 17}
+    spans, places = op._tables({s: -(-n // 16) for s, n in counts.items()}, counts, op.target_weights(counts), 16)
+    assert len(places) < 4 * 10_100 and sum(len(x) for _, x in spans) <= 10
+    df = spark.range(400_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"))
+    placed = op.mixed(df).groupBy("source", "block").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("slot"), F.min("position").alias("x"), F.max("position").alias("y"))
+    got = placed.toPandas().sort_values("slot")
+    assert got["n"].max() == got["n"].min() == 16 and set(got["slots"]) == {1}
+    assert got["slot"].tolist() == list(range(25_000))
+    assert got["x"].tolist() == list(range(0, 400_000, 16)) and (got["y"] - got["x"] == 15).all()
+    w = op.target_weights({"sa": 360_000, "sb": 40_000})
+    assert got["source"].tolist() == [s[1:] for s, _, _, _ in op.schedule({"sa": 22_500, "sb": 2_500}, w)]
