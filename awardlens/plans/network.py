@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from awardlens.operators import graph as op
 from awardlens.operators import rollups
+from awardlens.operators.settle import settled
 from awardlens.plans.flags import SUB, subcontracts
 from awardlens.plans.registry import registry
 from awardlens.sources.tables import Domain, oracle
@@ -19,8 +20,13 @@ def sparse(d: Domain) -> DataFrame:
     return d.focus.where("status = 'F' AND amount < 60000")
 
 
+def joint_pairs(rows: DataFrame) -> DataFrame:
+    """src, dst, weight, year: pairs of firms on the same contracts, how many and since when."""
+    return rollups.co_pairs(rows, carry=("year",)).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").cast("double").alias("weight"), F.min("year").alias("year"))
+
+
 def sparse_pairs(d: Domain) -> DataFrame:
-    return rollups.co_pairs(sparse(d), carry=("year",)).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").cast("double").alias("weight"), F.min("year").alias("year"))
+    return joint_pairs(sparse(d))
 
 
 PAIRS = """sparse AS (SELECT * FROM focus WHERE status = 'F' AND amount < 60000),
@@ -96,7 +102,8 @@ def communities(d: Domain):
 
 @query()
 def community_modularity(d: Domain):
-    e = sparse_pairs(d)
+    """Of the communities of all joint focus awards."""
+    e = settled(joint_pairs(d.focus), "joint-pairs")
     return op.modularity(e, op.label_propagation(e, 5))
 
 
