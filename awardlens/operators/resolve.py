@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from awardlens.functions import text as fn
+from awardlens.operators.settle import settled
 
 
 def parsed(cells: DataFrame, cell: str = "contractor") -> DataFrame:
@@ -164,36 +165,45 @@ def search_similar(entities: DataFrame, text: str, limit: int = 40) -> DataFrame
     return rows.select("id", "label", "rank", "value").orderBy("rank", F.desc("value"), "id").limit(limit)
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors by cosine of each query (a small, stated set), among all vectors.
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """The k nearest vectors by cosine of each query, among all vectors.
 
-    vectors, queries: id, embedding. The queries are sent to every task, at most MAX_QUERIES of
-    them; each partition keeps its own best k before the best are joined.
+    vectors, queries: id, embedding. The queries are cut in blocks of about `block`, sent to every
+    task one block after the other; each partition keeps its own best k before the best are joined.
     """
-    asked = queries.limit(MAX_QUERIES + 1).toPandas()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} query vectors at a time; run them in blocks")
     import numpy as np
 
-    if not len(asked):
-        return vectors.sparkSession.createDataFrame([], "query long, id long, similarity double, k int")
-    ids = asked["id"].to_numpy()
+    block = block or QUERY_BLOCK
+    spark = vectors.sparkSession
+    asked = settled(queries.select("id", "embedding"), "query-vectors")
+    blocks = max(1, -(-asked.count() // block))
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    q = vectors.sparkSession.sparkContext.broadcast((ids, unit(np.stack(asked["embedding"].to_numpy()).astype(float))))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, m = q.value
-        for pdf in frames:
-            own = pdf["id"].to_numpy()
-            s = np.round(unit(np.stack(pdf["embedding"].to_numpy()).astype(float)) @ m.T, 6)
-            for j, name in enumerate(names):
-                keep = np.lexsort((own, -s[:, j]))[: k + 1]
-                keep = keep[own[keep] != name][:k]
-                yield pd.DataFrame({"query": name, "id": own[keep], "similarity": s[keep, j]})
-
-    best = vectors.select("id", "embedding").mapInPandas(run, "query long, id long, similarity double")
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return best.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
-
-
-MAX_QUERIES = 4096
+    best = None
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toPandas()
+        if not len(part):
+            continue
+        q = spark.sparkContext.broadcast((part["id"].to_numpy(), unit(np.stack(part["embedding"].to_numpy()).astype(float))))
+
+        def run(frames: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
+            names, m = q.value
+            for pdf in frames:
+                own = pdf["id"].to_numpy()
+                s = np.round(unit(np.stack(pdf["embedding"].to_numpy()).astype(float)) @ m.T, 6)
+                for j, name in enumerate(names):
+                    keep = np.lexsort((own, -s[:, j]))[: k + 1]
+                    keep = keep[own[keep] != name][:k]
+                    yield pd.DataFrame({"query": name, "id": own[keep], "similarity": s[keep, j]})
+
+        order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+        found = vectors.select("id", "embedding").mapInPandas(run, "query long, id long, similarity double")
+        found = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+        if blocks > 1:  # the block's results are written, so that its vectors leave memory
+            found = settled(found, "nearest")
+            q.destroy()
+        best = found if best is None else best.unionByName(found)
+    return best if best is not None else spark.createDataFrame([], "query long, id long, similarity double, k int")
+
+
+#: Query vectors that a task holds at a time.
+QUERY_BLOCK = 4096
