@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardlens.operators import temporal as op
+from awardlens.operators.settle import settled
 from awardlens.plans.network import PAIRS, sparse_pairs
 from awardlens.plans.registry import registry
 from awardlens.sources.tables import Domain, oracle
@@ -110,9 +111,9 @@ def temporal_link_hits(d: Domain):
 
 
 @query()
-def temporal_link_nulls(d: Domain, times: int = 100):
-    """The share of random orders that reach the observed AUC, by cut."""
-    rows = candidates(d)
+def temporal_link_nulls(d: Domain, times: int = 500):
+    """The share of random orders of all focus contracts' candidates that reach the observed AUC, by cut."""
+    rows = settled(op.link_candidates(d.focus, big_firms(d), [1996, 1997, 1998]), "link-candidates")
     seen = op.auc(rows, ["cut"]).select("cut", F.col("auc").alias("observed"))
     nulls = op.permutation_nulls(rows, times).join(seen, "cut")
     return nulls.groupBy("cut", "observed").agg(((F.count(F.when(F.col("auc") >= F.col("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p_value"), F.avg("auc").alias("null_mean"))

@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from awardlens.operators import graph
+from awardlens.operators import graph, temporal
 from awardlens.plans import catalogue, network
+from awardlens.plans import temporal as temporal_plans
 from awardlens.sources.tables import Domain, oracle
 
 FOLDER = "/root/testdata/sf0.01"
@@ -26,3 +27,18 @@ def test_modularity_is_of_all_joint_focus_awards(spark, db, monkeypatch):
     monkeypatch.setattr(graph, "modularity", lambda e, labels, f=graph.modularity: seen.append(e) or f(e, labels))
     assert catalogue.queries()["community_modularity"](spark, FOLDER).count() == 1
     assert sorted(map(tuple, seen[0].select("src", "dst", "weight", "year").collect())) == sorted(want)
+
+
+def test_link_nulls_are_of_all_focus_contracts_and_500_orders(spark, db, monkeypatch):
+    cut = " WHERE status = 'F' AND amount < 60000"
+    whole = temporal_plans._LINK.replace(f"(SELECT * FROM focus{cut})", "(SELECT * FROM focus)")
+    assert whole != temporal_plans._LINK
+    want = sorted(db.sql(oracle("SELECT CAST(cut AS INT) AS cut, a, b, score, positive FROM cand", whole)).fetchall())
+    seen = []
+    monkeypatch.setattr(temporal, "permutation_nulls", lambda rows, times, f=temporal.permutation_nulls: seen.append((rows, times)) or f(rows, times))
+    catalogue.queries()["temporal_link_nulls"](spark, FOLDER).collect()
+    rows, times = seen[0]
+    assert times == 500
+    got = sorted(map(tuple, rows.select("cut", "a", "b", "score", "positive").collect()))
+    assert [(c, a, b, p) for c, a, b, _, p in got] == [(c, a, b, p) for c, a, b, _, p in want]
+    assert all(abs(x[3] - y[3]) < 1e-8 for x, y in zip(got, want, strict=True))
