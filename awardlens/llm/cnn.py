@@ -6,15 +6,17 @@ half and together cover every byte. Over the chunks, the maximum, the mean and t
 each filter's response and the logarithm of the length feed a small hidden layer, which gives
 one probability.
 
-The network is fitted on the driver on a bounded sample of labelled rows: at most
-`train_rows` texts of at most `train_chars` characters, the smallest by a hash of their id in
-each class. Scoring is one map over the table: every byte of every text is seen, a text has no
-influence on another, and the model that tasks receive has a fixed size.
+The network is fitted on the driver on a bounded sample of labelled rows: `train_rows` of them at
+most, the smallest by a hash of their id in each class. Of a longer text, a run of `train_chars`
+characters at a place by that hash stands for it, with the whole text's length. Scoring is one map
+over the table: every byte of every text is seen, in slices of SLICE bytes, a text has no influence
+on another, and the model that tasks receive has a fixed size.
 
 Defined results: a null text counts as empty; an empty text is scored as one window of zero
 bytes; repeated rows and ids keep a row each; a null id counts as the empty text in the
-hold-out rule; labels that are null are ignored; without labels of both classes every score is
-the share of label 1 (0.5 without any); an empty table gives an empty result.
+hold-out rule; labels that are null are ignored, and so is an id whose labels differ; of several
+texts of one labelled id the smallest is learned from; without labels of both classes every score
+is the share of label 1 (0.5 without any); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -91,11 +93,30 @@ def _size(windows: np.ndarray) -> np.ndarray:
     return (np.log(windows) - 5).astype(np.float32)
 
 
-def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Maximum, mean and minimum over overlapping chunks of the strongest responses; the length."""
+def _segments(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strongest responses in each segment of each text, and the segments of each text."""
     buffer, at, count = _layout(texts)
     starts, segments = _starts(count, SEGMENT)
-    seg = np.maximum.reduceat(responses(net, buffer, at), starts, axis=0)
+    return np.maximum.reduceat(responses(net, buffer, at), starts, axis=0), segments
+
+
+def _long_segments(net: Network, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one text of more than SLICE bytes, a slice of whole segments at a time."""
+    parts = []
+    for at in range(0, len(text), SLICE):
+        piece = text[at : at + SLICE]
+        buffer, starts, _ = _layout([piece])
+        buffer = buffer.copy()
+        ahead = np.frombuffer(text[at + SLICE : at + SLICE + WIDTH], dtype=np.uint8)
+        buffer[len(piece) : len(piece) + len(ahead)] = ahead  # what the slice's last windows see of the next one
+        parts.append(np.maximum.reduceat(responses(net, buffer, starts), np.arange(0, len(starts), SEGMENT), axis=0))
+    return np.concatenate(parts), np.array([sum(map(len, parts))])
+
+
+def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
+    """Maximum, mean and minimum over overlapping chunks of the strongest responses; the length."""
+    seg, segments = _long_segments(net, texts[0]) if len(texts) == 1 and len(texts[0]) > SLICE else _segments(net, texts)
+    count = np.array([max(1, -(-len(t) // STRIDE)) for t in texts])
     first = np.cumsum(segments) - segments
     last = np.zeros(len(seg), dtype=bool)
     last[first + segments - 1] = True
@@ -122,8 +143,9 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((hidden @ net.o + net.o0).astype(np.float64), -40, 40)))
 
 
-def _gradients(net: Network, text: bytes, label: float, weight: float) -> dict[str, np.ndarray]:
-    buffer, at, count = _layout([text])
+def _gradients(net: Network, text: bytes, length: int, label: float, weight: float) -> dict[str, np.ndarray]:
+    buffer, at, _ = _layout([text])
+    count = np.array([max(1, -(-length // STRIDE))])
     out = responses(net, buffer, at)
     n, segments = len(out), -(-len(out) // SEGMENT)
     full = np.full((segments * SEGMENT, FILTERS), -np.inf, np.float32)
@@ -154,8 +176,11 @@ def _gradients(net: Network, text: bytes, label: float, weight: float) -> dict[s
     return {"e": de, "w": dw, "b": dv[:-1].reshape(3, FILTERS).sum(0), "a": np.outer(v, dh), "a0": dh, "o": d * h, "o0": d}
 
 
-def fit(texts: list[bytes], labels: list[int], weights: list[float], steps: int = 540, batch: int = 24, rate: float = 0.006, seed: int = 1) -> Network:
-    """Adam over the weighted log loss, for at least `steps` batches of whole passes."""
+def fit(texts: list[bytes], lengths: list[int], labels: list[int], weights: list[float], steps: int = 540, batch: int = 24, rate: float = 0.006, seed: int = 1) -> Network:
+    """Adam over the weighted log loss, for at least `steps` batches of whole passes.
+
+    lengths: the bytes of the documents that the texts stand for.
+    """
     net = Network.fresh(seed).tabulate()
     params = net.weights()
     m = {k: np.zeros_like(v) for k, v in params.items()}
@@ -171,7 +196,7 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float], steps: int
             grads = {k: np.zeros_like(v) for k, v in params.items()}
             for i in part:
                 shift = int(r.integers(0, STRIDE)) if len(texts[i]) > WIDTH else 0
-                for k, g in _gradients(net, texts[i][shift:], labels[i], weights[i]).items():
+                for k, g in _gradients(net, texts[i][shift:], lengths[i] - shift, labels[i], weights[i]).items():
                     grads[k] += g
             step += 1
             now = rate * (1 - step / (total + 1))
@@ -187,7 +212,9 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float], steps: int
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 1600, train_chars: int = 20_000, modulus: int = 5, remainder: int = 0) -> Network:
     """A network fitted on a bounded sample of the labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id"), modulus, remainder)).dropDuplicates(["doc_id"])
+    known = known.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id"), modulus, remainder))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     share = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}  # two classes
     if not share.get(0) or not share.get(1):
         net = Network.fresh(0)
@@ -196,11 +223,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 1600, train_char
     each = train_rows // 2
     sample = None
     for label in (0, 1):
-        part = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * each)
+        part = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= train_chars)
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # 2 * train_rows at most
-    rows = [r for label in (0, 1) for r in [x for x in rows if x.quality == label][:each]]
+    text = F.coalesce("text", F.lit(""))
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - train_chars, F.lit(0)).cast("long") + 1).cast("int") + 1
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.substring(text, start, F.lit(train_chars)).alias("part"), F.octet_length(text).alias("length")).alias("t"))
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("t").alias("t")).select("doc_id", "quality", "t.*")
+    rows = rows.orderBy("quality", F.xxhash64("doc_id"), "doc_id").collect()  # train_rows at most
     if {r.quality for r in rows} != {0, 1}:
         net = Network.fresh(0)
         net.constant = share[1] / (share[0] + share[1])
@@ -208,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 1600, train_char
     n = {label: sum(r.quality == label for r in rows) for label in (0, 1)}
     whole = share[0] + share[1]
     weight = {label: share[label] / whole * len(rows) / n[label] for label in (0, 1)}
-    return fit([(r.text or "").encode() for r in rows], [r.quality for r in rows], [weight[r.quality] for r in rows])
+    parts = [r.part.encode() for r in rows]
+    return fit(parts, [max(r.length, len(p)) for r, p in zip(rows, parts, strict=True)], [r.quality for r in rows], [weight[r.quality] for r in rows])
 
 
 def scored(docs: DataFrame, net: Network, text: str = "text", score: str = "score") -> DataFrame:

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from awardlens.llm.components import components
-from awardlens.llm.text import byte_column, mix, slices, stored, word_hashes
+from awardlens.llm.leaders import led
+from awardlens.llm.text import byte_column, shingles, slices, stored
 
 PERMUTATIONS, SHINGLE = 64, 5
 _R = np.random.default_rng(77)
@@ -29,19 +30,8 @@ _A = _R.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.ui
 _B = _R.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
 
 
-def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all texts in order, and how many each text has."""
-    h, count = word_hashes([t.lower() for t in texts])
-    first = np.cumsum(count) - count
-    own = np.where(count > 0, np.maximum(count - size + 1, 1), 0)
-    at = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())
-    end = np.repeat(first + count, own)
-    out = np.zeros(len(at), dtype=np.uint64)
-    padded = np.r_[h, np.zeros(size, dtype=np.uint64)]
-    for k in range(size):
-        inside = at + k < end
-        out = np.where(inside, mix(out * np.uint64(0x9E3779B97F4A7C15) + padded[at + k]), out)
-    return out, own
+#: Shingles whose permuted values a worker holds at a time.
+HELD = 1 << 18
 
 
 def signatures(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -49,13 +39,14 @@ def signatures(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     out = np.full((len(texts), PERMUTATIONS), 0xFFFFFFFF, dtype=np.uint32)
     for a, b in slices(texts, 1 << 20):
         h, count = shingles(texts[a:b], size)
-        some = np.flatnonzero(count)
-        if not len(some):
-            continue
-        starts = (np.cumsum(count) - count)[some]
-        for k in range(PERMUTATIONS):
-            value = ((h * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32)
-            out[a + some, k] = np.minimum.reduceat(value, starts)
+        owner = np.repeat(np.arange(a, b), count)
+        for at in range(0, len(h), HELD):
+            part, own = h[at : at + HELD], owner[at : at + HELD]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            rows = own[starts]
+            for k in range(PERMUTATIONS):
+                value = ((part * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32)
+                out[rows, k] = np.minimum(out[rows, k], np.minimum.reduceat(value, starts))
     return out
 
 
@@ -160,40 +151,55 @@ def successor_report(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 # ------------------------------------------------------------------ near duplicates
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, size: int = SHINGLE) -> DataFrame:
-    """`doc_id, class_id, links` for every row: the smallest id of its class of near copies.
+def banded(docs: DataFrame, bands: int = 16, size: int = SHINGLE) -> DataFrame:
+    """`src, dst` links of candidates: each row's key with the least key that shares a band.
 
-    Rows with equal texts are one node. Nodes that share a band of the signature are candidates;
-    a candidate pair is a link if the Jaccard similarity of its shingle sets, compared exactly,
-    reaches `similarity`. links counts a node's links to other texts, so every candidate is
-    compared: pairs grow with the square of the different near copies in a band (never with
-    exact copies), and AQE splits a band that is large. simhash.keep_one_of_each needs no pairs.
+    One link for each row and band, so a band of very many rows is one partial minimum, not pairs.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
-    keyed = keyed.withColumn("node", F.sha2("t", 256))
-    nodes = stored(keyed.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("t").alias("t")), "minhash-nodes")
     width = PERMUTATIONS // bands
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = signatures(byte_column(batch, "t"), size)
+            keys = [[f"{k:02x}" + s[k * width : (k + 1) * width].tobytes().hex() for k in range(bands)] for s in sig]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.string()))], names=["node", "bands"])
+
+    marked = docs.select("node", "t").mapInArrow(run, "node string, bands array<string>").select("node", F.explode("bands").alias("band"))
+    marked = stored(marked, "minhash-bands")
+    least = marked.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    few = F.broadcast(least.where(F.col("n") > (held := max(64, marked.count() // 100_000))).select("band", F.col("least").alias("hot")))  # at most 100,000 bands
+    split = marked.join(few, "band", "left")
+    rest = split.where("hot IS NULL").join(least.where(F.col("n") <= held), "band").select("node", "least")
+    both = split.where("hot IS NOT NULL").select("node", F.col("hot").alias("least")).unionByName(rest)
+    return both.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")).distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, size: int = SHINGLE) -> DataFrame:
+    """`doc_id, class_id` for every row: the smallest id of the document that stays for its kind.
+
+    Rows that share a band of the signature are candidates; in their groups every row is compared
+    exactly, by the Jaccard similarity of shingle sets, with the leaders before it (see leaders.py): a row
+    follows the leader that it reaches `similarity` with, or is a leader. Equal texts are one node.
+    A null id comes last, and is the class only where no row of the class has an id.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t")).withColumn("hash", F.sha2("t", 256))
+    first = keyed.groupBy("hash").agg(F.min("doc_id").alias("low"), F.min("t").alias("t"))
+    shifted = (F.col("low").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("decimal(20,0)")
+    nodes = stored(first.select(F.concat(F.coalesce(F.lpad(shifted.cast("string"), 20, "0"), F.lit("~" * 20)), "hash").alias("node"), "hash", "low", "t"), "minhash-nodes")
+    groups = components(banded(nodes, bands, size))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_column(batch, "t")
-            for a, b in slices(texts, 1 << 20):
+            for a, b in slices(texts):
                 h, count = shingles(texts[a:b], size)
                 end = np.cumsum(count)
                 sets = [np.unique(h[e - c : e]).view(np.int64) for e, c in zip(end, count, strict=True)]
-                sig = signatures(texts[a:b], size)
-                keys = [[int.from_bytes(s[k * width : (k + 1) * width].tobytes(), "little") * bands + k for k in range(bands)] for s in sig]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([[str(x) for x in k] for k in keys], pa.list_(pa.string())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "bands", "set"])
-
-    marked = stored(nodes.select("node", "t").mapInArrow(run, "node string, bands array<string>, set array<long>"), "minhash-sets")
-    band = marked.select("node", F.explode("bands").alias("band"))
-    pairs = band.alias("x").join(band.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct()
-    x, y = marked.select(F.col("node").alias("src"), F.col("set").alias("a")), marked.select(F.col("node").alias("dst"), F.col("set").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    links = stored(pairs.join(x, "src").join(y, "dst").where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst"), "minhash-links")
-    roots = components(links)
-    degree = links.select(F.col("src").alias("node")).unionAll(links.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    named = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("class_id"))
-    table = named.join(lowest, "root").join(degree, "node", "left").select("node", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return keyed.select("doc_id", "node").join(table, "node").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "links")
+                yield pa.RecordBatch.from_arrays([batch.column("root").slice(a, b - a), batch.column("node").slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["root", "node", "set"])
+
+    sets = nodes.select("node", "t").join(groups, "node").select("root", "node", "t").mapInArrow(run, "root string, node string, set array<long>")
+    found = led(sets, similarity)
+    lows = nodes.select("node", "hash", "low").join(found, "node", "left")
+    lead = nodes.select(F.col("node").alias("leader"), F.col("low").alias("lead_low"))
+    table = lows.join(lead, "leader", "left").select("hash", F.when(F.col("leader").isNull(), F.col("low")).otherwise(F.col("lead_low")).alias("class_id"))
+    return keyed.select("doc_id", "hash").join(table, "hash").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

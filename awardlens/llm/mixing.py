@@ -18,8 +18,9 @@ their source.
 
 Nothing is dropped: all rows of all sources are placed. Defined results: a null source is a
 source of its own; repeated rows and ids keep a place each, ties in any order of equal rows; null
-ids come first in their bucket; an empty table gives an empty result; the general interface keeps
-all input columns, a clashing name is replaced.
+ids come first in their bucket; an empty table gives an empty result. `mixed` returns the input's
+columns and five of its own, which replace input columns of the same names; `in_mixed_order`
+returns the input's columns alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ import math
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import BROADCAST_ROWS
+from awardlens.llm.text import BROADCAST_ROWS, row_of
 
 BUCKETS = 64
 BUCKET_ROWS = 500_000
@@ -127,14 +128,25 @@ def mixed(docs: DataFrame, power: float = 0.5, block_rows: int = 16, max_blocks:
     position numbers all rows in mixed order without gaps. Where `max_blocks` is asked for, blocks
     grow so that there are at most as many and one more for each source.
     """
-    spark = docs.sparkSession
     added = ("source_rank", "block", "slot", "position", "phase")
-    rows = docs.select(*(c for c in docs.columns if c not in added))
-    named = rows.withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")))
+    kept = docs.select(*("`" + c.replace("`", "``") + "`" for c in docs.columns if c.lower() not in added))
+    placed = _placed(_named(docs, row_of(kept), source), power, block_rows, max_blocks, weights)
+    return placed.select("row.*", *added)
+
+
+def _named(docs: DataFrame, row: Column, source: str) -> DataFrame:
+    """`row, s, h, id`: a row's source as text and a hash that spreads rows, of one id by their texts."""
+    spread = [F.col(c) for c in ("doc_id", "text") if c in docs.columns]
+    return docs.select(row.alias("row"), F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")).alias("_s"), F.xxhash64(*spread).alias("_h"), F.col("doc_id").alias("_id"))
+
+
+def _placed(named: DataFrame, power: float = 0.5, block_rows: int = 16, max_blocks: int | None = None, weights: dict | None = None) -> DataFrame:
+    """`row` of every named row with its source rank, block, slot, position and phase."""
+    spark = named.sparkSession
     counts = {r["_s"]: r.n for r in named.groupBy("_s").agg(F.count("*").alias("n")).collect()}  # a row per source
     whole = sum(counts.values())
     buckets = max(BUCKETS, whole // BUCKET_ROWS)
-    keyed = named.withColumn("_h", F.xxhash64(F.col("doc_id"))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    keyed = named.withColumn("_b", F.pmod("_h", F.lit(buckets)))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = keyed.groupBy("_s", "_b").agg(F.count("*").alias("n")).select("_s", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_o"))
     size = max(block_rows, -(-whole // max_blocks)) if max_blocks else block_rows
@@ -146,7 +158,7 @@ def mixed(docs: DataFrame, power: float = 0.5, block_rows: int = 16, max_blocks:
         spans_of = F.broadcast(spans_of)
     if len(places) <= BROADCAST_ROWS:
         place = F.broadcast(place)
-    order = Window.partitionBy("_s", "_b").orderBy("_h", *(F.col(c) for c in ["doc_id"] if c in rows.columns))
+    order = Window.partitionBy("_s", "_b").orderBy("_h", "_id")
     ranked = keyed.withColumn("_r", F.row_number().over(order) - 1)
     ranked = ranked.join(base, ["_s", "_b"]).withColumn("source_rank", F.col("_o") + F.col("_r"))
     ranked = ranked.withColumn("block", F.floor(F.col("source_rank") / size).cast("long"))
@@ -156,7 +168,7 @@ def mixed(docs: DataFrame, power: float = 0.5, block_rows: int = 16, max_blocks:
     found = numbered.join(place, ["_s", "phase", "_j"])
     slot = F.expr("(block - _x.first) div _x.weight * _x.period + _in")
     position = (F.col("_x.at") + F.col("_slot") * size + F.col("source_rank") - F.col("block") * size).alias("position")
-    return found.withColumn("_slot", slot).select(*rows.columns, "source_rank", "block", (F.col("_x.start") + F.col("_slot")).alias("slot"), position, "phase")
+    return found.withColumn("_slot", slot).select("row", "source_rank", "block", (F.col("_x.start") + F.col("_slot")).alias("slot"), position, "phase")
 
 
 def _tables(blocks: dict, counts: dict, weights: dict, size: int) -> tuple[list, list]:
@@ -178,7 +190,7 @@ def _tables(blocks: dict, counts: dict, weights: dict, size: int) -> tuple[list,
     return list(spans.items()), places
 
 
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
+def in_mixed_order(docs: DataFrame, source: str = "source", **options) -> DataFrame:
     """The input rows and columns, laid out in mixed order over the partitions."""
-    placed = mixed(docs, **options).withColumnRenamed("position", "_position")
-    return placed.repartitionByRange(F.col("_position")).sortWithinPartitions("_position").select(*docs.columns)
+    placed = _placed(_named(docs, row_of(docs), source), **options).select("row", "position")
+    return placed.repartitionByRange(F.col("position")).sortWithinPartitions("position").select("row.*")

@@ -5,9 +5,11 @@ input split; the splits' token totals are then prefix-summed, which gives every
 offset. Pass two needs no shuffle: a document's pieces follow from its global offset, and a
 document that crosses a window boundary gives one record on each side.
 
-Splits are taken in the order of their files and places, so a table written in mixing order is
-packed in that order; a frame that has no files is packed in the order of its partitions. Only
-one total per input split reaches the driver.
+A split is what one task reads of one place: tasks number the rows that they really see, whatever
+exchanges the frame's plan has, and totals and offsets are written by the same tasks. Splits are
+taken in the order of the tasks, or, where `place` names columns (such as `_metadata.file_path` of a
+table just read), in the order of their values, so that a table written in mixing order is packed
+in that order. One total per split reaches the driver.
 
 Every window is full but the last; it is padded up to `window`, unless its length is a power of
 two. Documents are never dropped, so padding is under one window for the whole corpus.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ from awardlens.llm.text import BROADCAST_ROWS, byte_column, stored
 
 WINDOW = 2048
 END_ID = 1
-#: Words, and units of words, kept by a worker; a full cache is emptied.
-CACHE_WORDS = 600_000
+#: Words, and units of words, kept by a worker; a full cache is emptied, and words go with their task.
+CACHE_WORDS, CACHE_UNITS = 300_000, 150_000
 LONG_WORD = 100
 
 _STATE: dict = {}
@@ -107,7 +109,7 @@ class WordEncoder:
             else:
                 ids = self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids
             found = array(self.code, ids).tobytes()
-            if len(self.units) >= CACHE_WORDS:
+            if len(self.units) >= CACHE_UNITS:
                 self.units.clear()
             if len(unit) <= LONG_WORD:
                 self.units[unit] = found
@@ -133,34 +135,33 @@ class WordEncoder:
         return out
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, text: str = "text") -> DataFrame:
-    """`doc_id, split, start, n, ids`: ids with the closing id, start counted inside the split."""
+def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, text: str = "text", place: tuple[str, ...] = ()) -> DataFrame:
+    """`doc_id, split, place, start, n, ids`: ids with the closing id, start counted inside the split."""
     path = tokenizer or default_tokenizer()
-    base = [F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")]
-    try:
-        source = docs.select(*base, F.concat_ws("|", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")).alias("split"))
-    except AnalysisException:  # no files
-        source = docs.select(*base, F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("split"))
+    parts = [F.lpad(F.col(c).cast("string"), 20, "0") if c.endswith("file_block_start") else F.col(c).cast("string") for c in place]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t"), F.concat_ws("|", *parts).alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
-        now, offset = None, 0
+        now, offset, split = None, 0, (TaskContext.get().partitionId() << 40) - 1
         for batch in batches:
-            ids, start, n, splits = [], [], [], batch.column("split").to_pylist()
-            for split, t in zip(splits, byte_column(batch, "t"), strict=True):
-                if split != now:
-                    now, offset = split, 0
+            ids, start, n, splits, places = [], [], [], [], batch.column("place").to_pylist()
+            for at, t in zip(places, byte_column(batch, "t"), strict=True):
+                if at != now:
+                    now, offset, split = at, 0, split + 1
                 ids.append(encoder.encode(t) + end)
                 n.append(len(ids[-1]) // encoder.kind.itemsize)
                 start.append(offset)
+                splits.append(split)
                 offset += n[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("split"), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "split", "start", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(splits, pa.int64()), batch.column("place"), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "split", "place", "start", "n", "ids"])
+        encoder.cache.clear()
 
-    return source.mapInArrow(run, "doc_id long, split string, start long, n long, ids binary")
+    return source.mapInArrow(run, "doc_id long, split long, place string, start long, n long, ids binary")
 
 
-def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, text: str = "text", place: tuple[str, ...] = ()) -> DataFrame:
     """One row for each piece of a document: where its ids start in it and where they lie.
 
     `doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`, with `ids` as little-endian
@@ -168,13 +169,13 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
     """
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
-    ready = stored(tokenized(docs, path, end_id, text), "packing-ids")
-    totals = sorted((r.split, r.n) for r in ready.groupBy("split").agg(F.sum("n").alias("n")).collect())  # one row per input split
+    ready = stored(tokenized(docs, path, end_id, text, place), "packing-ids")
+    totals = ready.groupBy("split").agg(F.first("place").alias("place"), F.sum("n").alias("n"))
     bases, at = [], 0
-    for split, n in totals:
+    for _, split, n in sorted((r.place, r.split, r.n) for r in totals.collect()):  # one row per split
         bases.append((split, at))
         at += n
-    offsets = spark.createDataFrame(bases, "split string, base long")
+    offsets = spark.createDataFrame(bases, "split long, base long")
     if len(bases) <= BROADCAST_ROWS:  # beyond, a join on the split
         offsets = F.broadcast(offsets)
     placed = ready.join(offsets, "split").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "ids")

@@ -9,12 +9,13 @@ trie is walked once per block, with that block's bits first and a small budget o
 Defined results: a null text counts as empty; a text without words has fingerprint zero and
 links like any other; exact copies share one trie leaf; repeated ids share a component; null
 ids are kept and never are the smallest id of a component that has another; an empty table
-gives an empty result.
+gives an empty result; keep_one_of_each carries all other columns along, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
@@ -22,24 +23,45 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from awardlens.llm.components import components
-from awardlens.llm.text import byte_column, mix, stored
+from awardlens.llm.leaders import led
+from awardlens.llm.text import byte_column, mix, row_of, shingles, slices, stored
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+#: Bytes of a text whose words are held as objects at a time.
+WORD_BYTES = 1 << 20
+
+
+def _word_pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about WORD_BYTES, cut at white space."""
+    at = 0
+    while len(text) - at > WORD_BYTES:
+        cut = _BLANK.search(text, at + WORD_BYTES)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def shingle_hashes(text: bytes, size: int, seed: int = 42) -> np.ndarray:
     """XXH64 of every shingle of `size` space-joined lower-cased words, repeats included."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], dtype=np.uint64)
-    joined = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
-    return np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(seed)), dtype=np.uint64, count=len(words) - size + 1)
+    parts, words = [], []
+    for piece in _word_pieces(text):
+        words += piece.lower().split()
+        if len(words) >= size:
+            joined = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
+            parts.append(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(seed)), dtype=np.uint64, count=len(words) - size + 1))
+            words = words[len(words) - size + 1 :]
+    if parts:
+        return np.concatenate(parts)
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [], dtype=np.uint64)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -47,38 +69,64 @@ def majority(hashes: np.ndarray) -> int:
     n = len(hashes)
     if not n:
         return 0
-    parts = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
     if n > 400:
-        ones = np.concatenate([np.bincount(parts[:, k], minlength=256) @ _BITS for k in range(8)])
+        ones = 0
+        for at in range(0, n, WORD_BYTES):
+            parts = hashes[at : at + WORD_BYTES].astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones = ones + np.concatenate([np.bincount(parts[:, k], minlength=256) @ _BITS for k in range(8)])
     else:
-        ones = np.unpackbits(parts, axis=1).sum(0, dtype=np.int64)
+        ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprint(text: bytes, size: int = 3, words: int = 1) -> tuple[list[int], int]:
-    """`words` 64-bit fingerprints of a text, and its shingle count. The first is plain XXH64."""
+def fingerprint(text: bytes, size: int = 3) -> tuple[int, int]:
+    """The 64-bit fingerprint of a text over XXH64, repeats included, and its shingle count."""
     h = shingle_hashes(text, size)
-    out = [majority(h)]
-    for k in range(1, words):
-        out.append(majority(mix(h + np.uint64(k) * np.uint64(0xD1B54A32D192ED03))))
-    return out, len(h)
+    return majority(h), len(h)
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, text: str = "text") -> DataFrame:
-    """`doc_id, text_hash, fp, n_shingles`: fp has 16 hex digits for each 64 bits."""
+def fingerprints(docs: DataFrame, size: int = 3, text: str = "text") -> DataFrame:
+    """`doc_id, text_hash, fp, n_shingles`: fp has 16 hex digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, size, words) for t in byte_column(batch, "t")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(["".join(f"{x:016x}" for x in f) for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())],
-                names=["doc_id", "text_hash", "fp", "n_shingles"],
-            )
+            found = [fingerprint(t, size) for t in byte_column(batch, "t")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([f"{f:016x}" for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "text_hash", "fp", "n_shingles"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("text_hash"))
     return source.mapInArrow(run, "doc_id long, text_hash long, fp string, n_shingles long")
 
 
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """Each text's distinct shingle hashes, sorted."""
+    for a, b in slices(texts):
+        h, count = shingles(texts[a:b], size)
+        end = np.cumsum(count)
+        for n, e in zip(count.tolist(), end.tolist(), strict=True):
+            yield np.unique(h[e - n : e])
+
+
+def set_fingerprint(distinct: np.ndarray, words: int) -> str:
+    """`words` 64-bit fingerprints of a shingle set, then a hash of the set, as hex digits.
+
+    The last word keeps texts of unlike shingles apart although their fingerprints are equal.
+    """
+    found = [majority(mix(distinct + np.uint64(k * 0xD1B54A32D192ED03 % (1 << 64)))) for k in range(words)]
+    return "".join(f"{x:016x}" for x in (*found, int(mix(distinct).sum(dtype=np.uint64))))
+
+
+def set_fingerprints(docs: DataFrame, size: int = 5, words: int = 4) -> DataFrame:
+    """`doc_id, text_hash, fp, n_shingles` over the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(set_fingerprint(u, words), len(u)) for u in shingle_sets(byte_column(batch, "t"), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([f for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "text_hash", "fp", "n_shingles"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"), F.xxhash64("text").alias("text_hash"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, fp string, n_shingles long")
+
+
 # ------------------------------------------------------------------ trie join inside a task
 
 
@@ -116,7 +164,7 @@ def _rotated(fps: np.ndarray, block: int, blocks: int) -> np.ndarray:
     return out
 
 
-def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, first: Budget, totals: tuple[Budget, ...], frontier: int = 1 << 17) -> np.ndarray:
+def trie_links(fps: np.ndarray, group: np.ndarray, side: np.ndarray, first: Budget, totals: tuple[Budget, ...], frontier: int = 1 << 15) -> np.ndarray:
     """For each fingerprint row the smallest row it is linked with, itself included.
 
     fps: (n, words) already rotated. group: rows of different groups never meet. side: 0 for
@@ -210,10 +258,17 @@ def id_of(name):
     return (shifted.cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")
 
 
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """A row's key by its id and its text's hash; never null."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), text_hash.cast("string"))
+
+
 def nodes_of(prints: DataFrame) -> DataFrame:
-    """`name, fp, n_shingles` of the distinct fingerprints."""
-    grouped = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("n_shingles").alias("n_shingles"))
-    return stored(grouped.select(node_name(F.col("low"), F.col("fp")).alias("name"), "fp", "n_shingles"), "fingerprint-nodes")
+    """`name, fp, n_shingles` of the distinct fingerprints, and the `key` of the row with the smallest id."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x") if "text_hash" in prints.columns else F.min(F.struct("doc_id")).alias("x")
+    grouped = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("n_shingles").alias("n_shingles"), first)
+    key = [row_key(F.col("x.doc_id"), F.col("x.text_hash")).alias("key")] if "text_hash" in prints.columns else []
+    return stored(grouped.select(node_name(F.col("low"), F.col("fp")).alias("name"), "fp", "n_shingles", *key), "fingerprint-nodes")
 
 
 NODE = ["block", "level", "prefix"]
@@ -274,7 +329,7 @@ def _joined(rows: DataFrame, words: int, blocks: int, first: Budget, totals: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_tasks(batches):
             names = table.column("name").to_pylist()
-            raw = np.frombuffer(bytes.fromhex("".join(n[20:] for n in names)), dtype=">u8").astype(np.uint64).reshape(-1, words)
+            raw = np.frombuffer(bytes.fromhex("".join(n[20 : 20 + 16 * words] for n in names)), dtype=">u8").astype(np.uint64).reshape(-1, words)
             block, task, side = (table.column(c).to_numpy() for c in ("block", "task", "side"))
             turned = raw.copy()
             for k in range(blocks):
@@ -338,9 +393,9 @@ def expected_errors(similarity: float, bits: int) -> float:
 def similarity_links(nodes: DataFrame, similarity: float = 0.8, words: int = 4, blocks: int = 4, cap: int = TASK_ROWS) -> DataFrame:
     """Spanning links of fingerprints whose estimated Jaccard similarity reaches `similarity`.
 
-    nodes: `name, fp, n_shingles`. Budgets are the expected differing bits plus one standard
-    deviation: over the first 64 bits and over all `64 * words`. A pair meets only where its
-    shingle counts fit the similarity: a class of counts meets itself and the next class. The
+    nodes: `name, fp, n_shingles`. Budgets are the expected differing bits plus two standard
+    deviations: over the first 64 bits and over all `64 * words`. n_shingles counts distinct
+    shingles, and a pair of that similarity lies in one class of counts or in neighbouring ones. The
     upper levels of the trie are walked by Spark: a class of over `cap` fingerprints is cut in the
     trie's nodes at the depth where nodes have about `cap`, and node pairs beyond the leading
     block's budget never meet. So a fingerprint is sent to as many tasks as there are prefixes
@@ -348,11 +403,10 @@ def similarity_links(nodes: DataFrame, similarity: float = 0.8, words: int = 4,
     """
     deviation = lambda p, n: math.sqrt(n * p * (1 - p))
     p = expected_errors(similarity, 1)
-    near = math.floor(64 * p + 1.2 * deviation(p, 64))
-    total = math.floor(64 * words * p + deviation(p, 64 * words))
+    near = math.floor(64 * p + 2 * deviation(p, 64))
+    total = math.floor(64 * words * p + 2 * deviation(p, 64 * words))
     width, lead = 64 // blocks, near // blocks
-    base = math.log((1 + similarity) / (2 * similarity) / similarity * 1.05)
-    level = F.floor(F.log(F.greatest(F.col("n_shingles"), F.lit(1))) / base).cast("int")
+    level = F.floor(F.log(F.greatest(F.col("n_shingles"), F.lit(1))) / -math.log(similarity)).cast("int")
     largest = nodes.groupBy(level.alias("level")).count().agg(F.max("count")).first()[0] or 1
     depth = min(width, max(0, math.ceil(math.log2(largest / cap))))
     masks = [sum(1 << i for i in bits) for n in range(min(lead, depth) + 1) for bits in combinations(range(depth), n)]
@@ -360,17 +414,42 @@ def similarity_links(nodes: DataFrame, similarity: float = 0.8, words: int = 4,
     return _joined(rows, words, blocks, Budget(width, lead), (Budget(64, near), Budget(64 * words, total)))
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """`root, node, set` of the wanted nodes (`root, name, key`): their shingle sets, from the whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at = byte_column(batch, "t"), 0
+            for a, b in slices(texts):
+                sets = [u.view(np.int64) for u in shingle_sets(texts[a:b], size)]
+                yield pa.RecordBatch.from_arrays([batch.column("root").slice(at, b - a), batch.column("name").slice(at, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["root", "node", "set"])
+                at = b
+
+    texts = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), F.col("text").alias("t")).dropDuplicates(["key"])
+    return wanted.join(texts, "key").select("root", "name", "t").mapInArrow(run, "root string, node string, set array<long>")
+
+
+def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4) -> tuple[DataFrame, DataFrame]:
+    """`name, fp, n_shingles, key` of the distinct shingle sets, and `node, leader` of those in candidate groups.
+
+    Candidates come from the trie join of fingerprints; each follower is verified by the exact
+    Jaccard similarity of its shingle set with its leader's.
+    """
+    nodes = nodes_of(stored(set_fingerprints(docs, size, words), "dedup-fingerprints"))
+    groups = components(similarity_links(nodes, similarity, words))
+    wanted = groups.select(F.col("node").alias("name"), "root").join(nodes.select("name", "key"), "name")
+    return nodes, led(sets_of(docs, wanted, size), similarity)
+
+
 def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The input rows without near copies: of each linked class the row with the smallest id stays.
+    """The input rows without near copies: the first of its kind by id stays.
 
-    All input columns are returned. Equal ids with equal texts count as copies.
+    A row goes if its text's shingle set equals that of a row with a smaller id, or has at least
+    `similarity` with that of a row that stays and has a smaller id. All input columns are returned.
+    Rows of equal ids and equal texts count as copies.
     """
-    prints = stored(fingerprints(docs, size, 4), "dedup-fingerprints")
-    nodes = nodes_of(prints)
-    classes = linked_classes(nodes, similarity_links(nodes, similarity))
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    best = prints.join(classes, "fp").where(own).groupBy("doc_id", "root").agg(F.min("text_hash").alias("h"))
-    best = best.select(F.col("doc_id").alias("_id"), F.col("h").alias("_hash"))
-    marked = docs.withColumn("_th", F.xxhash64("text"))
-    kept = marked.join(best, marked["doc_id"].cast("long").eqNullSafe(best["_id"]) & (marked["_th"] == best["_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    nodes, found = near_classes(docs, size, similarity)
+    gone = found.where("node <> leader").select(F.col("node").alias("name"))
+    stay = nodes.select("name", "key").join(gone, "name", "left_anti").select("key")
+    rows = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), row_of(docs).alias("row"))
+    return rows.dropDuplicates(["key"]).join(stay, "key", "left_semi").select("row.*")

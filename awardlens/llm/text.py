@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker holds as numpy arrays at a time.
@@ -57,41 +57,73 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, out=out)
 
 
-class _Powers:
-    """Powers of the rolling base and of its inverse, grown when a longer text comes."""
-
-    up = down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(cls.up):
-            cls.up, cls.down = _powers(_BASE, n + n // 2), _powers(_INV, n + n // 2)
-        return cls.up, cls.down
+#: Bytes of text that are hashed at a time, however long a text or a word is.
+PIECE = 1 << 18
+_UP, _DOWN = _powers(_BASE, PIECE + 1), _powers(_INV, PIECE + 1)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all white-space separated words, and the words of each text.
 
-    Words are runs of bytes other than space and 0x09-0x0D. A word's hash is a rolling
-    polynomial over random byte values, so that one cumulative sum gives all of them.
+    Words are runs of bytes other than space and 0x09-0x0D. A word's hash is a rolling polynomial
+    over random byte values, so that one cumulative sum gives all of a piece. Pieces have PIECE
+    bytes; a word that crosses pieces is put together from its parts, so what is held besides the
+    text is a few words of memory for each of its words.
     """
-    buffer = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    data = b" ".join(texts) + b" "
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    n = len(buffer)
-    blank = _SPACE[buffer]
-    edge = np.flatnonzero(np.diff(blank, prepend=True))
-    starts, ends = edge[0::2], edge[1::2]
-    up, down = _Powers.of(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buffer] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    bounds = np.searchsorted(starts, np.cumsum(lengths))
+    whole, size, begin = [], [], []
+    part, part_size, part_start = 0, 0, -1  # an unfinished word: its polynomial, length and start
+    for at in range(0, len(data), PIECE):
+        buffer = np.frombuffer(data, dtype=np.uint8, count=min(PIECE, len(data) - at), offset=at)
+        edge = np.flatnonzero(np.diff(_SPACE[buffer], prepend=True))
+        starts, ends = edge[0::2], edge[1::2]
+        if len(ends) < len(starts):
+            ends = np.r_[ends, len(buffer)]
+        sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[buffer] * _UP[: len(buffer)], out=sums[1:])
+        value, length, first = (sums[ends] - sums[starts]) * _DOWN[starts], (ends - starts).astype(np.uint64), starts + at
+        if part_start >= 0:
+            if len(starts) and starts[0] == 0:
+                value[0] = np.uint64((part + int(value[0]) * pow(_BASE, part_size, 1 << 64)) % (1 << 64))
+                length[0] += np.uint64(part_size)
+                first[0] = part_start
+            else:
+                value, length, first = np.r_[np.uint64(part), value], np.r_[np.uint64(part_size), length], np.r_[part_start, first]
+            part_start = -1
+        if len(ends) and ends[-1] == len(buffer) and not _SPACE[buffer[-1]]:
+            part, part_size, part_start = int(value[-1]), int(length[-1]), int(first[-1])
+            value, length, first = value[:-1], length[:-1], first[:-1]
+        whole.append(value)
+        size.append(length)
+        begin.append(first)
+    hashes = mix(np.concatenate(whole) + np.concatenate(size))
+    bounds = np.searchsorted(np.concatenate(begin), np.cumsum(lengths))
     return hashes, np.diff(bounds, prepend=0)
 
 
+def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of `size` lower-cased words of all texts in order, and how many each text has.
+
+    A text of fewer words is one shingle; a text without words has none.
+    """
+    h, count = word_hashes([t.lower() for t in texts])
+    first = np.cumsum(count) - count
+    own = np.where(count > 0, np.maximum(count - size + 1, 1), 0)
+    at = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    end = np.repeat(first + count, own)
+    padded = np.r_[h, np.zeros(size, dtype=np.uint64)]
+    out = np.zeros(len(at), dtype=np.uint64)
+    for k in range(size):
+        out = np.where(at + k < end, mix(out * np.uint64(0x9E3779B97F4A7C15) + padded[at + k]), out)
+    return out, own
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where it is unset (tests), one of our own."""
+    """The shared folder that the cluster names; where it is unset, one of our own in local mode alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return root or "file:///tmp/checkpoints/awardlens"
 
 
@@ -118,6 +150,6 @@ def is_held_out(doc_id, modulus: int, remainder: int):
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus) == remainder
 
 
-def only(columns: Iterable[str], df: DataFrame) -> DataFrame:
-    """The named columns alone, whatever else the input carries."""
-    return df.select(*columns)
+def row_of(df: DataFrame) -> Column:
+    """All input columns as one struct, so that no helper column can clash with them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))

@@ -68,7 +68,7 @@ def test_gradients_match_differences(name):
         net.table = np.einsum("vd,kdf->kvf", net.e, net.w)
         return -np.log(cnn.probabilities(net, [text])[0])
 
-    grad = cnn._gradients(net, text, 1, 1.0)[name]
+    grad = cnn._gradients(net, text, len(text), 1, 1.0)[name]
     w = getattr(net, name)
     flat = np.argsort(-np.abs(grad).ravel())[:3]
     for i in flat:
@@ -80,3 +80,36 @@ def test_gradients_match_differences(name):
         down = loss()
         w[at] = keep
         assert abs((up - down) / 2e-5 - grad[at]) < 1e-2 * max(1, abs(grad[at]))
+
+
+def direct(net, text):
+    """The probability of one text by loops over its bytes."""
+    n = max(1, -(-len(text) // cnn.STRIDE))
+    data = text + bytes(cnn.STRIDE * n + cnn.WIDTH - len(text))
+    out = [[sum(float(net.e[data[cnn.STRIDE * i + k]] @ net.w[k, :, f]) for k in range(cnn.WIDTH)) for f in range(cnn.FILTERS)] for i in range(n)]
+    seg = [[max(r[f] for r in out[a : a + cnn.SEGMENT]) for f in range(cnn.FILTERS)] for a in range(0, n, cnn.SEGMENT)]
+    chunks = [[max(x, y) for x, y in zip(a, b)] for a, b in zip(seg, seg[1:])] or seg
+    v = [max(s[f] for s in seg) + net.b[f] for f in range(cnn.FILTERS)]
+    v += [sum(c[f] for c in chunks) / len(chunks) + net.b[f] for f in range(cnn.FILTERS)]
+    v += [min(c[f] for c in chunks) + net.b[f] for f in range(cnn.FILTERS)]
+    hidden = np.tanh(np.array([*v, np.log(n) - 5]) @ net.a + net.a0)
+    return 1 / (1 + np.exp(-(hidden @ net.o + net.o0)[0]))
+
+
+def test_scores_match_loops_over_bytes_whatever_the_slice(monkeypatch):
+    net = cnn.Network.fresh(3).tabulate()
+    rnd = random.Random(2)
+    texts = [b"", b"a", bytes(rnd.randrange(256) for _ in range(513)), b"plain words " * 150, "é漢".encode() * 400]
+    want = [direct(net, t) for t in texts]
+    assert np.allclose(cnn.probabilities(net, texts), want, atol=1e-4)
+    monkeypatch.setattr(cnn, "SLICE", cnn.SEGMENT * cnn.STRIDE)
+    assert np.allclose(cnn.probabilities(net, texts), want, atol=1e-4)
+
+
+def test_long_and_repeated_labelled_texts_are_learned_from(spark):
+    rows = corpus(60, 5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, 0), (7, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, "short"), (2, None)], "doc_id long, text string")
+    a = cnn.train(docs, labels, train_rows=40, train_chars=100)
+    b = cnn.train(docs.repartition(7), labels.repartition(5), train_rows=40, train_chars=100)
+    assert all(np.array_equal(x, b.weights()[k]) for k, x in a.weights().items())

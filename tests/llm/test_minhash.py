@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from awardlens.llm import minhash as op
+from awardlens.llm.text import shingles
 
 SCHEMA = "doc_id long, text string"
 
@@ -65,13 +66,23 @@ def test_near_duplicates_match_brute_force(spark):
     for i, t in rows:
         w = t.split()
         shingle_sets[i] = {tuple(w[n : n + 5]) for n in range(len(w) - 4)}
-    texts = dict(rows)
-    got = {r.doc_id: r for r in op.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    leaders, want = [], {}
     for i, _ in rows:
-        linked = {texts[j] for j, s in shingle_sets.items() if texts[j] != texts[i] and len(s & shingle_sets[i]) >= 0.8 * len(s | shingle_sets[i])}
-        assert got[i].class_id == i // 10 * 10 and got[i].links == len(linked)
+        reached = [j for j in leaders if len(shingle_sets[j] & shingle_sets[i]) >= 0.8 * len(shingle_sets[j] | shingle_sets[i])]
+        want[i] = min(reached, default=i)
+        leaders += [i] if not reached else []
+    got = {r.doc_id: r.class_id for r in op.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == want and len(set(want.values())) < len(rows) / 2
+
+
+def test_near_duplicates_of_nulls_repeats_and_an_empty_table(spark):
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = [(5, text), (5, text), (None, text), (None, "alone"), (3, None), (4, "")]
+    got = [(r.doc_id, r.class_id) for r in op.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted([(5, 5), (5, 5), (None, 5), (None, None), (3, 3), (4, 3)], key=str)
+    assert op.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_shingles_of_short_texts():
-    h, n = op.shingles([b"", b"a b", b"A B", b"a b c d e f"])
+    h, n = shingles([b"", b"a b", b"A B", b"a b c d e f"], 5)
     assert n.tolist() == [0, 1, 1, 2] and h[0] == h[1] and len(np.unique(h)) == 3

@@ -98,3 +98,19 @@ def test_blocks_keep_their_rows_and_the_plan_its_size_in_a_large_table(spark):
     assert got["x"].tolist() == list(range(0, 400_000, 16)) and (got["y"] - got["x"] == 15).all()
     w = op.target_weights({"sa": 360_000, "sb": 40_000})
     assert got["source"].tolist() == [s[1:] for s, _, _, _ in op.schedule({"sa": 22_500, "sb": 2_500}, w)]
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    names = ["position", "_position", "_o", "_p", "block", "slot", "phase", "_s", "_b", "_h", "_r", "row", "key", "_th", "BLOCK2", "a.b"]
+    rows = [(i, f"t{i}", f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(60)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    assert sorted(map(tuple, op.in_mixed_order(df).collect())) == sorted(rows)
+    kept = op.mixed(df)
+    assert {r.position for r in kept.collect()} == set(range(60))
+    assert {(r.doc_id, r["_s"], r["a.b"]) for r in kept.collect()} == {(r[0], r[10], r[18]) for r in rows}
+
+
+def test_null_ids_are_spread_by_their_texts(spark):
+    df = spark.createDataFrame([(None, f"t{i}", "a") for i in range(300)], "doc_id long, text string, source string")
+    got = op.mixed(df).collect()
+    assert sorted(r.position for r in got) == list(range(300)) and len({r.text for r in got}) == 300

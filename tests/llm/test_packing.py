@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from awardlens.llm import packing as p
@@ -58,6 +59,44 @@ def test_repeated_rows_null_ids_clashing_columns_and_empty_table(spark):
     assert p.pieces(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def gapless(got, want):
+    """Every document's pieces are its ids, and every sequence is filled from 0 without overlap."""
+    parts, lines = {}, {}
+    for r in got:
+        parts.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+        lines.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, ids in want.items():
+        assert [x for _, part in sorted(parts[i]) for x in part] == ids
+    assert sorted(lines) == list(range(len(lines)))
+    for k, spans in lines.items():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at == p.WINDOW or k == len(lines) - 1
+
+
+FRAMES = {
+    "plain": lambda d: d,
+    "repartitioned": lambda d: d.repartition(8),
+    "sorted": lambda d: d.orderBy("doc_id"),
+    "joined": lambda d: d.join(d.select("doc_id", F.length("text").alias("n")), "doc_id"),
+    "union": lambda d: d.where("doc_id % 2 = 0").union(d.where("doc_id % 2 = 1")),
+}
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_offsets_hold_whatever_exchanges_a_file_frame_has(spark, tmp_path, frame):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(("alpha", "beta", "gamma,", "d")) for _ in range(rnd.randint(0, 900))), i, "x") for i in range(200)]
+    spark.createDataFrame(rows, SCHEMA + ", split long, place string").repartition(5).write.parquet(f"{tmp_path}/docs")
+    want = {i: plain(t) for i, t, *_ in rows}
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    gapless(p.pieces(FRAMES[frame](docs)).collect(), want)
+    if frame in ("plain", "repartitioned", "sorted"):
+        gapless(p.pieces(FRAMES[frame](docs), place=("_metadata.file_path", "_metadata.file_block_start")).collect(), want)
+
+
 def test_a_full_cache_is_emptied(monkeypatch):
     monkeypatch.setattr(p, "CACHE_WORDS", 3)
     e = p.WordEncoder(p.default_tokenizer())

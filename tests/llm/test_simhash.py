@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from awardlens.llm import simhash
 from awardlens.llm.components import components
+from awardlens.llm.leaders import led
 
 SCHEMA = "doc_id long, text string"
 
@@ -138,6 +139,53 @@ def test_dedup_of_null_and_clashing_ids(spark):
     assert simhash.keep_one_of_each(df.limit(0)).count() == 0
 
 
+def test_dedup_is_the_greedy_choice_by_exact_jaccard_and_keeps_other_columns(spark):
+    rnd = random.Random(21)
+    words = [f"v{i}" for i in range(4000)]
+    texts = []
+    for _ in range(25):
+        base = [rnd.choice(words) for _ in range(200)]
+        texts.append(" ".join(base))
+        for _ in range(rnd.randint(0, 8)):  # of every likeness, and copies of copies
+            base = list(base)
+            for _ in range(rnd.choice((0, 1, 2, 5, 9))):
+                base[rnd.randrange(len(base))] = rnd.choice(words)
+            texts.append(" ".join(base))
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    sets = {i: {tuple(texts[k].split()[j : j + 5]) for j in range(196)} for i, k in enumerate(order)}
+    stay = []
+    for i in sets:
+        if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in stay):
+            stay.append(i)
+    names = ["_th", "_s", "key", "row", "name", "level", "block", "set"]
+    df = spark.createDataFrame([(i, texts[k], *(f"{n}{i}" for n in names)) for i, k in enumerate(order)], ["doc_id", "text", *names])
+    got = simhash.keep_one_of_each(df).collect()
+    assert sorted(r.doc_id for r in got) == stay
+    assert all(r["_th"] == f"_th{r.doc_id}" and r["name"] == f"name{r.doc_id}" for r in got) and got[0].__fields__ == df.columns
+
+
+def test_many_rounds_and_pieces_give_the_same_leaders(spark):
+    rnd = random.Random(5)
+    sets = {f"n{i:03}": sorted(rnd.sample(range(40), 30)) for i in range(120)}
+    want, stay = {}, []
+    for n in sorted(sets):
+        reached = [m for m in stay if len(set(sets[n]) & set(sets[m])) >= 0.75 * len(set(sets[n]) | set(sets[m]))]
+        want[n] = min(reached, default=n)
+        stay += [] if reached else [n]
+    df = spark.createDataFrame([("g", n, s) for n, s in sets.items()], "root string, node string, set array<long>")
+    got = {r.node: r.leader for r in led(df, 0.75, first=2, piece_rows=10).collect()}
+    assert {n for n, m in got.items() if n == m} == set(stay)
+    assert all(m in stay and len(set(sets[n]) & set(sets[m])) >= 0.75 * len(set(sets[n]) | set(sets[m])) for n, m in got.items())
+
+
+def test_long_texts_give_the_fingerprint_of_short_pieces(monkeypatch):
+    text = " ".join(f"w{i % 77}x{i}" for i in range(500)).encode()
+    want = simhash.fingerprint(text, 3)
+    monkeypatch.setattr(simhash, "WORD_BYTES", 50)
+    assert simhash.fingerprint(text, 3) == want
+
+
 def test_components_match_union_find(spark):
     rnd = random.Random(2)
     edges = [(f"{rnd.randrange(300):03}", f"{rnd.randrange(300):03}") for _ in range(220)]
