@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from awardlens.llm import cnn, mixing, packing, quality_rules, simhash
-from awardlens.llm.text import shared_folder
+from awardlens.llm.text import row_of, shared_folder
 
 #: A document stays if the classifier gives it at least this probability.
 KEEP_SCORE = 0.3
@@ -23,7 +23,7 @@ KEEP_SCORE = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the latest policy."""
-    judged = quality_rules.with_verdict(quality_rules.ledger(docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))))
+    judged = quality_rules.with_verdict(quality_rules.ledger(docs.select(row_of(docs).alias("row"), F.col("text"))))
     return judged.where("kept").select("row.*")
 
 
@@ -32,12 +32,11 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     everything = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = cnn.train(everything, labels)
-    score = "_quality_score"
-    return cnn.scored(docs, net, score=score).where(F.col(score) >= KEEP_SCORE).select(*docs.columns)
+    return cnn.scored(docs.select(row_of(docs).alias("row"), "text"), net).where(F.col("score") >= KEEP_SCORE).select("row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
+    """One document, the first by id, of each group of verified near copies."""
     return simhash.keep_one_of_each(docs)
 
 
@@ -47,8 +46,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences with their ids, in mixed order."""
-    return packing.pieces(docs)
+    """Pieces of training sequences with their ids, in mixed order: that of the written files."""
+    return packing.pieces(docs, place=("_metadata.file_path", "_metadata.file_block_start"))
 
 
 STAGES = [
