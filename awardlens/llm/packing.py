@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import BROADCAST_ROWS, byte_column, stored
+from awardlens.llm.text import BROADCAST_ROWS, byte_column, stored, word_pieces
 
 WINDOW = 2048
 END_ID = 1
-#: Words, and units of words, kept by a worker; a full cache is emptied, and words go with their task.
-CACHE_WORDS, CACHE_UNITS = 300_000, 150_000
+#: Units of words, and words of rarer characters, kept by a worker; a full cache is emptied, and words go with their task.
+CACHE_UNITS, CACHE_WORDS = 400_000, 100_000
 LONG_WORD = 100
 
 _STATE: dict = {}
@@ -46,6 +46,8 @@ _STATE: dict = {}
 _LETTERS = rb"(?:[a-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 _OTHER = re.compile(rb"'|[\xc4-\xff]|\xc2|\xc3[\x97\xb7]")
 _UNIT = re.compile(_LETTERS + rb"|[^a-z\x80-\xff]+")
+#: The units of a whole text that has nothing of _OTHER.
+_RUN = re.compile(rb"[a-z\xc3\x80-\xbf]+|[^a-z\x80-\xff \t-\r]+")
 #: A special token's start, or combining marks, which may join with a capital in another way.
 _AS_IS = re.compile(rb"<\||\xcc|\xcd")
 
@@ -76,11 +78,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Units(dict):
+    """Ids by unit; those of a unit that is not there yet are found by `make`."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit: bytes) -> bytes:
+        found = self.make(unit)
+        if len(self) >= CACHE_UNITS:
+            self.clear()
+        if len(unit) <= LONG_WORD:
+            self[unit] = found
+        return found
+
+
 class WordEncoder:
-    """Ids of a text through caches of its words' and their units' ids.
+    """Ids of a text through a cache of its units' ids.
 
-    A word is cut between plain letters and other ASCII characters, which the tokenizer never
-    merges, so that most units are frequent.
+    A unit is a run of plain letters or of other ASCII characters; the tokenizer never merges over
+    their borders, so most units are frequent. Texts with apostrophes or rarer characters are cut
+    in words first, and words without those in units.
     """
 
     def __init__(self, path: str):
@@ -91,7 +110,7 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.cache: dict[bytes, bytes] = {}
-        self.units: dict[bytes, bytes] = {}
+        self.units = _Units(self.unit)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -101,27 +120,27 @@ class WordEncoder:
 
     def unit(self, unit: bytes) -> bytes:
         """Ids of a run of plain letters, or of a run of other ASCII characters."""
-        if (found := self.units.get(unit)) is None:
-            if unit[0] >= 0x61 and unit[0] != 0x7B and unit[0] not in b"|}~\x7f":
-                shown = unit.decode().lower().encode()
-                text = shown.decode() if shown.isascii() else "".join(map(_SHOWN.__getitem__, shown))
-                ids = [t.id for t in self.tokenizer.model.tokenize(text)]  # one run, so no splitting is left to do
-            else:
-                ids = self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids
-            found = array(self.code, ids).tobytes()
-            if len(self.units) >= CACHE_UNITS:
-                self.units.clear()
-            if len(unit) <= LONG_WORD:
-                self.units[unit] = found
-        return found
+        if unit[0] >= 0x80 or 0x61 <= unit[0] <= 0x7A:
+            shown = unit.decode().lower()
+            text = shown if shown.isascii() else "".join(map(_SHOWN.__getitem__, shown.encode()))
+            ids = [t.id for t in self.tokenizer.model.tokenize(text)]  # one run, so no splitting is left to do
+        else:
+            ids = self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
 
     def word(self, word: bytes) -> bytes:
         """Ids of a word: by its units, or whole if it has an apostrophe or rarer characters."""
         if _OTHER.search(word) or _AS_IS.search(word) or word != word.lower():
             return array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.unit, _UNIT.findall(word)))
+        return b"".join(map(self.units.__getitem__, _UNIT.findall(word)))
 
     def encode(self, text: bytes) -> bytes:
+        """Ids of a text, a piece of its words at a time."""
+        return b"".join(map(self.piece, word_pieces(text)))
+
+    def piece(self, text: bytes) -> bytes:
+        if not (_OTHER.search(text) or _AS_IS.search(text)):
+            return b"".join(map(self.units.__getitem__, _RUN.findall(text.lower())))
         words = words_of(text)
         missing = set(words).difference(self.cache)
         self.cache.update((w, self.word(w)) for w in missing)

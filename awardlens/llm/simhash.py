@@ -15,7 +15,6 @@ gives an empty result; keep_one_of_each carries all other columns along, whateve
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
@@ -28,32 +27,17 @@ from pyspark.sql import functions as F
 
 from awardlens.llm.components import components
 from awardlens.llm.leaders import led
-from awardlens.llm.text import byte_column, mix, row_of, shingles, slices, stored
+from awardlens.llm.text import byte_column, mix, row_of, shingles, slices, stored, word_pieces
 
+#: Hashes whose bits are counted at a time.
+HELD = 1 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-_BLANK = re.compile(rb"[ \t-\r]")
-#: Bytes of a text whose words are held as objects at a time.
-WORD_BYTES = 1 << 20
-
-
-def _word_pieces(text: bytes) -> Iterator[bytes]:
-    """The text in pieces of about WORD_BYTES, cut at white space."""
-    at = 0
-    while len(text) - at > WORD_BYTES:
-        cut = _BLANK.search(text, at + WORD_BYTES)
-        if cut is None:
-            break
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:] if at else text
-
-
 def shingle_hashes(text: bytes, size: int, seed: int = 42) -> np.ndarray:
     """XXH64 of every shingle of `size` space-joined lower-cased words, repeats included."""
     parts, words = [], []
-    for piece in _word_pieces(text):
+    for piece in word_pieces(text):
         words += piece.lower().split()
         if len(words) >= size:
             joined = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
@@ -71,8 +55,8 @@ def majority(hashes: np.ndarray) -> int:
         return 0
     if n > 400:
         ones = 0
-        for at in range(0, n, WORD_BYTES):
-            parts = hashes[at : at + WORD_BYTES].astype(">u8").view(np.uint8).reshape(-1, 8)
+        for at in range(0, n, HELD):
+            parts = hashes[at : at + HELD].astype(">u8").view(np.uint8).reshape(-1, 8)
             ones = ones + np.concatenate([np.bincount(parts[:, k], minlength=256) @ _BITS for k in range(8)])
     else:
         ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(0, dtype=np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +63,23 @@ PIECE = 1 << 18
 _UP, _DOWN = _powers(_BASE, PIECE + 1), _powers(_INV, PIECE + 1)
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+#: Bytes of a text whose words are held as objects at a time.
+WORD_BYTES = 1 << 20
+
+
+def word_pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about WORD_BYTES, cut at white space."""
+    at = 0
+    while len(text) - at > WORD_BYTES:
+        cut = _BLANK.search(text, at + WORD_BYTES)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all white-space separated words, and the words of each text.
 

@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -7,13 +8,19 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from awardlens.llm import packing as p
+from awardlens.llm import text as text_module
 
 SCHEMA = "doc_id long, text string"
 ODD = ["DON'T can't 's 'S it's,ok'll", "é, É! ÉÉ×÷ naïve… “quoted”! «x»", "H̱ é É Å", "x²3 ½ 12,345.67", "<|startoftext|>a<|ENDOFTEXT|> B", "İstanbul ΣΑΣ ς ﬁ", "a\x1cb\x85c d　e", "日本語、テスト。", "łódź,ŁÓDŹ ñandú?¿Qué", "\x00\x01a\x7fb", "𝔘𝔫𝔦 😀!😀a", "a-b_c|d&&&%%%***", "WORD''s '", "ÀÖØöøÿ,×a÷b"]
 
 
+@lru_cache
+def tokenizer():
+    return Tokenizer.from_file(p.default_tokenizer())
+
+
 def plain(text):
-    return Tokenizer.from_file(p.default_tokenizer()).encode(text or "", add_special_tokens=False).ids + [1]
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def texts():
@@ -101,7 +108,17 @@ def test_a_full_cache_is_emptied(monkeypatch):
     monkeypatch.setattr(p, "CACHE_WORDS", 3)
     e = p.WordEncoder(p.default_tokenizer())
     assert np.frombuffer(e.encode(b"one two three four five six"), dtype=e.kind).tolist() == plain("one two three four five six")[:-1]
-    assert not e.cache
+    monkeypatch.setattr(p, "CACHE_UNITS", 3)
+    e = p.WordEncoder(p.default_tokenizer())
+    assert np.frombuffer(e.encode(b"one don't two's three four five six"), dtype=e.kind).tolist() == plain("one don't two's three four five six")[:-1]
+    assert len(e.units) <= 3 and len(e.cache) <= 3
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    text = " ".join(["plain, words", "Don't", "é×", "<|startoftext|>", "ÉA"][i % 5] for i in range(300))
+    monkeypatch.setattr(text_module, "WORD_BYTES", 40)
+    e = p.WordEncoder(p.default_tokenizer())
+    assert np.frombuffer(e.encode(text.encode()), dtype=e.kind).tolist() == plain(text)[:-1]
 
 
 @pytest.mark.parametrize(("used", "want"), [(2048, 2048), (1024, 1024), (1, 1), (3, 2048), (1500, 2048)])

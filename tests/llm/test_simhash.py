@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from awardlens.llm import simhash
+from awardlens.llm import text as text_module
 from awardlens.llm.components import components
 from awardlens.llm.leaders import led
 
@@ -182,7 +183,7 @@ def test_many_rounds_and_pieces_give_the_same_leaders(spark):
 def test_long_texts_give_the_fingerprint_of_short_pieces(monkeypatch):
     text = " ".join(f"w{i % 77}x{i}" for i in range(500)).encode()
     want = simhash.fingerprint(text, 3)
-    monkeypatch.setattr(simhash, "WORD_BYTES", 50)
+    monkeypatch.setattr(text_module, "WORD_BYTES", 50)
     assert simhash.fingerprint(text, 3) == want
 
 
