@@ -1,7 +1,11 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of BLOCK_WORDS words (half overlapping) of a longer line. A block
-matches a template when it contains at least `threshold` of the template's distinct words.
+A block is a window of words, whatever the lines: for each template the window has the least power
+of two that is twice the template's words or more, and windows overlap by half, so a whole place of
+the template always lies in one block. A block matches a template when it contains at least
+`threshold` of the template's distinct words, all of its distinguishing words (`needs`), and none of
+the words that tell a sibling license (`bars`). So a notice of one license never counts for another
+whose name alone differs.
 
 The join orders words by their count in the whole corpus, rarest first. If block and template
 share `need` words, then they share a word among the template's first `size - need + 1` words,
@@ -21,89 +25,147 @@ stay null; an empty table gives an empty result; other input columns are ignored
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import byte_column
+from awardlens.llm.text import byte_column, word_pieces
 
 #: Fixed phrases of the base scan and their labels.
 PHRASES = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserved": "reserved"}
 
-#: Notices by label; public wording of common licenses.
+_LONG_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
+copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_LONG_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_LONG_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+_LONG_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions."""
+_LONG_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means."""
+_LONG_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed
+to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GNU_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by
+the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in
+the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU {} for more details."""
+_NOT_GPL = "affero lesser library"
+_NOT_BY = "sa nc nd sharealike noncommercial noderivatives noderivs"
+
+
+def _gnu(name: str, version: str) -> str:
+    return _GNU_NOTICE.format(name, version, name)
+
+
+#: Label, notice (public wording of common licenses), words that it needs, words that bar it.
 TEMPLATES = (
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("agpl", "licensed under the GNU Affero General Public License"),
-    ("mpl", "subject to the terms of the Mozilla Public License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "Licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc0", "CC0 1.0 Universal public domain dedication"),
-    ("public-domain", "released into the public domain"),
-    ("reserved", "All rights reserved"),
+    ("apache", "Licensed under the Apache License, Version 2.0", "apache", ""),
+    ("apache", _LONG_APACHE, "apache", ""),
+    ("mit", "Released under the MIT License", "mit", ""),
+    ("mit", "Licensed under the MIT License", "mit", ""),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "granted charge obtaining", ""),
+    ("mit", _LONG_MIT, "granted charge obtaining", ""),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution forms", ""),
+    ("bsd", _LONG_BSD, "redistribution forms", ""),
+    ("isc", _LONG_ISC, "fee granted", "charge"),
+    ("zlib", _LONG_ZLIB, "alter freely", ""),
+    ("unlicense", _LONG_UNLICENSE, "unencumbered", ""),
+    ("gpl", "licensed under the GNU General Public License", "gnu general", _NOT_GPL),
+    ("gpl", "under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general", _NOT_GPL),
+    ("gpl", _gnu("General Public License", "3"), "gnu general", _NOT_GPL),
+    ("lgpl", "licensed under the GNU Lesser General Public License", "gnu lesser", "affero"),
+    ("lgpl", _gnu("Lesser General Public License", "3"), "gnu lesser", "affero"),
+    ("agpl", "licensed under the GNU Affero General Public License", "gnu affero", "lesser"),
+    ("agpl", _gnu("Affero General Public License", "3"), "gnu affero", "lesser"),
+    ("mpl", "subject to the terms of the Mozilla Public License", "mozilla", ""),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "mpl mozilla", ""),
+    ("cc-by", "Licensed under CC BY 4.0", "cc by", _NOT_BY),
+    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution", _NOT_BY),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", "cc by sa", "nc nd"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "creative commons sharealike", "noncommercial noderivatives"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc by nc", "sa nd"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "creative commons noncommercial", "sharealike noderivatives"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0", "cc by nd", "sa nc"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0", "cc by nc sa", "nd"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "creative commons noncommercial sharealike", ""),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0", "cc by nc nd", "sa"),
+    ("cc0", "CC0 1.0 Universal public domain dedication", "cc0", ""),
+    ("public-domain", "released into the public domain", "public domain", "unencumbered"),
+    ("reserved", "All rights reserved", "all rights reserved", ""),
 )
 
-BLOCK_WORDS = 64
+_KEEP = bytes(c if chr(c).isdigit() or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
-_KEEP = bytes(c if chr(c).isdigit() or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x0A if c == 0x0A else 0x20 for c in range(256))
 
+@dataclass(frozen=True)
+class Template:
+    """A notice: its distinct words, its blocks' words, and the words that it needs or that bar it."""
 
-def words_by_line(text: bytes) -> list[list[bytes]]:
-    """Words of each line: runs of lower-cased letters, digits and bytes of other characters."""
-    return [line.split() for line in text.translate(_KEEP).split(b"\n")]
+    number: int
+    label: str
+    words: frozenset[bytes]
+    window: int
+    needs: frozenset[bytes]
+    bars: frozenset[bytes]
 
+    def need(self, threshold: float) -> int:
+        return math.ceil(threshold * len(self.words) - 1e-9)
 
-def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
-    """Start word and label of every place where a phrase's words stand consecutively."""
-    line = b" " + b" ".join(words) + b" "
-    found = []
-    for phrase, label in PHRASES.items():
-        at = line.find(b" " + phrase + b" ")
-        while at >= 0:
-            found.append((line.count(b" ", 0, at), label))
-            at = line.find(b" " + phrase + b" ", at + 1)
-    return found
 
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of lower-cased letters, digits and bytes of other characters."""
+    return text.translate(_KEEP).split()
 
-def blocks(lines: list[list[bytes]]) -> Iterator[tuple[int, list[bytes]]]:
-    """First word's number and words of every block."""
-    first = 0
-    for words in lines:
-        for at in range(0, max(1, len(words) - BLOCK_WORDS // 2), BLOCK_WORDS // 2):
-            if words:
-                yield first + at, words[at : at + BLOCK_WORDS]
-        first += len(words)
 
+def known_templates(templates=TEMPLATES) -> list[Template]:
+    out = []
+    for i, (label, text, needs, bars) in enumerate(templates):
+        words = words_of(text.encode())
+        out.append(Template(i, label, frozenset(words), 1 << max(1, (2 * len(words) - 1).bit_length()), frozenset(words_of(needs.encode())), frozenset(words_of(bars.encode()))))
+    return out
 
-def template_words(templates=TEMPLATES) -> list[tuple[int, str, frozenset[bytes]]]:
-    """Number, label and distinct words of every template."""
-    return [(i, label, frozenset(w for line in words_by_line(t.encode()) for w in line)) for i, (label, t) in enumerate(templates)]
 
-
-def _need(size: int, threshold: float) -> int:
-    return math.ceil(threshold * size - 1e-9)
+def starts(n: int, window: int) -> range:
+    """First words of the blocks of n words: half a window apart; the last one reaches the end."""
+    return range(0, max(1, n - window // 2), window // 2)
 
 
 def word_order(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> dict[bytes, int]:
     """Rank of every template word by its count over all texts, rarest first, ties by the word."""
-    vocabulary = frozenset().union(*(w for _, _, w in template_words(templates)))
+    vocabulary = frozenset().union(*(t.words | t.needs | t.bars for t in known_templates(templates)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             for t in byte_column(batch, "t"):
-                total.update(filter(vocabulary.__contains__, t.translate(_KEEP).split()))
+                for piece in word_pieces(t):
+                    total.update(filter(vocabulary.__contains__, words_of(piece)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     counts = docs.select(F.col(text).alias("t")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -111,54 +173,86 @@ def word_order(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> dict
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
 
 
+def read(text: bytes, order: dict[bytes, int]) -> tuple[int, list[tuple[int, str]], list[int], list[int]]:
+    """A text's words, base places, and the places and ranks of its template words."""
+    n, places, at, ranks = 0, [], [], []
+    longest = max(len(p.split()) for p in PHRASES) - 1
+    tail: list[bytes] = []
+    for piece in word_pieces(text):
+        words = words_of(piece)
+        for i, w in enumerate(words):
+            if w in order:
+                at.append(n + i)
+                ranks.append(order[w])
+        line = b" " + b" ".join([*tail, *words]) + b" "
+        for phrase, label in PHRASES.items():
+            size, seen, word, found = len(phrase.split()), 0, n - len(tail), line.find(b" " + phrase + b" ")
+            while found >= 0:
+                word, seen = word + line.count(b" ", seen, found), found
+                if word + size > n:  # else it was found in the piece before
+                    places.append((word, label))
+                found = line.find(b" " + phrase + b" ", found + 1)
+        n += len(words)
+        tail = [*tail, *words][-longest:]
+    return n, places, at, ranks
+
+
+def candidate_blocks(n: int, at: list[int], ranks: list[int], window: int, wanted: frozenset[int], least: int) -> Iterator[dict]:
+    """Blocks with `least` template words and a wanted one in their prefix: once for each of those."""
+    half = window // 2
+    count = len(starts(n, window))
+    near = {b for p, r in zip(at, ranks, strict=True) if r in wanted for b in (p // half - 1, p // half) if 0 <= b < count}
+    for b in sorted(near):
+        own = sorted(set(ranks[bisect_left(at, b * half) : bisect_left(at, b * half + window)]))
+        for k, r in enumerate(own[: max(0, len(own) - least + 1)]):
+            if r in wanted:
+                yield {"rank": r, "at": k, "window": window, "first_word": b * half, "ranks": own}
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """One row for each input row: its words, base places, and the matching blocks.
 
-    `doc_id, n_words, places array<struct<word, label>>, matches array<struct<label, first_word,
+    `doc_id, n_words, places array<struct<word, label>>, matches array<struct<label, template, first_word,
     containment>>`. matches holds every block that contains `threshold` of a template.
     """
     spark = docs.sparkSession
-    known = template_words(templates)
+    known = known_templates(templates)
     order = word_order(docs, templates, text)
-    least = min(_need(len(w), threshold) for _, _, w in known)
     prefix = []
-    for i, label, w in known:
-        ranked, need = sorted(order[x] for x in w), _need(len(w), threshold)
-        prefix += [(r, i, label, at, len(ranked), need, ranked) for at, r in enumerate(ranked[: len(ranked) - need + 1])]
-    wanted = frozenset(p[0] for p in prefix)
+    for t in known:
+        ranked, need = sorted(order[x] for x in t.words), t.need(threshold)
+        more = [sorted(order[x] for x in w) for w in (t.needs, t.bars)]
+        prefix += [(r, t.window, t.number, t.label, at, len(ranked), need, ranked, *more) for at, r in enumerate(ranked[: len(ranked) - need + 1])]
+    wanted = {w: frozenset(p[0] for p in prefix if p[1] == w) for w in {t.window for t in known}}
+    least = {w: min(t.need(threshold) for t in known if t.window == w) for w in wanted}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, n_words, places, found = [], [], [], []
             for t in byte_column(batch, "t"):
-                lines = words_by_line(t)
-                words = [w for line in lines for w in line]
-                candidates = []
-                for first, block in blocks(lines):
-                    ranks = sorted(order[w] for w in order.keys() & block)
-                    if len(ranks) >= least and not wanted.isdisjoint(ranks):
-                        candidates += [{"rank": r, "at": k, "first_word": first, "ranks": ranks} for k, r in enumerate(ranks[: len(ranks) - least + 1]) if r in wanted]
+                n, base, at, ranks = read(t, order)
                 rows.append(row)
-                n_words.append(len(words))
-                places.append([{"word": a, "label": b} for a, b in phrase_places(words)])
-                found.append(candidates)
+                n_words.append(n)
+                places.append([{"word": a, "label": b} for a, b in base])
+                found.append([c for w in wanted for c in candidate_blocks(n, at, ranks, w, wanted[w], least[w])] if at else [])
                 row += 1
             arrays = [pa.array(rows, pa.int64()), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(places, places_type), pa.array(found, found_type)]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_words", "places", "found"])
 
     places_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
-    found_type = pa.list_(pa.struct([("rank", pa.int32()), ("at", pa.int32()), ("first_word", pa.int64()), ("ranks", pa.list_(pa.int32()))]))
-    schema = "row long, doc_id long, n_words long, places array<struct<word: long, label: string>>, found array<struct<rank: int, at: int, first_word: long, ranks: array<int>>>"
+    found_type = pa.list_(pa.struct([("rank", pa.int32()), ("at", pa.int32()), ("window", pa.int32()), ("first_word", pa.int64()), ("ranks", pa.list_(pa.int32()))]))
+    schema = "row long, doc_id long, n_words long, places array<struct<word: long, label: string>>, found array<struct<rank: int, at: int, window: int, first_word: long, ranks: array<int>>>"
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, schema)
-    table = F.broadcast(spark.createDataFrame(prefix, "rank int, template int, label string, t_at int, t_size int, need int, t_ranks array<int>"))
+    table = F.broadcast(spark.createDataFrame(prefix, "rank int, t_window int, template int, label string, t_at int, t_size int, need int, t_ranks array<int>, needs array<int>, bars array<int>"))
     each = scanned.select("row", "doc_id", "n_words", "places", F.explode_outer("found").alias("c"))
     size = F.size("c.ranks")
     allowed = (size >= F.col("need")) & (F.col("c.at") <= size - F.col("need"))  # length and prefix
     left = F.least(F.col("t_size") - F.col("t_at"), size - F.col("c.at"))
-    joined = each.join(table, (F.col("c.rank") == F.col("rank")) & allowed & (left >= F.col("need")), "left")
+    joined = each.join(table, (F.col("c.rank") == F.col("rank")) & (F.col("c.window") == F.col("t_window")) & allowed & (left >= F.col("need")), "left")
     overlap = F.size(F.array_intersect("c.ranks", "t_ranks"))
-    match = F.when(overlap >= F.col("need"), F.struct("label", F.col("c.first_word").alias("first_word"), (overlap / F.col("t_size")).alias("containment")))
+    own = (F.size(F.array_except("needs", "c.ranks")) == 0) & ~F.arrays_overlap("bars", "c.ranks")
+    match = F.when((overlap >= F.col("need")) & own, F.struct("label", "template", F.col("c.first_word").alias("first_word"), (overlap / F.col("t_size")).alias("containment")))
     return (
         joined.select("row", "doc_id", "n_words", "places", match.alias("m"))
         .groupBy("row")
@@ -186,18 +280,21 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def oracle(templates=TEMPLATES, threshold: float = 0.8) -> str:
-    """DuckDB SQL for the digest of a scan of `documents`."""
+    """DuckDB SQL for the digest of a scan of `documents`: all blocks of all sizes against all templates."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    listed = lambda w: "[{}]::VARCHAR[]".format(", ".join(f"'{x.decode()}'" for x in sorted(w)))
     phrases = ", ".join("([{}], '{}')".format(", ".join(f"'{w.decode()}'" for w in p.split()), label) for p, label in PHRASES.items())
-    known = ", ".join("({}, '{}', [{}], {})".format(i, label, ", ".join(f"'{x.decode()}'" for x in sorted(w)), _need(len(w), threshold)) for i, label, w in template_words(templates))
+    known = ", ".join(f"('{t.label}', {t.window}, {listed(t.words)}, {listed(t.needs)}, {listed(t.bars)}, {t.need(threshold)})" for t in known_templates(templates))
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({low}, '{word}') AS w FROM documents),
-phrases(p, label) AS (VALUES {phrases}), known(i, label, t, need) AS (VALUES {known}),
+phrases(p, label) AS (VALUES {phrases}), known(label, size, t, needs, bars, need) AS (VALUES {known}),
 places AS (SELECT doc_id, label, pos FROM (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM d), phrases WHERE w[pos + 1:pos + len(p)] = p),
-lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split({low}, chr(10))), '{word}') AS w FROM documents),
-blocks AS (SELECT doc_id, list_distinct(w[pos + 1:pos + {BLOCK_WORDS}]) AS b FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {BLOCK_WORDS // 2}), {BLOCK_WORDS // 2})) AS pos FROM lines WHERE len(w) > 0)),
-found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, known WHERE len(list_intersect(b, t)) >= need),
+sizes AS (SELECT DISTINCT size FROM known),
+blocks AS (SELECT doc_id, size, list_distinct(w[pos + 1:pos + size]) AS b
+           FROM (SELECT doc_id, size, w, unnest(range(0, greatest(1, len(w) - size // 2), size // 2)) AS pos FROM d, sizes WHERE len(w) > 0)),
+found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks JOIN known USING (size)
+          WHERE list_has_all(b, needs) AND NOT list_has_any(b, bars) AND len(list_intersect(b, t)) >= need),
 a AS (SELECT doc_id, count(*) AS n, min(pos) AS x, max(pos) AS y, list(DISTINCT label) AS ls FROM places GROUP BY 1),
 m AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS ls FROM found GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(x AS BIGINT) AS first_word, CAST(y AS BIGINT) AS last_word,

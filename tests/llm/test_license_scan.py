@@ -3,6 +3,7 @@ import random
 import re
 
 from awardlens.llm import license_scan as op
+from awardlens.llm import text as text_module
 
 SCHEMA = "doc_id long, text string"
 
@@ -21,17 +22,18 @@ def brute_base(text):
 
 
 def brute_labels(text, threshold=0.8):
-    labels, best = set(), 0.0
-    for line in re.split("\n", text or ""):
-        w = words(line)
-        for at in range(0, max(1, len(w) - op.BLOCK_WORDS // 2), op.BLOCK_WORDS // 2):
-            block = set(w[at : at + op.BLOCK_WORDS])
-            for label, t in op.TEMPLATES:
-                size = len(set(words(t)))
-                share = len(set(words(t)) & block) / size
-                if len(set(words(t)) & block) >= math.ceil(threshold * size - 1e-9):
-                    labels.add(label)
-                    best = max(best, share)
+    labels, best, w = set(), 0.0, words(text)
+    for label, notice, needs, bars in op.TEMPLATES:
+        t = words(notice)
+        window = 2
+        while window < 2 * len(t):
+            window *= 2
+        for at in range(0, max(1, len(w) - window // 2), window // 2):
+            block = set(w[at : at + window])
+            share = len(set(t) & block) / len(set(t))
+            if len(set(t) & block) >= math.ceil(threshold * len(set(t)) - 1e-9) and block >= set(words(needs)) and not block & set(words(bars)):
+                labels.add(label)
+                best = max(best, share)
     return labels, best
 
 
@@ -39,7 +41,7 @@ def texts():
     rnd = random.Random(8)
     filler = "of the work in and to license version under software é straße 12 a rights public".split()
     out = [None, "", " ,. ", "CC-BY 4.0, cc by; CC BY\nall\nrights reserved", "caféCC BY", "All rights reserved. ALL RIGHTS RESERVED", "GNU general  public-license v3"]
-    for _, t in op.TEMPLATES:
+    for _, t, *_ in op.TEMPLATES:
         w = t.split()
         for drop in (0, 1, 2, 3):
             kept = [x for i, x in enumerate(w) if i not in set(rnd.sample(range(len(w)), min(drop, len(w) - 1)))]
@@ -62,6 +64,52 @@ def test_scan_matches_brute_force(spark):
         assert abs(r.score - (1.0 if base[1] else best)) < 1e-9
 
 
+NOTICES = {
+    "This work is licensed under the GNU General Public License": "gpl",
+    "This file is licensed under the GNU General Public License, version 2 or later.": "gpl",
+    "The library is licensed under the GNU Lesser General Public License, version 2.1": "lgpl",
+    "The server is licensed under the GNU Affero General Public License v3": "agpl",
+    "Licensed under CC BY 4.0": "cc-by",
+    "The text is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "Licensed under CC BY-SA 4.0": "cc-by-sa",
+    "licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "Licensed under CC BY-NC 4.0": "cc-by-nc",
+    "licensed under a Creative Commons Attribution-NonCommercial 4.0\nInternational License": "cc-by-nc",
+    "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa",
+    "released under the license": "",
+    "subject to the terms of the Apache Public License": "",
+    "subject to the terms of the Mozilla Public License, v. 2.0": "mpl",
+    "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this\nsoftware and associated documentation files": "mit",
+    "Released under the MIT\nLicense.": "mit",
+    "we were all granted the right to use the reserved seats": "",
+}
+
+
+def test_each_notice_gives_its_own_label_alone(spark):
+    filler = "plain prose of no license stands here and goes on for a while ".split()
+    rows = [(2 * i, t) for i, t in enumerate(NOTICES)] + [(2 * i + 1, " ".join(filler * 9 + [t] + filler * 30)) for i, t in enumerate(NOTICES)]
+    found = op.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    for r in found:
+        t, label = list(NOTICES.items())[r.doc_id // 2]
+        assert {m.label for m in r.matches} == set(filter(None, [label])), (t, r.matches)
+
+
+def test_whole_license_texts_are_found_wherever_they_stand(spark):
+    filler = ("word " * 7).split()
+    long = [(label, text) for label, text, *_ in op.TEMPLATES if len(text.split()) > 60]
+    rows = [(i * 10 + k, " ".join(filler * k * 5 + text.split() + filler * 90)) for i, (_, text) in enumerate(long) for k in range(5)]
+    for r in op.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert long[r.doc_id // 10][0] in {m.label for m in r.matches if m.containment == 1.0}
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    text = "plain CC BY text, All rights\nreserved. General public license! " * 40
+    order = {w: i for i, w in enumerate((b"cc", b"public", b"rights"))}
+    want = op.read(text.encode(), order)
+    monkeypatch.setattr(text_module, "WORD_BYTES", 30)
+    assert [*map(sorted, op.read(text.encode(), order)[1:])] == [*map(sorted, want[1:])] and op.read(text.encode(), order)[0] == want[0]
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "All rights reserved", 1), (1, "All rights reserved", 1), (None, "x", 2)], "doc_id long, text string, row int")
     got = op.digest(op.scan(df)).collect()
