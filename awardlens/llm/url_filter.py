@@ -1,10 +1,13 @@
 """URL filter: a blocked Bloom filter passes possible hits to an exact hash join with the list.
 
-A listed entry is a canonical host and a path: it fits the host and all its subdomains where the
-path starts with the entry's path. A URL's canonical keys are its host's suffixes with its path's
-beginnings (of the lengths that listed paths have). All keys probe the Bloom filter; the few
-that pass are joined with the list by equality, which removes the false positives. The longest
-entry that fits decides.
+A listed entry is a host and a path: it fits the host and all its subdomains where the path starts
+with the entry's path. Entries of rank 0 are of canonical URLs: for them a URL loses user and
+port, dots at the host's end and percent escapes, and an empty path is `/`; entries of a higher rank
+are compared with host and path as they stand. A URL's keys are its host's suffixes with its path's
+beginnings, of the numbers of labels and the lengths that the list has, so their number is bounded
+by the list however long a URL is. All keys probe the Bloom filter; the few that pass are joined with
+the list by equality, which removes the false positives. The longest entry that fits decides. The
+list is any table of `host, path, verdict`.
 
 A block of the Bloom filter is one 64-byte line: a key's hash picks the line and `PROBES` bits in
 it. Its size follows the list up to `max_bits`; beyond, more keys pass and the join still decides.
@@ -16,7 +19,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -27,6 +32,8 @@ from awardlens.llm.text import word_hashes
 
 LINE_BITS = 512
 PROBES = 6
+#: Parts that the rows of one URL are joined in.
+SALTS = 64
 
 #: The rules that the URL query fixes, then sites listed as unwanted: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -88,10 +95,17 @@ def bloom_lines(listed: DataFrame, bits_per_key: int = 16, max_bits: int = 1 <<
     return out
 
 
+def listed(entries: DataFrame, rank: int = 0) -> DataFrame:
+    """A list frame from any table of `host, path, verdict`. Entries of a higher rank come first; nulls are left out."""
+    e = entries.select(F.lower("host").alias("host"), "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL")
+    key = F.concat(F.lit(f"{rank}|"), "host", F.lit("|"), "path")
+    rule = F.concat("host", "path")
+    return e.select(key.alias("key"), rule.alias("rule"), "verdict", F.lit(rank).alias("rank"), F.length(rule).alias("length"), F.size(F.split("host", "\\.")).alias("labels"), F.length("path").alias("path_length"))
+
+
 def listed_urls(spark, entries, rank: int = 0) -> DataFrame:
-    """A list frame from (host, path, verdict) entries. Entries of a higher rank come first."""
-    rows = [(h + "|" + p, h + p, v, rank, len(h) + len(p), len(p)) for h, p, v in entries]
-    return spark.createDataFrame(rows, "key string, rule string, verdict string, rank int, length int, path_length int")
+    """The same from (host, path, verdict) tuples."""
+    return listed(spark.createDataFrame(list(entries), "host string, path string, verdict string"), rank)
 
 
 def default_list(spark) -> DataFrame:
@@ -100,13 +114,31 @@ def default_list(spark) -> DataFrame:
     return listed_urls(spark, RULES, 1).unionByName(listed_urls(spark, sites))
 
 
+def canonical(host: str, path: str) -> tuple[str, str]:
+    """Host without user, port and final dots; path without percent escapes, never empty."""
+    return re.sub(r":\d*\Z", "", host.rpartition("@")[2]).rstrip("."), unquote(path) or "/"
+
+
+def keys_of(host: str, path: str, shapes: dict[int, tuple[list[int], list[int]]]) -> Iterator[str]:
+    """The keys that a URL could have in a list of such numbers of labels and path lengths by rank."""
+    for rank, (labels, lengths) in shapes.items():
+        h, p = (host, path) if rank else canonical(host, path)
+        parts = h.rsplit(".", max(labels, default=0))
+        for n in labels:
+            if n <= len(parts):
+                suffix = ".".join(parts[len(parts) - n :])
+                yield from (f"{rank}|{suffix}|{p[:k]}" for k in lengths if k <= len(p))
+
+
 def judged(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
     """`page_id, host, path, rule, rank, verdict` for every row.
 
     The entry of the highest rank that fits decides, of several the longest.
     """
     spark = pages.sparkSession
-    lengths = sorted(r.path_length for r in listed.select("path_length").distinct().collect())  # path lengths are bounded by a URL's
+    shapes: dict[int, tuple[list[int], list[int]]] = {}
+    for r in listed.groupBy("rank").agg(F.sort_array(F.collect_set("labels")).alias("labels"), F.sort_array(F.collect_set("path_length")).alias("lengths")).collect():  # a row per rank
+        shapes[r["rank"]] = (list(r.labels), list(r.lengths))
     filter_lines = spark.sparkContext.broadcast(bloom_lines(listed))
 
     def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,27 +146,23 @@ def judged(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataF
         for pdf in frames:
             keys, owner = [], []
             for i, (host, path) in enumerate(zip(pdf["host"], pdf["path"], strict=True)):
-                labels = host.split(".")
-                starts = [path[:n] for n in lengths if n <= len(path)]
-                for k in range(len(labels)):
-                    suffix = ".".join(labels[k:])
-                    for s in starts:
-                        keys.append(f"{suffix}|{s}")
-                        owner.append(i)
+                own = list(keys_of(host, path, shapes))
+                keys += own
+                owner += [i] * len(own)
             line, masks = _bits(_hash(keys), len(held))
             passed = np.flatnonzero(((held[line] & masks) == masks).all(1))
-            found: list[list[str]] = [[] for _ in range(len(pdf))]
-            for k in passed:
-                found[owner[k]].append(keys[k])
-            yield pd.DataFrame({"host": pdf["host"], "path": pdf["path"], "keys": found})
+            at = [owner[k] for k in passed]
+            yield pd.DataFrame({"host": pdf["host"].to_numpy()[at], "path": pdf["path"].to_numpy()[at], "key": [keys[k] for k in passed]})
 
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    distinct = parsed.select("host", "path").distinct()
-    possible = distinct.mapInPandas(candidates, "host string, path string, keys array<string>")
-    hits = possible.select("host", "path", F.explode("keys").alias("key")).join(listed.select("key", "rule", "verdict", "rank", "length"), "key")
+    distinct = parsed.where("host <> ''").select("host", "path").distinct()
+    possible = distinct.mapInPandas(candidates, "host string, path string, key string")
+    hits = possible.join(listed.select("key", "rule", "verdict", "rank", "length"), "key")
     best = hits.groupBy("host", "path").agg(F.max(F.struct("rank", "length", "rule", "verdict")).alias("b"))
-    named = parsed.join(best, ["host", "path"], "left")
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one URL may be on many pages
+    salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    named = salted.join(best, ["host", "path", "salt"], "left")
     return named.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.col("b.rank").alias("rank"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
@@ -151,7 +179,8 @@ hit AS (
   SELECT page_id, max_by(h || r, length(h || r)) AS rule, max_by(v, length(h || r)) AS v
   FROM q JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r) GROUP BY page_id),
 bad AS (
-  SELECT DISTINCT page_id FROM q JOIN sites ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/'))
+  SELECT DISTINCT page_id
+  FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS c FROM q) JOIN sites ON c = h OR ends_with(c, '.' || h))
 SELECT q.page_id, q.host, q.path, hit.rule, coalesce(hit.v, CASE WHEN bad.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM q LEFT JOIN hit ON q.page_id = hit.page_id LEFT JOIN bad ON q.page_id = bad.page_id
 """

@@ -1,5 +1,6 @@
 import random
 import re
+from urllib.parse import unquote
 
 from awardlens.llm import url_filter as op
 
@@ -10,13 +11,19 @@ def brute(url, entries):
         rest = url.split("://", 1)[1]
         m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
         host, path = m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]
-    fits = [(r, len(h) + len(p), h + p, v) for h, p, v, r in entries if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    user, plain = host.split("@")[-1], unquote(path) or "/"
+    plain_host = re.sub(r":[0-9]*$", "", user).rstrip(".")
+    fits = []
+    for h, p, v, r in entries:
+        own, of = (host, path) if r else (plain_host, plain)
+        if (own == h or own.endswith("." + h)) and of.startswith(p):
+            fits.append((r, len(h) + len(p), h + p, v))
     return host, path, max(fits, default=None)
 
 
 def urls():
     rnd = random.Random(2)
-    hosts = ["a.com", "WWW.Example.com", "example.com", "xexample.com", "b.net", "net", "m.spam-farm.example.org", "com", "", "a.com.", "spam-farm.example.net"]
+    hosts = ["a.com", "WWW.Example.com", "example.com", "xexample.com", "b.net", "net", "m.spam-farm.example.org", "com", "", "a.com.", "spam-farm.example.net", "u:p@Spam-Farm.example.net:8080", "spam-farm.example.org..", "example.com:80", "." .join("abc" * 60)]
     paths = ["", "/", "/en/", "/en", "/es/1", "/fr/", "/EN/x", "//", "/en/?q", "?x=/en/", "#t", "/é ü"]
     made = [f"http://{h}{p}" for h in hosts for p in paths]
     return [None, "", "no scheme/en/", "x://y://z.com/en/", *made, *rnd.sample(made, 20)]
@@ -24,7 +31,7 @@ def urls():
 
 def test_judgements_match_brute_force(spark):
     listed = op.default_list(spark)
-    entries = [(r.key.split("|")[0], r.key.split("|", 1)[1], r.verdict, r["rank"]) for r in listed.collect()]
+    entries = [(r.key.split("|")[1], r.key.split("|", 2)[2], r.verdict, r["rank"]) for r in listed.collect()]
     rows = [(i, u) for i, u in enumerate(urls())]
     got = {r.page_id: r for r in op.judged(spark.createDataFrame(rows, "page_id long, url string"), listed).collect()}
     assert len(got) == len(rows)
@@ -52,3 +59,10 @@ def test_repeated_rows_empty_table_and_empty_list(spark):
     assert op.judged(df, op.default_list(spark)).count() == 3
     assert op.judged(df.limit(0), op.default_list(spark)).count() == 0
     assert {r.verdict for r in op.judged(df, op.default_list(spark).limit(0)).collect()} == {"allow"}
+
+
+def test_any_table_is_a_list_and_escapes_are_read(spark):
+    table = spark.createDataFrame([("Bad.org", "/a b/", "block"), ("bad.org", "/a b/ok", "allow"), (None, "/", "block")], "host string, path string, verdict string")
+    urls = ["http://x.bad.org/a%20b/1", "http://bad.org/a%20b/ok/2", "http://bad.org/a", "http://bad.org:1/%61 b/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.verdict for r in op.judged(df, op.listed(table)).orderBy("page_id").collect()] == ["block", "allow", "allow", "block"]
