@@ -2,7 +2,8 @@
 
 Every rule is evaluated once. The ledger keeps the measurements and one bit per failed rule;
 policies are masks over those bits, so changing a policy or measuring what one rule adds
-never reads a text again.
+never reads a text again. Repeated windows are told by 64-bit hashes: two different windows of one
+text count as equal with a chance of about windows^2 / 2^65.
 
 Defined results: a null text counts as empty (it has no words and fails `few_words`); repeated
 rows and repeated ids keep one ledger row each; an empty table gives an empty ledger; columns
@@ -190,3 +191,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
 FROM f
 """
+
+
+def ablation_oracle(policy: str = "v2") -> str:
+    """DuckDB SQL for the ablation of a policy over the ledger of `documents`."""
+    mask = mask_of(policy)
+    rules = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(RULES) if mask >> i & 1)
+    return f"""
+WITH book AS ({ORACLE}), rules(rule, bit) AS (VALUES {rules})
+SELECT rule, CAST(count(*) FILTER (WHERE failed_bits & bit <> 0) AS BIGINT) AS n_failed,
+       CAST(count(*) FILTER (WHERE failed_bits & {mask} = bit) AS BIGINT) AS n_only, CAST(count(*) AS BIGINT) AS n_rows
+FROM book, rules GROUP BY rule
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from awardlens.llm import cnn, html_extract, license_scan, lm, minhash, mixing, packing, quality_rules, simhash, url_filter
+from awardlens.llm.text import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +58,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality_rules.ablation(stored(book.drop("text"), "quality-ledger"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    every = (op1_license_scan, op2_language_model, op3_packing, op4_minhash, op5_quality_rules, op6_html_extract, op7_url_filter, op8_simhash, op9_quality_classifier, op10_mixing)
+    every = (op1_license_scan, op2_language_model, op3_packing, op4_minhash, op5_quality_rules, op6_html_extract, op7_url_filter, op8_simhash, op9_quality_classifier, op10_mixing, minhash_near_duplicates, quality_ablation)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express a query."""
-    return {"op1_license_scan": license_scan.oracle(), "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE, "quality_ablation": quality_rules.ablation_oracle()}
