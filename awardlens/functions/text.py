@@ -13,11 +13,26 @@ MARKERS = r"\([^)]*\)"
 ID = r"\((?:\[REVOKED\]\s*)?(\d+)\)"
 FORMER = r"(?i)FORMERLY:?\s*([^)]*)"
 
-# Status groups, procurement methods, date formats, name suffixes.
-STATUS = {"completed": ("completed", "complete", "finished", "F"), "ongoing": ("ongoing", "on-going", "in progress", "O"), "pending": ("pending", "not yet started", "P"), "terminated": ("terminated", "cancelled"), "suspended": ("suspended",)}
-METHODS = (("bidding", "public_bidding"), ("urgent", "public_bidding"), ("shopping", "shopping"), ("high", "shopping"), ("negotiated", "negotiated"), ("medium", "negotiated"), ("limited", "limited_source"), ("direct", "direct_retail"), ("repeat", "repeat_order"), ("emergency", "emergency"), ("low", "emergency"))
-DATES = ("yyyy-MM-dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "MMM dd, yyyy", "MMMM dd, yyyy")
-SUFFIXES = (r"\bINCORPORATED\b", r"\bCORPORATION\b", r"\bCOMPANY\b", r"\bLIMITED\b", r"\bENTERPRISES?\b", r"\bCONSTRUCTION\b", r"\bBUILDERS\b", r"\bINC\b\.?", r"\bCORP\b\.?", r"\bCO\b\.?", r"\bLTD\b\.?", r"\bOPC\b\.?")
+# Status groups and their names, classes of procurement and their words (the first
+# that fits), date formats, legal suffixes at a name's end.
+STATUS = {
+    "completed": ("completed", "complete", "done"),
+    "on-going": ("on-going", "ongoing", "in progress", "in-progress"),
+    "not yet started": ("not yet started", "not started", "pending"),
+    "terminated": ("terminated", "cancelled", "canceled"),
+    "suspended": ("suspended",),
+}
+METHODS = {
+    "public_bidding": ("public bidding", "competitive bidding", "public bid"),
+    "shopping": ("shopping", "small value procurement"),
+    "negotiated": ("negotiated procurement", "negotiated", "direct contracting"),
+    "limited_source": ("limited source bidding",),
+    "direct_retail": ("direct retail purchase",),
+    "repeat_order": ("repeat order",),
+    "emergency": ("emergency purchase", "emergency"),
+}
+DATES = ("M/d/yyyy", "yyyy-M-d", "d-MMM-yy", "d-MMM-yyyy", "MMMM d, yyyy", "d MMMM yyyy")
+SUFFIXES = (r"\bINC\.?$", r"\bCORP\.?$", r"\bCORPORATION$", r"\bCO\.?$", r"\bCOMPANY$", r"\bLTD\.?$", r"\bLIMITED$", r"\bLLC$", r"\bPTE\.?$", r"\bPVT\.?$", r"\b&\s*CO\.?$", r"\bAND\s*CO\.?$")
 ACCENTS, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
 
 
@@ -60,31 +75,51 @@ def money(c: Column) -> Column:
     return null_if_blank(first).try_cast("double")
 
 
+def number_or_zero(c: Column) -> Column:
+    """A double; zero for what is no number."""
+    x = c.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x)
+
+
+def whole_number(c: Column) -> Column:
+    """An integer by way of a double, null for what is none."""
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x), x.try_cast("bigint"))
+
+
+def year_between(c: Column, first: int, last: int) -> Column:
+    """A year inside a range, else null."""
+    y = c.try_cast("int")
+    return F.when(y.between(first, last), y)
+
+
 def parsed_date(c: Column) -> Column:
-    """A date by the first of the known formats that fits."""
-    return F.coalesce(*(F.try_to_date(F.trim(c), f) for f in DATES))
+    """A date by the first of the known formats that fits; two-digit years from 69 on are of the last century."""
+    found = F.coalesce(*(F.try_to_date(F.trim(c), f) for f in DATES))
+    return F.when((F.year(found) > 2068) & F.trim(c).rlike(r"-\d\d$"), F.add_months(found, -1200)).otherwise(found)
 
 
 def status_group(c: Column) -> Column:
-    """One of the status groups, else the lower-cased text, `unknown` for null."""
-    out = F.lower(c)
+    """One of the status groups, else the trimmed lower-cased text, `unknown` for null."""
+    low = F.lower(F.trim(c))
+    out = low
     for group, names in STATUS.items():
-        out = F.when(c.isin(list(names)) | F.lower(c).isin(list(names)), group).otherwise(out)
+        out = F.when(low.isin(list(names)), group).otherwise(out)
     return F.coalesce(out, F.lit("unknown"))
 
 
 def method_class(c: Column) -> Column:
-    """Procurement class by the first known word it contains; `other`, or `unknown` for null."""
-    out = F.lit("other")
-    for word, name in reversed(METHODS):
-        out = F.when(F.lower(c).contains(word), name).otherwise(out)
+    """The first procurement class of which the text contains a name; `other`, or `unknown` for null."""
+    low, out = F.lower(F.trim(c)), F.lit("other")
+    for name, words in reversed(METHODS.items()):
+        out = F.when(reduce(lambda x, y: x | y, (low.contains(w) for w in words)), name).otherwise(out)
     return F.when(c.isNull(), "unknown").otherwise(out)
 
 
 def company_name(c: Column) -> Column:
-    """A contractor name without legal suffixes and punctuation."""
-    short = reduce(lambda x, p: F.regexp_replace(x, p, " "), SUFFIXES, F.upper(c))
-    return F.trim(F.regexp_replace(F.regexp_replace(short, r"[^A-Z0-9\s]", " "), r"\s+", " "))
+    """A contractor name in capitals without legal suffixes at its end and without punctuation."""
+    short = reduce(lambda x, p: F.regexp_replace(x, p, ""), SUFFIXES, F.trim(F.upper(c)))
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(short, "[.,;:]", ""), r"\s+", " ")), F.lit(""))
 
 
 def person_name(c: Column) -> Column:

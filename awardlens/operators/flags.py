@@ -32,7 +32,7 @@ def single_bidder(bids: DataFrame, contracts: DataFrame, least: int = 3) -> Data
     return flagged(found, "single_bidder", "medium", "firm", F.col("firm"), F.col("n"), F.col("v"))
 
 
-def identical_bids(bids: DataFrame, tolerance: float = 0.01) -> DataFrame:
+def identical_bids(bids: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """Pairs of bids on a contract that differ by less than a share of the smaller id's bid."""
     x = bids.select("ref", F.col("firm").alias("a"), F.col("bid").alias("bid_a"))
     y = bids.select("ref", F.col("firm").alias("b"), F.col("bid").alias("bid_b"))
@@ -173,7 +173,7 @@ def identical_amounts(contracts: DataFrame, least: float) -> DataFrame:
     return contracts.where(F.col("amount") > least).groupBy("amount").agg(F.count("*").alias("n"), F.min("ref").alias("first_ref")).where("n >= 2").select(F.col("amount").cast("double").alias("amount"), "n", "first_ref")
 
 
-def monthly_surges(contracts: DataFrame, times: float = 1.2) -> DataFrame:
+def monthly_surges(contracts: DataFrame, times: float = 2.0) -> DataFrame:
     """Totals by month, and whether a month passes so many times the mean month."""
     months = contracts.groupBy(F.date_format("award_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("val"))
     mean = months.agg(F.avg("val").alias("mean"))  # one row

@@ -67,27 +67,45 @@ def money_parse(d: Domain):
     return d.contracts.select("ref", fn.money(raw).alias("value"))
 
 
-@query(oracle("""SELECT ref, CASE WHEN ref % 4 < 3 THEN award_date END AS day FROM contracts"""))
+def _pick(key, values):
+    """One of several values by a number."""
+    out = F.lit(values[-1]) if not hasattr(values[-1], "alias") else values[-1]
+    for i, v in list(enumerate(values))[:-1][::-1]:
+        out = F.when(key % len(values) == i, v if hasattr(v, "alias") else F.lit(v)).otherwise(out)
+    return out
+
+
+@query(oracle("""SELECT ref, CASE WHEN ref % 8 < 6 THEN award_date END AS day FROM contracts"""))
 def date_parse(d: Domain):
-    """Dates written in three formats, and one that none fits."""
+    """Dates written in each known format, and two that none fits."""
     day = F.col("award_date")
-    raw = F.when(F.col("ref") % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("ref") % 4 == 1, F.date_format(day, "MM/dd/yyyy")).when(F.col("ref") % 4 == 2, F.date_format(day, "MMM dd, yyyy")).otherwise(F.lit("soon"))
-    return d.contracts.select("ref", fn.parsed_date(raw).alias("day"))
+    forms = ["MM/dd/yyyy", "yyyy-MM-dd", "dd-MMM-yy", "dd-MMM-yyyy", "MMMM dd, yyyy", "dd MMMM yyyy"]
+    return d.contracts.select("ref", fn.parsed_date(_pick(F.col("ref"), [*(F.date_format(day, f) for f in forms), "soon", F.date_format(day, "yyyy/MM/dd")])).alias("day"))
 
 
-@query(oracle("SELECT ref, CASE status WHEN 'F' THEN 'completed' WHEN 'O' THEN 'ongoing' WHEN 'P' THEN 'pending' ELSE coalesce(lower(status), 'unknown') END AS grp FROM contracts"))
+@query(oracle("""SELECT ref, CASE ref % 10 WHEN 0 THEN 'completed' WHEN 1 THEN 'completed' WHEN 2 THEN 'on-going' WHEN 3 THEN 'on-going' WHEN 4 THEN 'not yet started' WHEN 5 THEN 'not yet started' WHEN 6 THEN 'terminated' WHEN 7 THEN 'suspended' WHEN 8 THEN 'for review' ELSE 'unknown' END AS grp FROM contracts"""))
 def status_norm(d: Domain):
-    return d.contracts.select("ref", fn.status_group(F.col("status")).alias("grp"))
+    """Statuses as sources write them."""
+    return d.contracts.select("ref", fn.status_group(_pick(F.col("ref"), ["Complete", " done ", "ON-GOING", "In-Progress", "Pending", "not started", "Canceled", "suspended", "For Review", F.lit(None).cast("string")])).alias("grp"))
 
 
-@query(oracle("""SELECT ref, CASE WHEN lower(category) LIKE '%urgent%' THEN 'public_bidding' WHEN lower(category) LIKE '%high%' THEN 'shopping' WHEN lower(category) LIKE '%medium%' THEN 'negotiated' WHEN lower(category) LIKE '%low%' THEN 'emergency' ELSE 'other' END AS method FROM contracts"""))
+@query(oracle("""SELECT ref, CASE ref % 12 WHEN 0 THEN 'public_bidding' WHEN 1 THEN 'public_bidding' WHEN 2 THEN 'shopping' WHEN 3 THEN 'negotiated' WHEN 4 THEN 'negotiated' WHEN 5 THEN 'limited_source' WHEN 6 THEN 'direct_retail' WHEN 7 THEN 'repeat_order' WHEN 8 THEN 'emergency' WHEN 11 THEN 'unknown' ELSE 'other' END AS method FROM contracts"""))
 def method_norm(d: Domain):
-    return d.contracts.select("ref", fn.method_class(F.col("category")).alias("method"))
+    """Procurement methods as sources write them."""
+    names = ["Competitive Bidding", "Public Bid (rebid)", "Small Value Procurement", "Direct Contracting", "Negotiated", "Limited Source Bidding", "Direct Retail Purchase", "Repeat Order", "Emergency Purchase", "Highway follow-on", "Bidding", F.lit(None).cast("string")]
+    return d.contracts.select("ref", fn.method_class(_pick(F.col("ref"), names)).alias("method"))
+
+
+_ENDS = [" Inc.", " Corp., Inc.", " Corporation", " Co.", " & Co.", " and Co", " Company", " Ltd", " Builders LLC", " Pte.", " Construction", " Limited; "]
+_SHORT = "upper(p_name || CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ENDS)) + " END)"
+for _end in (r"\bINC\.?$", r"\bCORP\.?$", r"\bCORPORATION$", r"\bCO\.?$", r"\bCOMPANY$", r"\bLTD\.?$", r"\bLIMITED$", r"\bLLC$", r"\bPTE\.?$", r"\bPVT\.?$", r"\b&\s*CO\.?$", r"\bAND\s*CO\.?$"):
+    _SHORT = f"regexp_replace({'trim(' + _SHORT + ')' if _SHORT.startswith('upper') else _SHORT}, '{_end}', '')"
 
 
-@query(oracle(r"""SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(p_name || ' Corp., Inc.'), '\bINC\b\.?', ' ', 'g'), '\bCORP\b\.?', ' ', 'g'), '[^A-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM part"""))
+@query(oracle(rf"""SELECT p_partkey AS id, trim(regexp_replace(regexp_replace({_SHORT}, '[.,;:]', '', 'g'), '\s+', ' ', 'g')) AS name FROM part"""))
 def company_names(d: Domain):
-    return d.table("part").select(F.col("p_partkey").alias("id"), fn.company_name(F.concat("p_name", F.lit(" Corp., Inc."))).alias("name"))
+    """Names with each of the legal suffixes, and with words that are none."""
+    return d.table("part").select(F.col("p_partkey").alias("id"), fn.company_name(F.concat("p_name", _pick(F.col("p_partkey"), _ENDS))).alias("name"))
 
 
 @query(oracle("SELECT person, CASE WHEN person % 2 = 0 THEN surname ELSE 'CLAN' || (person % 40) END AS found FROM officials"))

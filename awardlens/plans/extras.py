@@ -22,7 +22,7 @@ def trailing_requests(d: Domain):
 @query(oracle("""SELECT CAST(ref AS VARCHAR) AS reference_number, CAST(NULL AS VARCHAR) AS title, office AS procuring_entity, CAST(NULL AS VARCHAR) AS contractor_name, CAST(amount AS VARCHAR) AS amount, category AS procurement_method, CAST(award_date AS VARCHAR) AS award_date, status FROM contracts"""))
 def detected_columns(d: Domain):
     """Contracts under an export's headers, found by their variants."""
-    raw = d.contracts.select(F.col("ref").cast("string").alias("Reference No."), F.col("office").alias("AGENCY"), F.col("amount").cast("string").alias("Contract Amount"), F.col("category").alias("Mode of Procurement"), F.col("award_date").cast("string").alias("Date Awarded"), F.col("status").alias("Status"))
+    raw = d.contracts.select(F.col("ref").cast("string").alias("Reference No"), F.col("office").alias("AGENCY"), F.col("amount").cast("string").alias("Contract Amount"), F.col("category").alias("Mode of Procurement"), F.col("award_date").cast("string").alias("Date Awarded"), F.col("status").alias("Status"))
     return files.detected(raw)
 
 

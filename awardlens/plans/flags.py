@@ -62,7 +62,7 @@ HHI = "SELECT office, round(10000.0 * sum(v * v) / (sum(v) * sum(v)), 4) AS hhi,
 
 BODIES = {
     "flag_single_bidder": _sql("single_bidder", "medium", "firm", "firm", "count(*)", "sum(amount)", "FROM (SELECT ref, min(firm) AS firm FROM bids GROUP BY 1 HAVING count(*) = 1) JOIN contracts USING (ref) GROUP BY firm HAVING count(*) >= 3"),
-    "flag_identical_bids": _sql("identical_bids", "high", "firm", "x.firm", "y.firm", "x.bid", "FROM bids x JOIN bids y ON x.ref = y.ref AND x.firm < y.firm WHERE x.bid > 0 AND y.bid > 0 AND CAST(abs(x.bid - y.bid) AS DOUBLE) < CAST(x.bid AS DOUBLE) * 0.01"),
+    "flag_identical_bids": _sql("identical_bids", "high", "firm", "x.firm", "y.firm", "x.bid", "FROM bids x JOIN bids y ON x.ref = y.ref AND x.firm < y.firm WHERE x.bid > 0 AND y.bid > 0 AND CAST(abs(x.bid - y.bid) AS DOUBLE) < CAST(x.bid AS DOUBLE) * 0.001"),
     "flag_split": _sql("split_contracts", "high", "firm", "firm", "count(*)", "sum(amount)", "FROM awards WHERE amount > 175000 AND amount < 250000 GROUP BY office, firm HAVING count(*) >= 3"),
     "flag_concentration": _sql("concentration", "high", "office", "office", "n_firms", "val", f"FROM ({HHI}) WHERE hhi > 130"),
     "flag_rotating": _sql("rotating_winners", "high", "firm", "a", "k", "wa + wb", """FROM (SELECT x.firm AS a, y.firm AS b, count(*) AS k, count(*) FILTER (w = x.firm) AS wa, count(*) FILTER (w = y.firm) AS wb
@@ -200,6 +200,6 @@ def identical_amounts(d: Domain):
     return op.identical_amounts(d.contracts.withColumn("amount", F.floor("amount")), 100_000)
 
 
-@query(oracle("""SELECT month, n, round(val, 2) AS val, val > 1.2 * (SELECT avg(val) FROM m) AS surge FROM m""", "m AS (SELECT strftime(award_date, '%Y-%m') AS month, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS val FROM contracts GROUP BY 1)"))
+@query(oracle("""SELECT month, n, round(val, 2) AS val, val > 2.0 * (SELECT avg(val) FROM m) AS surge FROM m""", "m AS (SELECT strftime(award_date, '%Y-%m') AS month, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS val FROM contracts GROUP BY 1)"))
 def month_timeline_surge(d: Domain):
     return op.monthly_surges(d.contracts)

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from awardlens.functions import text as fn
 from awardlens.functions.text import column_variant
 
-#: Header variants of the procurement export, most specific first.
+#: Header variants of the procurement export; the first that a file has counts.
 HEADERS = {
-    "reference_number": ["reference number", "reference no.", "reference_no", "ref no", "bid reference number"],
-    "title": ["title", "contract title", "notice title", "project title"],
-    "procuring_entity": ["procuring entity", "agency", "organization name", "procuring_entity"],
-    "contractor_name": ["awardee", "contractor", "supplier", "awardee organization name", "winning bidder"],
-    "amount": ["contract amount", "amount", "approved budget", "contract_amount"],
-    "procurement_method": ["procurement mode", "mode of procurement", "method"],
-    "award_date": ["award date", "date awarded", "publish date"],
-    "status": ["status", "award status"],
+    "reference_number": ["reference number", "reference no", "ref no", "refno", "reference_number"],
+    "title": ["title", "project title", "procurement title", "description"],
+    "procuring_entity": ["procuring entity", "agency", "pe", "procuring_entity"],
+    "contractor_name": ["contractor", "awardee", "winning bidder", "supplier", "awarded_to"],
+    "amount": ["amount", "contract amount", "approved budget", "abc", "bid amount"],
+    "procurement_method": ["procurement method", "method", "procurement_method", "mode of procurement"],
+    "award_date": ["award date", "date awarded", "award_date", "date of award"],
+    "status": ["status", "procurement status", "award status"],
 }
 
 
@@ -67,6 +68,15 @@ def detected(df: DataFrame, headers: dict[str, list[str]] | None = None) -> Data
     return df.select(*((F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(name) for name, c in found.items()))
 
 
+def export_records(df: DataFrame, source_file: str) -> DataFrame:
+    """Normalised records of an export; rows without a reference or a procuring entity are left out."""
+    raw = detected(df)
+    text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    status = F.lower(F.trim(F.coalesce(F.col("status").cast("string"), F.lit("active"))))
+    rows = raw.select(*(text(c).alias(c) for c in ("reference_number", "title", "procuring_entity", "contractor_name")), fn.money(F.col("amount").cast("string")).alias("amount"), fn.method_class(F.col("procurement_method")).alias("procurement_method"), fn.parsed_date(F.col("award_date").cast("string")).alias("award_date"), status.alias("status"), F.lit(source_file).alias("source_file"))
+    return rows.where("reference_number <> '' AND procuring_entity <> ''")
+
+
 def location(df: DataFrame) -> DataFrame:
     """Adds province and region from a struct, a JSON string or flat columns named location.*."""
     kinds = dict(df.dtypes)
@@ -87,6 +97,20 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_document(df: DataFrame, path: str) -> None:
+    """One compact JSON array, for small curated outputs: rows are streamed into a single file."""
+    rows = df.select(F.to_json(F.struct(*(F.col("`" + c + "`") for c in df.columns))).alias("value"))
+    listed = rows.agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("value")), ","), F.lit("]")).alias("value"))
+    listed.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_stamped(df: DataFrame, folder: str, name: str, stamp: str) -> str:
+    """JSON lines under a name with a time stamp, so that earlier exports stay."""
+    path = f"{folder.rstrip('/')}/{name}_{stamp}.jsonl"
+    df.write.mode("errorifexists").json(path)
+    return path
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges as tables under one folder, edges split by type."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
