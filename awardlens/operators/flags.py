@@ -66,9 +66,16 @@ def rotating_winners(bids: DataFrame, winner_of: DataFrame, least: int = 3) -> D
     return flagged(found, "rotating_winners", "high", "firm", F.col("a"), F.col("k"), F.col("wins_a") + F.col("wins_b"))
 
 
-def political_connection(owned: DataFrame, family: DataFrame) -> DataFrame:
-    """Firms owned by a relative of an official: owned(firm, person), family(person, official)."""
-    found = owned.join(family, "person").groupBy("firm").agg(F.count_distinct("official").alias("n"))
+def political_connection(owned: DataFrame, persons: DataFrame) -> DataFrame:
+    """Firms owned by a relative of others in office, with the number of those: owned(firm, person), persons(person, surname, province).
+
+    Relatives share surname and province. They are counted by family, without pairs of persons: of
+    a family with one owner all others count, of one with several everybody does.
+    """
+    size = persons.groupBy("surname", "province").agg(F.count("*").alias("size"))
+    owners = owned.select("firm", "person").distinct().join(persons, "person").groupBy("firm", "surname", "province").agg(F.count("*").alias("k"))
+    near = F.when(F.col("k") == 1, F.col("size") - 1).otherwise(F.col("size"))
+    found = owners.join(size, ["surname", "province"]).groupBy("firm").agg(F.sum(near).alias("n")).where("n > 0")
     return flagged(found, "political_connection", "high", "firm", F.col("firm"), F.col("n"), F.lit(0.0))
 
 

@@ -77,17 +77,34 @@ def jaro_winkler(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.mapInPandas(run, StructType([*pairs.schema.fields, StructField("similarity", DoubleType())]))
 
 
+def _places(name):
+    """The letters of a name, each with its number among equal ones, later ones first."""
+    letters = F.split(name, "")
+    numbered = F.transform(letters, lambda c, i: F.struct((-F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c))).alias("k"), c.alias("c")))
+    return F.transform(F.sort_array(numbered), lambda x: F.concat(x["c"], x["k"].cast("string")))
+
+
 def fuzzy_matches(names: DataFrame, least: float = 0.85) -> DataFrame:
-    """Pairs a < b of distinct names whose Jaro-Winkler similarity reaches `least`.
+    """Pairs a < b of distinct names whose Jaro-Winkler similarity reaches `least`; no pair is lost.
 
-    Names are blocked by prefixes: a similarity over 0.85 needs many common characters, so pairs are
-    compared where the first letter or the last word agrees. This is the documented recall bound.
+    Of names with the same first letter at most four letters more count, so their Jaro similarity is
+    (least - 0.4) / 0.6 at least, of others `least`. With m common letters it is at most (m / |a| + m / |b| + 1) / 3,
+    which bounds m from below. Names meet where they share a first letter, or one of the numbered letters
+    in the prefix that this bound leaves; the common letters are counted before a pair is compared.
     """
-    distinct = names.select("name").where("name <> ''").distinct()
-    keys = F.array_distinct(F.array(F.concat(F.lit("p"), F.substring("name", 1, 1)), F.concat(F.lit("w"), F.element_at(F.split("name", " "), -1))))
-    blocked = distinct.withColumn("key", F.explode(keys))
-    pairs = blocked.select(F.col("name").alias("a"), "key").join(blocked.select(F.col("name").alias("b"), "key"), "key").where("a < b")
-    likely = pairs.where(F.abs(F.length("a") - F.length("b")) <= F.greatest(F.length("a"), F.length("b")) * 0.5).select("a", "b").distinct()
+    distinct = names.select("name").where("name <> ''").distinct().select("name", F.length("name").alias("n"), _places(F.col("name")).alias("letters"))
+    distinct = settled(distinct, "fuzzy-names")
+    other = 3 * least - 1  # m / |a| + m / |b| of names with different first letters
+    prefix = F.col("n") - F.ceil((other - 1) * F.col("n") - 1e-9) + 1
+    keys = F.concat(F.array(F.concat(F.lit("p"), F.substring("name", 1, 1))), F.transform(F.slice("letters", 1, prefix.cast("int")), lambda x: F.concat(F.lit("c"), x)))
+    blocked = distinct.withColumn("key", F.explode(F.array_distinct(keys)))
+    x, y = (blocked.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("letters").alias(f"l_{c}"), "key") for c in ("a", "b"))
+    same = F.substring("a", 1, 1) == F.substring("b", 1, 1)
+    fits = same == F.startswith("key", F.lit("p"))
+    length = F.abs(F.col("n_a") - F.col("n_b")) <= F.greatest("n_a", "n_b") * 0.5
+    needed = F.when(same, 3 * (least - 0.4) / 0.6 - 1).otherwise(other) * F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
+    common = F.size(F.array_intersect("l_a", "l_b"))
+    likely = x.join(y, "key").where((F.col("a") < F.col("b")) & fits & length & (common >= needed - 1e-6)).select("a", "b").distinct()
     return jaro_winkler(likely).where(F.col("similarity") >= least)
 
 

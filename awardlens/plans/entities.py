@@ -127,8 +127,8 @@ def locality_clusters(d: Domain):
     return d.firms.groupBy(F.col("home_region").alias("locality")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), "; ").alias("members")).where("n >= 2")
 
 
-@query(oracle("""SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name AND (x.name[1] = y.name[1] OR string_split(x.name, ' ')[-1] = string_split(y.name, ' ')[-1]) WHERE abs(length(x.name) - length(y.name)) <= greatest(length(x.name), length(y.name)) * 0.5)
- WHERE round(jaro_winkler_similarity(a, b), 6) >= 0.85""", "n AS (SELECT DISTINCT upper(p_name) AS name FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT upper(p_name) || 'S' FROM part WHERE p_partkey % 50 = 0)"))
+@query(oracle("""SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name WHERE abs(length(x.name) - length(y.name)) <= greatest(length(x.name), length(y.name)) * 0.5)
+ WHERE round(jaro_winkler_similarity(a, b), 6) >= 0.85""", "n AS (SELECT DISTINCT upper(p_name) AS name FROM part UNION SELECT DISTINCT upper(p_name) || 'S' FROM part)"))
 def fuzzy_matches(d: Domain):
     """Like part names, as stand-ins for contractor names."""
     return op.fuzzy_matches(_names(d))
@@ -136,7 +136,7 @@ def fuzzy_matches(d: Domain):
 
 def _names(d: Domain) -> DataFrame:
     p = d.table("part")
-    return p.where("p_partkey % 3 = 0").select(F.upper("p_name").alias("name")).union(p.where("p_partkey % 50 = 0").select(F.concat(F.upper("p_name"), F.lit("S"))))
+    return p.select(F.upper("p_name").alias("name")).union(p.select(F.concat(F.upper("p_name"), F.lit("S"))))
 
 
 @query()
@@ -201,10 +201,10 @@ def intent_fallback(d: Domain):
 
 
 @query(oracle(r"""SELECT conv_id, CAST(grp AS BIGINT) AS grp, min(role) AS role, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n FROM (SELECT *, sum(CASE WHEN role = p THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM
- (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS p FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE turn % 3 <> 1) WHERE back <= 10)) GROUP BY 1, 2 HAVING NOT (grp = 1 AND min(role) = 'assistant')"""))
+ (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS p FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM said) WHERE back <= 10)) GROUP BY 1, 2 HAVING NOT (grp = 1 AND min(role) = 'assistant')""", "said AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 1 THEN 'user' ELSE role END AS role FROM conversations)"))
 def merged_turns(d: Domain):
-    """The last ten kept turns of each conversation, equal roles in a row merged, no leading answer."""
-    kept = d.table("conversations").where("turn % 3 <> 1")
+    """The last ten turns of each conversation, equal roles in a row merged, no leading answer (every third turn counts as the user's)."""
+    kept = d.table("conversations").withColumn("role", F.when(F.col("turn") % 3 == 1, "user").otherwise(F.col("role")))
     by = Window.partitionBy("conv_id")
     last = kept.withColumn("back", F.row_number().over(by.orderBy(F.desc("turn")))).where("back <= 10")
     new = F.when(F.col("role") == F.coalesce(F.lag("role").over(by.orderBy("turn")), F.lit("")), 0).otherwise(1)

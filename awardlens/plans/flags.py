@@ -34,14 +34,12 @@ def director_pairs(d: Domain) -> DataFrame:
     return rollups.co_pairs(rows, "director")
 
 
-def subcontracts(d: Domain, modulus: int = 5) -> DataFrame:
-    """Directed edges from each line's supplier to the next line's, on a subset of contracts."""
-    line = d.table("lineitem").where(F.col("l_orderkey") % modulus == 0).select(F.col("l_orderkey").alias("ref"), "l_linenumber", F.col("l_suppkey").alias("firm"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
-    one = line.groupBy("ref", "l_linenumber").agg(F.min("firm").alias("firm"), F.min("amount").alias("amount"))
-    chosen = d.contracts.where("category = '1-URGENT' AND status = 'F'").select("ref")
-    order = Window.partitionBy("ref").orderBy("l_linenumber")
-    stepped = one.join(chosen, "ref", "left_semi").withColumn("dst", F.lead("firm").over(order))
-    return stepped.where("dst IS NOT NULL AND dst <> firm").groupBy(F.col("firm").alias("src"), "dst").agg(F.sum("amount").cast("double").alias("amount"), F.count("*").alias("n"))
+def subcontracts(d: Domain) -> DataFrame:
+    """Directed edges from a focus contract's firm of the largest bid to that of the smallest one, summed over contracts."""
+    chosen = d.contracts.where("category = '1-URGENT'").select("ref")
+    order = F.struct("bid", "firm")
+    ends = d.bids.join(chosen, "ref", "left_semi").groupBy("ref").agg(F.max_by("firm", order).alias("src"), F.min_by("firm", order).alias("dst"), F.min("bid").alias("amount"))
+    return ends.where("src <> dst").groupBy("src", "dst").agg(F.sum("amount").cast("double").alias("amount"), F.count("*").alias("n"))
 
 
 def donations(d: Domain) -> DataFrame:
@@ -51,10 +49,8 @@ def donations(d: Domain) -> DataFrame:
     return e.join(person, "person").select((F.col("person") % 10 + 1).alias("firm"), "office", "given", "person")
 
 
-SUB = """line1 AS (SELECT l_orderkey AS ref, l_linenumber, min(l_suppkey) AS firm, min(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1, 2),
-sub AS (SELECT firm AS src, dst, CAST(sum(amount) AS DOUBLE) AS amount, count(*) AS n FROM (
-  SELECT l.firm, l.amount, lead(l.firm) OVER (PARTITION BY l.ref ORDER BY l_linenumber) AS dst FROM line1 l JOIN contracts c ON l.ref = c.ref WHERE category = '1-URGENT' AND status = 'F')
-  WHERE dst IS NOT NULL AND dst <> firm GROUP BY 1, 2)"""
+SUB = """sub AS (SELECT src, dst, CAST(sum(amount) AS DOUBLE) AS amount, count(*) AS n FROM (SELECT ref, arg_max(firm, (bid, firm)) AS src, arg_min(firm, (bid, firm)) AS dst, min(bid) AS amount
+  FROM bids SEMI JOIN (SELECT ref FROM contracts WHERE category = '1-URGENT') USING (ref) GROUP BY ref) WHERE src <> dst GROUP BY 1, 2)"""
 DON = """don AS (SELECT person % 10 + 1 AS firm, province AS office, CAST(value AS DECIMAL(18,2)) AS given, person FROM events JOIN officials ON user_id = person WHERE event_type = 'purchase')"""
 DIR = """dirs AS (SELECT x.firm AS a, y.firm AS b FROM firms x JOIN firms y ON x.firm % 30 = y.firm % 30 AND x.firm < y.firm),
 addr AS (SELECT x.firm AS a, y.firm AS b FROM firms x JOIN firms y ON x.home = y.home AND x.firm % 7 = y.firm % 7 AND x.firm < y.firm)"""
@@ -111,9 +107,7 @@ def flag_rotating(d: Domain):
 @query(oracle(BODIES["flag_political"]))
 def flag_political(d: Domain):
     owned = d.firms.select("firm", (F.col("firm") * 3).alias("person"))
-    person = d.officials.select("person", "surname", "province")
-    kin = person.join(person.withColumnRenamed("person", "official"), ["surname", "province"]).where("person <> official")
-    return op.political_connection(owned, kin)
+    return op.political_connection(owned, d.officials.select("person", "surname", "province"))
 
 
 @query(oracle(BODIES["flag_geographic"]))
@@ -159,17 +153,23 @@ DETECTORS = (
 )
 
 
+def all_flags(d: Domain) -> DataFrame:
+    """The flags of all detectors, which share one written table of awards and one of bids."""
+    d.keep("awards", "bids")
+    return reduce(DataFrame.unionByName, (f(d) for f in DETECTORS))
+
+
 @query(oracle(f"""SELECT entity_type, entity_id, CAST(sum(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS BIGINT) AS risk_score,
  count(*) AS n_flags, count(DISTINCT flag) AS n_kinds FROM ({ALL}) GROUP BY 1, 2""", MORE))
 def risk_scores(d: Domain):
     """Severity-weighted scores of every entity over all detectors."""
-    return op.risk_scores(reduce(DataFrame.unionByName, (f(d) for f in DETECTORS)))
+    return op.risk_scores(all_flags(d))
 
 
 @query(oracle(f"""SELECT entity_type, entity_id, n_kinds FROM (SELECT entity_type, entity_id, count(DISTINCT flag) AS n_kinds FROM ({ALL}) WHERE severity = 'high' GROUP BY 1, 2) ORDER BY n_kinds DESC, entity_type, entity_id LIMIT 20""", MORE))
 def risk_top_high(d: Domain):
     """The twenty entities with most kinds of flags of high severity."""
-    flags = reduce(DataFrame.unionByName, (f(d) for f in DETECTORS)).where("severity = 'high'")
+    flags = all_flags(d).where("severity = 'high'")
     return op.risk_scores(flags).select("entity_type", "entity_id", "n_kinds").orderBy(F.desc("n_kinds"), "entity_type", "entity_id").limit(20)
 
 

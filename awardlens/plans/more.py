@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from awardlens.functions import text as fn
 from awardlens.operators import embed, graph, rollups
-from awardlens.plans.network import PAIRS, sparse, sparse_pairs
+from awardlens.plans.network import PAIRS, focus_pairs
 from awardlens.plans.registry import registry
 from awardlens.sources.tables import Domain, oracle
 
@@ -40,7 +40,7 @@ def multi_region(d: Domain):
 def capped_firms(d: Domain, n: int = 20):
     """The largest firms, with all flagged ones and all in joint awards whatever their size."""
     top = d.awards.groupBy("firm").agg(F.sum("amount").alias("v")).orderBy(F.desc("v"), "firm").limit(n).select("firm")
-    joint = graph.undirected(sparse_pairs(d)).select(F.col("src").alias("firm"))
+    joint = graph.undirected(focus_pairs(d)).select(F.col("src").alias("firm"))
     return top.union(d.firms.where("capital < 0").select("firm")).union(joint).distinct()
 
 
@@ -49,7 +49,7 @@ def capped_firms(d: Domain, n: int = 20):
  + ", ".join(f"l{k} AS (SELECT id, max_by(label, (v, -label)) AS label FROM (SELECT w.src AS id, l.label, sum(weight) AS v FROM w JOIN l{k - 1} l ON l.id = w.dst GROUP BY 1, 2) GROUP BY id)" for k in range(1, 6))))
 def community_detail(d: Domain):
     """Members of each community and the edges inside it."""
-    e = sparse_pairs(d)
+    e = focus_pairs(d)
     labels = graph.label_propagation(e, 5)
     ends = e.join(labels.select(F.col("id").alias("src"), F.col("label").alias("x")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("y")), "dst")
     inner = ends.where("x = y").groupBy(F.col("x").alias("label")).agg(F.count("*").alias("n"))
@@ -94,7 +94,7 @@ def members_projected(d: Domain):
 @query()
 def node2vec_ties(d: Domain):
     """Pairs without a joint award that random-walk vectors place near each other."""
-    e = sparse_pairs(d)
+    e = focus_pairs(d)
     both = graph.undirected(e)
     near = both.select(F.col("dst").alias("mid"), F.col("src").alias("firm"))
     candidates = rollups.co_pairs(near, "mid").select("a", "b").distinct().join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
@@ -105,7 +105,7 @@ def node2vec_ties(d: Domain):
 @query()
 def rewired_shared_offices(d: Domain, replicates: int = 8):
     """Pairs that share an office, observed and in graphs with the same degrees."""
-    held = sparse(d).select(F.col("firm").alias("left"), F.col("office").alias("right")).distinct()
+    held = d.focus.select(F.col("firm").alias("left"), F.col("office").alias("right")).distinct()
     seen = held.select(F.lit(0).cast("long").alias("replicate"), "left", "right").unionByName(embed.rewired(held, replicates))
     x, y = seen.select("replicate", "right", F.col("left").alias("a")), seen.select("replicate", "right", F.col("left").alias("b"))
     return x.join(y, ["replicate", "right"]).where("a < b").groupBy("replicate", "a", "b").agg(F.count("*").alias("c")).groupBy("replicate").agg(F.count("*").alias("n_pairs"), F.sum("c").alias("n_shared"))

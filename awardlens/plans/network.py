@@ -1,4 +1,4 @@
-"""Network queries: sparse co-award graphs, subcontract chains, centralities and communities."""
+"""Network queries: joint focus awards, subcontract chains, centralities and communities."""
 
 from __future__ import annotations
 
@@ -15,22 +15,16 @@ from awardlens.sources.tables import Domain, oracle
 QUERIES, ORACLES, query = registry()
 
 
-def sparse(d: Domain) -> DataFrame:
-    """Awards of small finished focus contracts, whose co-award graph is sparse."""
-    return d.focus.where("status = 'F' AND amount < 60000")
-
-
 def joint_pairs(rows: DataFrame) -> DataFrame:
     """src, dst, weight, year: pairs of firms on the same contracts, how many and since when."""
     return rollups.co_pairs(rows, carry=("year",)).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").cast("double").alias("weight"), F.min("year").alias("year"))
 
 
-def sparse_pairs(d: Domain) -> DataFrame:
-    return joint_pairs(sparse(d))
+def focus_pairs(d: Domain) -> DataFrame:
+    return joint_pairs(d.focus)
 
 
-PAIRS = """sparse AS (SELECT * FROM focus WHERE status = 'F' AND amount < 60000),
-pairs AS (SELECT x.firm AS src, y.firm AS dst, CAST(count(*) AS DOUBLE) AS weight, min(x.year) AS year FROM sparse x JOIN sparse y ON x.ref = y.ref AND x.firm < y.firm GROUP BY 1, 2),
+PAIRS = """pairs AS (SELECT x.firm AS src, y.firm AS dst, CAST(count(*) AS DOUBLE) AS weight, min(x.year) AS year FROM focus x JOIN focus y ON x.ref = y.ref AND x.firm < y.firm GROUP BY 1, 2),
 und AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs)"""
 REACH = PAIRS + """, reach AS (SELECT src AS id, src AS r FROM und UNION SELECT reach.id, und.dst FROM reach JOIN und ON reach.r = und.src),
 comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"""
@@ -38,13 +32,13 @@ comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"""
 
 @query(oracle("SELECT id, component FROM comp", REACH))
 def jv_components(d: Domain):
-    return op.components(sparse_pairs(d))
+    return op.components(focus_pairs(d))
 
 
 @query(oracle("""SELECT component, n_nodes, n_edges, round(2.0 * n_edges / (n_nodes * (n_nodes - 1)), 6) AS density FROM (SELECT component, count(*) AS n_nodes FROM comp GROUP BY 1)
  JOIN (SELECT component, count(*) AS n_edges FROM pairs JOIN comp ON src = id GROUP BY 1) USING (component)""", REACH))
 def jv_groups(d: Domain):
-    e = sparse_pairs(d)
+    e = focus_pairs(d)
     return op.component_stats(e, op.components(e))
 
 
@@ -57,7 +51,7 @@ def jv_giant_by_year(d: Domain):
 
     All years run as one graph whose nodes are (year, firm), so the years share every round.
     """
-    pairs = sparse_pairs(d)
+    pairs = focus_pairs(d)
     years = pairs.select(F.col("year").alias("y")).distinct()
     node = lambda c: F.col("y").cast("long") * F.lit(1 << 40) + F.col(c)
     grown = pairs.join(F.broadcast(years), F.col("year") <= F.col("y")).select(node("src").alias("src"), node("dst").alias("dst"))
@@ -68,12 +62,12 @@ def jv_giant_by_year(d: Domain):
 
 @query(oracle("SELECT src AS id, count(*) AS degree FROM und GROUP BY 1", PAIRS))
 def degree(d: Domain):
-    return op.degree(sparse_pairs(d))
+    return op.degree(focus_pairs(d))
 
 
 @query(oracle("SELECT x.src AS a, x.dst AS b, y.dst AS c FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON z.src = x.src AND z.dst = y.dst", PAIRS))
 def triads(d: Domain):
-    return op.triangles(sparse_pairs(d))
+    return op.triangles(focus_pairs(d))
 
 
 def _ranks(n: int) -> str:
@@ -85,19 +79,19 @@ def _ranks(n: int) -> str:
 
 @query(oracle("SELECT id, round(CAST(rank AS DOUBLE), 8) AS rank FROM r10", _ranks(10)))
 def pagerank(d: Domain):
-    return op.pagerank(sparse_pairs(d), 10).select("id", F.round("rank", 8).alias("rank"))
+    return op.pagerank(focus_pairs(d), 10).select("id", F.round("rank", 8).alias("rank"))
 
 
 @query()
 def betweenness(d: Domain):
-    return op.betweenness(sparse_pairs(d))
+    return op.betweenness(focus_pairs(d))
 
 
 @query(oracle("SELECT id, label FROM l5", PAIRS + ", w AS (SELECT src, dst, weight FROM pairs UNION ALL SELECT dst, src, weight FROM pairs), l0 AS (SELECT DISTINCT src AS id, src AS label FROM w), "
  + ", ".join(f"l{k} AS (SELECT id, max_by(label, (v, -label)) AS label FROM (SELECT w.src AS id, l.label, sum(weight) AS v FROM w JOIN l{k - 1} l ON l.id = w.dst GROUP BY 1, 2) GROUP BY id)" for k in range(1, 6))))
 def communities(d: Domain):
     """Label propagation on the weighted co-award graph."""
-    return op.label_propagation(sparse_pairs(d), 5)
+    return op.label_propagation(focus_pairs(d), 5)
 
 
 @query()
@@ -112,7 +106,7 @@ def community_modularity(d: Domain):
  JOIN (SELECT dst AS mid, count(*) AS d FROM und GROUP BY 1) USING (mid) GROUP BY 1, 2""", PAIRS))
 def adamic_adar(d: Domain):
     """Scores of pairs that share a partner and have no joint award yet."""
-    e = sparse_pairs(d)
+    e = focus_pairs(d)
     both = op.undirected(e)
     near = both.select(F.col("dst").alias("mid"), F.col("src").alias("firm"))
     candidates = rollups.co_pairs(near, "mid").select("a", "b").distinct()
@@ -124,28 +118,29 @@ def adamic_adar(d: Domain):
 walk AS (SELECT s AS id, 0 AS d FROM start UNION SELECT und.dst, walk.d + 1 FROM walk JOIN und ON walk.id = und.src WHERE walk.d < 3)"""))
 def subgraph_depth(d: Domain):
     """Nodes within three steps of the smallest firm."""
-    e = sparse_pairs(d)
+    e = focus_pairs(d)
     start = e.agg(F.min(F.least("src", "dst"))).first()[0]
     return op.distances(e, start, 3)
 
 
-@query(oracle("SELECT array_to_string(p, ',') AS path, CAST(len(p) - 1 AS INT) AS hops FROM walk WHERE id = (SELECT t FROM ends) ORDER BY len(p), p LIMIT 1", PAIRS + """, ends AS (SELECT min(src) AS s, max(src) AS t FROM und),
-walk AS (SELECT s AS id, [s] AS p FROM ends UNION SELECT und.dst, list_append(p, und.dst) FROM walk JOIN und ON walk.id = und.src WHERE len(p) <= 4 AND NOT list_contains(p, und.dst))"""))
+@query(oracle("SELECT array_to_string(min(p), ',') AS path, CAST(len(min(p)) - 1 AS INT) AS hops FROM walk WHERE id = (SELECT t FROM ends) HAVING count(*) > 0", PAIRS + """, ends AS (SELECT min(src) AS s, max(src) AS t FROM und),
+far AS (SELECT s AS id, 0 AS d FROM ends UNION SELECT und.dst, far.d + 1 FROM far JOIN und ON far.id = und.src WHERE far.d < 6), near AS (SELECT id, min(d) AS d FROM far GROUP BY id),
+walk AS (SELECT s AS id, [s] AS p FROM ends UNION ALL SELECT und.dst, list_append(p, und.dst) FROM walk JOIN und ON walk.id = und.src JOIN near ON near.id = und.dst WHERE near.d = len(p) AND near.d <= (SELECT d FROM near, ends WHERE id = t))"""))
 def shortest_path(d: Domain):
-    """From the smallest to the largest firm of the sparse graph, within six steps."""
-    e = sparse_pairs(d)
+    """From the smallest to the largest firm of joint awards, within six steps."""
+    e = focus_pairs(d)
     ends = op.undirected(e).agg(F.min("src").alias("s"), F.max("src").alias("t")).first()
     return op.shortest_path(e, ends.s, ends.t)
 
 
-def chain_edges(d: Domain, modulus: int = 17) -> DataFrame:
-    """Few subcontract edges with an id and a type by amount."""
-    e = subcontracts(d, modulus)
+def chain_edges(d: Domain) -> DataFrame:
+    """Subcontract edges with an id and a type by amount."""
+    e = subcontracts(d)
     kind = F.when(F.col("amount") < 20000, "MINOR").when(F.col("amount") < 40000, "MEDIUM").otherwise("MAJOR")
     return e.select((F.col("src") * 1_000_000 + F.col("dst")).alias("id"), "src", "dst", kind.alias("type"), "amount")
 
 
-CHAIN = SUB.replace("l_orderkey % 5", "l_orderkey % 17") + """, chain AS (SELECT src * 1000000 + dst AS id, src, dst, CASE WHEN amount < 20000 THEN 'MINOR' WHEN amount < 40000 THEN 'MEDIUM' ELSE 'MAJOR' END AS type, amount FROM sub)"""
+CHAIN = SUB + """, chain AS (SELECT src * 1000000 + dst AS id, src, dst, CASE WHEN amount < 20000 THEN 'MINOR' WHEN amount < 40000 THEN 'MEDIUM' ELSE 'MAJOR' END AS type, amount FROM sub)"""
 
 
 @query(oracle("""SELECT CAST(len(p) AS INT) AS hops, array_to_string(p, '>') AS cycle FROM walk WHERE EXISTS (SELECT 1 FROM sub s WHERE s.src = walk.at AND s.dst = walk.start)""", SUB + """,
@@ -155,14 +150,36 @@ def cycles_2_4(d: Domain):
     return op.cycles(subcontracts(d), 4)
 
 
-@query(oracle("""SELECT CAST(len(used) AS INT) AS hops, array_to_string(p, '>') AS path, array_to_string(used, ',') AS edge_ids, CAST(len(list_distinct(types)) AS INT) AS n_types FROM walk WHERE len(used) >= 2 AND len(list_distinct(types)) >= 2""", CHAIN + """,
-walk AS (SELECT dst AS at, [src, dst] AS p, [id] AS used, [type] AS types FROM chain WHERE src % 5 = 0 UNION ALL
- SELECT c.dst, list_append(p, c.dst), list_append(used, c.id), list_append(types, c.type) FROM walk w JOIN chain c ON c.src = w.at WHERE NOT list_contains(used, c.id) AND len(used) < 4)"""))
+@query(oracle("""SELECT CAST(len(used) AS INT) AS hops, array_to_string(p, '>') AS path, CAST(len(list_distinct(types)) AS INT) AS n_types FROM walk WHERE len(used) = 3 AND len(list_distinct(types)) >= 3 AND at <> (SELECT min(src) FROM chain) ORDER BY n_types DESC, hops, path LIMIT 20""", CHAIN + """,
+ways AS (SELECT id, src, dst, type FROM chain UNION ALL SELECT id, dst, src, type FROM chain),
+walk AS (SELECT dst AS at, [src, dst] AS p, [id] AS used, [type] AS types FROM ways WHERE src = (SELECT min(src) FROM chain) UNION ALL
+ SELECT c.dst, list_append(p, c.dst), list_append(used, c.id), list_append(types, c.type) FROM walk w JOIN ways c ON c.src = w.at WHERE NOT list_contains(used, c.id) AND len(used) < 3)"""))
 def multi_hop_paths(d: Domain):
-    """Trails of two to four subcontracts with two kinds of edge at least."""
+    """Twenty trails of three to six steps from the first firm over three kinds of edge, the most diverse and shortest first.
+
+    The oracle takes three steps alone: there are more than twenty such trails with all three kinds.
+    """
     e = chain_edges(d)
-    starts = e.where("src % 5 = 0").select(F.col("src").alias("id")).distinct()
-    return op.trails(e, starts, 4).where("hops >= 2 AND n_types >= 2")
+    start = e.agg(F.min("src")).first()[0]
+    return op.diverse_trails(e, start, 3, 6, 3, 20).select("hops", "path", "n_types")
+
+
+@query(oracle("""SELECT CAST(hops AS INT) AS hops, path, amounts FROM (SELECT 2 AS hops, x.src || '>' || x.dst || '>' || x.src AS path, CAST(x.amount AS VARCHAR) || ',' || CAST(y.amount AS VARCHAR) AS amounts FROM subd x JOIN subd y ON x.dst = y.src AND y.dst = x.src)
+ ORDER BY hops, path LIMIT 10""", SUB + ", subd AS (SELECT src, dst, CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM sub)"))
+def subcontract_cycles(d: Domain):
+    """The ten first cycles of two to six steps from every firm, shortest first, with the amount of each step.
+
+    The oracle takes two steps alone: there are more than ten such cycles.
+    """
+    return op.first_cycles(subcontracts(d), 6, 10)
+
+
+@query(oracle("""SELECT CAST(hops AS INT) AS hops, path FROM (SELECT 2 AS hops, x.src || '>' || x.dst || '>' || x.src AS path, x.src FROM sub x JOIN sub y ON x.dst = y.src AND y.dst = x.src
+ UNION ALL SELECT 3, x.src || '>' || x.dst || '>' || y.dst || '>' || x.src, x.src FROM sub x JOIN sub y ON x.dst = y.src JOIN sub z ON y.dst = z.src AND z.dst = x.src) WHERE src = (SELECT min(src) FROM sub) ORDER BY hops, path LIMIT 5""", SUB))
+def cycles_of_firm(d: Domain):
+    """The five first cycles through one firm, shortest first."""
+    e = subcontracts(d)
+    return op.first_cycles(e, 3, 5, e.agg(F.min("src")).first()[0]).select("hops", "path")
 
 
 @query(oracle("SELECT x.src AS a, x.dst AS b, x.amount AS there, y.amount AS back FROM sub x JOIN sub y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst", SUB))
@@ -188,53 +205,53 @@ def co_awardees(d: Domain):
     return op.ranked_neighbours(pairs, 15)
 
 
-@query(oracle("""SELECT office, count(*) AS n_linked FROM (SELECT DISTINCT x.office, x.firm AS a, y.firm AS b FROM (SELECT DISTINCT office, firm FROM sparse) x JOIN (SELECT DISTINCT office, firm FROM sparse) y ON x.office = y.office AND x.firm < y.firm
+@query(oracle("""SELECT office, count(*) AS n_linked FROM (SELECT DISTINCT x.office, x.firm AS a, y.firm AS b FROM (SELECT DISTINCT office, firm FROM focus) x JOIN (SELECT DISTINCT office, firm FROM focus) y ON x.office = y.office AND x.firm < y.firm
  JOIN pairs p ON p.src = x.firm AND p.dst = y.firm) GROUP BY office""", PAIRS))
 def agency_clusters(d: Domain):
     """Offices whose winners are linked by joint awards, with the number of linked pairs."""
-    held = sparse(d).select("office", "firm").distinct()
-    pairs = rollups.co_pairs(held, "office").join(sparse_pairs(d).select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_semi")
+    held = d.focus.select("office", "firm").distinct()
+    pairs = rollups.co_pairs(held, "office").join(focus_pairs(d).select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_semi")
     return pairs.groupBy("office").agg(F.count("*").alias("n_linked"))
 
 
 @query(oracle("SELECT src AS id, count(*) AS degree FROM und GROUP BY 1 ORDER BY degree DESC, id LIMIT 10", PAIRS))
 def most_connected(d: Domain):
-    return op.degree(sparse_pairs(d)).orderBy(F.desc("degree"), "id").limit(10)
+    return op.degree(focus_pairs(d)).orderBy(F.desc("degree"), "id").limit(10)
 
 
 @query(oracle("SELECT src AS id, count(*) AS n_strong FROM (SELECT src, dst FROM pairs WHERE weight >= 2 UNION SELECT dst, src FROM pairs WHERE weight >= 2) GROUP BY 1 HAVING count(*) >= 2", PAIRS))
 def cobid_hubs(d: Domain):
     """Firms with two or more strong partners."""
-    return op.degree(sparse_pairs(d).where("weight >= 2")).select("id", F.col("degree").alias("n_strong")).where("n_strong >= 2")
+    return op.degree(focus_pairs(d).where("weight >= 2")).select("id", F.col("degree").alias("n_strong")).where("n_strong >= 2")
 
 
 @query(oracle("""SELECT src, dst, CAST(n AS BIGINT) AS shared FROM (SELECT x.firm AS src, y.firm AS dst, count(*) AS n FROM fo x JOIN fo y ON x.office = y.office AND x.firm < y.firm GROUP BY 1, 2) z
- WHERE n >= 3 AND NOT EXISTS (SELECT 1 FROM fj p JOIN fj q ON p.ref = q.ref WHERE p.firm = z.src AND q.firm = z.dst)""", "fo AS (SELECT DISTINCT firm, office FROM focus WHERE status = 'F' AND amount < 60000), fj AS (SELECT * FROM focus WHERE amount < 200000)"))
+ WHERE n >= 3 AND NOT EXISTS (SELECT 1 FROM fj p JOIN fj q ON p.ref = q.ref WHERE p.firm = z.src AND q.firm = z.dst)""", "fo AS (SELECT DISTINCT firm, office FROM focus), fj AS (SELECT * FROM focus WHERE amount < 200000)"))
 def co_located(d: Domain):
-    """Firms that share three offices of small focus contracts without a joint one under 200,000."""
-    held = sparse(d).select("office", "firm").distinct()
+    """Firms that share three offices of focus contracts without a joint one under 200,000."""
+    held = d.focus.select("office", "firm").distinct()
     pairs = rollups.co_pairs(held, "office").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("shared")).where("shared >= 3")
     joint = rollups.co_pairs(d.focus.where("amount < 200000")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return pairs.join(joint, ["src", "dst"], "left_anti")
 
 
-@query(oracle("""SELECT 'AWARDED_TO' AS type, 'F' || firm AS source, 'O-' || office AS target, count(*) AS weight FROM sparse GROUP BY 2, 3
+@query(oracle("""SELECT 'AWARDED_TO' AS type, 'F' || firm AS source, 'O-' || office AS target, count(*) AS weight FROM focus GROUP BY 2, 3
  UNION ALL SELECT 'CO_AWARDED_WITH', 'F' || src, 'F' || dst, CAST(weight AS BIGINT) + 1 FROM pairs""", PAIRS))
 def graph_edges(d: Domain):
     """Edges of the focus graph: firm to office by awards, firm to firm by joint awards plus one."""
-    held = sparse(d).groupBy(F.concat(F.lit("F"), "firm").alias("source"), F.concat(F.lit("O-"), "office").alias("target")).agg(F.count("*").alias("weight"))
-    joint = sparse_pairs(d).select(F.lit("CO_AWARDED_WITH").alias("type"), F.concat(F.lit("F"), "src").alias("source"), F.concat(F.lit("F"), "dst").alias("target"), (F.col("weight").cast("long") + 1).alias("weight"))
+    held = d.focus.groupBy(F.concat(F.lit("F"), "firm").alias("source"), F.concat(F.lit("O-"), "office").alias("target")).agg(F.count("*").alias("weight"))
+    joint = focus_pairs(d).select(F.lit("CO_AWARDED_WITH").alias("type"), F.concat(F.lit("F"), "src").alias("source"), F.concat(F.lit("F"), "dst").alias("target"), (F.col("weight").cast("long") + 1).alias("weight"))
     return held.select(F.lit("AWARDED_TO").alias("type"), "source", "target", "weight").unionByName(joint)
 
 
-@query(oracle("""SELECT firm FROM (SELECT DISTINCT firm FROM sparse WHERE office IN (SELECT office FROM sparse WHERE firm = (SELECT min(firm) FROM sparse)))
- UNION SELECT dst FROM und WHERE src = (SELECT min(firm) FROM sparse)""", PAIRS))
+@query(oracle("""SELECT firm FROM (SELECT DISTINCT firm FROM focus WHERE office IN (SELECT office FROM focus WHERE firm = (SELECT min(firm) FROM focus)))
+ UNION SELECT dst FROM und WHERE src = (SELECT min(firm) FROM focus)""", PAIRS))
 def ego_firms(d: Domain):
     """Firms within two hops of the smallest one over offices or joint awards."""
-    held = sparse(d).select("office", "firm").distinct()
+    held = d.focus.select("office", "firm").distinct()
     seed = held.agg(F.min("firm").alias("seed"))  # one row
     offices = held.join(F.broadcast(seed), F.col("firm") == F.col("seed"), "left_semi").select("office")
-    partners = op.undirected(sparse_pairs(d)).join(F.broadcast(seed), F.col("src") == F.col("seed"), "left_semi").select(F.col("dst").alias("firm"))
+    partners = op.undirected(focus_pairs(d)).join(F.broadcast(seed), F.col("src") == F.col("seed"), "left_semi").select(F.col("dst").alias("firm"))
     return held.join(offices, "office", "left_semi").select("firm").union(partners).distinct()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from awardlens.operators import dynasties, quality
 from awardlens.plans.flags import DIR, DON, address_pairs, director_pairs, donations
-from awardlens.plans.network import PAIRS, sparse_pairs
+from awardlens.plans.network import PAIRS, focus_pairs
 from awardlens.plans.registry import registry
 from awardlens.sources.tables import FOCUS, Domain, oracle
 
@@ -120,7 +120,7 @@ def contractor_profile(d: Domain):
 @query(oracle("SELECT dst AS id, weight FROM (SELECT src, dst, weight FROM pairs UNION ALL SELECT dst, src, weight FROM pairs) WHERE src = (SELECT min(src) FROM pairs) ORDER BY id LIMIT 10 OFFSET 5", PAIRS))
 def neighbors_page(d: Domain, page: int = 10, skip: int = 5):
     """One page of a firm's neighbours in id order."""
-    e = sparse_pairs(d).select("src", "dst", "weight")
+    e = focus_pairs(d).select("src", "dst", "weight")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     seed = F.broadcast(e.agg(F.min("src").alias("seed")))
     return both.join(seed, F.col("src") == F.col("seed"), "left_semi").select(F.col("dst").alias("id"), "weight").orderBy("id").offset(skip).limit(page)
@@ -129,7 +129,7 @@ def neighbors_page(d: Domain, page: int = 10, skip: int = 5):
 @query(oracle("SELECT src, dst, weight FROM pairs WHERE src IN (SELECT * FROM ids) AND dst IN (SELECT * FROM ids)", PAIRS + ", ids AS (SELECT DISTINCT src AS id FROM und ORDER BY id LIMIT 30)"))
 def overview(d: Domain, nodes: int = 30):
     """The first nodes by id and the edges among them."""
-    e = sparse_pairs(d).select("src", "dst", "weight")
+    e = focus_pairs(d).select("src", "dst", "weight")
     ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().orderBy("id").limit(nodes)
     small = F.broadcast(ids)
     return e.join(small.withColumnRenamed("id", "src"), "src", "left_semi").join(small.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "weight")
@@ -194,10 +194,10 @@ def fulltext_search(d: Domain, prefix: str = "0000000", n: int = 20):
     return firms.unionByName(parts).where(hit).orderBy("kind", "id").limit(n)
 
 
-@query(oracle("""SELECT ref, office, year, string_agg(firm, ' ' ORDER BY firm) AS firms FROM focus WHERE year = 1996 GROUP BY 1, 2, 3"""))
+@query(oracle("""SELECT ref, office, year, string_agg(firm, ' ' ORDER BY firm) AS firms FROM focus GROUP BY 1, 2, 3"""))
 def node_load_rows(d: Domain):
-    """Contract nodes of a year with their firms, as a loader writes them."""
-    rows = d.focus.where("year = 1996").groupBy("ref", "office", "year").agg(F.sort_array(F.collect_set("firm")).alias("f"))
+    """Contract nodes with their firms, as a loader writes them."""
+    rows = d.focus.groupBy("ref", "office", "year").agg(F.sort_array(F.collect_set("firm")).alias("f"))
     return rows.select("ref", "office", "year", F.array_join("f", " ").alias("firms"))
 
 
@@ -216,10 +216,10 @@ def home_and_away(d: Domain):
     return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("home")), 6))
 
 
-@query(oracle("""SELECT persons.pid, source_label, CAST(day AS VARCHAR) AS day, left(label, 60) AS label FROM (SELECT person AS pid, firm, min(ref) AS r FROM (SELECT customer AS person, firm, ref FROM focus) GROUP BY 1, 2) persons JOIN (SELECT ref, award_date AS day, office AS source_label, category || ' ' || office || ' ' || region AS label FROM contracts) s ON s.ref = persons.r WHERE pid % 10 = 0"""))
+@query(oracle("""SELECT persons.pid, source_label, CAST(day AS VARCHAR) AS day, left(label, 60) AS label FROM (SELECT person AS pid, firm, min(ref) AS r FROM (SELECT customer AS person, firm, ref FROM focus) GROUP BY 1, 2) persons JOIN (SELECT ref, award_date AS day, office AS source_label, category || ' ' || office || ' ' || region AS label FROM contracts) s ON s.ref = persons.r"""))
 def hetero_edges(d: Domain):
     """Dated person-firm edges: the date is that of the first source."""
-    first = d.focus.groupBy(F.col("customer").alias("pid"), "firm").agg(F.min("ref").alias("ref")).where("pid % 10 = 0")
+    first = d.focus.groupBy(F.col("customer").alias("pid"), "firm").agg(F.min("ref").alias("ref"))
     s = d.contracts.select("ref", F.date_format("award_date", "yyyy-MM-dd").alias("day"), F.col("office").alias("source_label"), F.concat_ws(" ", "category", "office", "region").alias("label"))
     return first.join(s, "ref").select("pid", "source_label", "day", F.left("label", F.lit(60)).alias("label"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from awardlens.operators import temporal as op
 from awardlens.operators.settle import settled
-from awardlens.plans.network import PAIRS, sparse_pairs
+from awardlens.plans.network import PAIRS, focus_pairs
 from awardlens.plans.registry import registry
 from awardlens.sources.tables import Domain, oracle
 
@@ -33,7 +33,7 @@ def concentrated_by_year(d: Domain):
  FROM (SELECT DISTINCT year FROM contracts) y""", PAIRS))
 def jv_growth(d: Domain):
     """Joint pairs and firms in them, cumulated by year."""
-    pairs = sparse_pairs(d)
+    pairs = focus_pairs(d)
     years = d.contracts.select("year").distinct()
     ends = pairs.select(F.col("src").alias("id"), "year").unionAll(pairs.select(F.col("dst").alias("id"), "year"))
     firms = ends.groupBy("id").agg(F.min("year").alias("year"))
@@ -83,7 +83,7 @@ def big_firms(d: Domain) -> DataFrame:
 
 
 _LINK = """big AS (SELECT firm FROM focus GROUP BY 1 ORDER BY sum(amount) DESC, firm LIMIT 60),
-small AS (SELECT * FROM focus WHERE status = 'F' AND amount < 60000), cuts AS (SELECT unnest([1996, 1997, 1998]) AS cut),
+small AS (SELECT * FROM focus), cuts AS (SELECT unnest([1996, 1997, 1998]) AS cut),
 known AS (SELECT cut, firm, office, max(year) AS last FROM small JOIN cuts ON year <= cut GROUP BY 1, 2, 3),
 crowd AS (SELECT cut, office, count(*) AS d FROM known GROUP BY 1, 2),
 held AS (SELECT k.cut, k.office, k.firm, exp(-0.34657359027997264 * (k.cut - last)) AS w, CASE WHEN d > 1 THEN 1 / ln(1.0 + d) ELSE 1.0 END AS u FROM known k JOIN big USING (firm) JOIN crowd c ON k.cut = c.cut AND k.office = c.office),
@@ -93,8 +93,7 @@ cand AS (SELECT s.*, coalesce(f = cut + 1, false) AS positive FROM (SELECT x.cut
 
 
 def candidates(d: Domain) -> DataFrame:
-    rows = d.focus.where("status = 'F' AND amount < 60000")
-    return op.link_candidates(rows, big_firms(d), [1996, 1997, 1998])
+    return op.link_candidates(d.focus, big_firms(d), [1996, 1997, 1998])
 
 
 @query(oracle("""SELECT CAST(cut AS INT) AS cut, CAST(n AS BIGINT) AS n, CAST(np AS BIGINT) AS n_pos, round((r - np * (np + 1) / 2) / (np * (n - np)), 6) AS auc FROM (SELECT cut, count(*) AS n, sum(CASE WHEN positive THEN 1 ELSE 0 END) AS np, sum(CASE WHEN positive THEN rk ELSE 0 END) AS r FROM
@@ -121,10 +120,10 @@ def temporal_link_nulls(d: Domain, times: int = 500):
 
 @query(oracle("""SELECT a, b, first_joint, n, mid, CASE WHEN first_joint < mid - 0.5 THEN 'before' WHEN first_joint > mid + 0.5 THEN 'after' ELSE 'concurrent' END AS motif FROM
  (SELECT a, b, first_joint, count(*) AS n, median(year) AS mid FROM (SELECT DISTINCT a, b, first_joint, office, year FROM (SELECT j.a, j.b, f AS first_joint, x.office, unnest([x.year, y.year]) AS year FROM joint j JOIN held x ON x.firm = j.a JOIN held y ON y.firm = j.b AND y.office = x.office)) GROUP BY 1, 2, 3) WHERE n >= 3""",
- """big AS (SELECT firm FROM focus GROUP BY 1 ORDER BY sum(amount) DESC, firm LIMIT 60), own AS (SELECT * FROM focus SEMI JOIN big USING (firm) WHERE status = 'F' AND amount < 60000),
+ """big AS (SELECT firm FROM focus GROUP BY 1 ORDER BY sum(amount) DESC, firm LIMIT 60), own AS (SELECT * FROM focus SEMI JOIN big USING (firm)),
  held AS (SELECT DISTINCT firm, office, year FROM own), joint AS (SELECT x.firm AS a, y.firm AS b, min(x.year) AS f FROM own x JOIN own y ON x.ref = y.ref AND x.firm < y.firm GROUP BY 1, 2)"""))
 def temporal_motifs(d: Domain):
-    return op.motifs(d.focus.where("status = 'F' AND amount < 60000"), big_firms(d))
+    return op.motifs(d.focus, big_firms(d))
 
 
 @query(oracle("""SELECT period, n, round(CASE WHEN (l + r) / 2 = l * r / (n * (n - 1) / 2) THEN 1.0 ELSE (b - l * r / (n * (n - 1) / 2)) / ((l + r) / 2 - l * r / (n * (n - 1) / 2)) END, 6) AS ari FROM

@@ -77,8 +77,11 @@ def export_records(df: DataFrame, source_file: str) -> DataFrame:
     return rows.where("reference_number <> '' AND procuring_entity <> ''")
 
 
-def location(df: DataFrame) -> DataFrame:
-    """Adds province and region from a struct, a JSON string or flat columns named location.*."""
+def location(df: DataFrame, default: str | None = "Unspecified") -> DataFrame:
+    """Adds office (the province) and region from a struct, a JSON string or flat columns named location.*.
+
+    Empty and missing ones are named by the default, or null.
+    """
     kinds = dict(df.dtypes)
     if kinds.get("location", "").startswith("struct"):
         place = F.col("location")
@@ -88,8 +91,8 @@ def location(df: DataFrame) -> DataFrame:
         flat = [F.col(f"`location.{c}`") if f"location.{c}" in kinds else F.lit(None) for c in ("province", "region")]
         place = F.struct(flat[0].cast("string").alias("province"), flat[1].cast("string").alias("region"))
     named = df.withColumn("_p", place)
-    text = lambda c, default: F.coalesce(F.nullif(F.col(f"_p.{c}"), F.lit("")), F.lit(default))
-    return named.withColumn("office", text("province", "Unspecified office")).withColumn("region", text("region", "Unspecified region")).drop("_p")
+    text = lambda c, kind: F.coalesce(F.nullif(F.col(f"_p.{c}"), F.lit("")), F.lit(f"{default} {kind}" if default else None))
+    return named.withColumn("office", text("province", "office")).withColumn("region", text("region", "region")).drop("_p")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from awardlens.operators.settle import settled
+
 FOCUS = "1-URGENT"
 MONEY = "decimal(18,2)"
 
@@ -82,7 +84,16 @@ class Domain:
 
     @cached_property
     def focus(self) -> DataFrame:
-        return self.awards.where(F.col("category") == FOCUS)
+        """Awards of focus contracts: lines meet those contracts alone, and one shuffle serves the join and the distinct firms."""
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("ref"), F.col("l_suppkey").alias("firm"))
+        return lines.join(self.contracts.where(F.col("category") == FOCUS), "ref").dropDuplicates(["ref", "firm"])
+
+    def keep(self, *names: str) -> None:
+        """Write frames that several parts of a query read, once; later parts read the written tables."""
+        for name in names:
+            if name not in self._held:
+                self._held[name] = True
+                self.__dict__[name] = settled(getattr(self, name), name)
 
 
 #: The same frames as common table expressions of the oracle.
