@@ -161,3 +161,72 @@ def column_variant(columns: list[str], variants: list[str]) -> str | None:
     """The first variant that a header has, whatever its case."""
     known = {c.strip().lower(): c for c in columns}
     return next((known[v.lower()] for v in variants if v.lower() in known), None)
+
+
+#: Words of each intent, in order; words of each data source; action types of the first two tiers.
+INTENTS = {
+    "relationship_query": ("connect", "path", "link", "between", "relationship", "donate", "alliance", "ally"),
+    "analytical": ("top", "most", "highest", "risk", "flag", "hhi", "concentration", "bid", "pattern", "campaign", "donation", "saln", "wealth", "blacklist", "phoenix", "subcontract", "circular", "shell"),
+    "entity_lookup": ("who is", "what is", "tell me about", "show me"),
+}
+SOURCES = {
+    "audits": ("audit", "coa"),
+    "declarations": ("saln", "net worth", "wealth declaration"),
+    "elections": ("campaign", "donation", "soce"),
+    "blacklist": ("blacklist",),
+    "congress": ("bill", "congress", "legislat"),
+}
+ALLEGED = ("charged_pending", "flagged_review", "lookout_order", "coa_fraud_audit", "amlc_freeze", "under_investigation", "capitalization_flag", "performance_flag")
+ACTIONS = ("license_revoked", "blacklisted", "sec_cancelled")
+
+
+def _has(c: Column, words) -> Column:
+    return reduce(lambda x, y: x | y, (c.contains(w) for w in words))
+
+
+def intent(c: Column) -> Column:
+    """The first intent of which a question has a word, else `open_ended`."""
+    low, out = F.lower(c), F.lit("open_ended")
+    for name, words in reversed(INTENTS.items()):
+        out = F.when(_has(low, words), name).otherwise(out)
+    return out
+
+
+def answer_sources(c: Column) -> Column:
+    """Data sources that an answer rests on: procurement always, others by their words."""
+    low = F.lower(c)
+    return F.array_compact(F.array(F.lit("procurement"), *(F.when(_has(low, words), name) for name, words in SOURCES.items())))
+
+
+def tier(kind: Column, actions: Column, revoked: Column, in_news: Column) -> Column:
+    """How a node is shown: entity and person by kind, firms by the gravest thing on record."""
+    some = lambda names: F.coalesce(F.arrays_overlap(actions, F.array(*(F.lit(n) for n in names))), F.lit(False))
+    record = F.when(some(ALLEGED), "alleged").when(some(ACTIONS) | F.coalesce(revoked, F.lit(False)), "action").when(in_news, "news").otherwise("normal")
+    return F.when(kind == "ProcuringEntity", "entity").when(kind == "Person", "person").otherwise(record)
+
+
+#: A description's first part and its further parts, each with the column that fills it.
+DESCRIPTIONS = {
+    "contractor": ("{name} is a contractor", ("classified as {classification}", "based in {address}", "with {total_contracts} contracts", "worth PHP {total_value}")),
+    "agency": ("{name}", ("is a {type} agency", "under {department}", "with annual budget of PHP {annual_budget}")),
+    "contract": ("Contract {name}", ("for {title}", "worth PHP {amount}", "via {procurement_method}", "awarded on {award_date}")),
+    "politician": ("{name}", ("serves as {position}", "representing {province}", "of {party}", "during {term}")),
+    "municipality": ("{name}", ("in {province}", ", {region}", "with population of {population}")),
+    "family": ("The {name} family", ("in {province}", "has {member_count} members in public office", "with dynasty score of {dynasty_score}")),
+}
+_AMOUNTS = {"total_value", "annual_budget", "amount"}
+
+
+def description(kind: str, columns: list[str]) -> Column:
+    """A sentence for a node of a kind; parts without a value, or with zero, are left out."""
+    first, others = DESCRIPTIONS[kind]
+
+    def part(template: str, always: bool = False) -> Column:
+        before, name, after = template.replace("}", "{").split("{")
+        if name not in columns:
+            return F.lit(None).cast("string")
+        shown = F.format_number(name, 2) if name in _AMOUNTS else F.col(name).cast("string")
+        whole = F.concat(F.lit(before), shown, F.lit(after))
+        return whole if always else F.when(~F.coalesce(F.col(name).cast("string"), F.lit("")).isin("", "0", "0.0"), whole)
+
+    return F.concat(F.concat_ws(" ", part(first, True), *(part(t) for t in others)), F.lit("."))

@@ -7,6 +7,8 @@ pairs are aggregated before they are joined again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,3 +187,24 @@ def monthly_surges(contracts: DataFrame, times: float = 2.0) -> DataFrame:
     months = contracts.groupBy(F.date_format("award_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("val"))
     mean = months.agg(F.avg("val").alias("mean"))  # one row
     return months.crossJoin(F.broadcast(mean)).select("month", "n", F.round("val", 2).alias("val"), (F.col("val") > times * F.col("mean")).alias("surge"))
+
+
+def reported(flags: DataFrame, severities: tuple[str, ...], detected_at: str) -> DataFrame:
+    """Flags of some severities with weight, description, evidence (JSON) and the day they were found."""
+    weight = F.lit(1)
+    for name, w in WEIGHTS.items():
+        weight = F.when(F.col("severity") == name, w).otherwise(weight)
+    value = F.col("val").cast("decimal(20,2)").cast("string")
+    text = F.concat("flag", F.lit(": "), "entity_type", F.lit(" "), "entity_id", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    evidence = F.to_json(F.struct("n", value.alias("val")))
+    return flags.where(F.col("severity").isin(list(severities))).select("flag", "severity", "entity_type", "entity_id", "n", value.alias("val"), weight.alias("weight"), text.alias("description"), evidence.alias("evidence"), F.lit(detected_at).alias("detected_at"))
+
+
+def audit_topics(findings: DataFrame, topics: dict[str, tuple]) -> DataFrame:
+    """Findings and amounts by topic and kind. A topic has words of the kind, words of the text, and a whole kind."""
+    found = []
+    for topic, (in_kind, in_text, kind) in topics.items():
+        hits = [F.col("kind").contains(w) for w in in_kind] + [F.col("description").contains(w) for w in in_text] + ([F.col("kind") == kind] if kind else [])
+        found.append(F.when(reduce(lambda x, y: x | y, (F.coalesce(h, F.lit(False)) for h in hits)), F.lit(topic)))
+    each = findings.withColumn("topic", F.explode(F.array_compact(F.array(*found))))
+    return each.groupBy("topic", "kind").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("val"))

@@ -150,10 +150,10 @@ def cycles_2_4(d: Domain):
     return op.cycles(subcontracts(d), 4)
 
 
-@query(oracle("""SELECT CAST(len(used) AS INT) AS hops, array_to_string(p, '>') AS path, CAST(len(list_distinct(types)) AS INT) AS n_types FROM walk WHERE len(used) = 3 AND len(list_distinct(types)) >= 3 AND at <> (SELECT min(src) FROM chain) ORDER BY n_types DESC, hops, path LIMIT 20""", CHAIN + """,
+@query(oracle("""SELECT CAST(len(used) AS INT) AS hops, array_to_string(p, '>') AS path, CAST(len(list_distinct(types)) AS INT) AS n_types FROM walk WHERE len(used) = 3 AND len(list_distinct(types)) >= 3 AND spot <> (SELECT min(src) FROM chain) ORDER BY n_types DESC, hops, path LIMIT 20""", CHAIN + """,
 ways AS (SELECT id, src, dst, type FROM chain UNION ALL SELECT id, dst, src, type FROM chain),
-walk AS (SELECT dst AS at, [src, dst] AS p, [id] AS used, [type] AS types FROM ways WHERE src = (SELECT min(src) FROM chain) UNION ALL
- SELECT c.dst, list_append(p, c.dst), list_append(used, c.id), list_append(types, c.type) FROM walk w JOIN ways c ON c.src = w.at WHERE NOT list_contains(used, c.id) AND len(used) < 3)"""))
+walk AS (SELECT dst AS spot, [src, dst] AS p, [id] AS used, [type] AS types FROM ways WHERE src = (SELECT min(src) FROM chain) UNION ALL
+ SELECT c.dst, list_append(p, c.dst), list_append(used, c.id), list_append(types, c.type) FROM walk w JOIN ways c ON c.src = w.spot WHERE NOT list_contains(used, c.id) AND len(used) < 3)"""))
 def multi_hop_paths(d: Domain):
     """Twenty trails of three to six steps from the first firm over three kinds of edge, the most diverse and shortest first.
 

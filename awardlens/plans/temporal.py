@@ -40,9 +40,12 @@ def jv_growth(d: Domain):
     return op.cumulative_first_seen(pairs, years, "pairs_cum").join(op.cumulative_first_seen(firms, years, "firms_cum"), "year")
 
 
-@query(oracle("""SELECT a, b, shared, round(shared / (x.d + y.d - shared), 6) AS jaccard, round(x.v + y.v, 2) AS val FROM (SELECT x.firm AS a, y.firm AS b, count(*) AS shared FROM held x JOIN held y ON x.office = y.office AND x.firm < y.firm GROUP BY 1, 2) s
- JOIN big x ON x.firm = a JOIN big y ON y.firm = b WHERE shared >= 4 AND shared / (x.d + y.d - shared) >= 0.6 AND NOT EXISTS (SELECT 1 FROM focus p JOIN focus q ON p.ref = q.ref WHERE p.firm = a AND q.firm = b)""",
- """big AS (SELECT firm, count(DISTINCT office) AS d, CAST(sum(amount) AS DOUBLE) AS v FROM focus GROUP BY 1 HAVING count(*) >= 10 AND sum(amount) >= 500000), held AS (SELECT DISTINCT firm, office FROM focus SEMI JOIN big USING (firm))"""))
+FOOT = """big AS (SELECT firm, count(DISTINCT office) AS d, CAST(sum(amount) AS DOUBLE) AS v FROM focus GROUP BY 1 HAVING count(*) >= 10 AND sum(amount) >= 500000), held AS (SELECT DISTINCT firm, office FROM focus SEMI JOIN big USING (firm)),
+feet AS (SELECT a, b, shared, round(shared / (x.d + y.d - shared), 6) AS jaccard, round(x.v + y.v, 2) AS val FROM (SELECT x.firm AS a, y.firm AS b, count(*) AS shared FROM held x JOIN held y ON x.office = y.office AND x.firm < y.firm GROUP BY 1, 2) s
+ JOIN big x ON x.firm = a JOIN big y ON y.firm = b WHERE shared >= 4 AND shared / (x.d + y.d - shared) >= 0.6 AND NOT EXISTS (SELECT 1 FROM focus p JOIN focus q ON p.ref = q.ref WHERE p.firm = a AND q.firm = b))"""
+
+
+@query(oracle("SELECT * FROM feet", FOOT))
 def footprint_pairs(d: Domain):
     return op.footprints(d.focus, 10, 500_000, 4, 0.6)
 
