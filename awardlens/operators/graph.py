@@ -6,10 +6,6 @@ operators write each round's small state to the shared folder and stop when noth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,59 +90,33 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame, pivots: int = 600) -> DataFrame:
     """Betweenness from the first `pivots` nodes by id, scaled as if from all; unweighted.
 
-    Pivots are spread over tasks; each runs a breadth-first pass over the whole adjacency. The
-    adjacency is sent to the tasks, so it is checked to be under MAX_SENT_EDGES edges.
+    All pivots walk breadth-first together: a level is the join of the level before with the edges,
+    with the numbers of shortest paths summed by pivot and node; then the shares of paths go back
+    level by level. Every level is a written table of at most pivots times nodes rows.
     """
-    spark = edges.sparkSession
-    both = undirected(edges)
-    if both.count() > MAX_SENT_EDGES:
-        raise ValueError(f"betweenness sends the adjacency to every task: at most {MAX_SENT_EDGES} directed edges")
-    pairs = both.toPandas()
-    nodes = np.unique(pairs["src"].to_numpy())
-    index = {v: i for i, v in enumerate(nodes.tolist())}
-    near: list[list[int]] = [[] for _ in nodes]
-    for a, b in zip(pairs["src"], pairs["dst"], strict=True):
-        near[index[a]].append(index[b])
-    sent = spark.sparkContext.broadcast([np.array(sorted(x)) for x in near])
-    chosen = list(range(min(pivots, len(nodes))))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = sent.value
-        total = np.zeros(len(near))
-        for pdf in frames:
-            for s in pdf["pivot"]:
-                dist, paths, order = np.full(len(near), -1), np.zeros(len(near)), []
-                dist[s], paths[s], front = 0, 1, [s]
-                while front:
-                    order.append(front)
-                    new: list[int] = []
-                    for v in front:
-                        for w in near[v]:
-                            if dist[w] < 0:
-                                dist[w] = dist[v] + 1
-                                new.append(w)
-                            if dist[w] == dist[v] + 1:
-                                paths[w] += paths[v]
-                    front = new
-                back = np.zeros(len(near))
-                for level in reversed(order):
-                    for w in level:
-                        for v in near[w]:
-                            if dist[v] == dist[w] - 1:
-                                back[v] += paths[v] / paths[w] * (1 + back[w])
-                        if w != s:
-                            total[w] += back[w]
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"i": at, "part": total[at]})
-
-    scale = len(nodes) / max(1, len(chosen)) / max(1, (len(nodes) - 1) * (len(nodes) - 2))
-    work = spark.createDataFrame([(int(i),) for i in chosen], "pivot int").repartition(max(1, min(64, len(chosen))))
-    parts = work.mapInPandas(run, "i long, part double").groupBy("i").agg(F.sum("part").alias("s"))
-    names = spark.createDataFrame([(i, v) for i, v in enumerate(nodes.tolist())], "i long, id long") if len(nodes) else spark.createDataFrame([], "i long, id long")
-    return names.join(parts, "i", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)) * scale, 9).alias("betweenness"))
-
-
-MAX_SENT_EDGES = 4_000_000
+    both = settled(undirected(edges), "between-edges")
+    nodes = settled(both.select(F.col("src").alias("id")).distinct(), "between-nodes")
+    chosen = nodes.orderBy("id").limit(pivots)
+    n, k = nodes.count(), chosen.count()
+    front = settled(chosen.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("paths")), "between-level")
+    levels, seen = [front], front.select("pivot", "id")
+    while True:
+        step = front.join(both, front["id"] == both["src"]).groupBy("pivot", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        front = settled(step.join(seen, ["pivot", "id"], "left_anti"), "between-level")
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = settled(seen.unionByName(front.select("pivot", "id")), "between-seen")
+    total, behind = None, None
+    for above, level in zip(reversed(levels[:-1]), reversed(levels[1:]), strict=True):
+        held = level.withColumn("back", F.lit(0.0)) if behind is None else level.join(behind, ["pivot", "id"], "left").fillna(0.0, ["back"])
+        held = settled(held, "between-back")
+        total = held.select("id", "back") if total is None else total.unionByName(held.select("id", "back"))
+        share = held.select("pivot", F.col("id").alias("src"), ((1 + F.col("back")) / F.col("paths")).alias("share")).join(both, "src").select("pivot", F.col("dst").alias("id"), "share")
+        behind = above.join(share, ["pivot", "id"]).groupBy("pivot", "id").agg((F.first("paths") * F.sum("share")).alias("back"))
+    scale = n / max(1, k) / max(1, (n - 1) * (n - 2))
+    parts = total.groupBy("id").agg(F.sum("back").alias("s")) if total is not None else nodes.select("id", F.lit(0.0).alias("s")).limit(0)
+    return nodes.join(parts, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)) * scale, 9).alias("betweenness"))
 
 
 def distances(edges: DataFrame, start, depth: int) -> DataFrame:

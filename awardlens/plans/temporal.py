@@ -151,3 +151,24 @@ def coverage_by_year(d: Domain):
 def last_award_by(d: Domain, year: int = 1998):
     """Most recent award year up to a year, by firm and office."""
     return d.awards.where(F.col("year") <= year).groupBy("firm", "office").agg(F.max("year").alias("last_year"))
+
+
+_BY_YEAR = """yp AS (SELECT x.year, x.firm AS src, y.firm AS dst, CAST(count(*) AS DOUBLE) AS weight FROM focus x JOIN focus y ON x.ref = y.ref AND x.firm < y.firm GROUP BY 1, 2, 3), w AS (SELECT year, src, dst, weight FROM yp UNION ALL SELECT year, dst, src, weight FROM yp),
+l0 AS (SELECT DISTINCT year, src AS id, src AS label FROM w), """ + ", ".join(f"l{k} AS (SELECT year, id, max_by(label, (v, -label)) AS label FROM (SELECT w.year, w.src AS id, l.label, sum(weight) AS v FROM w JOIN l{k - 1} l ON l.id = w.dst AND l.year = w.year GROUP BY 1, 2, 3) GROUP BY 1, 2)" for k in range(1, 4)) + """,
+t AS (SELECT q.year AS period, p.label AS x, q.label AS y FROM l3 p JOIN l3 q ON p.id = q.id AND q.year = p.year + 1)"""
+
+
+@query(oracle("""SELECT period, n, round(CASE WHEN (l + r) / 2 = l * r / (n * (n - 1) / 2) THEN 1.0 ELSE (b - l * r / (n * (n - 1) / 2)) / ((l + r) / 2 - l * r / (n * (n - 1) / 2)) END, 6) AS ari FROM
+ (SELECT period, sum(c * (c - 1) / 2) AS b, CAST(sum(c) AS BIGINT) AS n FROM (SELECT period, x, y, count(*) AS c FROM t GROUP BY 1, 2, 3) GROUP BY 1) JOIN
+ (SELECT period, sum(c * (c - 1) / 2) AS l FROM (SELECT period, x, count(*) AS c FROM t GROUP BY 1, 2) GROUP BY 1) USING (period) JOIN
+ (SELECT period, sum(c * (c - 1) / 2) AS r FROM (SELECT period, y, count(*) AS c FROM t GROUP BY 1, 2) GROUP BY 1) USING (period)""", _BY_YEAR))
+def communities_over_years(d: Domain):
+    """Likeness of consecutive years' communities of joint awards; all years run as one graph."""
+    from awardlens.operators import graph, rollups
+
+    node = lambda c: F.col("year").cast("long") * F.lit(1 << 40) + F.col(c)
+    pairs = rollups.co_pairs(d.focus, carry=("year",)).groupBy("year", "a", "b").agg(F.count("*").cast("double").alias("weight"))
+    labels = graph.label_propagation(pairs.select(node("a").alias("src"), node("b").alias("dst"), "weight"), 3)
+    named = labels.select(F.floor(F.col("id") / (1 << 40)).cast("int").alias("year"), (F.col("id") % (1 << 40)).alias("firm"), (F.col("label") % (1 << 40)).alias("label"))
+    after = named.select((F.col("year") - 1).alias("year"), "firm", F.col("label").alias("y"), F.col("year").alias("period"))
+    return op.adjusted_rand(named.withColumnRenamed("label", "x").join(after, ["year", "firm"]).select("period", "x", "y"))
