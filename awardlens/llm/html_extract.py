@@ -334,7 +334,12 @@ def train(pages: list[tuple[list[list[int]], list[int]]], epochs: int = 12, rate
     return field
 
 
-_SYLLABLES = "an ber ción des eau en er ge ing ja ko la lo men mi na nd on os ou pa que re ri sa st ta te th tion un ver wh é ü ß ñ".split()
+_VOCABULARY = """the a of and to in is was for on with as by at from this that it are be have had not but which were one all their when more
+ will would there she he they we you been its who has about after city water school work house year people government report market
+ river mountain garden letter music history science winter summer morning evening family children teacher doctor market price money
+ der die das und ist nicht ein eine mit auf für von werden über nach Stadt Straße Jahr Menschen Wasser Arbeit Schule
+ el la los las que en un una por con para como más pero sus también año años ciudad agua trabajo niños mañana
+ le les des est une dans pour qui sur avec pas plus où été ville eau travail enfants année être""".split()
 
 
 def labelled_pages(n: int = 360, seed: int = 17) -> list[tuple[str, list[tuple[str, int]]]]:
@@ -342,7 +347,7 @@ def labelled_pages(n: int = 360, seed: int = 17) -> list[tuple[str, list[tuple[s
     r = random.Random(seed)
 
     def word() -> str:
-        return "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
+        return r.choice(_VOCABULARY)
 
     def words(a: int, b: int) -> str:
         return " ".join(word() for _ in range(r.randint(a, b)))
@@ -350,12 +355,14 @@ def labelled_pages(n: int = 360, seed: int = 17) -> list[tuple[str, list[tuple[s
     def sentence() -> str:
         style = r.random()
         text = words(3, 18)
-        if style < 0.08:
-            return text.upper() + "!!"
-        if style < 0.16:
-            return " ".join(w + r.choice(("***", "&&&", "$$$", "%%%", "###")) for w in text.split())
+        if style < 0.05:
+            return text.upper() + "!"
+        if style < 0.12:
+            return f"\u201c{text.capitalize()},\u201d said {word().capitalize()} {word().capitalize()}."
         if style < 0.2:
-            return " | ".join(text.split())
+            return f"{text.capitalize()} {r.randint(2, 2030)}, {words(1, 6)} ({r.randint(1, 99)} %)."
+        if style < 0.26:
+            return f"{text.capitalize()}: {words(2, 5)}; {words(2, 5)} \u2014 {words(1, 4)}"
         return text.capitalize() + r.choice((".", ".", ".", "?", ",", ""))
 
     def paragraph() -> str:
@@ -405,7 +412,7 @@ def labelled_pages(n: int = 360, seed: int = 17) -> list[tuple[str, list[tuple[s
                 if style < 0.62:
                     out.append(f"<p>{text(paragraph(), 1)}</p>")
                 elif style < 0.7:
-                    out.append(f"<p><b>{text(sentence(), 1)}<br>")
+                    out.append(f"<p>{text(sentence(), 1)}")
                 elif style < 0.76:
                     out.append(f"<h3>{text(words(1, 6), 1)}</h3>")
                 elif style < 0.84:
