@@ -26,10 +26,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import byte_column, is_held_out, slices
+from awardlens.llm.text import byte_column, is_held_out, row_of, slices, tidy
 
 WIDTH, STRIDE, FILTERS, SEGMENT, HIDDEN, EMBEDDED = 8, 4, 24, 128, 16, 8
 SLICE = 192 << 10
@@ -252,7 +253,21 @@ def scored(docs: DataFrame, net: Network, text: str = "text", score: str = "scor
             p = probabilities(model.value, byte_column(batch, text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, score])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(tidy(run), schema)
+
+
+def kept(docs: DataFrame, net: Network, least: float, text: str = "text") -> DataFrame:
+    """The input rows, whatever their columns, whose score is `least` or more."""
+    model = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.struct_field(batch.column("row"), text).cast(pa.large_binary()).to_pylist()
+            p = probabilities(model.value, [t or b"" for t in texts])
+            yield batch.filter(pa.array(p >= least))
+
+    rows = docs.select(row_of(docs).alias("row"))
+    return rows.mapInArrow(tidy(run), rows.schema).select("row.*")
 
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, remainder: int = 0) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import byte_column, word_pieces
+from awardlens.llm.text import byte_column, tidy, word_pieces
 
 #: Fixed phrases of the base scan and their labels.
 PHRASES = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserved": "reserved"}
@@ -168,7 +168,7 @@ def word_order(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> dict
                     total.update(filter(vocabulary.__contains__, words_of(piece)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select(F.col(text).alias("t")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text).alias("t")).mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     seen = {bytes(r.word): r.n for r in counts.collect()}  # as many rows as the templates have words
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
 
@@ -243,7 +243,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, text: str
     places_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     found_type = pa.list_(pa.struct([("rank", pa.int32()), ("at", pa.int32()), ("window", pa.int32()), ("first_word", pa.int64()), ("ranks", pa.list_(pa.int32()))]))
     schema = "row long, doc_id long, n_words long, places array<struct<word: long, label: string>>, found array<struct<rank: int, at: int, window: int, first_word: long, ranks: array<int>>>"
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, schema)
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidy(run), schema)
     table = F.broadcast(spark.createDataFrame(prefix, "rank int, t_window int, template int, label string, t_at int, t_size int, need int, t_ranks array<int>, needs array<int>, bars array<int>"))
     each = scanned.select("row", "doc_id", "n_words", "places", F.explode_outer("found").alias("c"))
     size = F.size("c.ranks")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from awardlens.llm.components import components
 from awardlens.llm.leaders import led
-from awardlens.llm.text import byte_column, shingles, slices, stored
+from awardlens.llm.text import byte_column, shingles, slices, stored, tidy
 
 PERMUTATIONS, SHINGLE = 64, 5
 _R = np.random.default_rng(77)
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, text: str = "text") -> Da
             sig = signatures(byte_column(batch, "t"), size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.astype(">u4").tobytes().hex() for s in sig], pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidy(run), "doc_id long, fingerprint string")
 
 
 # ------------------------------------------------------------------ each document with the next one
@@ -145,7 +145,7 @@ def successor_report(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 if rows:
                     yield report(rows)
 
-    return with_next(docs).mapInArrow(run, schema)
+    return with_next(docs).mapInArrow(tidy(run), schema)
 
 
 # ------------------------------------------------------------------ near duplicates
@@ -164,7 +164,7 @@ def banded(docs: DataFrame, bands: int = 16, size: int = SHINGLE) -> DataFrame:
             keys = [[f"{k:02x}" + s[k * width : (k + 1) * width].tobytes().hex() for k in range(bands)] for s in sig]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.string()))], names=["node", "bands"])
 
-    marked = docs.select("node", "t").mapInArrow(run, "node string, bands array<string>").select("node", F.explode("bands").alias("band"))
+    marked = docs.select("node", "t").mapInArrow(tidy(run), "node string, bands array<string>").select("node", F.explode("bands").alias("band"))
     marked = stored(marked, "minhash-bands")
     least = marked.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     few = F.broadcast(least.where(F.col("n") > (held := max(64, marked.count() // 100_000))).select("band", F.col("least").alias("hot")))  # at most 100,000 bands
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, s
                 sets = [np.unique(h[e - c : e]).view(np.int64) for e, c in zip(end, count, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("root").slice(a, b - a), batch.column("node").slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["root", "node", "set"])
 
-    sets = nodes.select("node", "t").join(groups, "node").select("root", "node", "t").mapInArrow(run, "root string, node string, set array<long>")
+    sets = nodes.select("node", "t").join(groups, "node").select("root", "node", "t").mapInArrow(tidy(run), "root string, node string, set array<long>")
     found = led(sets, similarity)
     lows = nodes.select("node", "hash", "low").join(found, "node", "left")
     lead = nodes.select(F.col("node").alias("leader"), F.col("low").alias("lead_low"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import BROADCAST_ROWS, byte_column, stored, word_pieces
+from awardlens.llm.text import BROADCAST_ROWS, byte_column, stored, tidy, word_pieces
 
 WINDOW = 2048
 END_ID = 1
@@ -177,7 +177,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(splits, pa.int64()), batch.column("place"), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "split", "place", "start", "n", "ids"])
         encoder.cache.clear()
 
-    return source.mapInArrow(run, "doc_id long, split long, place string, start long, n long, ids binary")
+    return source.mapInArrow(tidy(run), "doc_id long, split long, place string, start long, n long, ids binary")
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, text: str = "text", place: tuple[str, ...] = ()) -> DataFrame:
@@ -216,7 +216,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), pa.array(out[7], pa.binary())], names=[*names, "ids"])
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return placed.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", ids binary")
+    return placed.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names) + ", ids binary")
 
 
 def padded_length(used: int, window: int = WINDOW) -> int:

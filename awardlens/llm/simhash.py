@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from awardlens.llm.components import components
 from awardlens.llm.leaders import led
-from awardlens.llm.text import byte_column, mix, row_of, shingles, slices, stored, word_pieces
+from awardlens.llm.text import byte_column, mix, row_of, shingles, slices, stored, tidy, word_pieces
 
 #: Hashes whose bits are counted at a time.
 HELD = 1 << 20
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, size: int = 3, text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([f"{f:016x}" for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "text_hash", "fp", "n_shingles"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("text_hash"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, fp string, n_shingles long")
+    return source.mapInArrow(tidy(run), "doc_id long, text_hash long, fp string, n_shingles long")
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -108,7 +108,7 @@ def set_fingerprints(docs: DataFrame, size: int = 5, words: int = 4) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([f for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "text_hash", "fp", "n_shingles"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"), F.xxhash64("text").alias("text_hash"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, fp string, n_shingles long")
+    return source.mapInArrow(tidy(run), "doc_id long, text_hash long, fp string, n_shingles long")
 
 
 # ------------------------------------------------------------------ trie join inside a task
@@ -322,7 +322,7 @@ def _joined(rows: DataFrame, words: int, blocks: int, first: Budget, totals: tup
             at = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.string()), pa.array([names[i] for i in root[at]], pa.string())], names=["src", "dst"])
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "src string, dst string").where("src <> dst").distinct()
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(tidy(run), "src string, dst string").where("src <> dst").distinct()
 
 
 def _first_bits(block: int, width: int, depth: int):
@@ -410,7 +410,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 at = b
 
     texts = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), F.col("text").alias("t")).dropDuplicates(["key"])
-    return wanted.join(texts, "key").select("root", "name", "t").mapInArrow(run, "root string, node string, set array<long>")
+    return wanted.join(texts, "key").select("root", "name", "t").mapInArrow(tidy(run), "root string, node string, set array<long>")
 
 
 def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,21 @@ def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [v or b"" for v in values]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back when it ends, since workers live on between stages."""
+
+    def ended(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where there is no such C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return ended
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes each (one row at least)."""
     start, held = 0, 0
