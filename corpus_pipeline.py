@@ -32,7 +32,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     everything = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = cnn.train(everything, labels)
-    return cnn.scored(docs.select(row_of(docs).alias("row"), "text"), net).where(F.col("score") >= KEEP_SCORE).select("row.*")
+    return cnn.kept(docs, net, KEEP_SCORE)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
