@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from awardlens.operators.embed import swapped_edges
 from awardlens.operators.rollups import co_pairs
+from awardlens.operators.settle import settled
 
 
 def split_value(awards: DataFrame) -> DataFrame:
@@ -99,19 +101,26 @@ def pettitt(series: DataFrame) -> DataFrame:
     return means
 
 
+#: ln 2 / 2: shared offices lose half their weight in two years.
+HALF_LIFE = 0.34657359027997264
+
+
+def known_by(awards: DataFrame, cuts: list[int]) -> DataFrame:
+    """Firms' offices by each cut year, with the last year of an award."""
+    spine = F.broadcast(awards.sparkSession.createDataFrame([(c,) for c in cuts], "cut int"))
+    return awards.join(spine, F.col("year") <= F.col("cut")).groupBy("cut", "firm", "office").agg(F.max("year").alias("last"))
+
+
 def link_candidates(awards: DataFrame, big: DataFrame, cuts: list[int]) -> DataFrame:
     """Pairs of big firms that share an office by a cut year and have no joint award by then.
 
     Gives cut, a, b, a decayed Adamic-Adar score over shared offices, and whether their first joint award
     falls in the following year. All cuts run in one plan.
     """
-    spark = awards.sparkSession
-    spine = F.broadcast(spark.createDataFrame([(c,) for c in cuts], "cut int"))
-    half = 0.34657359027997264  # ln 2 / 2: a half-life of two years
-    known = awards.join(spine, F.col("year") <= F.col("cut")).groupBy("cut", "firm", "office").agg(F.max("year").alias("last"))
+    known = known_by(awards, cuts)
     crowd = known.groupBy("cut", "office").agg(F.count("*").alias("d"))
     held = known.join(F.broadcast(big), "firm", "left_semi").join(crowd, ["cut", "office"])
-    fresh = F.exp(-half * (F.col("cut") - F.col("last")))
+    fresh = F.exp(-HALF_LIFE * (F.col("cut") - F.col("last")))
     rows = held.withColumn("w", fresh).withColumn("u", F.when(F.col("d") > 1, 1 / F.log(1.0 + F.col("d"))).otherwise(F.lit(1.0)))
     x = rows.select("cut", "office", F.col("firm").alias("a"), F.col("w").alias("wa"), "u")
     y = rows.select("cut", "office", F.col("firm").alias("b"), F.col("w").alias("wb"))
@@ -139,6 +148,36 @@ def permutation_nulls(rows: DataFrame, times: int, seed: int = 42) -> DataFrame:
     return auc(shuffled, ["cut", "replicate"])
 
 
+def rewired_nulls(candidates: DataFrame, known: DataFrame, times: int, rounds: int = 10) -> DataFrame:
+    """AUC by cut and replicate of the candidates' scores on graphs with the same degrees.
+
+    `known` has the scored firms' offices (cut, firm, office, last). All cuts and replicates are rewired together.
+    """
+    known = settled(known.select("cut", "firm", "office", "last"), "known-offices")
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(times).cast("long")))
+    graphs = known.withColumn("k", number).select((F.col("cut") * F.lit(times).cast("long") + F.col("k")).alias("replicate"), F.col("firm").alias("left"), F.col("office").alias("right"))
+    place = F.col("replicate") - 1
+    moved = swapped_edges(graphs, rounds).select(F.floor(place / times).cast("int").alias("cut"), (place % times + 1).alias("replicate"), F.col("left").alias("firm"), F.col("right").alias("office"))
+    return rewired_auc(candidates, known, moved, times)
+
+
+def rewired_auc(candidates: DataFrame, known: DataFrame, graphs: DataFrame, times: int) -> DataFrame:
+    """AUC by (cut, replicate) of graphs(cut, replicate, firm, office).
+
+    A firm's new office counts as fresh, an old one keeps its last year; a candidate without a shared office scores zero.
+    """
+    dated = graphs.join(known, ["cut", "firm", "office"], "left")
+    crowd = graphs.groupBy("cut", "replicate", "office").agg(F.count("*").alias("d"))
+    w = F.exp(-HALF_LIFE * (F.col("cut") - F.coalesce("last", "cut")))
+    rows = dated.join(crowd, ["cut", "replicate", "office"]).withColumn("w", w).withColumn("u", F.when(F.col("d") > 1, 1 / F.log(1.0 + F.col("d"))).otherwise(F.lit(1.0)))
+    x = rows.select("cut", "replicate", "office", F.col("firm").alias("a"), F.col("w").alias("wa"), "u")
+    y = rows.select("cut", "replicate", "office", F.col("firm").alias("b"), F.col("w").alias("wb"))
+    sums = x.join(y, ["cut", "replicate", "office"]).where("a < b").groupBy("cut", "replicate", "a", "b").agg(F.round(F.sum(F.col("u") * F.col("wa") * F.col("wb")), 9).alias("score"))
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(times).cast("long"))).alias("replicate")
+    every = candidates.select("cut", "a", "b", "positive", number).join(sums, ["cut", "replicate", "a", "b"], "left")
+    return auc(every.withColumn("score", F.coalesce("score", F.lit(0.0))), ["cut", "replicate"])
+
+
 def motifs(awards: DataFrame, big: DataFrame, least: int = 3) -> DataFrame:
     """Joint pairs of big firms: is their first joint award before, after or around the median year of their shared offices' awards?"""
     own = awards.join(F.broadcast(big), "firm", "left_semi")

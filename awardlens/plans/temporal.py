@@ -117,7 +117,21 @@ def temporal_link_nulls(d: Domain, times: int = 500):
     """The share of random orders of all focus contracts' candidates that reach the observed AUC, by cut."""
     rows = settled(op.link_candidates(d.focus, big_firms(d), [1996, 1997, 1998]), "link-candidates")
     seen = op.auc(rows, ["cut"]).select("cut", F.col("auc").alias("observed"))
-    nulls = op.permutation_nulls(rows, times).join(seen, "cut")
+    return reached(op.permutation_nulls(rows, times).join(seen, "cut"))
+
+
+@query()
+def temporal_link_rewired(d: Domain, times: int = 120):
+    """The share of graphs with the same degrees whose scores reach the observed AUC, by cut."""
+    cuts, big = [1996, 1997, 1998], big_firms(d)
+    rows = settled(op.link_candidates(d.focus, big, cuts), "link-candidates")
+    seen = op.auc(rows, ["cut"]).select("cut", F.col("auc").alias("observed"))
+    known = op.known_by(d.focus.join(big, "firm", "left_semi"), cuts)
+    return reached(op.rewired_nulls(rows, known, times).join(seen, "cut"))
+
+
+def reached(nulls: DataFrame) -> DataFrame:
+    """By cut: how often a null's AUC is as high as the observed one (with one added), and the nulls' mean."""
     return nulls.groupBy("cut", "observed").agg(((F.count(F.when(F.col("auc") >= F.col("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p_value"), F.avg("auc").alias("null_mean"))
 
 

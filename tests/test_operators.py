@@ -317,3 +317,29 @@ def test_rewiring_keeps_degrees(spark):
         own = [(r.left, r.right) for r in got if r.replicate == k]
         assert len(set(own)) == len(own) == len(edges) and set(own) != set(edges)
         assert Counter(a for a, _ in own) == Counter(a for a, _ in edges) and Counter(b for _, b in own) == Counter(b for _, b in edges)
+
+
+def test_auc_of_rewired_graphs(spark):
+    rnd = random.Random(8)
+    firms, offices, cuts, times = range(8), [f"o{i}" for i in range(5)], (1996, 1997), 3
+    known = {(c, f, o): rnd.randint(1993, c) for c in cuts for f in firms for o in offices if rnd.random() < 0.5}
+    pairs = {(c, a, b): rnd.random() < 0.4 for c in cuts for a, b in itertools.combinations(firms, 2)}
+    graphs = {(c, k): {(f, o) for f in firms for o in offices if rnd.random() < 0.5} for c in cuts for k in range(1, times + 1)}
+    want = {}
+    for (c, k), edges in graphs.items():
+        degree = {o: sum(x == o for _, x in edges) for o in offices}
+        fresh = lambda f, o, c=c: 2 ** (-(c - known.get((c, f, o), c)) / 2)
+        score = {}
+        for a, b in itertools.combinations(firms, 2):
+            shared = [o for o in offices if (a, o) in edges and (b, o) in edges]
+            score[a, b] = round(sum((1 / math.log(1 + degree[o])) * fresh(a, o) * fresh(b, o) for o in shared), 9)
+        yes = [v for p, v in score.items() if pairs[c, *p]]
+        no = [v for p, v in score.items() if not pairs[c, *p]]
+        want[c, k] = sum((x > y) + (x == y) / 2 for x in yes for y in no) / (len(yes) * len(no))
+    known = spark.createDataFrame([(*p, y) for p, y in known.items()], "cut int, firm long, office string, last int")
+    pairs = spark.createDataFrame([(*p, y) for p, y in pairs.items()], "cut int, a long, b long, positive boolean")
+    drawn = spark.createDataFrame([(c, k, *e) for (c, k), edges in graphs.items() for e in edges], "cut int, replicate long, firm long, office string")
+    got = {(r.cut, r.replicate): r.auc for r in temporal.rewired_auc(pairs, known, drawn, times).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+    nulls = temporal.rewired_nulls(pairs, known, times, 2).collect()
+    assert {(r.cut, r.replicate) for r in nulls} == set(want)
