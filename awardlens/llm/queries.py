@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from awardlens.llm import cnn, html_extract, license_scan, lm, minhash, mixing, packing, quality_rules, simhash, url_filter
+from awardlens.llm import chat_format, cnn, divergence, html_extract, license_scan, lm, minhash, mixing, packing, prefix_trie, quality_rules, simhash, url_filter
 from awardlens.llm.text import stored
 
 
@@ -58,6 +58,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(chat_format.PLANTED, table.schema)
+    return chat_format.digest(chat_format.examples(table.unionByName(planted)))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(_table(spark, sf_dir, "documents"))
+
+
 def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -69,10 +83,10 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    every = (op1_license_scan, op2_language_model, op3_packing, op4_minhash, op5_quality_rules, op6_html_extract, op7_url_filter, op8_simhash, op9_quality_classifier, op10_mixing, minhash_near_duplicates, quality_ablation)
+    every = (op1_license_scan, op2_language_model, op3_packing, op4_minhash, op5_quality_rules, op6_html_extract, op7_url_filter, op8_simhash, op9_quality_classifier, op10_mixing, op11_chat_format, op12_prefix_trie, op13_source_divergence, minhash_near_duplicates, quality_ablation)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express a query."""
-    return {"op1_license_scan": license_scan.oracle(), "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE, "quality_ablation": quality_rules.ablation_oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE, "quality_ablation": quality_rules.ablation_oracle(), "op11_chat_format": chat_format.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_source_divergence": divergence.ORACLE}
