@@ -46,7 +46,7 @@ def test_each_example_is_its_context_and_one_trainable_reply(spark):
         assert r.loss == (turns[-1][3] if turns[-1][2] == "assistant" else "")
         assert (turns[-1][2] == "assistant") or (r.last and r.loss_chars == 0)
         body = re.sub(r"<\|im_start\|>|<\|im_end\|>", "", r.text)
-        assert not re.search(r"<\||</?s>|</?SYS>>|\[/?INST\]", body)
+        assert not re.search(r"<\||</?s>|<</?SYS>>|\[/?INST\]", body)
 
 
 def test_extra_columns_empty_tables_and_templates(spark):
