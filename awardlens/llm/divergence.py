@@ -20,27 +20,31 @@ columns are not read, whatever their names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import BROADCAST_ROWS, stored, tidy
+from awardlens.llm.text import BROADCAST_ROWS, byte_column, stored, tidy
 
-#: Letters A to Z in either case and everything beyond ASCII.
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+#: Letters A to Z in either case and everything beyond ASCII, over UTF-8 bytes.
+TERM = re.compile(rb"[A-Za-z\x80-\xFF]+")
+LOWER = bytes(c + 32 if 0x41 <= c < 0x5B else c for c in range(256))
 SCALE = 1_000_000_000
 SMOOTH = 5
-#: Entries that a task holds before it sends them on, and characters of a text that are cut into terms at a time.
-HELD, PIECE = 200_000, 1 << 20
+#: Entries that a task holds before it sends them on (about 200 bytes each), and bytes of a text that are cut into terms at a time.
+HELD, PIECE = 1_000_000, 1 << 20
+#: A term's occurrences and documents in one number: the documents in the lower 32 bits. Both fit, since it is sent after READ bytes.
+DOCS, READ = 1 << 32, 1 << 30
 
 COUNTED = "lang string, source string, term string, n long, n_docs long"
 
 
-def text_terms(text: str) -> Iterator[list[str]]:
-    """The terms of a text, a piece of about PIECE characters at a time; pieces end where a term ends."""
+def text_terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, a piece of about PIECE bytes at a time; pieces end where a term ends."""
     at = 0
     while len(text) - at > PIECE:
         cut = at + PIECE
@@ -48,41 +52,35 @@ def text_terms(text: str) -> Iterator[list[str]]:
         cut = run.end() if run else cut
         yield TERM.findall(text[at:cut].translate(LOWER))
         at = cut
-    yield TERM.findall(text[at:].translate(LOWER))
+    yield TERM.findall((text[at:] if at else text).translate(LOWER))
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each (lang, source, term), summed as far as a task holds them."""
-    held: dict[tuple[str, str], dict[str, list[int]]] = {}
-    entries = 0
-
-    def sent() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs) for (lang, source), terms in held.items() for term, (n, docs) in terms.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
+    entries = read = 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in held.items():
+            n = np.fromiter(terms.values(), dtype=np.int64, count=len(terms))
+            columns = [pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.string()), pa.array(n // DOCS), pa.array(n % DOCS)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "n_docs"])
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "n_docs"])
 
     for batch in batches:
-        langs, sources, texts = (batch.column(c) for c in ("lang", "source", "text"))
-        for i in range(batch.num_rows):
-            group = held.setdefault((langs[i].as_py() or "", sources[i].as_py() or ""), {})
-            own: dict[str, int] = {}
-            for terms in text_terms(texts[i].as_py() or ""):
-                for t in terms:
-                    own[t] = own.get(t, 0) + 1
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), byte_column(batch, "text"), strict=True):
+            group = held.setdefault((lang or "", source or ""), {})
+            entries -= len(group)
+            own: Counter[bytes] = Counter()
+            for terms in text_terms(text):
+                own.update(terms)
             for t, n in own.items():
-                if (seen := group.get(t)) is None:
-                    group[t] = [n, 1]
-                    entries += 1
-                else:
-                    seen[0] += n
-                    seen[1] += 1
-            if entries > HELD:
-                yield sent()
-                entries = 0
-    if held:
-        yield sent()
+                group[t] = group.get(t, 0) + n * DOCS + 1
+            entries, read = entries + len(group), read + len(text)
+            if entries > HELD or read > READ:
+                yield from sent()
+                entries = read = 0
+    yield from sent()
 
 
 def share(count: Column, total: Column, kinds: Column) -> Column:

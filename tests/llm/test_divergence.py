@@ -52,9 +52,11 @@ def test_report_matches_brute_force(spark):
 def test_small_pieces_held_entries_and_joins_change_nothing(spark, monkeypatch):
     rows = rows_of()
     text = "Abc déf 12 " * 50 + "x" * 300
-    assert sum((x for x in d.text_terms(text)), []) == [t.lower() for t in re.findall(r"[^\W\d_]+", text)]
+    words = [t.lower().encode() for t in re.findall(r"[^\W\d_]+", text)]
+    assert sum(d.text_terms(text.encode()), []) == words
     monkeypatch.setattr(d, "PIECE", 7)
-    assert sum((x for x in d.text_terms(text)), []) == [t.lower() for t in re.findall(r"[^\W\d_]+", text)]
+    assert sum(d.text_terms(text.encode()), []) == words
+    monkeypatch.setattr(d, "HELD", 20)
     monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
     assert {tuple(r) for r in d.report(spark.createDataFrame(rows, SCHEMA), 3).collect()} == brute(rows, 3)
 
