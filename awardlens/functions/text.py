@@ -122,11 +122,16 @@ def company_name(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(short, "[.,;:]", ""), r"\s+", " ")), F.lit(""))
 
 
+#: Generation suffixes of persons' names, taken out in this order, and particles that are joined (fixed values).
+GENERATIONS = (", JR.", ", SR.", ", III", ", II", ", IV", " JR.", " SR.", " III", " II", " IV")
+PARTICLES = ((r"\bDE\s+LA\s+", "DELA "), (r"\bDE\s+LOS\s+", "DELOS "), (r"\bDE\s+LAS\s+", "DELAS "), (r"\bDEL\s+", "DEL "))
+
+
 def person_name(c: Column) -> Column:
-    """A person's name without generation suffixes, particles joined."""
-    up = F.regexp_replace(F.upper(c), r"\b(JR|SR|II|III|IV)\b\.?", "")
-    joined = F.regexp_replace(F.regexp_replace(up, r"\bDE LA\b", "DELA"), r"\bDE LOS\b", "DELOS")
-    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"[^A-Z\s,]", " "), r"\s+", " "))
+    """A person's name in capitals without generation suffixes, particles joined, letters of any script kept; empty for null."""
+    bare = reduce(lambda x, s: F.replace(x, F.lit(s), F.lit("")), GENERATIONS, F.trim(F.upper(c)))
+    joined = reduce(lambda x, p: F.regexp_replace(x, *p), PARTICLES, bare)
+    return F.coalesce(F.trim(F.regexp_replace(joined, r"\s+", " ")), F.lit(""))
 
 
 def surname(c: Column) -> Column:

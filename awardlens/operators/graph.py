@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from awardlens.operators.settle import settled
+from awardlens.operators.settle import path_exists, settled
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         fresh = settled(step.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("c2", "c")).alias("component")), "component-labels")
         labels = fresh.select("id", "component")
         if fresh.where("old <> component").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
 def component_stats(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,6 +68,43 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return rank
 
 
+def pagerank_converged(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100, every: int = 4, resume: str | None = None) -> DataFrame:
+    """`id, rank` of directed weighted edges, until the ranks' changes sum to less than nodes * `tolerance` in a round.
+
+    Nodes without outgoing weight share their rank among all nodes. After `every` rounds the state is
+    written and the last change measured; `most` rounds without standing still are an error. With a
+    folder in `resume` the written states are kept there, and a later call goes on from the last one.
+    """
+    spark = edges.sparkSession
+    e = edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")).where("weight > 0")
+    out = e.groupBy("src").agg(F.sum("weight").alias("out"))
+    move = settled(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "rank-shares")
+    ends = move.select(F.col("src").alias("id"), F.lit(1).alias("gives")).unionByName(move.select(F.col("dst").alias("id"), F.lit(0).alias("gives")))
+    nodes = settled(ends.groupBy("id").agg(F.max("gives").alias("gives")), "rank-nodes")
+    n = nodes.count()
+    if not n:
+        return nodes.select("id", F.lit(0.0).alias("rank"))
+    rounds = range(every, most + every, every)
+    done = [r for r in rounds if resume and path_exists(spark, f"{resume}/round={r}/_SUCCESS")]
+    state = spark.read.parquet(f"{resume}/round={done[-1]}") if done else nodes.select("id", "gives", F.lit(1.0 / n).alias("rank"), F.lit(float("inf")).alias("before"))
+    for r in rounds:
+        if done and r <= done[-1]:
+            continue
+        for _ in range(every):
+            idle = state.where("gives = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle"))  # one row
+            came = move.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
+            fresh = (1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.col("idle") / n)
+            state = state.join(came, "id", "left").crossJoin(F.broadcast(idle)).select("id", "gives", fresh.alias("fresh"), F.col("rank").alias("before")).withColumnRenamed("fresh", "rank")
+        if resume:
+            state.write.mode("overwrite").parquet(f"{resume}/round={r}")
+            state = spark.read.parquet(f"{resume}/round={r}")
+        else:
+            state = settled(state, "ranks")
+        if state.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
+            return state.select("id", "rank")
+    raise RuntimeError(f"ranks still change after {most} rounds")
+
+
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """`id, label` after rounds of taking the neighbours' heaviest label, ties to the smallest."""
     e = edges.select("src", "dst", "weight")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -57,7 +58,7 @@ def _jaro_winkler(a: str, b: str) -> float:
     m = len(hits)
     if not m:
         return 0.0
-    moved = sum(x != y for x, y in zip(hits, (c for c, u in zip(b, used, strict=True) if u), strict=True)) / 2
+    moved = sum(x != y for x, y in zip(hits, (c for c, u in zip(b, used, strict=True) if u), strict=True)) // 2
     jaro = (m / la + m / lb + (m - moved) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):
@@ -84,28 +85,58 @@ def _places(name):
     return F.transform(F.sort_array(numbered), lambda x: F.concat(x["c"], x["k"].cast("string")))
 
 
+#: Names of lengths within this factor share a band.
+BAND = 1.25
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(BAND) + 1e-9).cast("int")
+
+
+def _keys(kind: str, least_sum: float, first: Column) -> Column:
+    """A name's keys for partners of every band of lengths: the bands, a first letter and a numbered letter.
+
+    With m common letters the Jaro similarity is at most (m / |a| + m / |b| + 1) / 3, so a bound on it is one on
+    m / |a| + m / |b|, here `least_sum`: m is least_sum * |a| * |b| / (|a| + |b|) or more, and |b| between
+    (least_sum - 1) * |a| and |a| / (least_sum - 1). Of a name's letters in a fixed order all but m - 1 are keys.
+    """
+    n, own = F.col("n"), _band(F.col("n"))
+    bands = F.sequence(_band(F.greatest(F.lit(1), F.ceil((least_sum - 1) * n - 1e-9))), _band(F.floor(n / (least_sum - 1) + 1e-9)))
+
+    def of_band(band: Column) -> Column:
+        # no partner of the band is shorter than this, and shorter ones need fewer common letters
+        shortest = F.greatest(F.lit(1.0), F.ceil(F.pow(F.lit(BAND), band) - 1e-6), F.ceil((least_sum - 1) * n - 1e-9))
+        needed = F.greatest(F.lit(1), F.ceil(least_sum * n * shortest / (n + shortest) - 1e-6).cast("int"))
+        letters = F.slice("letters", 1, F.greatest(F.lit(0), n - needed + 1))
+        return F.transform(letters, lambda x: F.struct(F.lit(kind).alias("kind"), F.least(own, band).alias("low"), F.greatest(own, band).alias("high"), first.alias("first"), x.alias("letter")))
+
+    return F.flatten(F.transform(bands, of_band))
+
+
 def fuzzy_matches(names: DataFrame, least: float = 0.85) -> DataFrame:
     """Pairs a < b of distinct names whose Jaro-Winkler similarity reaches `least`; no pair is lost.
 
-    Of names with the same first letter at most four letters more count, so their Jaro similarity is
-    (least - 0.4) / 0.6 at least, of others `least`. With m common letters it is at most (m / |a| + m / |b| + 1) / 3,
-    which bounds m from below. Names meet where they share a first letter, or one of the numbered letters
-    in the prefix that this bound leaves; the common letters are counted before a pair is compared.
+    At most four equal letters at the start add to a Jaro similarity over 0.7, so names with the same first
+    letter need (least - 0.4) / 0.6 or 0.7 of it, others `least`. Either bound makes a prefix join over numbered
+    letters (the rarer, later ones first) within bands of lengths; a pair counts only at its first common letter,
+    so none is compared twice, and its common letters are counted before it is compared.
     """
     distinct = names.select("name").where("name <> ''").distinct().select("name", F.length("name").alias("n"), _places(F.col("name")).alias("letters"))
     distinct = settled(distinct, "fuzzy-names")
-    other = 3 * least - 1  # m / |a| + m / |b| of names with different first letters
-    prefix = F.col("n") - F.ceil((other - 1) * F.col("n") - 1e-9) + 1
-    keys = F.concat(F.array(F.concat(F.lit("p"), F.substring("name", 1, 1))), F.transform(F.slice("letters", 1, prefix.cast("int")), lambda x: F.concat(F.lit("c"), x)))
-    blocked = distinct.withColumn("key", F.explode(F.array_distinct(keys)))
-    x, y = (blocked.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("letters").alias(f"l_{c}"), "key") for c in ("a", "b"))
-    same = F.substring("a", 1, 1) == F.substring("b", 1, 1)
-    fits = same == F.startswith("key", F.lit("p"))
-    length = F.abs(F.col("n_a") - F.col("n_b")) <= F.greatest("n_a", "n_b") * 0.5
-    needed = F.when(same, 3 * (least - 0.4) / 0.6 - 1).otherwise(other) * F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
-    common = F.size(F.array_intersect("l_a", "l_b"))
-    likely = x.join(y, "key").where((F.col("a") < F.col("b")) & fits & length & (common >= needed - 1e-6)).select("a", "b").distinct()
-    return jaro_winkler(likely).where(F.col("similarity") >= least)
+    edge = least - 1e-6  # similarities are rounded to six digits
+    alike = 3 * min(edge, max((edge - 0.4) / 0.6, 0.7)) - 1
+    other = 3 * edge - 1
+    keys = F.concat(_keys("alike", alike, F.substring("name", 1, 1)), _keys("other", other, F.lit("")))
+    blocked = distinct.select("name", "n", "letters", F.explode(keys).alias("key"))
+    own = _band(F.col("n"))
+    x, y = (blocked.where(own == F.col(f"key.{side}")).select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("letters").alias(f"l_{c}"), "key") for c, side in (("x", "low"), ("y", "high")))
+    same = F.substring("x", 1, 1) == F.substring("y", 1, 1)
+    common = F.array_intersect("l_x", "l_y")
+    needed = F.when(same, alike).otherwise(other) * F.col("n_x") * F.col("n_y") / (F.col("n_x") + F.col("n_y"))
+    once = (F.col("key.low") < F.col("key.high")) | (F.col("x") < F.col("y"))
+    met = x.join(y, "key").where(once & (same == (F.col("key.kind") == "alike")))
+    likely = met.where((F.get(common, F.lit(0)) == F.col("key.letter")) & (F.size(common) >= needed - 1e-6)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return jaro_winkler(likely.select("a", "b")).where(F.col("similarity") >= least)
 
 
 def merge_map(matches: DataFrame, auto: float = 0.92) -> DataFrame:

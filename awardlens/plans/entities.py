@@ -108,6 +108,17 @@ def company_names(d: Domain):
     return d.table("part").select(F.col("p_partkey").alias("id"), fn.company_name(F.concat("p_name", _pick(F.col("p_partkey"), _ENDS))).alias("name"))
 
 
+_PERSONS = ["Maria de la Cruz, Jr.", "José Peña III", " juan  DEL\trosario ", "Ana De Los Santos Sr.", "Luz de las Alas, II", "O'Brien-Núñez, Ann", "DELA CRUZ IV"]
+_NAMED = "CASE person % 8 WHEN 0 THEN 'MARIA DELA CRUZ' WHEN 1 THEN 'JOSÉ PEÑA' WHEN 2 THEN 'JUAN DEL ROSARIO' WHEN 3 THEN 'ANA DELOS SANTOS' WHEN 4 THEN 'LUZ DELAS ALAS' WHEN 5 THEN 'O''BRIEN-NÚÑEZ, ANN' WHEN 6 THEN 'DELA CRUZ' ELSE '' END"
+
+
+@query(oracle(f"SELECT person, {_NAMED} || CASE WHEN person % 8 <> 7 THEN ' ' || surname ELSE '' END AS name FROM officials"))
+def person_names(d: Domain):
+    """Officials' names as sources write them, with particles, suffixes and letters beyond ASCII, before the family's name."""
+    given = _pick(F.col("person"), [*_PERSONS, F.lit(None).cast("string")])
+    return d.officials.select("person", fn.person_name(F.concat(given, F.lit(" "), F.lower("surname"))).alias("name"))
+
+
 @query(oracle("SELECT person, CASE WHEN person % 2 = 0 THEN surname ELSE 'CLAN' || (person % 40) END AS found FROM officials"))
 def surnames(d: Domain):
     """From `Surname, Given` and `Given Surname Jr.` forms."""
@@ -127,7 +138,7 @@ def locality_clusters(d: Domain):
     return d.firms.groupBy(F.col("home_region").alias("locality")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), "; ").alias("members")).where("n >= 2")
 
 
-@query(oracle("""SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name WHERE abs(length(x.name) - length(y.name)) <= greatest(length(x.name), length(y.name)) * 0.5)
+@query(oracle("""SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name)
  WHERE round(jaro_winkler_similarity(a, b), 6) >= 0.85""", "n AS (SELECT DISTINCT upper(p_name) AS name FROM part UNION SELECT DISTINCT upper(p_name) || 'S' FROM part)"))
 def fuzzy_matches(d: Domain):
     """Like part names, as stand-ins for contractor names."""
@@ -136,7 +147,7 @@ def fuzzy_matches(d: Domain):
 
 def _names(d: Domain) -> DataFrame:
     p = d.table("part")
-    return p.select(F.upper("p_name").alias("name")).union(p.select(F.concat(F.upper("p_name"), F.lit("S"))))
+    return p.select(fn.company_name(F.col("p_name")).alias("name")).union(p.select(fn.company_name(F.concat("p_name", F.lit("s Inc.")))))
 
 
 @query()

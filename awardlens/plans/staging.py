@@ -80,10 +80,10 @@ def merged_names(d: Domain):
 
 
 @query(oracle("""SELECT a, b, similarity, CASE WHEN similarity >= 0.92 THEN 'auto' ELSE 'review' END AS tier, CASE WHEN similarity >= 0.92 THEN CASE WHEN length(a) >= length(b) THEN a ELSE b END END AS canonical FROM
- (SELECT x.name AS a, y.name AS b, round(jaro_winkler_similarity(x.name, y.name), 6) AS similarity FROM n x JOIN n y ON x.name < y.name WHERE abs(length(x.name) - length(y.name)) <= greatest(length(x.name), length(y.name)) * 0.5) WHERE similarity >= 0.85""", "n AS (SELECT DISTINCT upper(p_brand || ' ' || p_type) AS name FROM part)"))
+ (SELECT x.name AS a, y.name AS b, round(jaro_winkler_similarity(x.name, y.name), 6) AS similarity FROM n x JOIN n y ON x.name < y.name) WHERE similarity >= 0.85""", "n AS (SELECT DISTINCT upper(p_brand || ' ' || p_type) AS name FROM part)"))
 def merge_tiers(d: Domain):
     """Like names, merged at once or left to a reviewer by their similarity."""
-    return op.match_tiers(resolve.fuzzy_matches(d.table("part").select(F.upper(F.concat_ws(" ", "p_brand", "p_type")).alias("name"))))
+    return op.match_tiers(resolve.fuzzy_matches(d.table("part").select(fn.company_name(F.concat_ws(" ", "p_brand", "p_type")).alias("name"))))
 
 
 @query(oracle("""SELECT ref, CASE WHEN ref % 4 < 2 THEN CAST(amount AS DOUBLE) ELSE 0.0 END AS value, CASE WHEN ref % 4 = 0 THEN year END AS built, CASE WHEN ref % 4 = 0 THEN year END AS analysed FROM contracts"""))
