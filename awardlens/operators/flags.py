@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from awardlens.operators import bands
+
 WEIGHTS = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
 
@@ -102,6 +104,13 @@ def phoenix(links: DataFrame, blacklist: DataFrame) -> DataFrame:
     return flagged(found, "phoenix", "high", "firm", F.col("a"), F.col("n"), F.lit(0.0))
 
 
+def phoenix_links(rows: DataFrame, key: str, blacklist: DataFrame) -> DataFrame:
+    """a, b: a firm off the blacklist and one on it that share a `key`; rows: key, firm. Only the listed side is paired."""
+    bad = blacklist.select("firm")
+    listed = rows.join(bad, "firm", "left_semi").select(key, F.col("firm").alias("b"))
+    return rows.join(bad, "firm", "left_anti").select(key, F.col("firm").alias("a")).join(listed, key).select("a", "b")
+
+
 def campaign_connection(donations: DataFrame, awards: DataFrame) -> DataFrame:
     """Donors that hold awards in the official's office: donations(firm, office, given)."""
     given = donations.groupBy("firm", "office").agg(F.sum("given").alias("given"))
@@ -151,24 +160,38 @@ def risk_scores(flags: DataFrame) -> DataFrame:
     return scored.groupBy("entity_type", "entity_id").agg(F.sum("weight").cast("long").alias("risk_score"), F.count("*").alias("n_flags"), F.count_distinct("flag").alias("n_kinds"))
 
 
+def near_threshold(awards: DataFrame, threshold: float) -> DataFrame:
+    return awards.where(F.col("amount").between(0.7 * threshold, threshold))
+
+
+def flagged_entities(flags: DataFrame, severity: str | None = None) -> DataFrame:
+    """entity_type, entity_id, risk_score, n_flags, flags (names): entities that have a flag of `severity`, by all their flags."""
+    weight = F.lit(1)
+    for name, w in WEIGHTS.items():
+        weight = F.when(F.col("severity") == name, w).otherwise(weight)
+    asked = F.lit(True) if severity is None else F.bool_or(F.col("severity") == severity)
+    found = flags.groupBy("entity_type", "entity_id").agg(F.sum(weight).cast("long").alias("risk_score"), F.count("*").alias("n_flags"), F.array_join(F.sort_array(F.collect_set("flag")), ",").alias("flags"), asked.alias("asked") if severity else F.first(asked).alias("asked"))
+    return found.where("asked").drop("asked")
+
+
 def splitting_pairs(awards: DataFrame, threshold: float, days: int = 30) -> DataFrame:
     """Pairs of awards of one office and firm, both in 0.7 to 1 times the threshold, near in time."""
-    near = awards.where(F.col("amount").between(0.7 * threshold, threshold))
-    x = near.select("office", "firm", F.col("ref").alias("ref_a"), F.col("award_date").alias("date_a"), F.col("amount").alias("amount_a"))
-    y = near.select("office", "firm", F.col("ref").alias("ref_b"), F.col("award_date").alias("date_b"), F.col("amount").alias("amount_b"))
-    pairs = x.join(y, ["office", "firm"]).where((F.col("ref_a") < F.col("ref_b")) & (F.abs(F.datediff("date_a", "date_b")) <= days))
+    near = near_threshold(awards, threshold).select("office", "firm", "ref", "award_date", "amount")
+    pairs = bands.near_pairs(near, ["office", "firm"], days)
     return pairs.select("office", "firm", "ref_a", "ref_b", F.abs(F.datediff("date_a", "date_b")).alias("days"), (F.col("amount_a") + F.col("amount_b")).cast("double").alias("combined"))
 
 
+def splitting_undated(awards: DataFrame, threshold: float, least: int = 2) -> DataFrame:
+    """Where dates cannot be compared: all awards near the threshold of an office and firm that have two or more, dated or not."""
+    near = near_threshold(awards, threshold).select("office", "firm", "ref", "award_date", "amount")
+    sums = near.groupBy("office", "firm").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("combined")).where(F.col("n") >= least)
+    return near.join(sums, ["office", "firm"]).select("office", "firm", "ref", "award_date", F.col("amount").cast("double").alias("amount"), "n", "combined")
+
+
 def split_clusters(contracts: DataFrame, threshold: float, days: int = 30) -> DataFrame:
     """For each contract near a threshold: it and the office's later ones within days and 0.5-2 times its amount."""
-    near = contracts.where((F.col("amount") >= 0.7 * threshold) & (F.col("amount") < threshold))
-    x = near.select("office", F.col("ref").alias("anchor"), F.col("award_date").alias("d0"), F.col("amount").alias("a0"))
-    y = near.select("office", "ref", "award_date", "amount")
-    later = (F.col("award_date") > F.col("d0")) | ((F.col("award_date") == F.col("d0")) & (F.col("ref") >= F.col("anchor")))
-    close = later & (F.datediff("award_date", "d0") <= days) & F.col("amount").between(F.col("a0") * F.lit(0.5).cast("decimal(2,1)"), F.col("a0") * 2)
-    found = x.join(y, "office").where(close).groupBy("office", "anchor").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("val"))
-    return found.where("n >= 2")
+    near = contracts.where((F.col("amount") >= 0.7 * threshold) & (F.col("amount") < threshold)).select("office", "ref", "award_date", "amount")
+    return bands.clusters_after(near, ["office"], days).where("n >= 2")
 
 
 def round_amounts(contracts: DataFrame, least: float, step: int) -> DataFrame:

@@ -265,9 +265,17 @@ def first_cycles(edges: DataFrame, longest: int, limit: int, start=None) -> Data
 
 def triangles(edges: DataFrame) -> DataFrame:
     """a < b < c with all three edges, each once."""
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-    ab, bc, ac = pairs, pairs.select(F.col("a").alias("b"), F.col("b").alias("c")), pairs.select("a", F.col("b").alias("c"))
-    return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c")
+    pairs = settled(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct(), "triangle-edges")
+    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
+    deg = settled(ends.groupBy("id").agg(F.count("*").alias("d")), "triangle-degrees")
+    low, high = (deg.select(F.col("id").alias(c), F.col("d").alias(f"d{c}")) for c in "ab")
+    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    # from the end of smaller degree: no node then has more than sqrt(2 * edges) outgoing ones, hubs least of all
+    out = settled(pairs.join(low, "a").join(high, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")), "triangle-arcs")
+    wedges = out.join(out.select("u", F.col("v").alias("w")), "u").where("v < w")
+    closed = pairs.select(F.col("a").alias("v"), F.col("b").alias("w"))
+    found = wedges.join(closed, ["v", "w"])
+    return found.select(F.least("u", "v").alias("a"), F.when(F.col("u") < F.col("v"), F.col("v")).when(F.col("u") < F.col("w"), F.col("u")).otherwise(F.col("w")).alias("b"), F.greatest("u", "w").alias("c"))
 
 
 def adamic_adar(edges: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from awardlens.operators.embed import swapped_edges
 from awardlens.operators.rollups import co_pairs
+from awardlens.operators.sets import like_sets
 from awardlens.operators.settle import settled
 
 
@@ -52,16 +53,17 @@ def cumulative_first_seen(first: DataFrame, years: DataFrame, name: str) -> Data
 def footprints(awards: DataFrame, least_n: int, least_value: float, shared: int, jaccard: float) -> DataFrame:
     """Pairs of larger firms with like sets of offices and no joint award.
 
-    Pairs come from an inverted index of offices, never from all firms with all firms.
+    Firms with the same set of offices are compared once; pairs of firms are made last.
     """
-    big = awards.groupBy("firm").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("v"), F.count_distinct("office").alias("d")).where((F.col("n") >= least_n) & (F.col("v") >= least_value))
-    held = awards.select("firm", "office").distinct().join(big.select("firm"), "firm", "left_semi")
-    pairs = co_pairs(held, "office").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
-    joint = co_pairs(awards.select("ref", "firm")).select("a", "b").distinct()
-    fresh = pairs.join(joint, ["a", "b"], "left_anti")
-    sized = fresh.join(big.select(F.col("firm").alias("a"), F.col("d").alias("da"), F.col("v").alias("va")), "a").join(big.select(F.col("firm").alias("b"), F.col("d").alias("db"), F.col("v").alias("vb")), "b")
-    found = sized.withColumn("jaccard", F.col("shared") / (F.col("da") + F.col("db") - F.col("shared"))).where(F.col("jaccard") >= jaccard)
-    return found.select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"), F.round(F.col("va") + F.col("vb"), 2).alias("val"))
+    own = awards.groupBy("firm", "office").agg(F.count("*").alias("n"), F.sum("amount").alias("v"))
+    own = settled(own, "firm-offices")
+    big = own.groupBy("firm").agg(F.sum("n").alias("n"), F.sum("v").cast("double").alias("v")).where((F.col("n") >= least_n) & (F.col("v") >= least_value))
+    alike = like_sets(own.join(big, "firm", "left_semi"), "firm", "office", shared, jaccard)
+    joint = co_pairs(awards.select("ref", "firm")).select("a", "b")
+    fresh = alike.join(joint, ["a", "b"], "left_anti")
+    valued = fresh.join(big.select(F.col("firm").alias("a"), F.col("v").alias("va")), "a").join(big.select(F.col("firm").alias("b"), F.col("v").alias("vb")), "b")
+    likeness = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
+    return valued.select("a", "b", F.col("shared").cast("long").alias("shared"), F.round(likeness, 6).alias("jaccard"), F.round(F.col("va") + F.col("vb"), 2).alias("val"))
 
 
 def alternation(rows: DataFrame, least_awards: int = 3, least_years: int = 4) -> DataFrame:
@@ -119,7 +121,7 @@ def link_candidates(awards: DataFrame, big: DataFrame, cuts: list[int]) -> DataF
     """
     known = known_by(awards, cuts)
     crowd = known.groupBy("cut", "office").agg(F.count("*").alias("d"))
-    held = known.join(F.broadcast(big), "firm", "left_semi").join(crowd, ["cut", "office"])
+    held = known.join(big, "firm", "left_semi").join(crowd, ["cut", "office"])
     fresh = F.exp(-HALF_LIFE * (F.col("cut") - F.col("last")))
     rows = held.withColumn("w", fresh).withColumn("u", F.when(F.col("d") > 1, 1 / F.log(1.0 + F.col("d"))).otherwise(F.lit(1.0)))
     x = rows.select("cut", "office", F.col("firm").alias("a"), F.col("w").alias("wa"), "u")
@@ -180,7 +182,7 @@ def rewired_auc(candidates: DataFrame, known: DataFrame, graphs: DataFrame, time
 
 def motifs(awards: DataFrame, big: DataFrame, least: int = 3) -> DataFrame:
     """Joint pairs of big firms: is their first joint award before, after or around the median year of their shared offices' awards?"""
-    own = awards.join(F.broadcast(big), "firm", "left_semi")
+    own = awards.join(big, "firm", "left_semi")
     joint = co_pairs(own.select("ref", "firm", "year"), carry=("year",)).groupBy("a", "b").agg(F.min("year").alias("first_joint"))
     at = own.select("firm", "office", "year").distinct()
     x, y = at.select("office", F.col("firm").alias("a"), F.col("year").alias("ya")), at.select("office", F.col("firm").alias("b"), F.col("year").alias("yb"))

@@ -122,9 +122,8 @@ def flag_shell_company(d: Domain):
 
 @query(oracle(BODIES["flag_phoenix"], MORE))
 def flag_phoenix(d: Domain):
-    pairs = director_pairs(d).select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return op.phoenix(both, d.firms.where("capital < 0"))
+    listed = d.firms.where("capital < 0")
+    return op.phoenix(op.phoenix_links(d.firms.select((F.col("firm") % 30).alias("director"), "firm"), "director", listed), listed)
 
 
 @query(oracle(BODIES["flag_campaign"], MORE))
@@ -181,11 +180,18 @@ def splitting_pairs_30d(d: Domain):
 
 
 @query(oracle("""SELECT x.office, x.ref AS anchor, count(*) AS n, CAST(sum(y.amount) AS DOUBLE) AS val FROM contracts x JOIN contracts y ON x.office = y.office
- WHERE x.category = '1-URGENT' AND y.category = '1-URGENT' AND x.amount >= 175000 AND x.amount < 250000 AND y.amount >= 175000 AND y.amount < 250000
+ WHERE x.amount >= 175000 AND x.amount < 250000 AND y.amount >= 175000 AND y.amount < 250000
  AND (y.award_date > x.award_date OR (y.award_date = x.award_date AND y.ref >= x.ref)) AND date_diff('day', x.award_date, y.award_date) <= 30
  AND y.amount BETWEEN x.amount * 0.5 AND x.amount * 2 GROUP BY 1, 2 HAVING count(*) >= 2"""))
 def split_clusters(d: Domain):
-    return op.split_clusters(d.contracts.where("category = '1-URGENT'"), THRESHOLD)
+    return op.split_clusters(d.contracts, THRESHOLD)
+
+
+@query(oracle("""SELECT office, firm, ref, award_date, CAST(amount AS DOUBLE) AS amount, n, combined FROM near JOIN (SELECT office, firm, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS combined FROM near GROUP BY 1, 2 HAVING count(*) >= 2) USING (office, firm)""",
+ "near AS (SELECT office, firm, ref, CASE WHEN ref % 10 <> 0 THEN award_date END AS award_date, amount FROM awards WHERE amount BETWEEN 175000 AND 250000)"))
+def splitting_undated(d: Domain):
+    """Awards near the threshold by office and firm, where every tenth contract has no date."""
+    return op.splitting_undated(d.awards.withColumn("award_date", F.when(F.col("ref") % 10 != 0, F.col("award_date"))), THRESHOLD)
 
 
 @query(oracle("""SELECT office, count(*) AS n, count(*) FILTER (CAST(floor(amount) AS BIGINT) % 500 = 0) AS n_round, round(100.0 * count(*) FILTER (CAST(floor(amount) AS BIGINT) % 500 = 0) / count(*), 4) AS pct

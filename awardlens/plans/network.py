@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from awardlens.operators import graph as op
-from awardlens.operators import rollups
+from awardlens.operators import rollups, sets
 from awardlens.operators.settle import settled
 from awardlens.plans.flags import SUB, subcontracts
 from awardlens.plans.registry import registry
@@ -209,8 +209,10 @@ def co_awardees(d: Domain):
  JOIN pairs p ON p.src = x.firm AND p.dst = y.firm) GROUP BY office""", PAIRS))
 def agency_clusters(d: Domain):
     """Offices whose winners are linked by joint awards, with the number of linked pairs."""
+    d.keep("focus")
     held = d.focus.select("office", "firm").distinct()
-    pairs = rollups.co_pairs(held, "office").join(focus_pairs(d).select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_semi")
+    ends = focus_pairs(d).select(F.col("src").alias("a"), F.col("dst").alias("b")).join(held.withColumnRenamed("firm", "a"), "a")
+    pairs = ends.join(held.withColumnRenamed("firm", "b"), ["b", "office"], "left_semi")
     return pairs.groupBy("office").agg(F.count("*").alias("n_linked"))
 
 
@@ -226,12 +228,12 @@ def cobid_hubs(d: Domain):
 
 
 @query(oracle("""SELECT src, dst, CAST(n AS BIGINT) AS shared FROM (SELECT x.firm AS src, y.firm AS dst, count(*) AS n FROM fo x JOIN fo y ON x.office = y.office AND x.firm < y.firm GROUP BY 1, 2) z
- WHERE n >= 3 AND NOT EXISTS (SELECT 1 FROM fj p JOIN fj q ON p.ref = q.ref WHERE p.firm = z.src AND q.firm = z.dst)""", "fo AS (SELECT DISTINCT firm, office FROM focus), fj AS (SELECT * FROM focus WHERE amount < 200000)"))
+ WHERE n >= 3 AND NOT EXISTS (SELECT 1 FROM fj p JOIN fj q ON p.ref = q.ref WHERE p.firm = z.src AND q.firm = z.dst)""", "fo AS (SELECT DISTINCT firm, office FROM focus), fj AS (SELECT * FROM focus)"))
 def co_located(d: Domain):
-    """Firms that share three offices of focus contracts without a joint one under 200,000."""
-    held = d.focus.select("office", "firm").distinct()
-    pairs = rollups.co_pairs(held, "office").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("shared")).where("shared >= 3")
-    joint = rollups.co_pairs(d.focus.where("amount < 200000")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    """Firms that share three offices of focus contracts without a joint one."""
+    d.keep("focus")
+    pairs = sets.like_sets(d.focus, "firm", "office", 3).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("shared").cast("long").alias("shared"))
+    joint = rollups.co_pairs(d.focus.select("ref", "firm")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return pairs.join(joint, ["src", "dst"], "left_anti")
 
 

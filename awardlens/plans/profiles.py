@@ -13,7 +13,7 @@ from awardlens.operators import graph, quality, rollups
 from awardlens.operators import temporal as temporal_op
 from awardlens.plans import flags as flag_plans
 from awardlens.plans import temporal as temporal_plans
-from awardlens.plans.flags import BODIES, MORE
+from awardlens.plans.flags import MORE
 from awardlens.plans.network import PAIRS, REACH, focus_pairs
 from awardlens.plans.registry import registry
 from awardlens.sources.tables import Domain, oracle
@@ -127,13 +127,18 @@ def round_amount_list(d: Domain):
 
 
 @query(oracle(f"""SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS weight, flag || ': ' || entity_type || ' ' || entity_id || ' (' || n || ')' AS description,
- to_json({{'n': n, 'val': CAST(val AS VARCHAR)}}) AS evidence, '2024-01-01' AS detected_at FROM (SELECT flag, severity, entity_type, entity_id, n, CAST(CAST(val AS DECIMAL(20,2)) AS VARCHAR) AS val FROM ({BODIES["flag_single_bidder"]} UNION ALL {BODIES["flag_concentration"]} UNION ALL {BODIES["flag_geographic"]} UNION ALL {BODIES["flag_timing"]}))
- WHERE severity IN ('high', 'medium') ORDER BY weight DESC, flag, entity_id LIMIT 100""", MORE))
+ to_json({{'n': n, 'val': CAST(val AS VARCHAR)}}) AS evidence, '2024-01-01' AS detected_at FROM (SELECT flag, severity, entity_type, entity_id, n, CAST(CAST(val AS DECIMAL(20,2)) AS VARCHAR) AS val FROM ({flag_plans.ALL}))
+ WHERE severity IN ('high', 'medium') ORDER BY weight DESC, flag, entity_id, n, val LIMIT 100""", MORE))
 def red_flag_report(d: Domain, severities: tuple[str, ...] = ("high", "medium"), detected_at: str = "2024-01-01", n: int = 100):
     """Flags of some severities with description, evidence and day, the gravest first."""
-    detectors = (flag_plans.flag_single_bidder, flag_plans.flag_concentration, flag_plans.flag_geographic, flag_plans.flag_timing)
-    flags = reduce(DataFrame.unionByName, (f(d) for f in detectors))
-    return flag_op.reported(flags, severities, detected_at).orderBy(F.desc("weight"), "flag", "entity_id").limit(n)
+    return flag_op.reported(flag_plans.all_flags(d), severities, detected_at).orderBy(F.desc("weight"), "flag", "entity_id", "n", "val").limit(n)
+
+
+@query(oracle(f"""SELECT entity_type, entity_id, risk_score, n_flags, flags FROM (SELECT entity_type, entity_id, CAST(sum(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS BIGINT) AS risk_score, count(*) AS n_flags,
+ string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags, bool_or(severity = 'critical') AS asked FROM ({flag_plans.ALL}) GROUP BY 1, 2) WHERE asked ORDER BY risk_score DESC, entity_type, entity_id LIMIT 50""", MORE))
+def red_flag_items(d: Domain, severity: str | None = "critical", n: int = 50):
+    """Entities with a flag of a severity (or any), all their flags of the thirteen detectors weighed, the riskiest first."""
+    return flag_op.flagged_entities(flag_plans.all_flags(d), severity).orderBy(F.desc("risk_score"), "entity_type", "entity_id").limit(n)
 
 
 _AUDIT = "audit AS (SELECT event_id, event_type AS kind, props AS description, value AS amount FROM events)"
@@ -148,21 +153,20 @@ def audit_topics(d: Domain):
     return flag_op.audit_topics(rows, {"bid_rigging": (("bid", "rigging"), ("bid",), "purchase"), "overpricing": (("pric", "click"), ("above market", "overpr"), None), "unliquidated": (("unliq", "view"), ("unliq", "cash advance"), None)})
 
 
-@query(oracle("""SELECT office, a, b FROM (SELECT x.office, x.firm AS a, y.firm AS b FROM fo x JOIN fo y ON x.office = y.office AND x.firm < y.firm) JOIN pairs ON src = a AND dst = b WHERE weight >= 5""", PAIRS + ", fo AS (SELECT DISTINCT office, firm FROM focus)"))
+@query(oracle("""SELECT office, a, b FROM (SELECT x.office, x.firm AS a, y.firm AS b FROM fo x JOIN fo y ON x.office = y.office AND x.firm < y.firm) JOIN pairs ON src = a AND dst = b""", PAIRS + ", fo AS (SELECT DISTINCT office, firm FROM focus)"))
 def linked_winners(d: Domain):
-    """Pairs of an office's winners with five joint awards or more."""
+    """Pairs of an office's winners with joint awards."""
     held = d.focus.select("office", "firm").distinct()
-    strong = focus_pairs(d).where("weight >= 5").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    strong = focus_pairs(d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     left = strong.join(held.withColumnRenamed("firm", "a"), "a")
     return left.join(held.withColumnRenamed("firm", "b"), ["b", "office"]).select("office", "a", "b")
 
 
 @query(oracle("""SELECT threshold, office, anchor, n, val FROM (SELECT t AS threshold, x.office, x.ref AS anchor, count(*) AS n, CAST(sum(y.amount) AS DOUBLE) AS val FROM (VALUES (50000), (150000), (250000)) AS v(t), focus_c x JOIN focus_c y ON x.office = y.office
- WHERE x.amount >= 0.7 * t AND x.amount < t AND y.amount >= 0.7 * t AND y.amount < t AND (y.award_date > x.award_date OR (y.award_date = x.award_date AND y.ref >= x.ref)) AND date_diff('day', x.award_date, y.award_date) <= 30 AND y.amount BETWEEN x.amount * 0.5 AND x.amount * 2 GROUP BY 1, 2, 3 HAVING count(*) >= 2)""", "focus_c AS (SELECT * FROM contracts WHERE category = '1-URGENT')"))
+ WHERE x.amount >= 0.7 * t AND x.amount < t AND y.amount >= 0.7 * t AND y.amount < t AND (y.award_date > x.award_date OR (y.award_date = x.award_date AND y.ref >= x.ref)) AND date_diff('day', x.award_date, y.award_date) <= 30 AND y.amount BETWEEN x.amount * 0.5 AND x.amount * 2 GROUP BY 1, 2, 3 HAVING count(*) >= 2)""", "focus_c AS (SELECT * FROM contracts)"))
 def split_clusters_by_threshold(d: Domain, thresholds: tuple[int, ...] = (50_000, 150_000, 250_000)):
     """Clusters of near contracts under each of three thresholds."""
-    rows = d.contracts.where("category = '1-URGENT'")
-    return reduce(DataFrame.unionByName, (flag_op.split_clusters(rows, t).select(F.lit(t).alias("threshold"), "office", "anchor", "n", "val") for t in thresholds))
+    return reduce(DataFrame.unionByName, (flag_op.split_clusters(d.contracts, t).select(F.lit(t).alias("threshold"), "office", "anchor", "n", "val") for t in thresholds))
 
 
 # ------------------------------------------------------------------ firms, agencies, persons

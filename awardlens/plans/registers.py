@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardlens.operators import dynasties, quality
-from awardlens.plans.flags import DIR, DON, address_pairs, director_pairs, donations
+from awardlens.operators.flags import phoenix_links
+from awardlens.plans.flags import DIR, DON, donations
 from awardlens.plans.network import PAIRS, focus_pairs
 from awardlens.plans.registry import registry
 from awardlens.sources.tables import FOCUS, Domain, oracle
@@ -160,10 +161,10 @@ def campaign_contracts(d: Domain, n: int = 100):
  WHERE b IN (SELECT firm FROM firms WHERE capital < 0) AND a NOT IN (SELECT firm FROM firms WHERE capital < 0) GROUP BY 1, 2""", DIR))
 def phoenix_companies(d: Domain):
     """Unlisted firms that share an address or a director with a blacklisted one."""
-    links = address_pairs(d).select("a", "b", F.lit("address").alias("via")).unionByName(director_pairs(d).select("a", "b", F.lit("director").alias("via")))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "via"))
-    bad = d.firms.where("capital < 0").select(F.col("firm").alias("b"))
-    found = both.join(bad, "b", "left_semi").join(bad.withColumnRenamed("b", "a"), "a", "left_anti")
+    listed = d.firms.where("capital < 0")
+    shared = {"address": F.concat_ws("-", "home", (F.col("firm") % 7).cast("string")), "director": (F.col("firm") % 30).cast("string")}
+    parts = [phoenix_links(d.firms.select(key.alias("key"), "firm"), "key", listed).withColumn("via", F.lit(via)) for via, key in shared.items()]
+    found = parts[0].unionByName(parts[1])
     return found.groupBy(F.col("a").alias("firm"), F.col("b").alias("listed")).agg(F.array_join(F.sort_array(F.collect_set("via")), ",").alias("via"))
 
 

@@ -80,12 +80,16 @@ def pettitt_change_points(d: Domain):
     return op.pettitt(_series(d))
 
 
+#: Value of focus awards from which a firm counts as large.
+LARGE = 32_000_000
+
+
 def big_firms(d: Domain) -> DataFrame:
-    """The sixty largest focus firms (a fixed number)."""
-    return d.focus.groupBy("firm").agg(F.sum("amount").alias("v")).orderBy(F.desc("v"), "firm").limit(60).select("firm")
+    """Every firm whose focus awards reach the value limit."""
+    return d.focus.groupBy("firm").agg(F.sum("amount").alias("v")).where(F.col("v") >= LARGE).select("firm")
 
 
-_LINK = """big AS (SELECT firm FROM focus GROUP BY 1 ORDER BY sum(amount) DESC, firm LIMIT 60),
+_LINK = """big AS (SELECT firm FROM focus GROUP BY 1 HAVING sum(amount) >= 32000000),
 small AS (SELECT * FROM focus), cuts AS (SELECT unnest([1996, 1997, 1998]) AS cut),
 known AS (SELECT cut, firm, office, max(year) AS last FROM small JOIN cuts ON year <= cut GROUP BY 1, 2, 3),
 crowd AS (SELECT cut, office, count(*) AS d FROM known GROUP BY 1, 2),
@@ -105,6 +109,13 @@ def temporal_link_auc(d: Domain):
     return op.auc(candidates(d), ["cut"])
 
 
+@query(oracle("""SELECT count(*) AS n_years, round(avg(auc), 3) AS macro_auc FROM (SELECT (r - np * (np + 1) / 2) / (np * (n - np)) AS auc FROM (SELECT cut, count(*) AS n, sum(CASE WHEN positive THEN 1 ELSE 0 END) AS np, sum(CASE WHEN positive THEN rk ELSE 0 END) AS r FROM
+ (SELECT *, rank() OVER (PARTITION BY cut ORDER BY score) + (count(*) OVER (PARTITION BY cut, score) - 1) / 2 AS rk FROM cand) GROUP BY cut) WHERE np >= 2 AND n > np)""", _LINK))
+def temporal_link_macro(d: Domain):
+    """The mean AUC over the cuts that have two new ties or more."""
+    return op.auc(candidates(d), ["cut"]).where("n_pos >= 2").agg(F.count("*").alias("n_years"), F.round(F.avg("auc"), 3).alias("macro_auc"))
+
+
 @query(oracle("SELECT CAST(cut AS INT) AS cut, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY cut ORDER BY score DESC, a, b) AS k FROM cand WHERE positive) WHERE k <= 5", _LINK))
 def temporal_link_hits(d: Domain):
     """The five best-scored pairs of each cut that did form a tie in the next year."""
@@ -137,12 +148,25 @@ def reached(nulls: DataFrame) -> DataFrame:
 
 @query(oracle("""SELECT a, b, first_joint, n, mid, CASE WHEN first_joint < mid - 0.5 THEN 'before' WHEN first_joint > mid + 0.5 THEN 'after' ELSE 'concurrent' END AS motif FROM
  (SELECT a, b, first_joint, count(*) AS n, median(year) AS mid FROM (SELECT DISTINCT a, b, first_joint, office, year FROM (SELECT j.a, j.b, f AS first_joint, x.office, unnest([x.year, y.year]) AS year FROM joint j JOIN held x ON x.firm = j.a JOIN held y ON y.firm = j.b AND y.office = x.office)) GROUP BY 1, 2, 3) WHERE n >= 3""",
- """big AS (SELECT firm FROM focus GROUP BY 1 ORDER BY sum(amount) DESC, firm LIMIT 60), own AS (SELECT * FROM focus SEMI JOIN big USING (firm)),
+ """big AS (SELECT firm FROM focus GROUP BY 1 HAVING sum(amount) >= 32000000), own AS (SELECT * FROM focus SEMI JOIN big USING (firm)),
  held AS (SELECT DISTINCT firm, office, year FROM own), joint AS (SELECT x.firm AS a, y.firm AS b, min(x.year) AS f FROM own x JOIN own y ON x.ref = y.ref AND x.firm < y.firm GROUP BY 1, 2)"""))
 def temporal_motifs(d: Domain):
     return op.motifs(d.focus, big_firms(d))
 
 
+@query(oracle("""SELECT motif, a, b, first_joint, n, mid, CAST(k AS INT) AS rank, n_all FROM (SELECT *, row_number() OVER (PARTITION BY motif ORDER BY n DESC, a, b) AS k, count(*) OVER (PARTITION BY motif) AS n_all FROM
+ (SELECT a, b, first_joint, n, mid, CASE WHEN first_joint < mid - 0.5 THEN 'before' WHEN first_joint > mid + 0.5 THEN 'after' ELSE 'concurrent' END AS motif FROM
+ (SELECT a, b, first_joint, count(*) AS n, median(year) AS mid FROM (SELECT DISTINCT a, b, first_joint, office, year FROM (SELECT j.a, j.b, f AS first_joint, x.office, unnest([x.year, y.year]) AS year FROM joint j JOIN held x ON x.firm = j.a JOIN held y ON y.firm = j.b AND y.office = x.office)) GROUP BY 1, 2, 3) WHERE n >= 3)) WHERE k <= 12""",
+ """big AS (SELECT firm FROM focus GROUP BY 1 HAVING sum(amount) >= 32000000), own AS (SELECT * FROM focus SEMI JOIN big USING (firm)),
+ held AS (SELECT DISTINCT firm, office, year FROM own), joint AS (SELECT x.firm AS a, y.firm AS b, min(x.year) AS f FROM own x JOIN own y ON x.ref = y.ref AND x.firm < y.firm GROUP BY 1, 2)"""))
+def motif_examples(d: Domain, top: int = 12):
+    """How many pairs each motif has, and its twelve with most awards of shared offices."""
+    found = settled(op.motifs(d.focus, big_firms(d)), "motifs")
+    order = Window.partitionBy("motif").orderBy(F.desc("n"), "a", "b")
+    counts = found.groupBy("motif").agg(F.count("*").alias("n_all"))  # three rows
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).join(F.broadcast(counts), "motif").select("motif", "a", "b", "first_joint", "n", "mid", "rank", "n_all")
+
+
 @query(oracle("""SELECT period, n, round(CASE WHEN (l + r) / 2 = l * r / (n * (n - 1) / 2) THEN 1.0 ELSE (b - l * r / (n * (n - 1) / 2)) / ((l + r) / 2 - l * r / (n * (n - 1) / 2)) END, 6) AS ari FROM
  (SELECT period, sum(c * (c - 1) / 2) AS b, CAST(sum(c) AS BIGINT) AS n FROM (SELECT period, x, y, count(*) AS c FROM t GROUP BY 1, 2, 3) GROUP BY 1) JOIN
  (SELECT period, sum(c * (c - 1) / 2) AS l FROM (SELECT period, x, count(*) AS c FROM t GROUP BY 1, 2) GROUP BY 1) USING (period) JOIN
