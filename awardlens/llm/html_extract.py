@@ -10,7 +10,7 @@ a seed, so that training needs no table and has a fixed size.
 Defined results: null or empty html gives an empty text; comments, scripts, styles and the
 document head hold no blocks; a head whose end tag is left out ends, as in HTML, at the first tag
 or text that may not stand in one; an unclosed tag ends with its parent, however deep it lies; text cut off inside a tag ends
-before it; repeated rows and ids keep a row each; an empty table gives an empty result; other
+before it; a tag whose quotes are not closed ends at its first '>'; repeated rows and ids keep a row each; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -28,7 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|[!?][^>]*(?:>|\Z))""", re.S)
+from awardlens.llm.text import tidy
+
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)|[!?][^>]*(?:>|\Z))", re.S)
+_MARK = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
@@ -54,6 +57,8 @@ HINTS = {
     "social": "share sharing social follow newsletter subscribe signup login search tags meta byline author".split(),
     "main": "article content post entry body main story text page prose blog".split(),
 }
+#: Longer attributes are not kept in the cache of hints.
+KEPT = 10_000
 _HINT = {w: k for k, ws in HINTS.items() for w in ws}
 
 
@@ -120,8 +125,33 @@ class _Open:
 
 def _after(page: str, name: str, at: int) -> int:
     """Where the text of a skipped element ends."""
-    closing = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-    return closing.end() if closing else len(page)
+    closing = re.compile(rf"</{name}\b", re.I).search(page, at)
+    end = page.find(">", closing.end()) if closing else -1
+    return end + 1 if end >= 0 else len(page)
+
+
+def _tag_end(page: str, at: int, doomed: set[int]) -> tuple[int, int]:
+    """Where the attributes from `at` end, and where the page goes on after them.
+
+    A '>' inside quotes does not end a tag. Where a quote is left open, the tag ends at its first '>'.
+    `doomed` keeps the places outside quotes from which that was found, so that no stretch of a page is
+    read again for each tag before it.
+    """
+    seen, x = [], at
+    while x not in doomed:
+        seen.append(x)
+        mark = _MARK.search(page, x)
+        if not mark:
+            return len(page), len(page)
+        if mark[0] == ">":
+            return mark.start(), mark.end()
+        close = page.find(mark[0], mark.end())
+        if close < 0:
+            break
+        x = close + 1
+    doomed.update(seen)
+    end = page.find(">", at)
+    return (end, end + 1) if end >= 0 else (len(page), len(page))
 
 
 def leaf_blocks(page: str) -> list[Block]:
@@ -137,7 +167,7 @@ def leaf_blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             own = open_.stack[open_.blocks[-1]][0] if open_.blocks else ""
-            blocks.append(Block(text, frozenset(open_.places), frozenset(h for h, n in open_.hints.items() if n), own, linked))
+            blocks.append(Block(text, frozenset(t for t in _TAGS if t in open_.places), frozenset(h for h, n in open_.hints.items() if n), own, linked))
         parts.clear()
         linked = 0
 
@@ -150,6 +180,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 linked += len(text)
 
     at, end = 0, len(page)
+    doomed: set[int] = set()
     while at < end:
         m = _TAG.search(page, at)
         if not m:
@@ -163,6 +194,8 @@ def leaf_blocks(page: str) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             continue
+        stop, at = _tag_end(page, at, doomed)
+        attributes = page[m.end() : stop]
         if in_head:
             if m[1]:
                 in_head = name not in HEAD_ENDS
@@ -187,12 +220,12 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if name in RAW:
-            if name != "svg" or not m[3].endswith("/") or _UNQUOTED.search(m[3]):
+            if name != "svg" or not attributes.endswith("/") or _UNQUOTED.search(attributes):
                 at = _after(page, name, at)
             if name not in {"svg", "canvas"}:
                 parts.append(" ")
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             if name in {"br", "hr", "img", "input"}:
                 parts.append(" ")
             continue
@@ -210,7 +243,7 @@ def leaf_blocks(page: str) -> list[Block]:
             elif name in {"dt", "dd"}:
                 open_.close("dt", frozenset(("dl",)))
                 open_.close("dd", frozenset(("dl",)))
-        open_.push(name, _hints(m[3]) if m[3] else frozenset())
+        open_.push(name, (_hints if len(attributes) < KEPT else _hints.__wrapped__)(attributes) if attributes else frozenset())
     flush()
     return blocks
 
@@ -470,4 +503,4 @@ def extracted(pages: DataFrame, field: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), schema)

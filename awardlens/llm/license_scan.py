@@ -1,18 +1,22 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a window of words, whatever the lines: for each template the window has the least power
-of two that is twice the template's words or more, and windows overlap by half, so a whole place of
-the template always lies in one block. A block matches a template when it contains at least
-`threshold` of the template's distinct words, all of its distinguishing words (`needs`), and none of
-the words that tell a sibling license (`bars`). So a notice of one license never counts for another
-whose name alone differs.
+A place of a template is a stretch of as many words as the template has (a whole text, if shorter)
+that holds at least `threshold` of its distinct words, and its distinguishing words (`needs`) in
+their order. Words that tell a sibling license (`bars`) may not stand in the stretch, nor right beside
+a distinguishing word at its edge; words of `around` nowhere in the block. So a notice of one license
+never counts for another whose name alone differs, and a notice beside it keeps its own label.
+
+Blocks find the candidates. A block is a window of words, whatever the lines: for each template the
+window has the least power of two that is twice the template's words or more, and windows overlap by
+half, so every stretch of the template's length lies in a block.
 
 The join orders words by their count in the whole corpus, rarest first. If block and template
 share `need` words, then they share a word among the template's first `size - need + 1` words,
 and that word lies in the block's own first `size - need + 1` template words (prefix filter); the
 block must have `need` template words (length filter), and what follows the shared word on both
 sides must still allow `need` (positional filter). Only blocks with a prefix word leave the scan;
-Spark joins them with the prefix table and verifies the overlap exactly.
+Spark joins them with the prefix table, checks the overlap, and each block's best place is verified
+word by word. A text's base places travel once, not with each of its blocks.
 
 Words that no template has can never count towards an overlap, so they are left out of both
 sides. Templates are a parameter: the prefix table and the word order have as many rows as the
@@ -83,7 +87,8 @@ def _gnu(name: str, version: str) -> str:
     return _GNU_NOTICE.format(name, version, name)
 
 
-#: Label, notice (public wording of common licenses), words that it needs, words that bar it.
+#: Label, notice (public wording of common licenses), words that it needs in this order, words that bar it in its
+#: place, and words that bar it in its block.
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0", "apache", ""),
     ("apache", _LONG_APACHE, "apache", ""),
@@ -116,7 +121,7 @@ TEMPLATES = (
     ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "creative commons noncommercial sharealike", ""),
     ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0", "cc by nc nd", "sa"),
     ("cc0", "CC0 1.0 Universal public domain dedication", "cc0", ""),
-    ("public-domain", "released into the public domain", "public domain", "unencumbered"),
+    ("public-domain", "released into the public domain", "public domain", "", "unencumbered"),
     ("reserved", "All rights reserved", "all rights reserved", ""),
 )
 
@@ -131,13 +136,27 @@ class Template:
     label: str
     words: frozenset[bytes]
     window: int
-    needs: frozenset[bytes]
+    length: int
+    needs: tuple[bytes, ...]
     bars: frozenset[bytes]
+    around: frozenset[bytes]
 
     def need(self, threshold: float) -> int:
         return math.ceil(threshold * len(self.words) - 1e-9)
 
 
+@dataclass(frozen=True)
+class Ranked:
+    """What verifying a place takes, with words as ranks."""
+
+    length: int
+    need: int
+    words: frozenset[int]
+    needs: tuple[int, ...]
+    bars: frozenset[int]
+    around: frozenset[int]
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Runs of lower-cased letters, digits and bytes of other characters."""
     return text.translate(_KEEP).split()
@@ -145,9 +164,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 def known_templates(templates=TEMPLATES) -> list[Template]:
     out = []
-    for i, (label, text, needs, bars) in enumerate(templates):
+    for i, (label, text, needs, bars, *around) in enumerate(templates):
         words = words_of(text.encode())
-        out.append(Template(i, label, frozenset(words), 1 << max(1, (2 * len(words) - 1).bit_length()), frozenset(words_of(needs.encode())), frozenset(words_of(bars.encode()))))
+        barred = frozenset(words_of(bars.encode())), frozenset(words_of(" ".join(around).encode()))
+        out.append(Template(i, label, frozenset(words), 1 << max(1, (2 * len(words) - 1).bit_length()), len(words), tuple(words_of(needs.encode())), *barred))
     return out
 
 
@@ -158,7 +178,7 @@ def starts(n: int, window: int) -> range:
 
 def word_order(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> dict[bytes, int]:
     """Rank of every template word by its count over all texts, rarest first, ties by the word."""
-    vocabulary = frozenset().union(*(t.words | t.needs | t.bars for t in known_templates(templates)))
+    vocabulary = frozenset().union(*(t.words | {*t.needs} | t.bars | t.around for t in known_templates(templates)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -203,10 +223,54 @@ def candidate_blocks(n: int, at: list[int], ranks: list[int], window: int, wante
     count = len(starts(n, window))
     near = {b for p, r in zip(at, ranks, strict=True) if r in wanted for b in (p // half - 1, p // half) if 0 <= b < count}
     for b in sorted(near):
-        own = sorted(set(ranks[bisect_left(at, b * half) : bisect_left(at, b * half + window)]))
+        low, high = bisect_left(at, b * half), bisect_left(at, b * half + window)
+        own = sorted(set(ranks[low:high]))
+        low, high = max(0, low - 1), high + 1  # with the word before and after, if a template has it
+        where = [p - b * half for p in at[low:high]]
         for k, r in enumerate(own[: max(0, len(own) - least + 1)]):
             if r in wanted:
-                yield {"rank": r, "at": k, "window": window, "first_word": b * half, "ranks": own}
+                yield {"rank": r, "at": k, "window": window, "first_word": b * half, "ranks": own, "places": where, "place_ranks": ranks[low:high]}
+
+
+def best_place(n: int, window: int, places: list[int], ranks: list[int], t: Ranked) -> int:
+    """The most distinct words of a template in a place of it that lies in a block of `n` words at most, 0 for none.
+
+    places: where the block's template words stand, from its first word; those beside the block are told by them.
+    """
+    size = min(n, window)
+    inside = [(p, r) for p, r in zip(places, ranks, strict=True) if 0 <= p < size]
+    if t.around & {r for _, r in inside}:
+        return 0
+    by_place = dict(zip(places, ranks, strict=True))
+    length, best = min(t.length, size), 0
+    held: Counter = Counter()
+    distinct = bars = head = tail = 0
+    for start in range(size - length + 1):
+        while head < len(inside) and inside[head][0] < start + length:
+            r = inside[head][1]
+            held[r] += 1
+            distinct += held[r] == 1 and r in t.words
+            bars += r in t.bars
+            head += 1
+        while inside[tail : tail + 1] and inside[tail][0] < start:
+            r = inside[tail][1]
+            held[r] -= 1
+            distinct -= held[r] == 0 and r in t.words
+            bars -= r in t.bars
+            tail += 1
+        if distinct < max(t.need, best + 1) or bars:
+            continue
+        beside = [(start, start - 1), (start + length - 1, start + length)]
+        if any(by_place.get(edge) in t.needs and by_place.get(out) in t.bars for edge, out in beside):
+            continue
+        wanted = iter(t.needs)
+        missing = next(wanted, None)
+        for _, r in inside[tail:head]:
+            if r == missing:
+                missing = next(wanted, None)
+        if missing is None:
+            best = distinct
+    return best
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, text: str = "text") -> DataFrame:
@@ -221,8 +285,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, text: str
     prefix = []
     for t in known:
         ranked, need = sorted(order[x] for x in t.words), t.need(threshold)
-        more = [sorted(order[x] for x in w) for w in (t.needs, t.bars)]
-        prefix += [(r, t.window, t.number, t.label, at, len(ranked), need, ranked, *more) for at, r in enumerate(ranked[: len(ranked) - need + 1])]
+        prefix += [(r, t.window, t.number, t.label, at, len(ranked), need, ranked) for at, r in enumerate(ranked[: len(ranked) - need + 1])]
+    as_ranks = lambda ws: frozenset(order[x] for x in ws)
+    rules = {t.number: Ranked(t.length, t.need(threshold), as_ranks(t.words), tuple(order[x] for x in t.needs), as_ranks(t.bars), as_ranks(t.around)) for t in known}
     wanted = {w: frozenset(p[0] for p in prefix if p[1] == w) for w in {t.window for t in known}}
     least = {w: min(t.need(threshold) for t in known if t.window == w) for w in wanted}
 
@@ -241,22 +306,36 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, text: str
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_words", "places", "found"])
 
     places_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
-    found_type = pa.list_(pa.struct([("rank", pa.int32()), ("at", pa.int32()), ("window", pa.int32()), ("first_word", pa.int64()), ("ranks", pa.list_(pa.int32()))]))
-    schema = "row long, doc_id long, n_words long, places array<struct<word: long, label: string>>, found array<struct<rank: int, at: int, window: int, first_word: long, ranks: array<int>>>"
+    found_type = pa.list_(pa.struct([("rank", pa.int32()), ("at", pa.int32()), ("window", pa.int32()), ("first_word", pa.int64()), ("ranks", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("place_ranks", pa.list_(pa.int32()))]))
+    schema = "row long, doc_id long, n_words long, places array<struct<word: long, label: string>>, found array<struct<rank: int, at: int, window: int, first_word: long, ranks: array<int>, places: array<int>, place_ranks: array<int>>>"
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidy(run), schema)
-    table = F.broadcast(spark.createDataFrame(prefix, "rank int, t_window int, template int, label string, t_at int, t_size int, need int, t_ranks array<int>, needs array<int>, bars array<int>"))
-    each = scanned.select("row", "doc_id", "n_words", "places", F.explode_outer("found").alias("c"))
+    table = F.broadcast(spark.createDataFrame(prefix, "rank int, t_window int, template int, label string, t_at int, t_size int, need int, t_ranks array<int>"))
+    each = scanned.select("row", "doc_id", "n_words", "places", F.posexplode_outer("found").alias("k", "c"))
+    each = each.withColumn("places", F.when(F.coalesce("k", F.lit(0)) == 0, F.col("places")))
     size = F.size("c.ranks")
     allowed = (size >= F.col("need")) & (F.col("c.at") <= size - F.col("need"))  # length and prefix
     left = F.least(F.col("t_size") - F.col("t_at"), size - F.col("c.at"))
     joined = each.join(table, (F.col("c.rank") == F.col("rank")) & (F.col("c.window") == F.col("t_window")) & allowed & (left >= F.col("need")), "left")
-    overlap = F.size(F.array_intersect("c.ranks", "t_ranks"))
-    own = (F.size(F.array_except("needs", "c.ranks")) == 0) & ~F.arrays_overlap("bars", "c.ranks")
-    match = F.when((overlap >= F.col("need")) & own, F.struct("label", "template", F.col("c.first_word").alias("first_word"), (overlap / F.col("t_size")).alias("containment")))
+    likely = F.size(F.array_intersect("c.ranks", "t_ranks")) >= F.col("need")
+    first_shared = F.get(F.array_intersect("c.ranks", "t_ranks"), F.lit(0)) == F.col("rank")  # a block is verified once for a template
+    kept = lambda c: F.when(likely & first_shared, F.col(c))
+    blocks = joined.select("row", "doc_id", "n_words", "places", kept("template").alias("template"), kept("label").alias("label"), kept("t_size").alias("t_size"), kept("c.first_word").alias("first_word"), kept("c.window").alias("window"), kept("c.places").alias("at"), kept("c.place_ranks").alias("ranks"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = []
+            columns = (batch.column(c).to_pylist() for c in ("template", "n_words", "first_word", "window", "at", "ranks"))
+            for template, n, first, window, at, ranks in zip(*columns, strict=True):
+                best.append(None if template is None else best_place(n - first, window, at, ranks, rules[template]))
+            kept = [batch.column(c) for c in ("row", "doc_id", "n_words", "places", "template", "label", "t_size", "first_word")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.int32())], names=["row", "doc_id", "n_words", "places", "template", "label", "t_size", "first_word", "best"])
+
+    verified = blocks.mapInArrow(tidy(verify), "row long, doc_id long, n_words long, places array<struct<word: long, label: string>>, template int, label string, t_size int, first_word long, best int")
+    match = F.when(F.col("best") > 0, F.struct("label", "template", "first_word", (F.col("best") / F.col("t_size")).alias("containment")))
     return (
-        joined.select("row", "doc_id", "n_words", "places", match.alias("m"))
+        verified.select("row", "doc_id", "n_words", "places", match.alias("m"))
         .groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("places").alias("places"), F.sort_array(F.collect_set("m")).alias("matches"))
+        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("places", ignorenulls=True).alias("places"), F.sort_array(F.collect_set("m")).alias("matches"))
         .drop("row")
     )
 
@@ -280,26 +359,29 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def oracle(templates=TEMPLATES, threshold: float = 0.8) -> str:
-    """DuckDB SQL for the digest of a scan of `documents`: all blocks of all sizes against all templates."""
+    """DuckDB SQL for the digest of a scan of `documents`: all stretches of the blocks that hold enough of a template."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    listed = lambda w: "[{}]::VARCHAR[]".format(", ".join(f"'{x.decode()}'" for x in sorted(w)))
+    listed = lambda w: "[{}]::VARCHAR[]".format(", ".join(f"'{x.decode()}'" for x in w))
     phrases = ", ".join("([{}], '{}')".format(", ".join(f"'{w.decode()}'" for w in p.split()), label) for p, label in PHRASES.items())
-    known = ", ".join(f"('{t.label}', {t.window}, {listed(t.words)}, {listed(t.needs)}, {listed(t.bars)}, {t.need(threshold)})" for t in known_templates(templates))
+    rows = (f"({t.number}, '{t.label}', {t.window}, {t.length}, {listed(sorted(t.words))}, {listed(t.needs)}, ' {' (.* )?'.join(x.decode() for x in t.needs)} ', {listed(sorted(t.bars))}, {listed(sorted(t.around))}, {t.need(threshold)})" for t in known_templates(templates))
     return f"""
-WITH d AS (SELECT doc_id, regexp_extract_all({low}, '{word}') AS w FROM documents),
-phrases(p, label) AS (VALUES {phrases}), known(label, size, t, needs, bars, need) AS (VALUES {known}),
-places AS (SELECT doc_id, label, pos FROM (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM d), phrases WHERE w[pos + 1:pos + len(p)] = p),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({low}, '{word}') AS w FROM documents),
+phrases(p, label) AS (VALUES {phrases}), known(number, label, size, length, t, needs, ordered, bars, around, need) AS (VALUES {", ".join(rows)}),
+places AS (SELECT row, label, pos FROM (SELECT row, w, unnest(range(len(w))) AS pos FROM d), phrases WHERE w[pos + 1:pos + len(p)] = p),
 sizes AS (SELECT DISTINCT size FROM known),
-blocks AS (SELECT doc_id, size, list_distinct(w[pos + 1:pos + size]) AS b
-           FROM (SELECT doc_id, size, w, unnest(range(0, greatest(1, len(w) - size // 2), size // 2)) AS pos FROM d, sizes WHERE len(w) > 0)),
-found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks JOIN known USING (size)
-          WHERE list_has_all(b, needs) AND NOT list_has_any(b, bars) AND len(list_intersect(b, t)) >= need),
-a AS (SELECT doc_id, count(*) AS n, min(pos) AS x, max(pos) AS y, list(DISTINCT label) AS ls FROM places GROUP BY 1),
-m AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS ls FROM found GROUP BY 1)
+blocks AS (SELECT row, w, size, pos, w[pos + 1:pos + size] AS b
+           FROM (SELECT row, size, w, unnest(range(0, greatest(1, len(w) - size // 2), size // 2)) AS pos FROM d, sizes WHERE len(w) > 0)),
+likely AS (SELECT row, w, pos, len(b) AS n, known.* FROM blocks JOIN known USING (size) WHERE list_has_all(b, needs) AND NOT list_has_any(b, around) AND len(list_intersect(list_distinct(b), t)) >= need),
+stretches AS (SELECT *, w[at + 1:at + least(length, n)] AS s FROM (SELECT *, unnest(range(pos, pos + n - least(length, n) + 1)) AS at FROM likely)),
+found AS (SELECT row, label, len(list_intersect(list_distinct(s), t)) / len(t) AS share FROM stretches
+          WHERE len(list_intersect(list_distinct(s), t)) >= need AND NOT list_has_any(s, bars) AND regexp_matches(' ' || array_to_string(s, ' ') || ' ', ordered)
+            AND NOT (list_contains(needs, s[1]) AND at > 0 AND list_contains(bars, w[at])) AND NOT (list_contains(needs, s[-1]) AND len(w) > at + len(s) AND list_contains(bars, w[at + len(s) + 1]))),
+a AS (SELECT row, count(*) AS n, min(pos) AS x, max(pos) AS y, list(DISTINCT label) AS ls FROM places GROUP BY 1),
+m AS (SELECT row, max(share) AS share, list(DISTINCT label) AS ls FROM found GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(x AS BIGINT) AS first_word, CAST(y AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(a.ls), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(a.ls, []), coalesce(m.ls, [])))), ','), '') AS labels,
        CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.share, 0.0)::DOUBLE END AS score
-FROM d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+FROM d LEFT JOIN a ON d.row = a.row LEFT JOIN m ON d.row = m.row
 """

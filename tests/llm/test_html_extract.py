@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from awardlens.llm import html_extract as op
 
@@ -105,3 +108,27 @@ def test_rows_are_kept(spark):
     got = op.extracted(df).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, ARTICLE, len(ARTICLE)), (1, "", 0), (1, "", 0)]
     assert op.extracted(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a "' * 250_000 + '"', "<a " * 300_000 + '"', "<p title='x>y</p>" * 60_001, "<script></script" * 60_000, "<a <a \" > '" * 90_000, '<p a="' * 100_000 + "'>" * 100_000, "".join(f"<x{i}><p>t" for i in range(80_000)), "<div>" * 200_000 + "t"],
+    ids=["open quotes", "one quote", "apostrophes", "open end tags", "mixed", "crossed", "many names", "deep"],
+)
+def test_pages_of_a_megabyte_take_linear_time(page):
+    start = time.process_time()
+    op.leaf_blocks(page)
+    assert time.process_time() - start < 4
+
+
+def test_open_quotes_leave_no_markup_in_the_text():
+    cases = {
+        '<p>First part.</p><p title="x>Second part.</p>': ["First part.", "Second part."],
+        '<p title="a > b">x</p><p title="x>Second.</p><p class="a">More</p>': ["x", "Second.", "More"],
+        "<p title='it>One.</p><p>Two.</p>": ["One.", "Two."],
+        '<p a="1" b=\'2 > "\'>Three.</p>': ["Three."],
+        '<p a="unclosed': [],
+        "<script>var a = '<p>';</script foo><p>After.</p>": ["After."],
+    }
+    for page, want in cases.items():
+        assert [b.text for b in op.leaf_blocks(page)] == want, page

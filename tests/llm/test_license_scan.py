@@ -23,17 +23,25 @@ def brute_base(text):
 
 def brute_labels(text, threshold=0.8):
     labels, best, w = set(), 0.0, words(text)
-    for label, notice, needs, bars in op.TEMPLATES:
-        t = words(notice)
+    for label, notice, needs, bars, *around in op.TEMPLATES:
+        t, needs, bars = words(notice), words(needs), set(words(bars))
+        need = math.ceil(threshold * len(set(t)) - 1e-9)
         window = 2
         while window < 2 * len(t):
             window *= 2
         for at in range(0, max(1, len(w) - window // 2), window // 2):
-            block = set(w[at : at + window])
-            share = len(set(t) & block) / len(set(t))
-            if len(set(t) & block) >= math.ceil(threshold * len(set(t)) - 1e-9) and block >= set(words(needs)) and not block & set(words(bars)):
-                labels.add(label)
-                best = max(best, share)
+            block = w[at : at + window]
+            if set(words(" ".join(around))) & set(block):
+                continue
+            length = min(len(t), len(block))
+            for k in range(len(block) - length + 1):
+                s = block[k : k + length]
+                beside = [w[at + k - 1]] if at + k and s and s[0] in needs else []
+                beside += w[at + k + length : at + k + length + 1] if s and s[-1] in needs else []
+                rest = iter(s)
+                if len(set(t) & set(s)) >= need and not bars & {*s, *beside} and all(n in rest for n in needs):
+                    labels.add(label)
+                    best = max(best, len(set(t) & set(s)) / len(set(t)))
     return labels, best
 
 
@@ -94,6 +102,39 @@ def test_each_notice_gives_its_own_label_alone(spark):
         assert {m.label for m in r.matches} == set(filter(None, [label])), (t, r.matches)
 
 
+BESIDE = {
+    "Licensed under CC BY-SA 4.0. Licensed under CC BY-NC 4.0.": "cc-by-nc cc-by-sa",
+    "Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.": "cc-by-nc cc-by-sa",
+    "Licensed under CC BY-ND 4.0 or Licensed under CC BY-SA 4.0": "cc-by-nd cc-by-sa",
+    "Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0.": "cc-by cc-by-sa",
+    "Licensed under CC BY-SA. Licensed under CC BY 4.0.": "cc-by",  # five of seven words are too few for the first
+    "licensed under the GNU Affero General Public License; licensed under the GNU Lesser General Public License": "agpl lgpl",
+    "licensed under the GNU Lesser General Public License or licensed under the GNU Affero General Public License": "agpl lgpl",
+    "licensed under the GNU General Public License. The library is licensed under the GNU Lesser General Public License.": "gpl lgpl",
+    "Licensed under CC BY-NC-SA 4.0 and Licensed under CC BY-NC-ND 4.0": "cc-by-nc-nd cc-by-nc-sa",
+}
+
+
+def test_notices_side_by_side_keep_their_own_labels(spark):
+    filler = "plain prose of no license stands here and goes on for a while ".split()
+    rows = [(2 * i, t) for i, t in enumerate(BESIDE)] + [(2 * i + 1, " ".join(filler * 7 + [t] + filler * 9)) for i, t in enumerate(BESIDE)]
+    for r in op.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        t, labels = list(BESIDE.items())[r.doc_id // 2]
+        assert {m.label for m in r.matches} == set(labels.split()), (t, r.matches)
+
+
+def test_a_megabyte_of_one_phrase_is_scanned(spark):
+    text = "All rights reserved. " * 50_000
+    [row] = op.digest(op.scan(spark.createDataFrame([(1, text)], SCHEMA))).collect()
+    assert (row.n_base, row.n_words, row.labels, row.score) == (50_000, 150_000, "reserved", 1.0)
+
+
+def test_clashing_columns_are_not_read(spark):
+    rows = [(1, "Licensed under CC BY-SA 4.0", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t int").withColumns({"a.b": op.F.lit(1), "ROW": op.F.lit(2), "Found": op.F.lit(3), "n_words": op.F.lit(4)})
+    assert [r.labels for r in op.digest(op.scan(df)).collect()] == ["cc-by,cc-by-sa"]
+
+
 def test_whole_license_texts_are_found_wherever_they_stand(spark):
     filler = ("word " * 7).split()
     long = [(label, text) for label, text, *_ in op.TEMPLATES if len(text.split()) > 60]
