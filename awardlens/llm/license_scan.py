@@ -373,10 +373,10 @@ sizes AS (SELECT DISTINCT size FROM known),
 blocks AS (SELECT row, w, size, pos, w[pos + 1:pos + size] AS b
            FROM (SELECT row, size, w, unnest(range(0, greatest(1, len(w) - size // 2), size // 2)) AS pos FROM d, sizes WHERE len(w) > 0)),
 likely AS (SELECT row, w, pos, len(b) AS n, known.* FROM blocks JOIN known USING (size) WHERE list_has_all(b, needs) AND NOT list_has_any(b, around) AND len(list_intersect(list_distinct(b), t)) >= need),
-stretches AS (SELECT *, w[at + 1:at + least(length, n)] AS s FROM (SELECT *, unnest(range(pos, pos + n - least(length, n) + 1)) AS at FROM likely)),
+stretches AS (SELECT *, w[place + 1:place + least(length, n)] AS s FROM (SELECT *, unnest(range(pos, pos + n - least(length, n) + 1)) AS place FROM likely)),
 found AS (SELECT row, label, len(list_intersect(list_distinct(s), t)) / len(t) AS share FROM stretches
           WHERE len(list_intersect(list_distinct(s), t)) >= need AND NOT list_has_any(s, bars) AND regexp_matches(' ' || array_to_string(s, ' ') || ' ', ordered)
-            AND NOT (list_contains(needs, s[1]) AND at > 0 AND list_contains(bars, w[at])) AND NOT (list_contains(needs, s[-1]) AND len(w) > at + len(s) AND list_contains(bars, w[at + len(s) + 1]))),
+            AND NOT (list_contains(needs, s[1]) AND place > 0 AND list_contains(bars, w[place])) AND NOT (list_contains(needs, s[-1]) AND len(w) > place + len(s) AND list_contains(bars, w[place + len(s) + 1]))),
 a AS (SELECT row, count(*) AS n, min(pos) AS x, max(pos) AS y, list(DISTINCT label) AS ls FROM places GROUP BY 1),
 m AS (SELECT row, max(share) AS share, list(DISTINCT label) AS ls FROM found GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(x AS BIGINT) AS first_word, CAST(y AS BIGINT) AS last_word,
