@@ -30,10 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import byte_column, is_held_out, row_of, slices, tidy
+from awardlens.llm.text import byte_column, is_held_out, quoted, row_of, slices, tidy
 
 WIDTH, STRIDE, FILTERS, SEGMENT, HIDDEN, EMBEDDED = 8, 4, 24, 128, 16, 8
 SLICE = 192 << 10
+#: Segments whose windows are held at a time when gradients are summed.
+ROWS_AT_ONCE = 2048
 
 
 @dataclass
@@ -144,24 +146,35 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((hidden @ net.o + net.o0).astype(np.float64), -40, 40)))
 
 
-def _gradients(net: Network, text: bytes, length: int, label: float, weight: float) -> dict[str, np.ndarray]:
-    buffer, at, _ = _layout([text])
-    count = np.array([max(1, -(-length // STRIDE))])
-    out = responses(net, buffer, at)
-    n, segments = len(out), -(-len(out) // SEGMENT)
-    full = np.full((segments * SEGMENT, FILTERS), -np.inf, np.float32)
-    full[:n] = out
-    best = full.reshape(segments, SEGMENT, FILTERS).argmax(1) + SEGMENT * np.arange(segments)[:, None]
+def _best_windows(net: Network, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The window of the strongest response of each filter in each segment, and that response; a slice of the text at a time."""
+    best, value = [], []
+    for at in range(0, max(1, len(text)), SLICE):
+        piece = text[at : at + SLICE]
+        buffer, starts, _ = _layout([piece])
+        buffer = buffer.copy()
+        ahead = np.frombuffer(text[at + SLICE : at + SLICE + WIDTH], dtype=np.uint8)
+        buffer[len(piece) : len(piece) + len(ahead)] = ahead  # what the slice's last windows see of the next one
+        out = responses(net, buffer, starts)
+        segments = -(-len(out) // SEGMENT)
+        full = np.full((segments * SEGMENT, FILTERS), -np.inf, np.float32)
+        full[: len(out)] = out
+        own = full.reshape(segments, SEGMENT, FILTERS).argmax(1) + SEGMENT * np.arange(segments)[:, None]
+        value.append(full[own, np.arange(FILTERS)])
+        best.append(own + at // STRIDE)
+    return np.concatenate(best), np.concatenate(value)
+
+
+def _gradients(net: Network, text: bytes, label: float, weight: float) -> dict[str, np.ndarray]:
+    count = np.array([max(1, -(-len(text) // STRIDE))])
+    best, value = _best_windows(net, text)
     f = np.arange(FILTERS)
-    value = out[best, f]
-    if segments > 1:
-        pick = np.where(value[:-1] >= value[1:], best[:-1], best[1:])
+    if len(best) > 1:
+        pick, strongest = np.where(value[:-1] >= value[1:], best[:-1], best[1:]), np.maximum(value[:-1], value[1:])
     else:
-        pick = best
-    top = best[value.argmax(0), f]
-    strongest = out[pick, f]
-    weak = pick[strongest.argmin(0), f]
-    v = np.concatenate([np.concatenate([out[top, f], strongest.mean(0), out[weak, f]]) + np.tile(net.b, 3), _size(count)])
+        pick, strongest = best, value
+    top, weak = best[value.argmax(0), f], pick[strongest.argmin(0), f]
+    v = np.concatenate([np.concatenate([value.max(0), strongest.mean(0), strongest.min(0)]) + np.tile(net.b, 3), _size(count)])
     h = np.tanh(v @ net.a + net.a0)
     p = 1 / (1 + np.exp(-np.clip(h @ net.o + net.o0, -30, 30)))
     d = (p - label) * weight
@@ -169,19 +182,21 @@ def _gradients(net: Network, text: bytes, length: int, label: float, weight: flo
     dv = net.a @ dh
     rows = np.concatenate([top[None], weak[None], pick])
     to_max, to_mean, to_min = dv[:-1].reshape(3, FILTERS)
-    grad = np.concatenate([to_max[None], to_min[None], np.repeat(to_mean[None] / len(pick), len(pick), axis=0)])
-    near = buffer[at[rows][..., None] + np.arange(WIDTH)]  # rows, filters, places
-    dw = np.einsum("rfkd,rf->kdf", net.e[near], grad, optimize=True)
-    de = np.zeros_like(net.e)
-    np.add.at(de, near, grad[..., None, None] * net.w.transpose(2, 0, 1)[None])
+    padded = np.frombuffer(text + b"\0" * (STRIDE + WIDTH), dtype=np.uint8)
+    dw, de = np.zeros_like(net.w), np.zeros_like(net.e)
+    for at in range(0, len(rows), ROWS_AT_ONCE):
+        part = rows[at : at + ROWS_AT_ONCE]
+        grad = np.repeat(to_mean[None] / len(pick), len(part), axis=0)
+        if at == 0:
+            grad[:2] = to_max, to_min
+        near = padded[part[..., None] * STRIDE + np.arange(WIDTH)]  # rows, filters, places
+        dw += np.einsum("rfkd,rf->kdf", net.e[near], grad, optimize=True)
+        np.add.at(de, near, grad[..., None, None] * net.w.transpose(2, 0, 1)[None])
     return {"e": de, "w": dw, "b": dv[:-1].reshape(3, FILTERS).sum(0), "a": np.outer(v, dh), "a0": dh, "o": d * h, "o0": d}
 
 
-def fit(texts: list[bytes], lengths: list[int], labels: list[int], weights: list[float], steps: int = 540, batch: int = 24, rate: float = 0.006, seed: int = 1) -> Network:
-    """Adam over the weighted log loss, for at least `steps` batches of whole passes.
-
-    lengths: the bytes of the documents that the texts stand for.
-    """
+def fit(texts: list[bytes], labels: list[int], weights: list[float], steps: int = 540, batch: int = 24, rate: float = 0.006, seed: int = 1) -> Network:
+    """Adam over the weighted log loss, for at least `steps` batches of whole passes."""
     net = Network.fresh(seed).tabulate()
     params = net.weights()
     m = {k: np.zeros_like(v) for k, v in params.items()}
@@ -197,7 +212,7 @@ def fit(texts: list[bytes], lengths: list[int], labels: list[int], weights: list
             grads = {k: np.zeros_like(v) for k, v in params.items()}
             for i in part:
                 shift = int(r.integers(0, STRIDE)) if len(texts[i]) > WIDTH else 0
-                for k, g in _gradients(net, texts[i][shift:], lengths[i] - shift, labels[i], weights[i]).items():
+                for k, g in _gradients(net, texts[i][shift:], labels[i], weights[i]).items():
                     grads[k] += g
             step += 1
             now = rate * (1 - step / (total + 1))
@@ -210,8 +225,8 @@ def fit(texts: list[bytes], lengths: list[int], labels: list[int], weights: list
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = 1600, train_chars: int = 20_000, modulus: int = 5, remainder: int = 0) -> Network:
-    """A network fitted on a bounded sample of the labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = 1600, modulus: int = 5, remainder: int = 0) -> Network:
+    """A network fitted on a bounded sample of the labelled rows that are not held out: `train_rows` whole texts at most, held by the driver."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
@@ -227,9 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 1600, train_char
         part = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         sample = part if sample is None else sample.unionByName(part)
     text = F.coalesce("text", F.lit(""))
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - train_chars, F.lit(0)).cast("long") + 1).cast("int") + 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.substring(text, start, F.lit(train_chars)).alias("part"), F.octet_length(text).alias("length")).alias("t"))
-    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("t").alias("t")).select("doc_id", "quality", "t.*")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = rows.orderBy("quality", F.xxhash64("doc_id"), "doc_id").collect()  # train_rows at most
     if {r.quality for r in rows} != {0, 1}:
         net = Network.fresh(0)
@@ -238,22 +252,25 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 1600, train_char
     n = {label: sum(r.quality == label for r in rows) for label in (0, 1)}
     whole = share[0] + share[1]
     weight = {label: share[label] / whole * len(rows) / n[label] for label in (0, 1)}
-    parts = [r.part.encode() for r in rows]
-    return fit(parts, [max(r.length, len(p)) for r, p in zip(rows, parts, strict=True)], [r.quality for r in rows], [weight[r.quality] for r in rows])
+    return fit([r.text.encode() for r in rows], [r.quality for r in rows], [weight[r.quality] for r in rows])
 
 
-def scored(docs: DataFrame, net: Network, text: str = "text", score: str = "score") -> DataFrame:
-    """The input rows with a score column (replaced if the input has one)."""
-    keep = [c for c in docs.columns if c != score]
-    schema = docs.select(*keep).schema.add(score, "double")
-    model = docs.sparkSession.sparkContext.broadcast(net)
+def _with_score(rows: DataFrame, net: Network, score: str) -> DataFrame:
+    """`row, <score>` of rows(row, text): the text does not come back from the tasks' Python."""
+    model = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = probabilities(model.value, byte_column(batch, text))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, score])
+            p = probabilities(model.value, byte_column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p, pa.float64())], names=["row", score])
+
+    return rows.mapInArrow(tidy(run), rows.select("row").schema.add(score, "double"))
 
-    return docs.select(*keep).mapInArrow(tidy(run), schema)
+
+def scored(docs: DataFrame, net: Network, text: str = "text", score: str = "score") -> DataFrame:
+    """The input rows, whatever their columns, with a score column (replaced if the input has one, in any case of letters)."""
+    kept = docs.select(*(F.col(quoted(c)) for c in docs.columns if c.lower() != score.lower()))
+    return _with_score(docs.select(row_of(kept).alias("row"), F.col(quoted(text)).alias("text")), net, "_score").select("row.*", F.col("_score").alias(score))
 
 
 def kept(docs: DataFrame, net: Network, least: float, text: str = "text") -> DataFrame:
@@ -273,5 +290,5 @@ def kept(docs: DataFrame, net: Network, least: float, text: str = "text") -> Dat
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """`doc_id, held_out, score, predicted` for every row."""
     net = train(docs, labels, modulus=modulus, remainder=remainder)
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net)
+    out = _with_score(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "text"), net, "score").select("row.doc_id", "score")
     return out.select("doc_id", is_held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -7,7 +7,8 @@ text count as equal with a chance of about windows^2 / 2^65.
 
 Defined results: a null text counts as empty (it has no words and fails `few_words`); repeated
 rows and repeated ids keep one ledger row each; an empty table gives an empty ledger; columns
-of the input named like a measurement are replaced in the ledger's output.
+of the input named like a column of the ledger, in any case of letters, are replaced in its output,
+others are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from awardlens.llm.text import quoted
+
 SEPARATOR = r"[\x20\x09-\x0D]+"
 WINDOW = 3
 
@@ -108,16 +111,18 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         ),
     )
-    kept = [c for c in docs.columns if c not in {*MEASURES, "_counted", "_by_line"}]
+    own = _others(docs, (*MEASURES, "failed_bits"))
+    free = next(n for n in ("_" * k + "counted" for k in range(1, 99)) if not any(c.lower().startswith(n) for c in docs.columns))
+    words_of, lines_of = free, free + "_lines"
     out = docs.select(
-        *kept,
-        counted.alias("_counted"),
-        by_line.alias("_by_line"),
+        *own,
+        counted.alias(words_of),
+        by_line.alias(lines_of),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
-    part = {"n_lines": "_by_line", "n_dup_lines": "_by_line", "n_symbols": None, "n_upper": None}
-    return out.select(*kept, *(F.col(f"{p}.{m}").alias(m) if (p := part.get(m, "_counted")) else F.col(m) for m in MEASURES))
+    part = {"n_lines": lines_of, "n_dup_lines": lines_of, "n_symbols": None, "n_upper": None}
+    return out.select(*own, *(F.col(f"{p}.{m}").alias(m) if (p := part.get(m, words_of)) else F.col(m) for m in MEASURES))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -126,14 +131,19 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(rule.failed), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return df.select(*(c for c in df.columns if c != "failed_bits"), bits.alias("failed_bits"))
+    return df.select(*_others(df, ("failed_bits",)), bits.alias("failed_bits"))
+
+
+def _others(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    """The columns of a frame but those of some names, in any case of letters."""
+    low = {n.lower() for n in names}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in low]
 
 
 def with_verdict(book: DataFrame, policy: str = "v2") -> DataFrame:
     """The ledger with `base_failed` and `kept` under a policy; no text is read."""
     failed = lambda mask: F.col("failed_bits").bitwiseAND(F.lit(mask)) != 0
-    rest = [c for c in book.columns if c not in {"base_failed", "kept"}]
-    return book.select(*rest, failed(mask_of("base")).alias("base_failed"), (~failed(mask_of(policy) | mask_of("base"))).alias("kept"))
+    return book.select(*_others(book, ("base_failed", "kept")), failed(mask_of("base")).alias("base_failed"), (~failed(mask_of(policy) | mask_of("base"))).alias("kept"))
 
 
 def ablation(book: DataFrame, policy: str = "v2") -> DataFrame:

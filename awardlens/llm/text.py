@@ -188,4 +188,9 @@ def is_held_out(doc_id, modulus: int, remainder: int):
 
 def row_of(df: DataFrame) -> Column:
     """All input columns as one struct, so that no helper column can clash with them."""
-    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+    return F.struct(*(F.col(quoted(c)) for c in df.columns))
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from awardlens.llm import cnn
 
@@ -68,7 +69,7 @@ def test_gradients_match_differences(name):
         net.table = np.einsum("vd,kdf->kvf", net.e, net.w)
         return -np.log(cnn.probabilities(net, [text])[0])
 
-    grad = cnn._gradients(net, text, len(text), 1, 1.0)[name]
+    grad = cnn._gradients(net, text, 1, 1.0)[name]
     w = getattr(net, name)
     flat = np.argsort(-np.abs(grad).ravel())[:3]
     for i in flat:
@@ -110,6 +111,25 @@ def test_long_and_repeated_labelled_texts_are_learned_from(spark):
     rows = corpus(60, 5)
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, 0), (7, 1)], "doc_id long, quality int")
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, "short"), (2, None)], "doc_id long, text string")
-    a = cnn.train(docs, labels, train_rows=40, train_chars=100)
-    b = cnn.train(docs.repartition(7), labels.repartition(5), train_rows=40, train_chars=100)
+    a = cnn.train(docs, labels, train_rows=40)
+    b = cnn.train(docs.repartition(7), labels.repartition(5), train_rows=40)
     assert all(np.array_equal(x, b.weights()[k]) for k, x in a.weights().items())
+
+
+def test_gradients_of_slices_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = rng.integers(32, 120, 9000).astype(np.uint8).tobytes()
+    net = cnn.Network.fresh(5).tabulate()
+    whole = cnn._gradients(net, text, 1, 1.0)
+    monkeypatch.setattr(cnn, "SLICE", cnn.STRIDE * cnn.SEGMENT * 2)
+    monkeypatch.setattr(cnn, "ROWS_AT_ONCE", 3)
+    sliced = cnn._gradients(net, text, 1, 1.0)
+    assert all(np.allclose(whole[k], sliced[k], atol=1e-5) for k in whole)
+
+
+def test_scores_beside_any_columns(spark):
+    net = cnn.Network.fresh(2).tabulate()
+    df = spark.createDataFrame([(1, "a text", 5), (2, None, 6)], "doc_id long, text string, SCORE int").withColumns({"a.b": F.lit(1), "row": F.lit(2), "_Score": F.lit(3), "x`y": F.lit(4)})
+    out = cnn.scored(df, net)
+    assert out.columns == ["doc_id", "text", "a.b", "row", "_Score", "x`y", "score"]
+    assert [(r.doc_id, r["a.b"], r["x`y"]) for r in out.orderBy("doc_id").collect()] == [(1, 1, 4), (2, 1, 4)]

@@ -36,3 +36,11 @@ def test_policies_and_ablation_use_the_bits_alone(spark):
         assert table[rule.name] == (sum(r.failed_bits >> i & 1 for r in rows), sum(r.failed_bits == 1 << i for r in rows), len(rows))
     assert q.ledger(df.limit(0)).count() == 0
     assert q.mask_of("base") == 3
+
+
+def test_clashing_columns_are_replaced_and_others_carried(spark):
+    df = spark.createDataFrame([(1, "a b c a b c a b", 5)], "doc_id long, text string, N_SYMBOLS int").withColumns({"a.b": F.lit(1), "_COUNTED": F.lit(2), "Failed_Bits": F.lit(3), "KEPT": F.lit(4), "x`y": F.lit(6), "_by_line": F.lit(7), "__counted_lines": F.lit(8)})
+    out = q.with_verdict(q.ledger(df))
+    assert out.columns == ["doc_id", "text", "a.b", "_COUNTED", "x`y", "_by_line", "__counted_lines", *q.MEASURES, "failed_bits", "base_failed", "kept"]
+    [r] = out.collect()
+    assert (r.n_words, r.n_repeat_words, r["a.b"], r._COUNTED, r["x`y"], r._by_line) == (8, 8, 1, 2, 6, 7)
