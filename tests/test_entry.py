@@ -31,5 +31,7 @@ def test_the_rest_works_without_the_corpus_parts(tmp_path):
     shutil.copytree(ROOT / "awardlens", tmp_path / "awardlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     subprocess.run([sys.executable, "-c", CHECK], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
-    (tmp_path / "awardlens/llm").mkdir()  # an empty folder left behind
+    (tmp_path / "awardlens/llm/__pycache__").mkdir(parents=True)  # an empty folder left behind
+    subprocess.run([sys.executable, "-c", CHECK], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+    (tmp_path / "corpus_pipeline.py").write_text("from awardlens.llm import cnn, simhash\nfrom awardlens.llm.text import row_of\n")
     subprocess.run([sys.executable, "-c", CHECK], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
