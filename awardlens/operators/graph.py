@@ -219,50 +219,6 @@ def trails(edges: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
     return found
 
 
-def diverse_trails(edges: DataFrame, start, shortest: int, longest: int, least_types: int, limit: int) -> DataFrame:
-    """The first trails from a node, directions ignored: most edge types first, then fewest steps, then by their nodes.
-
-    No trail ends where it began. Steps are added until `limit` trails have every type that the
-    graph has, since longer ones cannot come before those.
-    """
-    e = settled(edges.select("id", "src", "dst", "type").unionByName(edges.select("id", F.col("dst").alias("src"), F.col("src").alias("dst"), "type")), "trail-edges")
-    every = e.agg(F.count_distinct("type")).first()[0]
-    now = e.where(F.col("src") == start).select(F.col("dst").alias("at"), F.array("src", "dst").alias("nodes"), F.array("id").alias("used"), F.array("type").alias("types"))
-    found, full = None, 0
-    for n in range(1, longest + 1):
-        if n >= shortest:
-            part = settled(now.where((F.col("at") != start) & (F.size("types") >= least_types)).select(F.lit(n).alias("hops"), F.array_join("nodes", ">").alias("path"), F.size("types").alias("n_types")), "trails")
-            found = part if found is None else found.unionByName(part)
-            full += part.where(F.col("n_types") >= every).limit(limit).count()
-            if full >= limit:
-                break
-        if n < longest:
-            step = now.join(e, now["at"] == e["src"]).where(~F.array_contains("used", F.col("id")))
-            now = settled(step.select(F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("used", F.array("id")).alias("used"), F.array_union("types", F.array("type")).alias("types")), "trail-steps")
-    return found.orderBy(F.desc("n_types"), "hops", "path").limit(limit)
-
-
-def first_cycles(edges: DataFrame, longest: int, limit: int, start=None) -> DataFrame:
-    """The first directed cycles of 2 to `longest` steps by length and nodes, from every node or one.
-
-    No edge is used twice; a cycle counts once for each of its nodes. Steps are added until there
-    are `limit` cycles.
-    """
-    e = settled(edges.where("src <> dst").select("src", "dst", F.col("amount").cast("decimal(18,2)").cast("string").alias("amount")), "cycle-edges")
-    own = e if start is None else e.where(F.col("src") == start)
-    now = own.select(F.col("src").alias("first"), F.col("dst").alias("at"), F.array("src", "dst").alias("nodes"), F.array(F.struct("src", "dst")).alias("used"), F.array("amount").alias("amounts"))
-    found, n_found = None, 0
-    for n in range(2, longest + 1):
-        step = now.join(e, now["at"] == e["src"]).where(~F.array_contains("used", F.struct("src", "dst")))
-        now = settled(step.select("first", F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("used", F.array(F.struct("src", "dst"))).alias("used"), F.concat("amounts", F.array("amount")).alias("amounts")), "cycle-steps")
-        part = now.where("at = first").select(F.lit(n).alias("hops"), F.array_join("nodes", ">").alias("path"), F.array_join("amounts", ",").alias("amounts"))
-        found = part if found is None else found.unionByName(part)
-        n_found += part.limit(limit).count()
-        if n_found >= limit:
-            break
-    return found.orderBy("hops", "path").limit(limit)
-
-
 def triangles(edges: DataFrame) -> DataFrame:
     """a < b < c with all three edges, each once."""
     pairs = settled(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct(), "triangle-edges")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from awardlens.operators import graph as op
-from awardlens.operators import rollups, sets
+from awardlens.operators import rollups, sets, trails
 from awardlens.operators.settle import settled
 from awardlens.plans.flags import SUB, subcontracts
 from awardlens.plans.registry import registry
@@ -161,7 +161,7 @@ def multi_hop_paths(d: Domain):
     """
     e = chain_edges(d)
     start = e.agg(F.min("src")).first()[0]
-    return op.diverse_trails(e, start, 3, 6, 3, 20).select("hops", "path", "n_types")
+    return trails.diverse_trails(e, start, 3, 6, 3, 20).select("hops", "path", "n_types")
 
 
 @query(oracle("""SELECT CAST(hops AS INT) AS hops, path, amounts FROM (SELECT 2 AS hops, x.src || '>' || x.dst || '>' || x.src AS path, CAST(x.amount AS VARCHAR) || ',' || CAST(y.amount AS VARCHAR) AS amounts FROM subd x JOIN subd y ON x.dst = y.src AND y.dst = x.src)
@@ -171,7 +171,7 @@ def subcontract_cycles(d: Domain):
 
     The oracle takes two steps alone: there are more than ten such cycles.
     """
-    return op.first_cycles(subcontracts(d), 6, 10)
+    return trails.first_cycles(subcontracts(d), 6, 10)
 
 
 @query(oracle("""SELECT CAST(hops AS INT) AS hops, path FROM (SELECT 2 AS hops, x.src || '>' || x.dst || '>' || x.src AS path, x.src FROM sub x JOIN sub y ON x.dst = y.src AND y.dst = x.src
@@ -179,7 +179,7 @@ def subcontract_cycles(d: Domain):
 def cycles_of_firm(d: Domain):
     """The five first cycles through one firm, shortest first."""
     e = subcontracts(d)
-    return op.first_cycles(e, 3, 5, e.agg(F.min("src")).first()[0]).select("hops", "path")
+    return trails.first_cycles(e, 3, 5, e.agg(F.min("src")).first()[0]).select("hops", "path")
 
 
 @query(oracle("SELECT x.src AS a, x.dst AS b, x.amount AS there, y.amount AS back FROM sub x JOIN sub y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst", SUB))
