@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from awardlens.functions import text as fn
-from awardlens.operators import embed, graph, rollups
+from awardlens.operators import embed, graph, rollups, walks
 from awardlens.operators.settle import settled
 from awardlens.plans.network import PAIRS, focus_pairs
 from awardlens.plans.registry import registry
@@ -97,8 +97,8 @@ def members_projected(d: Domain):
 def node2vec_ties(d: Domain):
     """Pairs of large firms without a joint award that random-walk vectors place near each other.
 
-    Walks run over firms, offices and joint awards; each pair comes with its Adamic-Adar score and
-    the offices that both have worked for.
+    Walks run over firms, offices and joint awards; each pair comes with its Adamic-Adar score over common
+    partners and offices, and the number of offices that both have worked for.
     """
     e = settled(focus_pairs(d), "tie-pairs").select("src", "dst", "weight")
     held = d.focus.join(d.places.select("office", "nation_key"), "office").groupBy("firm", "nation_key").agg(F.count("*").cast("double").alias("weight"))
@@ -106,9 +106,9 @@ def node2vec_ties(d: Domain):
     offices = held.join(big_firms(d), "firm", "left_semi").select("nation_key", "firm")
     shared = rollups.co_pairs(offices, "nation_key").groupBy("a", "b").agg(F.count("*").alias("shared_offices"))
     candidates = settled(shared.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti"), "tie-candidates")
-    vectors = embed.node_vectors(embed.random_walks(walked))
+    vectors = embed.node_vectors(walks.random_walks(walked))
     found = embed.predicted_ties(vectors, candidates.select("a", "b"))
-    scores = graph.adamic_adar(e, candidates.select("a", "b")).select("a", "b", F.col("score").alias("adamic_adar"))
+    scores = graph.adamic_adar(walked, candidates.select("a", "b")).select("a", "b", F.col("score").alias("adamic_adar"))
     return found.join(candidates, ["a", "b"]).join(scores, ["a", "b"], "left")
 
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from awardlens.functions import text as fn
-from awardlens.operators import flags, graph, quality, resolve, rollups, temporal
+from awardlens.operators import flags, graph, quality, resolve, rollups, temporal, walks
 from awardlens.sources import files
 from awardlens.streaming import monitor
 
@@ -299,10 +299,10 @@ def test_walks_follow_edges_and_repeat(spark):
     edges = [(a, b, 1.0 + b % 2) for a, b in small_graph()]
     near = neighbours([(a, b) for a, b, _ in edges])
     e = spark.createDataFrame(edges, "src long, dst long, weight double")
-    first = sorted(tuple(r.walk) for r in embed.random_walks(e, 8, 3).collect())
+    first = sorted(tuple(r.walk) for r in walks.random_walks(e, 8, 3).collect())
     assert len(first) == 3 * len(near) and all(len(w) == 8 for w in first)
     assert all(int(b) in near[int(a)] for w in first for a, b in itertools.pairwise(w))
-    assert first == sorted(tuple(r.walk) for r in embed.random_walks(e.repartition(3), 8, 3).collect())
+    assert first == sorted(tuple(r.walk) for r in walks.random_walks(e.repartition(3), 8, 3).collect())
 
 
 def test_rewiring_keeps_degrees(spark):
