@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardlens.functions import text as fn
+from awardlens.operators.settle import settled
 from awardlens.sources import files
 
 #: Tiers of a name match: merged at once from the first similarity on, reviewed from the second.
@@ -103,3 +104,28 @@ def vector_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     usable = lambda df: df.where("entity_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
     kept = usable(old).join(usable(new).select("entity_id"), "entity_id", "left_anti")
     return usable(new).unionByName(kept)
+
+
+def enriched(rows: DataFrame, key: str, required: list[DataFrame], optional: list[DataFrame]) -> DataFrame:
+    """Rows with the columns of other frames by a key; a record of a required frame whose key no row has is an error."""
+    for records in required:
+        lost = records.join(rows.select(key), key, "left_anti").select(key).orderBy(key).limit(5).collect()
+        if lost:
+            raise ValueError(f"records without a row: {', '.join(str(r[0]) for r in lost)}")
+    for records in [*required, *optional]:
+        rows = rows.join(records, key, "left")
+    return rows
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows with their place in an order over all, from 1, without one task seeing all rows.
+
+    Rows are sorted over ranges and written; ranges are counted, and a row's place is its own in its range
+    after the rows of the ranges before.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    parts = settled(ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    placed = parts.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return placed.select((F.col("_before") + F.col("_at") + 1).cast("int").alias(name), *rows.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Plan modules with QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES = ["rollups", "flags", "network", "temporal", "entities", "registers", "extras", "more", "staging", "profiles", "structure", "lookup"]
+MODULES = ["rollups", "flags", "network", "temporal", "entities", "registers", "extras", "more", "staging", "profiles", "structure", "lookup", "views"]
 
 
 def _modules():
