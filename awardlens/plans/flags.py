@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardlens.operators import flags as op
-from awardlens.operators import rollups
+from awardlens.operators import rollups, sheets
 from awardlens.plans.registry import registry
-from awardlens.sources.tables import Domain, oracle
+from awardlens.sources.tables import FOCUS, MONEY, Domain, oracle
 
 QUERIES, ORACLES, query = registry()
 THRESHOLD = 250_000
@@ -146,16 +146,15 @@ def flag_shell_network(d: Domain):
     return op.shell_network(address_pairs(d), director_pairs(d))
 
 
-DETECTORS = (
-    flag_single_bidder, flag_identical_bids, flag_split, flag_concentration, flag_rotating, flag_political, flag_geographic,
-    flag_shell_company, flag_phoenix, flag_campaign, flag_circular, flag_timing, flag_shell_network,
-)
-
-
 def all_flags(d: Domain) -> DataFrame:
-    """The flags of all detectors, which share one written table of awards and one of bids."""
-    d.keep("awards", "bids")
-    return reduce(DataFrame.unionByName, (f(d) for f in DETECTORS))
+    """The flags of all thirteen detectors from one table of contracts and one of firms at offices."""
+    lines = d.table("lineitem").select(F.col("l_orderkey").alias("ref"), F.col("l_suppkey").alias("firm"), F.col("l_extendedprice").cast(MONEY).alias("bid"))
+    book = sheets.bid_sheets(lines, d.contracts)
+    held = sheets.holdings(book, d.firms, THRESHOLD, FOCUS)
+    given = donations(d).select("firm", "office").distinct().join(held.select("firm", "office", "n", "v"), ["firm", "office"])
+    campaign = op.flagged(given, "campaign_connection", "high", "firm", F.col("firm"), F.col("n"), F.col("v"))
+    others = (flag_political(d), flag_phoenix(d), op.circular_flow(sheets.subcontract_edges(book, FOCUS)), flag_shell_network(d))
+    return reduce(DataFrame.unionByName, (sheets.bid_flags(book), sheets.award_flags(held, 130), campaign, *others))
 
 
 @query(oracle(f"""SELECT entity_type, entity_id, CAST(sum(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS BIGINT) AS risk_score,
