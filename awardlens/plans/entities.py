@@ -134,10 +134,12 @@ def localities(d: Domain):
     return d.firms.select("firm", fn.locality(address).alias("locality"))
 
 
-@query(oracle("""SELECT home_region AS locality, count(*) AS n, array_to_string(list_sort(list(name)), '; ') AS members FROM firms GROUP BY 1 HAVING count(*) >= 2"""))
+@query(oracle("""SELECT home_region AS locality, n, name AS member, CAST(row_number() OVER (PARTITION BY home_region ORDER BY name) AS INT) AS place FROM firms JOIN (SELECT home_region, count(*) AS n FROM firms GROUP BY 1 HAVING count(*) >= 2) USING (home_region)"""))
 def locality_clusters(d: Domain):
-    """Regions where two or more firms are registered."""
-    return d.firms.groupBy(F.col("home_region").alias("locality")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), "; ").alias("members")).where("n >= 2")
+    """Regions where two or more firms are registered, a row for each firm."""
+    rows = d.firms.select(F.col("home_region").alias("locality"), F.col("name").alias("member"))
+    counts = rows.groupBy("locality").agg(F.count("*").alias("n")).where("n >= 2")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("locality").orderBy("member"))).join(counts, "locality").select("locality", "n", "member", "place")
 
 
 @query(oracle("""SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardlens.operators import searching
+from awardlens.operators.settle import settled
 from awardlens.plans.registry import registry
 from awardlens.sources.tables import Domain, oracle
 
 QUERIES, ORACLES, query = registry()
-QUESTIONS = ("Bránd#12", "smal gizmo", "unitd stats", "supplier 00005", "gear", "eroupe", "ring brand 3", "japan", "xyzzyq", "steel ancor", "Customer 000000012", "  ", "new kingdm")
+QUESTIONS = ("Bránd#12", "smal gizmo", "naton 7", "supplier 00005", "gear", "amerca", "ring brand 3", "nation 16", "xyzzyq", "steel ancor", "Customer 000000012", "  ", "afrca supplir")
 
 
 def entities(d: Domain) -> DataFrame:
@@ -26,11 +27,17 @@ def entities(d: Domain) -> DataFrame:
 
 
 _FORM = "trim(regexp_replace(lower(translate({}, 'á', 'a')), '[^a-z0-9]+', ' ', 'g'))"
-ENTITIES = f"""raw AS (SELECT 'Contractor:' || f.firm AS id, name AS label, home AS a1, home_region AS a2, coalesce(v, 0) AS value FROM firms f LEFT JOIN (SELECT firm, CAST(sum(amount) AS DOUBLE) AS v FROM awards GROUP BY 1) s ON f.firm = s.firm
+
+
+def _entities_sql(questions: tuple[str, ...]) -> str:
+    return f"""raw AS (SELECT 'Contractor:' || f.firm AS id, name AS label, home AS a1, home_region AS a2, coalesce(v, 0) AS value FROM firms f LEFT JOIN (SELECT firm, CAST(sum(amount) AS DOUBLE) AS v FROM awards GROUP BY 1) s ON f.firm = s.firm
  UNION ALL SELECT 'Agency:' || nation_key, office, region, office, 0 FROM places UNION ALL SELECT 'Contract:' || p_partkey, p_name, p_brand, p_type, CAST(p_retailprice AS DOUBLE) FROM part
  UNION ALL SELECT 'Person:' || person, c_name, surname, province, CAST(net_worth AS DOUBLE) FROM officials JOIN customer ON c_custkey = person),
 ents AS (SELECT id, label, value, {_FORM.format('label')} AS norm, a1, a2, {_FORM.format('a1')} AS n1, {_FORM.format('a2')} AS n2 FROM raw), forms AS (SELECT *, norm || ' ' || n1 || ' ' || n2 AS hay FROM ents),
-asked AS (SELECT q, want, string_split(want, ' ') AS tokens FROM (SELECT q, {_FORM.format('t')} AS want FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(QUESTIONS))}) AS v(q, t)) WHERE want <> '')"""
+asked AS (SELECT q, want, string_split(want, ' ') AS tokens FROM (SELECT q, {_FORM.format('t')} AS want FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(questions))}) AS v(q, t)) WHERE want <> '')"""
+
+
+ENTITIES = _entities_sql(QUESTIONS)
 _HOLDS = "len(list_filter(tokens, lambda t: contains({0}, t))) = len(tokens)"
 _NEAR = "list_transform(tokens, lambda t: list_min(list_transform(string_split({0}, ' '), lambda w: CASE WHEN starts_with(w, t) THEN 0 WHEN levenshtein(w, t) <= CASE WHEN length(t) <= 3 THEN 0 WHEN length(t) <= 6 THEN 1 ELSE 2 END THEN levenshtein(w, t) END)))"
 _CLOSE = f"NOT list_contains(list_transform({_NEAR}, lambda d: d IS NULL), true)"
@@ -41,17 +48,52 @@ def _why(hit: str) -> str:
     return f"{pick("'name'", "'former'")} AS reason_kind, {pick('a1', 'a2')} AS reason"
 
 
-@query(oracle(f"""SELECT q, CAST(place AS INT) AS place, id, label, "similar", CAST(rank AS INT) AS rank, reason_kind, reason FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY "similar", rank, value DESC, id) AS place FROM
- (SELECT * FROM exact UNION ALL SELECT * FROM fuzzy)) WHERE place <= 40""", ENTITIES + f""",
+_TIERS = f"""
  exact AS MATERIALIZED (SELECT q, id, label, value, false AS "similar", CASE WHEN norm = want THEN 0 WHEN starts_with(norm, want) THEN 1 WHEN contains(norm, want) THEN 2 ELSE 3 END AS rank, {_why(_HOLDS)} FROM forms, asked WHERE {_HOLDS.format('hay')}),
  thin AS (SELECT * FROM asked WHERE q NOT IN (SELECT q FROM exact GROUP BY q HAVING count(*) >= 8)),
- fuzzy AS (SELECT q, id, label, value, true AS "similar", list_sum({_NEAR.format('hay')}) AS rank, {_why(_CLOSE)} FROM forms, thin WHERE {_CLOSE.format('hay')} AND (q, id) NOT IN (SELECT (q, id) FROM exact))"""))
+ fuzzy AS (SELECT q, id, label, value, true AS "similar", list_sum({_NEAR.format('hay')}) AS rank, {_why(_CLOSE)} FROM forms, thin WHERE {_CLOSE.format('hay')} AND (q, id) NOT IN (SELECT (q, id) FROM exact)),
+ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY "similar", rank, value DESC, id) AS place FROM (SELECT * FROM exact UNION ALL SELECT * FROM fuzzy)) WHERE place <= 40)"""
+
+
+@query(oracle("""SELECT q, CAST(place AS INT) AS place, id, label, "similar", CAST(rank AS INT) AS rank, reason_kind, reason FROM hits""", f"{ENTITIES}, {_TIERS}"))
 def entity_search(d: Domain):
     """Thirteen questions at once: exact hits, then similar ones where fewer than eight are exact, forty in all."""
     asked = d.spark.createDataFrame(list(enumerate(QUESTIONS)), "q int, text string")
     return searching.search(searching.build(entities(d)), asked)
 
 
+SUBJECTS = ("NATION_6", "Supplier#000000003", "nation 24", "supplier 000000007", "smal widgit")
+_MONEY = "CAST(CAST({0} AS DECIMAL(20, 2)) AS VARCHAR)"
+
+
+@query(oracle(f"""SELECT 'entity' AS block, id AS subject, text FROM (SELECT id, 'Agency ' || label || ': ' || n || ' contracts worth ' || {_MONEY.format('v')} || '; most awards: ' || (SELECT string_agg(name || ' (' || c || ')', ', ' ORDER BY k) FROM topf WHERE topf.nation_key = split_part(id, ':', 2)) AS text
+  FROM found JOIN (SELECT office AS o, count(*) AS n, sum(amount) AS v FROM contracts GROUP BY 1) ON o = label WHERE id LIKE 'Agency:%' UNION ALL
+ SELECT id, 'Contractor ' || label || ': ' || n || ' awards worth ' || {_MONEY.format('v')} || ' at ' || o || ' offices' FROM found JOIN (SELECT 'Contractor:' || firm AS f, count(*) AS n, sum(amount) AS v, count(DISTINCT office) AS o FROM awards GROUP BY 1) ON f = id UNION ALL
+ SELECT id, split_part(id, ':', 1) || ' ' || label FROM found WHERE id NOT LIKE 'Agency:%' AND id NOT LIKE 'Contractor:%')
+ UNION ALL SELECT 'cross', a.id || ' x ' || c.id, a.label || ' and ' || c.label || ': ' || count(*) || ' contracts worth ' || {_MONEY.format('sum(amount)')} FROM found a JOIN found c ON a.id LIKE 'Agency:%' AND c.id LIKE 'Contractor:%' JOIN awards w ON w.office = a.label AND 'Contractor:' || w.firm = c.id GROUP BY a.id, c.id, a.label, c.label""",
+ f"""{_entities_sql(SUBJECTS)}, {_TIERS}, found AS (SELECT DISTINCT id, label FROM hits WHERE place <= 2),
+ topf AS (SELECT CAST(nation_key AS VARCHAR) AS nation_key, name, c, k FROM (SELECT office, firm, count(*) AS c, row_number() OVER (PARTITION BY office ORDER BY count(*) DESC, firm) AS k FROM awards GROUP BY 1, 2) JOIN firms USING (firm) JOIN places ON places.office = "office" WHERE k <= 5)""".replace('firms USING (firm) JOIN places ON places.office = "office"', '(SELECT firm, name FROM firms) USING (firm) JOIN (SELECT office, nation_key FROM places) USING (office)')))
+def answer_blocks(d: Domain):
+    """What is told about the two best hits of each of five subjects, and of every office with every firm among them."""
+    d.keep("awards")
+    asked = d.spark.createDataFrame(list(enumerate(SUBJECTS)), "q int, text string")
+    found = settled(searching.search(searching.build(entities(d)), asked).where("place <= 2").select("id", "label").distinct(), "subjects")
+    kind, money = F.substring_index("id", ":", 1), lambda c: F.col(c).cast("decimal(20,2)").cast("string")
+    top = d.awards.groupBy("office", "firm").agg(F.count("*").alias("c"))
+    top = top.withColumn("k", F.row_number().over(Window.partitionBy("office").orderBy(F.desc("c"), "firm"))).where("k <= 5").join(d.firms.select("firm", "name"), "firm")
+    listed = top.groupBy("office").agg(F.sort_array(F.collect_list(F.struct("k", F.concat("name", F.lit(" ("), "c", F.lit(")")).alias("x")))).alias("s")).select("office", F.array_join(F.transform("s", lambda y: y["x"]), ", ").alias("most"))
+    of_office = d.contracts.groupBy("office").agg(F.count("*").alias("n"), F.sum("amount").alias("v")).join(listed, "office")
+    of_firm = d.awards.groupBy(F.concat(F.lit("Contractor:"), "firm").alias("id")).agg(F.count("*").alias("n"), F.sum("amount").alias("v"), F.count_distinct("office").alias("o"))
+    offices = found.where(kind == "Agency").join(of_office, F.col("label") == F.col("office")).select("id", F.concat(F.lit("Agency "), "label", F.lit(": "), "n", F.lit(" contracts worth "), money("v"), F.lit("; most awards: "), "most").alias("text"))
+    firms = found.where(kind == "Contractor").join(of_firm, "id").select("id", F.concat(F.lit("Contractor "), "label", F.lit(": "), "n", F.lit(" awards worth "), money("v"), F.lit(" at "), "o", F.lit(" offices")).alias("text"))
+    others = found.where(~kind.isin("Agency", "Contractor")).select("id", F.concat_ws(" ", kind, "label").alias("text"))
+    single = offices.unionByName(firms).unionByName(others).select(F.lit("entity").alias("block"), F.col("id").alias("subject"), "text")
+    a, c = found.where(kind == "Agency").select(F.col("id").alias("a"), F.col("label").alias("office")), found.where(kind == "Contractor").select(F.col("id").alias("c"), F.col("label").alias("name"))
+    both = d.awards.withColumn("c", F.concat(F.lit("Contractor:"), "firm")).join(F.broadcast(a), "office").join(F.broadcast(c), "c").groupBy("a", "c", "office", "name").agg(F.count("*").alias("n"), F.sum("amount").alias("v"))
+    cross = both.select(F.lit("cross").alias("block"), F.concat_ws(" x ", "a", "c").alias("subject"), F.concat("office", F.lit(" and "), "name", F.lit(": "), "n", F.lit(" contracts worth "), money("v")).alias("text"))
+    return single.unionByName(cross)
+
+
 @query(oracle("""SELECT id, label, score FROM (SELECT id, label, round(sum(ln(1 + ((SELECT count(*) FROM forms) - n + 0.5) / (n + 0.5))), 6) AS score FROM hits JOIN (SELECT word, count(*) AS n FROM hits GROUP BY 1) USING (word) GROUP BY 1, 2 ORDER BY score DESC, id LIMIT 200) WHERE split_part(id, ':', 1) IN ('Contractor', 'Agency')""",
  ENTITIES + ", hits AS (SELECT id, label, word FROM (SELECT id, label, unnest(list_distinct(string_split(hay, ' '))) AS word FROM forms) WHERE starts_with(word, 'e'))"))
 def fulltext_ranked(d: Domain):

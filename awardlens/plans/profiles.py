@@ -119,11 +119,13 @@ def away_regions(d: Domain):
     return away.groupBy("firm", "home").agg(_SORTED("region").alias("regions"), F.count("*").alias("n"), F.sum("amount").cast("double").alias("val")).where("n >= 3")
 
 
-@query(oracle("""SELECT office, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS val, string_agg(ref, ',' ORDER BY ref) AS refs FROM contracts WHERE amount > 100000 AND CAST(floor(amount) AS BIGINT) % 500 = 0 GROUP BY 1"""))
+@query(oracle("""SELECT office, count(*) OVER w AS n, CAST(sum(amount) OVER w AS DOUBLE) AS val, ref, CAST(row_number() OVER (PARTITION BY office ORDER BY ref) AS INT) AS place FROM contracts WHERE amount > 100000 AND CAST(floor(amount) AS BIGINT) % 500 = 0 WINDOW w AS (PARTITION BY office)"""))
 def round_amount_list(d: Domain):
-    """Round amounts of each office: how many, their total and their references."""
+    """Contracts of round amounts by office, a row each, with how many the office has and their total."""
     whole = d.contracts.where((F.col("amount") > 100_000) & (F.floor("amount") % 500 == 0))
-    return whole.groupBy("office").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("val"), F.array_join(F.sort_array(F.collect_list("ref")), ",").alias("refs"))
+    totals = whole.groupBy("office").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("val"))
+    placed = whole.select("office", "ref").withColumn("place", F.row_number().over(Window.partitionBy("office").orderBy("ref")))
+    return placed.join(totals, "office").select("office", "n", "val", "ref", "place")
 
 
 @query(oracle(f"""SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS weight, flag || ': ' || entity_type || ' ' || entity_id || ' (' || n || ')' AS description,

@@ -202,12 +202,15 @@ def node_load_rows(d: Domain):
     return rows.select("ref", "office", "year", F.array_join("f", " ").alias("firms"))
 
 
-@query(oracle("""SELECT home_region AS region, home AS province, count(*) AS n, CAST(sum(v) AS DOUBLE) AS val, string_agg(name, ';' ORDER BY name) AS names FROM firms JOIN (SELECT firm, sum(amount) AS v FROM awards WHERE category = '1-URGENT' GROUP BY 1) USING (firm) GROUP BY 1, 2"""))
+@query(oracle("""SELECT region, province, count(*) OVER w AS n, CAST(sum(v) OVER w AS DOUBLE) AS val, CAST(row_number() OVER (PARTITION BY region, province ORDER BY name) AS INT) AS place, name FROM
+ (SELECT home_region AS region, home AS province, name, v FROM firms JOIN (SELECT firm, sum(amount) AS v FROM awards WHERE category = '1-URGENT' GROUP BY 1) USING (firm)) WINDOW w AS (PARTITION BY region, province)"""))
 def registry_layer(d: Domain):
-    """Registered firms with focus value by place."""
+    """Registered firms by place, a row each, with the number and focus value of the place's firms."""
     sums = d.awards.where(F.col("category") == FOCUS).groupBy("firm").agg(F.sum("amount").alias("v"))
-    rows = d.firms.join(sums, "firm").groupBy(F.col("home_region").alias("region"), F.col("home").alias("province"))
-    return rows.agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("val"), F.array_join(F.sort_array(F.collect_list("name")), ";").alias("names"))
+    rows = d.firms.join(sums, "firm").select(F.col("home_region").alias("region"), F.col("home").alias("province"), "name", "v")
+    totals = rows.groupBy("region", "province").agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("val"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("region", "province").orderBy("name")))
+    return placed.join(totals, ["region", "province"]).select("region", "province", "n", "val", "place", "name")
 
 
 @query(oracle("""SELECT home, away, n, round(n / sum(n) OVER (PARTITION BY home), 6) AS share FROM (SELECT home_region AS home, region AS away, count(*) AS n FROM awards JOIN firms USING (firm) GROUP BY 1, 2)"""))

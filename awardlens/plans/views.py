@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from awardlens.operators import dynasties, graph, rollups, sets, staging
+from awardlens.operators import dynasties, graph, order, rollups, sets, staging
 from awardlens.operators.settle import settled
 from awardlens.plans.flags import SUB, subcontracts
 from awardlens.plans.network import PAIRS, focus_pairs
@@ -158,8 +158,8 @@ def hub_neighbours(d: Domain, least: int = 3, hubs: int = 50, shown: int = 20):
     ends = strong.select("a").union(strong.select("b")).distinct()
     best = links.join(ends, "a", "left_semi").groupBy(F.col("a").alias("hub")).agg(F.count_distinct("b").alias("n_connections")).where(F.col("n_connections") >= least).orderBy(F.desc("n_connections"), "hub").limit(hubs)
     seen = links.join(F.broadcast(best), F.col("a") == F.col("hub"))
-    order = Window.partitionBy("hub").orderBy("b", "kind")
-    return seen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= shown).select("hub", "n_connections", F.col("b").alias("partner"), F.col("kind").alias("relationship"), "k")
+    by = Window.partitionBy("hub").orderBy("b", "kind")
+    return seen.withColumn("k", F.row_number().over(by)).where(F.col("k") <= shown).select("hub", "n_connections", F.col("b").alias("partner"), F.col("kind").alias("relationship"), "k")
 
 
 _COMM = PAIRS + ", w AS (SELECT src, dst, weight FROM pairs UNION ALL SELECT dst, src, weight FROM pairs), l0 AS (SELECT DISTINCT src AS id, src AS label FROM w), " + ", ".join(f"l{k} AS (SELECT id, max_by(label, (v, -label)) AS label FROM (SELECT w.src AS id, l.label, sum(weight) AS v FROM w JOIN l{k - 1} l ON l.id = w.dst GROUP BY 1, 2) GROUP BY id)" for k in range(1, 6))
@@ -207,8 +207,8 @@ def entity_findings(d: Domain, most: int = 10):
     """The ten latest and gravest findings of every entity."""
     kind = F.when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "click", "medium").otherwise("low")
     rows = d.table("events").select(F.col("user_id").alias("entity"), "event_id", F.col("event_type").alias("type"), kind.alias("severity"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("amount"), F.year("ts").alias("year"))
-    order = Window.partitionBy("entity").orderBy(F.desc("year"), F.desc("severity"), "event_id")
-    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    by = Window.partitionBy("entity").orderBy(F.desc("year"), F.desc("severity"), "event_id")
+    return rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= most)
 
 
 @query(oracle("""SELECT firm, name, owner, capital, CASE WHEN capital > 0 THEN round(v / capital, 1) END AS contract_to_capital, coalesce(mentions, 0) AS mentions FROM (SELECT firm, name, CAST(capital AS DOUBLE) AS capital FROM firms) JOIN (SELECT firm, CAST(sum(amount) AS DOUBLE) AS v FROM focus GROUP BY 1) USING (firm)
@@ -244,4 +244,4 @@ def search_rows(d: Domain):
     offices = d.contracts.groupBy("office").agg(F.sum("amount").cast("double").alias("val")).select(_id("O-", "office").alias("id"), F.lit("office").alias("kind"), F.col("office").alias("label"), "val", none.alias("top_offices"), none.alias("partners"))
     people = d.officials.select(_id("P", "person").alias("id"), F.lit("person").alias("kind"), F.concat_ws(" ", "surname", "person").alias("label"), F.lit(0.0).alias("val"), none.alias("top_offices"), none.alias("partners"))
     every = settled(rows.unionByName(offices).unionByName(people), "search-rows")
-    return staging.numbered(every, [F.desc("val"), F.col("id")], "place")
+    return order.numbered(every, [F.desc("val"), F.col("id")], "place")

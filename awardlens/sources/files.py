@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from awardlens.operators.order import numbered
 from pyspark.sql.types import StructType
 
 from awardlens.functions import text as fn
@@ -101,10 +103,34 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_json_document(df: DataFrame, path: str) -> None:
-    """One compact JSON array, for small curated outputs: rows are streamed into a single file."""
-    rows = df.select(F.to_json(F.struct(*(F.col("`" + c + "`") for c in df.columns))).alias("value"))
-    listed = rows.agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("value")), ","), F.lit("]")).alias("value"))
-    listed.coalesce(1).write.mode("overwrite").text(path)
+    """One JSON array in one file, an element on each line, in the order of the elements' text.
+
+    Tasks write their pieces of the document, brackets and commas included; the pieces are then copied
+    one after the other into the file, as streams, so neither a task nor the driver holds it.
+    """
+    spark, pieces = df.sparkSession, f"{path}.pieces"
+    rows = df.select(F.to_json(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))).alias("value"))
+    placed = numbered(rows, [F.col("value")], "place")
+    n = placed.count()
+    line = F.concat(F.when(F.col("place") == 1, "[").otherwise(","), "value", F.when(F.col("place") == n, "]").otherwise(""))
+    placed.repartitionByRange("place").sortWithinPartitions("place").select(line.alias("value")).write.mode("overwrite").text(pieces)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(pieces)
+    fs = folder.getFileSystem(conf)
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
+    try:
+        if not n:
+            out.write(bytearray(b"[]\n"))
+        for name in sorted(str(s.getPath()) for s in fs.listStatus(folder)):
+            if name.rsplit("/", 1)[1].startswith("part-"):
+                part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
 
 
 def write_stamped(df: DataFrame, folder: str, name: str, stamp: str) -> str:
