@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from awardlens.llm.text import word_hashes
+from awardlens.llm.text import stored, word_hashes
 
 LINE_BITS = 512
 PROBES = 6
-#: Parts that the rows of one URL are joined in.
-SALTS = 64
+#: Parts that the rows of a frequent URL are joined in, and rows from which on a URL may be one; at most one in 100,000 rows is.
+SALTS, FREQUENT = 64, 1000
 
 #: The rules that the URL query fixes, then sites listed as unwanted: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -156,12 +156,16 @@ def judged(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataF
 
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    distinct = parsed.where("host <> ''").select("host", "path").distinct()
-    possible = distinct.mapInPandas(candidates, "host string, path string, key string")
+    counts = stored(parsed.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")), "url-counts")
+    limit = max(FREQUENT, (counts.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    frequent = F.broadcast(counts.where(F.col("n") > limit).select("host", "path", F.lit(SALTS).alias("salts")))  # at most 100,000 rows
+    possible = counts.select("host", "path").mapInPandas(candidates, "host string, path string, key string")
     hits = possible.join(listed.select("key", "rule", "verdict", "rank", "length"), "key")
     best = hits.groupBy("host", "path").agg(F.max(F.struct("rank", "length", "rule", "verdict")).alias("b"))
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one URL may be on many pages
-    salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    # only a URL of very many pages is joined in parts
+    best = best.join(frequent, ["host", "path"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    salt = F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = parsed.join(frequent, ["host", "path"], "left").withColumn("salt", salt).drop("salts")
     named = salted.join(best, ["host", "path", "salt"], "left")
     return named.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.col("b.rank").alias("rank"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 

@@ -66,3 +66,11 @@ def test_any_table_is_a_list_and_escapes_are_read(spark):
     urls = ["http://x.bad.org/a%20b/1", "http://bad.org/a%20b/ok/2", "http://bad.org/a", "http://bad.org:1/%61 b/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     assert [r.verdict for r in op.judged(df, op.listed(table)).orderBy("page_id").collect()] == ["block", "allow", "allow", "block"]
+
+
+def test_frequent_urls_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(op, "FREQUENT", 5)
+    rows = [(i, "https://a.spam.com/x") for i in range(40)] + [(100, "https://b.org/y"), (101, None), (102, "https://spam.com/z")]
+    listed = op.listed_urls(spark, [("spam.com", "/", "block")])
+    got = {r.page_id: r.verdict for r in op.judged(spark.createDataFrame(rows, "page_id long, url string"), listed).collect()}
+    assert got == {**dict.fromkeys(range(40), "block"), 100: "allow", 101: "allow", 102: "block"}
