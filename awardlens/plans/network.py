@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from awardlens.operators import graph as op
-from awardlens.operators import rollups, sets, trails
+from awardlens.operators import growth, rollups, sets, trails
 from awardlens.operators.settle import settled
 from awardlens.plans.flags import SUB, subcontracts
 from awardlens.plans.registry import registry
@@ -47,17 +47,10 @@ def jv_groups(d: Domain):
 by_year AS (SELECT y.year AS y, src, dst FROM years y JOIN pairs p ON p.year <= y.year UNION ALL SELECT y.year, dst, src FROM years y JOIN pairs p ON p.year <= y.year),
 reach AS (SELECT y, src AS id, src AS r FROM by_year UNION SELECT reach.y, reach.id, b.dst FROM reach JOIN by_year b ON reach.r = b.src AND reach.y = b.y)"""))
 def jv_giant_by_year(d: Domain):
-    """Firms and the largest component of the graph of all pairs up to each year.
-
-    All years run as one graph whose nodes are (year, firm), so the years share every round.
-    """
-    pairs = focus_pairs(d)
-    years = pairs.select(F.col("year").alias("y")).distinct()
-    node = lambda c: F.col("y").cast("long") * F.lit(1 << 40) + F.col(c)
-    grown = pairs.join(F.broadcast(years), F.col("year") <= F.col("y")).select(node("src").alias("src"), node("dst").alias("dst"))
-    labels = op.components(grown)
-    sizes = labels.groupBy(F.floor(F.col("id") / (1 << 40)).cast("int").alias("year"), "component").agg(F.count("*").alias("n"))
-    return sizes.groupBy("year").agg(F.max("n").alias("giant"), F.sum("n").alias("n_firms"))
+    """Firms and the largest component of the graph of all pairs up to each year, from a spanning forest by first year."""
+    pairs = settled(focus_pairs(d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "year"), "joint-pairs")
+    found = growth.replay(pairs).select("year", F.col("giant"), F.col("nodes").alias("n_firms"))
+    return found.join(pairs.select("year").distinct(), "year", "left_semi")
 
 
 @query(oracle("SELECT src AS id, count(*) AS degree FROM und GROUP BY 1", PAIRS))
