@@ -211,6 +211,22 @@ def entity_findings(d: Domain, most: int = 10):
     return rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= most)
 
 
+@query(oracle("""SELECT surname || ' ' || person AS head, 'Person' AS head_type, 'linked_to' AS relation, CAST(firm AS VARCHAR) AS tail, 'Firm' AS tail_type, strftime(day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n_sources FROM officials JOIN firms ON person = firm * 3
+  LEFT JOIN (SELECT customer AS person, min_by(award_date, ref) FILTER (ref % 10 <> 0) AS day, count(*) AS n FROM contracts GROUP BY 1) USING (person)
+ UNION ALL SELECT CAST(firm AS VARCHAR), 'Firm', event_type, left(coalesce(props, ''), 60), 'Institution', strftime(ts, '%Y-%m-%d'), 1 FROM firms JOIN events ON user_id = firm"""))
+def dated_edges(d: Domain):
+    """Typed edges with a date: officials to the firms they own, dated by the first of their contracts that has a date (every tenth has none), and
+    firms to what happened to them, under a label of sixty characters."""
+    owned = d.officials.join(d.firms.select((F.col("firm") * 3).alias("person"), "firm"), "person")
+    dated = F.when(F.col("ref") % 10 != 0, F.col("ref"))
+    sources = d.contracts.groupBy(F.col("customer").alias("person")).agg(F.min_by(F.when(dated.isNotNull(), F.col("award_date")), dated).alias("day"), F.count("*").alias("n"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    persons = owned.join(sources, "person", "left").select(F.concat_ws(" ", "surname", "person").alias("head"), F.lit("Person").alias("head_type"), F.lit("linked_to").alias("relation"), F.col("firm").cast("string").alias("tail"), F.lit("Firm").alias("tail_type"), day("day"), F.coalesce("n", F.lit(0)).alias("n_sources"))
+    events = d.table("events").join(d.firms.select(F.col("firm").alias("user_id")), "user_id")
+    actions = events.select(F.col("user_id").cast("string").alias("head"), F.lit("Firm").alias("head_type"), F.col("event_type").alias("relation"), F.left(F.coalesce("props", F.lit("")), F.lit(60)).alias("tail"), F.lit("Institution").alias("tail_type"), day("ts"), F.lit(1).cast("long").alias("n_sources"))
+    return persons.unionByName(actions)
+
+
 @query(oracle("""SELECT firm, name, owner, capital, CASE WHEN capital > 0 THEN round(v / capital, 1) END AS contract_to_capital, coalesce(mentions, 0) AS mentions FROM (SELECT firm, name, CAST(capital AS DOUBLE) AS capital FROM firms) JOIN (SELECT firm, CAST(sum(amount) AS DOUBLE) AS v FROM focus GROUP BY 1) USING (firm)
  LEFT JOIN (SELECT CAST(person / 3 AS BIGINT) AS firm, surname || ' ' || person AS owner FROM officials WHERE person % 3 = 0) USING (firm) LEFT JOIN (SELECT user_id AS firm, count(*) AS mentions FROM events WHERE event_type = 'view' GROUP BY 1) USING (firm)"""))
 def enriched_firms(d: Domain):

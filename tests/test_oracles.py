@@ -13,7 +13,7 @@ FOLDERS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 #: The smallest tables have too few firms for these to find any (or enough of them); they run on the next larger ones.
-LARGER = {"dynamic_communities", "node2vec_ties", "surname_links", "flag_phoenix", "phoenix_companies", "flag_shell_network", "footprint_pairs", "co_located", "temporal_link_auc", "temporal_link_hits", "temporal_link_nulls", "temporal_link_rewired", "temporal_motifs", "adamic_adar", "fuzzy_merge_map", "flag_circular", "cycles_2_4", "multi_hop_paths", "reciprocal_loops", "alternation", "sudden_entrants", "cobid_hubs", "identical_amounts", "split_clusters", "splitting_pairs_30d", "flag_political", "neighbors_page", "campaign_contracts", "agency_clusters", "concentrated_by_year", "community_modularity", "quality_outliers", "entity_search_exact", "multi_hop_paths", "subcontract_cycles", "cycles_of_firm", "footprint_top", "linked_winners", "split_clusters_by_threshold", "round_amount_list", "firm_table"}
+LARGER = {"dynamic_communities", "temporal_link_macro", "motif_examples", "jv_groups_small", "typed_edges", "core_graph_edges", "ego_graph_edges", "subgraph_at_depth", "loop_owners", "shared_entities", "dynasty_listing", "hub_neighbours", "splitting_undated", "node2vec_ties", "surname_links", "flag_phoenix", "phoenix_companies", "flag_shell_network", "footprint_pairs", "co_located", "temporal_link_auc", "temporal_link_hits", "temporal_link_nulls", "temporal_link_rewired", "temporal_motifs", "adamic_adar", "fuzzy_merge_map", "flag_circular", "cycles_2_4", "multi_hop_paths", "reciprocal_loops", "alternation", "sudden_entrants", "cobid_hubs", "identical_amounts", "split_clusters", "splitting_pairs_30d", "flag_political", "neighbors_page", "campaign_contracts", "agency_clusters", "concentrated_by_year", "community_modularity", "quality_outliers", "entity_search_exact", "multi_hop_paths", "subcontract_cycles", "cycles_of_firm", "footprint_top", "linked_winners", "split_clusters_by_threshold", "round_amount_list", "firm_table"}
 
 
 @pytest.fixture(scope="module")
