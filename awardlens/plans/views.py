@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from awardlens.functions import text as fn
 from awardlens.operators import dynasties, graph, order, rollups, sets, staging
 from awardlens.operators.settle import settled
 from awardlens.plans.flags import SUB, subcontracts
@@ -211,6 +212,31 @@ def entity_findings(d: Domain, most: int = 10):
     return rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= most)
 
 
+def _pesos(v: str) -> str:
+    steps = " ".join(f"WHEN {v} >= {by} THEN format('{{:,.2f}}', {v} / {by}) || '{unit}'" for by, unit in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")))
+    return f"CASE {steps} ELSE format('{{:,.2f}}', {v}) END"
+
+
+@query(oracle(f"""SELECT kind, id, {_pesos('v')} AS amount FROM (SELECT 'all' AS kind, 'contracts' AS id, CAST(sum(amount) AS DOUBLE) AS v FROM contracts UNION ALL SELECT 'office', office, CAST(sum(amount) AS DOUBLE) FROM contracts GROUP BY office
+ UNION ALL SELECT 'firm', CAST(firm AS VARCHAR), CAST(sum(amount) AS DOUBLE) FROM focus GROUP BY firm UNION ALL SELECT 'contract', CAST(ref AS VARCHAR), CAST(amount AS DOUBLE) FROM contracts)"""))
+def formatted_amounts(d: Domain):
+    """Totals of all contracts, of offices, of firms and of single contracts as they are shown, with a unit."""
+    d.keep("contracts")
+    total = lambda rows, kind, key: rows.agg(F.sum("amount").cast("double").alias("v")).select(F.lit(kind).alias("kind"), key.alias("id"), "v")
+    single = d.contracts.select(F.lit("contract").alias("kind"), F.col("ref").cast("string").alias("id"), F.col("amount").cast("double").alias("v"))
+    rows = total(d.contracts.groupBy(), "all", F.lit("contracts")).unionByName(total(d.contracts.groupBy("office"), "office", F.col("office"))).unionByName(total(d.focus.groupBy("firm"), "firm", F.col("firm").cast("string"))).unionByName(single)
+    return rows.select("kind", "id", fn.pesos(F.col("v")).alias("amount"))
+
+
+@query(oracle("""SELECT firm, name, 'Old ' || min(ref) AS former, count(*) AS n_cells FROM awards JOIN (SELECT firm, name FROM firms) USING (firm) WHERE ref % 7 = 0 GROUP BY 1, 2"""))
+def re_registrations(d: Domain):
+    """Firms whose contracts name them as formerly another one: the name of the first such contract, and how many there are."""
+    cell = F.concat("name", F.when(F.col("ref") % 7 == 0, F.concat(F.lit(" (Formerly: Old "), "ref", F.lit(")"))).otherwise(F.lit("")))
+    cells = d.awards.select("ref", "firm").join(d.firms.select("firm", "name"), "firm").select("ref", "firm", "name", F.explode(fn.contractor_cell(cell)).alias("c"))
+    found = cells.where("c.former IS NOT NULL").groupBy("firm", "name")
+    return found.agg(F.min_by("c.former", "ref").alias("former"), F.count("*").alias("n_cells"))
+
+
 @query(oracle("""SELECT surname || ' ' || person AS head, 'Person' AS head_type, 'linked_to' AS relation, CAST(firm AS VARCHAR) AS tail, 'Firm' AS tail_type, strftime(day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n_sources FROM officials JOIN firms ON person = firm * 3
   LEFT JOIN (SELECT customer AS person, min_by(award_date, ref) FILTER (ref % 10 <> 0) AS day, count(*) AS n FROM contracts GROUP BY 1) USING (person)
  UNION ALL SELECT CAST(firm AS VARCHAR), 'Firm', event_type, left(coalesce(props, ''), 60), 'Institution', strftime(ts, '%Y-%m-%d'), 1 FROM firms JOIN events ON user_id = firm"""))
