@@ -89,14 +89,10 @@ def examples(conversations: DataFrame, template: Template = Template()) -> DataF
     own = F.get("turns", F.col("example") - 1)
     text = F.array_join(F.transform(F.slice("turns", 1, F.col("example")), lambda t: F.concat(t["head"], t["body"], F.lit(template.closing))), "")
     reply = F.when(own["trained"], F.length(own["body"])).otherwise(0)
-    return expanded.select(
-        "conv_id",
-        "example",
-        (F.col("example") == F.size("turns")).alias("last"),
-        text.alias("text"),
-        (F.length(text) - len(template.closing) - reply).cast("long").alias("loss_start"),
-        reply.cast("long").alias("loss_chars"),
-    )
+    made = expanded.select("conv_id", "example", (F.col("example") == F.size("turns")).alias("last"), text.alias("text"), reply.cast("long").alias("loss_chars"))
+    # in a step of its own, so that a text is put together once
+    start = (F.length("text") - len(template.closing) - F.col("loss_chars")).cast("long")
+    return made.select("conv_id", "example", "last", "text", start.alias("loss_start"), "loss_chars")
 
 
 def read_back(text: Column, template: Template = Template()) -> Column:

@@ -60,7 +60,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame(chat_format.PLANTED, table.schema)
+    names = ("conv_id", "turn", "role", "text")
+    planted = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).cast(table.schema[n].dataType).alias(n) for n, v in zip(names, row, strict=True))) for row in chat_format.PLANTED))))
     return chat_format.digest(chat_format.examples(table.unionByName(planted)))
 
 
