@@ -175,10 +175,10 @@ INTENTS = {
     "entity_lookup": ("who is", "what is", "tell me about", "show me"),
 }
 SOURCES = {
-    "audits": ("audit", "coa"),
-    "declarations": ("saln", "net worth", "wealth declaration"),
-    "elections": ("campaign", "donation", "soce"),
-    "blacklist": ("blacklist",),
+    "coa": ("audit", "coa"),
+    "ombudsman": ("saln", "net worth", "wealth declaration"),
+    "comelec": ("campaign", "donation", "soce"),
+    "gppb": ("blacklist",),
     "congress": ("bill", "congress", "legislat"),
 }
 ALLEGED = ("charged_pending", "flagged_review", "lookout_order", "coa_fraud_audit", "amlc_freeze", "under_investigation", "capitalization_flag", "performance_flag")
@@ -200,7 +200,7 @@ def intent(c: Column) -> Column:
 def answer_sources(c: Column) -> Column:
     """Data sources that an answer rests on: procurement always, others by their words."""
     low = F.lower(c)
-    return F.array_compact(F.array(F.lit("procurement"), *(F.when(_has(low, words), name) for name, words in SOURCES.items())))
+    return F.array_compact(F.array(F.lit("philgeps"), *(F.when(_has(low, words), name) for name, words in SOURCES.items())))
 
 
 def tier(kind: Column, actions: Column, revoked: Column, in_news: Column) -> Column:

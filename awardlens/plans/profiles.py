@@ -296,7 +296,7 @@ _Q = """said AS (SELECT conv_id, turn, lower(text) || CASE conv_id % 6 WHEN 0 TH
 
 @query(oracle("""SELECT conv_id, turn, CASE WHEN regexp_matches(q, 'connect|path|link|between|relationship|donate|alliance|ally') THEN 'relationship_query' WHEN regexp_matches(q, 'top|most|highest|risk|flag|hhi|concentration|bid|pattern|campaign|donation|saln|wealth|blacklist|phoenix|subcontract|circular|shell') THEN 'analytical'
  WHEN regexp_matches(q, 'who is|what is|tell me about|show me') THEN 'entity_lookup' ELSE 'open_ended' END AS intent,
- array_to_string(list_filter(['procurement', CASE WHEN regexp_matches(q, 'audit|coa') THEN 'audits' END, CASE WHEN regexp_matches(q, 'saln|net worth|wealth declaration') THEN 'declarations' END, CASE WHEN regexp_matches(q, 'campaign|donation|soce') THEN 'elections' END, CASE WHEN contains(q, 'blacklist') THEN 'blacklist' END, CASE WHEN regexp_matches(q, 'bill|congress|legislat') THEN 'congress' END], lambda x: x IS NOT NULL), ',') AS sources FROM said""", _Q))
+ array_to_string(list_filter(['philgeps', CASE WHEN regexp_matches(q, 'audit|coa') THEN 'coa' END, CASE WHEN regexp_matches(q, 'saln|net worth|wealth declaration') THEN 'ombudsman' END, CASE WHEN regexp_matches(q, 'campaign|donation|soce') THEN 'comelec' END, CASE WHEN contains(q, 'blacklist') THEN 'gppb' END, CASE WHEN regexp_matches(q, 'bill|congress|legislat') THEN 'congress' END], lambda x: x IS NOT NULL), ',') AS sources FROM said""", _Q))
 def question_intents(d: Domain):
     """Intent and sources of a question by its words; the invented texts get a few real ones."""
     k = F.col("conv_id") % 6
