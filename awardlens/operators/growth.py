@@ -50,18 +50,19 @@ def reveal_years(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.min("year").alias("reveal"))
 
 
-def replay(edges: DataFrame) -> DataFrame:
+def replay(edges: DataFrame, also: DataFrame | None = None) -> DataFrame:
     """`year, nodes, edges, giant` for every year from the first to the last: what is there by then.
 
-    edges: src, dst (text), year; each row is an edge. Components of all years run as one graph over the
+    edges: src, dst (text), year; each row is an edge. The years are those of the edges and of also(year). Components of all years run as one graph over the
     forest's edges, repeated for the years that have them.
     """
     edges = settled(edges.where(F.col("year").isNotNull()).select("src", "dst", "year"), "replay-edges")
-    span = edges.agg(F.min("year").alias("first"), F.max("year").alias("last")).where("first IS NOT NULL")  # one row
+    seen = edges.select("year") if also is None else edges.select("year").unionByName(also.select("year"))
+    span = seen.agg(F.min("year").alias("first"), F.max("year").alias("last")).where("first IS NOT NULL")  # one row
     years = span.select(F.explode(F.sequence("first", "last")).alias("y"))
     at = lambda c: F.concat_ws("|", F.col("y").cast("string"), F.col(c))
     grown = spanning_forest(edges).join(F.broadcast(years), F.col("year") <= F.col("y")).select(at("src").alias("src"), at("dst").alias("dst"))
     sizes = components(grown).groupBy(F.substring_index("component", "|", 1).cast("int").alias("y"), "component").agg(F.count("*").alias("n")).groupBy("y").agg(F.max("n").alias("giant"))
     upto = Window.orderBy("y")  # one row for each year
     counted = lambda rows, year, name: years.join(rows.groupBy(F.col(year).alias("y")).agg(F.count("*").alias("n")), "y", "left").select("y", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias(name))
-    return counted(reveal_years(edges), "reveal", "nodes").join(counted(edges, "year", "edges"), "y").join(sizes, "y", "left").select(F.col("y").alias("year"), "nodes", "edges", F.coalesce("giant", F.lit(1)).alias("giant"))
+    return counted(reveal_years(edges), "reveal", "nodes").join(counted(edges, "year", "edges"), "y").join(sizes, "y", "left").select(F.col("y").alias("year"), "nodes", "edges", F.coalesce("giant", F.when(F.col("nodes") > 0, 1).otherwise(0)).alias("giant"))

@@ -133,6 +133,13 @@ def test_forest_and_replay_match_all_edges_of_every_year(spark, seed, n, m):
     assert got == {y: (sum(v <= y for v in first.values()), sum(e[2] <= y for e in edges), max(plain_components([e for e in edges if e[2] <= y]).values())) for y in years}
 
 
+def test_years_without_new_edges_keep_what_is_there(spark):
+    edges = spark.createDataFrame([("a", "b", 2001), ("b", "c", 2003)], "src string, dst string, year int")
+    years = spark.createDataFrame([(2000,), (2005,)], "year int")
+    got = {r.year: (r.nodes, r.edges, r.giant) for r in growth.replay(edges, years).collect()}
+    assert got == {2000: (0, 0, 0), 2001: (2, 1, 2), 2002: (2, 1, 2), 2003: (3, 2, 3), 2004: (3, 2, 3), 2005: (3, 2, 3)}
+
+
 def test_replay_of_no_edges(spark):
     assert growth.replay(spark.createDataFrame([], "src string, dst string, year int")).count() == 0
 
