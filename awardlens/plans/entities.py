@@ -154,7 +154,8 @@ def _names(d: Domain) -> DataFrame:
     return p.select(fn.company_name(F.col("p_name")).alias("name")).union(p.select(fn.company_name(F.concat("p_name", F.lit("s Inc.")))))
 
 
-@query()
+@query(oracle("""SELECT name, canonical, similarity FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, canonical) AS k FROM (SELECT CASE WHEN canonical = a THEN b ELSE a END AS name, canonical, similarity FROM
+ (SELECT *, CASE WHEN length(a) > length(b) THEN a WHEN length(b) > length(a) THEN b ELSE least(a, b) END AS canonical FROM (SELECT x.name AS a, y.name AS b, round(jaro_winkler_similarity(x.name, y.name), 6) AS similarity FROM n x JOIN n y ON x.name < y.name) WHERE similarity >= 0.92))) WHERE k = 1""", "n AS (SELECT DISTINCT upper(p_name) AS name FROM part UNION SELECT DISTINCT upper(p_name) || 'S' FROM part)"))
 def fuzzy_merge_map(d: Domain):
     return op.merge_map(op.fuzzy_matches(_names(d)))
 

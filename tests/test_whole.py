@@ -40,3 +40,17 @@ def test_link_nulls_are_of_all_focus_contracts_and_500_orders(spark, db, monkeyp
     got = sorted(map(tuple, rows.select("cut", "a", "b", "score", "positive").collect()))
     assert [(c, a, b, p) for c, a, b, _, p in got] == [(c, a, b, p) for c, a, b, _, p in want]
     assert all(abs(x[3] - y[3]) < 1e-8 for x, y in zip(got, want, strict=True))
+
+
+def test_office_graphs_are_of_all_large_firms_and_years(spark, db):
+    from awardlens.plans import structure
+
+    want = db.sql(oracle("""SELECT y, a, b, CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT year AS y FROM focus) JOIN (SELECT x.firm AS a, z.firm AS b, greatest(x.s, z.s) AS since FROM first x JOIN first z ON x.office = z.office AND x.firm < z.firm) ON since <= y
+     GROUP BY 1, 2, 3 HAVING count(*) >= 2""", f"large AS (SELECT firm FROM focus GROUP BY 1 HAVING sum(amount) >= {temporal_plans.LARGE}), first AS (SELECT firm, office, min(year) AS s FROM focus SEMI JOIN large USING (firm) GROUP BY 1, 2)")).fetchall()
+    got = structure.shared_office_graphs(Domain(spark, FOLDER)).select("graph", "src", "dst", "weight").collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_louvain_is_no_worse_than_label_propagation(spark):
+    found = {r.method: r.modularity for r in catalogue.queries()["community_quality"](spark, FOLDER).collect()}
+    assert found["louvain"] >= found["label propagation"] and found["louvain"] > 0
