@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from awardlens.llm import lm
 
@@ -116,3 +117,11 @@ def test_empty_table_and_no_training_rows(spark):
     only = [i for i in range(60) if held(i)][:2]
     got = lm.held_out_scores(spark.createDataFrame([(i, "a b") for i in only], SCHEMA)).collect()
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(0, 0, 0.0, 0.0)}
+
+
+def test_clashing_columns_change_nothing(spark):
+    rows = [(i, f"the text of number {i % 5} and the rest of the text") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    more = df.withColumns({"T": F.lit(1), "a.b": F.lit(2), "bucket": F.lit(3), "Keys": F.lit(4), "n_tokens": F.lit(5), "SCORE": F.lit(6)})
+    tell = lambda d: sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm.held_out_scores(d).collect())
+    assert tell(more) == tell(df)

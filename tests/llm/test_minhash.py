@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from awardlens.llm import minhash as op
 from awardlens.llm.text import shingles
@@ -86,3 +87,11 @@ def test_near_duplicates_of_nulls_repeats_and_an_empty_table(spark):
 def test_shingles_of_short_texts():
     h, n = shingles([b"", b"a b", b"A B", b"a b c d e f"], 5)
     assert n.tolist() == [0, 1, 1, 2] and h[0] == h[1] and len(np.unique(h)) == 3
+
+
+def test_clashing_columns_change_nothing(spark):
+    rows = [(i, f"some words of text number {i % 3} and more of them") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    more = df.withColumns({"T": F.lit(1), "a.b": F.lit(2), "part": F.lit(3), "Fingerprint": F.lit(4), "k": F.lit(5), "hash": F.lit(6), "node": F.lit(7)})
+    for work in (op.successor_report, op.near_duplicates):
+        assert sorted(map(tuple, work(more).collect())) == sorted(map(tuple, work(df).collect()))

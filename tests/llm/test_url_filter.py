@@ -74,3 +74,11 @@ def test_frequent_urls_are_joined_in_parts(spark, monkeypatch):
     listed = op.listed_urls(spark, [("spam.com", "/", "block")])
     got = {r.page_id: r.verdict for r in op.judged(spark.createDataFrame(rows, "page_id long, url string"), listed).collect()}
     assert got == {**dict.fromkeys(range(40), "block"), 100: "allow", 101: "allow", 102: "block"}
+
+
+def test_clashing_columns_are_not_read(spark):
+    rows = [(1, "https://spam.com/x"), (2, "https://b.org/y")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"HOST": op.F.lit("h"), "a.b": op.F.lit(1), "salt": op.F.lit(2), "Rule": op.F.lit(3), "n": op.F.lit(4), "key": op.F.lit(5)})
+    listed = op.listed_urls(spark, [("spam.com", "/", "block")])
+    got = {r.page_id: (r.host, r.path, r.verdict) for r in op.judged(df, listed).collect()}
+    assert got == {1: ("spam.com", "/x", "block"), 2: ("b.org", "/y", "allow")}
