@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from awardlens.operators.settle import settled
 
-#: Rows that centres are learned from, rows of a block, and cells at most.
-SAMPLE, BLOCK, CELLS = 50_000, 2048, 4096
+#: Rows that centres are learned from, rows of a block, cells at most, and questions of a cell that meet a block together, about.
+SAMPLE, BLOCK, CELLS, GROUP = 50_000, 2048, 4096, 256
 
 
 @dataclass(frozen=True)
@@ -83,11 +83,14 @@ def nearest(index: Cells, questions: DataFrame, k: int, probes: int) -> DataFram
         for pdf in frames:
             m = _matrix(pdf["embedding"])
             near = np.argsort(-(m @ shared.value.T), axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"query": np.repeat(pdf["id"].to_numpy(), near.shape[1]), "cell": near.ravel().astype(np.int32), "q": np.repeat([x.tobytes() for x in m.astype(np.float32)], near.shape[1])})
+            whole = [x.tobytes() for x in m.astype(np.float32) for _ in range(near.shape[1])]  # as objects: numpy's own bytes lose zeros at their end
+            yield pd.DataFrame({"query": np.repeat(pdf["id"].to_numpy(), near.shape[1]), "cell": near.ravel().astype(np.int32), "q": whole})
 
-    asked = questions.where("embedding IS NOT NULL").select("id", "embedding").mapInPandas(route, "query long, cell int, q binary")
+    rows = questions.where("embedding IS NOT NULL").select("id", "embedding")
+    groups = max(1, rows.count() * probes // (len(centres) * GROUP))
+    asked = rows.mapInPandas(route, "query long, cell int, q binary")
     # questions of a cell meet its blocks in groups, so a block is sent once for each of them
-    grouped = asked.withColumn("g", F.pmod(F.xxhash64("query"), F.lit(16)).cast("int")).groupBy("cell", "g").agg(F.collect_list(F.struct("query", "q")).alias("asked"))
+    grouped = asked.withColumn("g", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")).groupBy("cell", "g").agg(F.collect_list(F.struct("query", "q")).alias("asked"))
     pairs = grouped.join(index.blocks, "cell").select("asked", "ids", "data")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,6 +18,8 @@ def test_recall_rises_to_one_with_the_cells_that_are_read(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 40)
     v = spark.createDataFrame([*clouds(), (9000, [0.0] * 16), (9001, None)], "id long, embedding array<double>")
     asked = v.where("id % 50 = 0 AND id < 600")
+    zero = vectors.nearest(vectors.build(v, 4), v.where("id = 9000"), 3, 4).collect()  # a vector of zeros is a question like others
+    assert [(r.id, r.similarity) for r in sorted(zero, key=lambda r: r.k)] == [(0, 0.0), (1, 0.0), (2, 0.0)]
     exact = resolve.cosine_top(v.where("embedding IS NOT NULL"), asked, 5)
     index = vectors.build(v, 20)
     assert index.rows == 601 and index.blocks.agg(F.sum(F.size("ids"))).first()[0] == 601
