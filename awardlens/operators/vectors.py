@@ -68,7 +68,8 @@ def build(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> Cells:
         pdf = pdf.sort_values("id")
         return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "ids": [pdf["id"].tolist()], "data": [b"".join(pdf["v"])]})
 
-    blocks = dealt.groupBy("cell", "part").applyInPandas(pack, "cell int, ids array<long>, data binary")
+    # dealt by both, so that a large cell is packed by many tasks
+    blocks = dealt.repartition("cell", "part").groupBy("cell", "part").applyInPandas(pack, "cell int, ids array<long>, data binary")
     return Cells(settled(blocks.repartitionByRange("cell").sortWithinPartitions("cell"), "cell-blocks"), centres, n)
 
 
