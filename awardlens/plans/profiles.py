@@ -101,7 +101,8 @@ def concentration_shares(d: Domain):
     """Each office's index and level with its five largest firms, and the firm of the largest share."""
     index = rollups.hhi(d.awards, ["office"])
     top = rollups.top_shares(d.awards, "office", 5)
-    listed = top.groupBy("office").agg(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", "firm", "n_awards").alias("t")))).alias("x"), F.max_by("firm", F.struct("share", -F.col("firm"))).alias("top_firm"))
+    # the rank goes by the whole value; the share is rounded, and firms of a large office have it in common
+    listed = top.groupBy("office").agg(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", "firm", "n_awards").alias("t")))).alias("x"), F.min_by("firm", "rank").alias("top_firm"))
     return index.join(listed, "office").select("office", "hhi", rollups.concentration_level(F.col("hhi")).alias("level"), F.array_join(F.transform("x", lambda v: v["t"]), ",").alias("shares"), "top_firm")
 
 
