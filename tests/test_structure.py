@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from awardlens.operators import chains, communities, graph, growth
+from awardlens.plans import structure
 
 
 def plain_modularity(edges, label):
@@ -208,3 +209,21 @@ def test_components_that_do_not_settle_are_an_error(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
     with pytest.raises(RuntimeError):
         graph.components(e, rounds=2)
+
+
+def test_firms_of_the_same_offices_are_one_node_of_the_same_modularity(spark):
+    """Copies of firms add nodes to the graph of pairs, none to that of classes, and a division has the same modularity in both."""
+    rng = random.Random(5)
+    kinds = {k: {o: rng.randrange(3) for o in rng.sample(range(12), 5)} for k in range(9)}
+    rows = [(10 * copy + k, f"O{o}", 2000 + y) for copy in range(7) for k, offices in kinds.items() for o, y in offices.items()]
+    first, years = spark.createDataFrame(rows, "firm long, office string, since int"), spark.createDataFrame([(2000,), (2001,), (2002,)], "graph int")
+    edges, members = structure.sharing_classes(first, years)
+    assert {(r.id, r.firm) for r in members.collect()} == {(f % 10, f) for f, _, _ in rows}
+    assert edges.select("src").union(edges.select("dst")).distinct().count() <= len(kinds)
+    labels = communities.louvain(edges)
+    spread = labels.join(members, "id").select("graph", F.col("firm").alias("id"), "community")
+    pairs = structure.sharing_pairs(first, years, 2)
+    small, large = ({r.graph: (r.communities, round(r.modularity, 9)) for r in communities.modularity(*x).collect()} for x in ((edges, labels), (pairs, spread)))
+    assert small == large and len(small) == 3
+    direct = {r.graph: r.modularity for r in communities.modularity(pairs, communities.louvain(pairs)).collect()}
+    assert all(large[g][1] >= 0.98 * q - 1e-9 for g, q in direct.items()), (large, direct)
