@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardlens.operators import bands
+from awardlens.operators.settle import settled
 
 WEIGHTS = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
@@ -97,11 +98,19 @@ def shell_company(awards: DataFrame, firms: DataFrame, ratio: float = 100) -> Da
     return flagged(found, "shell_company", "high", "firm", F.col("firm"), F.col("n"), F.col("v"))
 
 
-def phoenix(links: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """Firms linked with blacklisted ones (links in both directions), themselves not listed."""
-    bad = blacklist.select(F.col("firm").alias("b"))
-    found = links.select("a", "b").join(bad, "b", "left_semi").join(bad.withColumnRenamed("b", "a"), "a", "left_anti").groupBy("a").agg(F.count_distinct("b").alias("n"))
-    return flagged(found, "phoenix", "high", "firm", F.col("a"), F.col("n"), F.lit(0.0))
+def phoenix(rows: DataFrame, key: str, blacklist: DataFrame) -> DataFrame:
+    """Firms that share a `key` with blacklisted ones, themselves not listed, with the number of those; rows: key, firm.
+
+    Firms with equal sets of keys count together and sets meet at their first common key, so no pair of firms is made.
+    """
+    bad = blacklist.select("firm").distinct()
+    own = rows.groupBy("firm").agg(F.sort_array(F.collect_set(key)).alias("keys"))
+    free, listed = own.join(bad, "firm", "left_anti"), own.join(bad, "firm", "left_semi").groupBy("keys").agg(F.count("*").alias("c"))
+    x = free.select("keys").distinct().select("keys", F.explode("keys").alias("key"))
+    y = listed.select(F.col("keys").alias("others"), "c", F.explode("keys").alias("key"))
+    met = x.join(y, "key").where(F.get(F.array_intersect("keys", "others"), F.lit(0)) == F.col("key"))
+    found = free.join(met.groupBy("keys").agg(F.sum("c").alias("n")), "keys")
+    return flagged(found, "phoenix", "high", "firm", F.col("firm"), F.col("n"), F.lit(0.0))
 
 
 def phoenix_links(rows: DataFrame, key: str, blacklist: DataFrame) -> DataFrame:
@@ -144,11 +153,25 @@ def timing_cluster(awards: DataFrame, days: int = 2, least: int = 3) -> DataFram
     return flagged(found, "timing_cluster", "high", "firm", F.col("firm"), F.col("n"), F.col("v"))
 
 
-def shell_network(address: DataFrame, directors: DataFrame) -> DataFrame:
-    """Pairs at one address with their number of shared directors: both frames are (a, b) pairs."""
-    shared = directors.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    found = address.select("a", "b").distinct().where("a < b").join(shared, ["a", "b"], "left")
-    return flagged(found, "shell_network", "high", "firm", F.col("a"), F.col("b"), F.coalesce("shared", F.lit(0)))
+def shell_network(addresses: DataFrame, directors: DataFrame, size: int = 512) -> DataFrame:
+    """Pairs of firms at one address with their number of shared directors: addresses(firm, address), directors(firm, director).
+
+    Every firm carries its directors to its addresses, so no pair of firms with a common director is made, and a pair counts
+    only at its first common address, so none is shuffled. The firms of an address meet in blocks of about `size`.
+    """
+    own = addresses.groupBy("firm").agg(F.sort_array(F.collect_set("address")).alias("at"))
+    held = own.join(directors.groupBy("firm").agg(F.collect_set("director").alias("led")), "firm", "left").select("firm", "at", "led", F.explode("at").alias("address"))
+    held = settled(held, "address-firms")
+    cuts = held.groupBy("address").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = held.join(cuts, "address").withColumn("block", F.pmod(F.xxhash64("firm"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = dealt.select("address", F.col("block").alias("i"), each.alias("j"), F.col("firm").alias("a"), F.col("at").alias("at_a"), F.col("led").alias("led_a"))
+    y = dealt.select("address", each.alias("i"), F.col("block").alias("j"), F.col("firm").alias("b"), F.col("at").alias("at_b"), F.col("led").alias("led_b"))
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of our own: the few rows that go in would be put in one task
+    met = x.repartition(tasks, "address", "i", "j").join(y, ["address", "i", "j"])
+    pairs = met.where((F.col("a") < F.col("b")) & (F.get(F.array_intersect("at_a", "at_b"), F.lit(0)) == F.col("address")))
+    shared = F.coalesce(F.size(F.array_intersect("led_a", "led_b")), F.lit(0))
+    return flagged(pairs.withColumn("shared", F.greatest(shared, F.lit(0))), "shell_network", "high", "firm", F.col("a"), F.col("b"), F.col("shared"))
 
 
 def risk_scores(flags: DataFrame) -> DataFrame:

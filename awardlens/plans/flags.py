@@ -22,16 +22,14 @@ def _sql(flag, severity, kind, entity, n, val, rest):
     return "SELECT " + _OUT.format(flag=flag, severity=severity, kind=kind, entity=entity, n=n, val=val) + " " + rest
 
 
-def address_pairs(d: Domain) -> DataFrame:
-    """Firms of one nation in one of seven streets."""
-    rows = d.firms.select(F.concat_ws("-", "home", (F.col("firm") % 7).cast("string")).alias("address"), "firm")
-    return rollups.co_pairs(rows, "address")
+def addresses(d: Domain) -> DataFrame:
+    """firm, address: one of seven streets of the firm's nation."""
+    return d.firms.select("firm", F.concat_ws("-", "home", (F.col("firm") % 7).cast("string")).alias("address"))
 
 
-def director_pairs(d: Domain) -> DataFrame:
-    """Firms that share a director: numbered alike modulo 30."""
-    rows = d.firms.select((F.col("firm") % 30).alias("director"), "firm")
-    return rollups.co_pairs(rows, "director")
+def directors(d: Domain) -> DataFrame:
+    """firm, director: firms numbered alike modulo 30 share one."""
+    return d.firms.select("firm", (F.col("firm") % 30).alias("director"))
 
 
 def subcontracts(d: Domain) -> DataFrame:
@@ -122,8 +120,7 @@ def flag_shell_company(d: Domain):
 
 @query(oracle(BODIES["flag_phoenix"], MORE))
 def flag_phoenix(d: Domain):
-    listed = d.firms.where("capital < 0")
-    return op.phoenix(op.phoenix_links(d.firms.select((F.col("firm") % 30).alias("director"), "firm"), "director", listed), listed)
+    return op.phoenix(directors(d), "director", d.firms.where("capital < 0"))
 
 
 @query(oracle(BODIES["flag_campaign"], MORE))
@@ -143,7 +140,7 @@ def flag_timing(d: Domain):
 
 @query(oracle(BODIES["flag_shell_network"], MORE))
 def flag_shell_network(d: Domain):
-    return op.shell_network(address_pairs(d), director_pairs(d))
+    return op.shell_network(addresses(d), directors(d))
 
 
 def all_flags(d: Domain) -> DataFrame:
