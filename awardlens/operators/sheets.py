@@ -15,9 +15,9 @@ from awardlens.operators.flags import flagged
 from awardlens.operators.settle import settled
 
 
-def bid_sheets(lines: DataFrame, contracts: DataFrame) -> DataFrame:
+def bid_sheets(lines: DataFrame, contracts: DataFrame, tasks: int) -> DataFrame:
     """ref, bids (firm, least bid; by firm), best and worst (bid, firm), and the contract's columns, null where it is unknown. lines: ref, firm, bid."""
-    least = lines.repartition("ref").groupBy("ref", "firm").agg(F.min("bid").alias("bid"))
+    least = lines.repartition(tasks, "ref").groupBy("ref", "firm").agg(F.min("bid").alias("bid"))
     order = F.struct("bid", "firm")
     own = least.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("firm", "bid"))).alias("bids"), F.min(order).alias("best"), F.max(order).alias("worst"))
     return settled(own.join(contracts, "ref", "left"), "bid-sheets")
@@ -30,13 +30,13 @@ def pairs(sheets: DataFrame) -> DataFrame:
     return sheets.where(F.size("bids") > 1).select("ref", F.col("best.firm").alias("winner"), F.explode(two).alias("p")).select("ref", "winner", "p.*")
 
 
-def bid_flags(sheets: DataFrame, tolerance: float = 0.001, least: int = 3) -> DataFrame:
+def bid_flags(sheets: DataFrame, tasks: int, tolerance: float = 0.001, least: int = 3) -> DataFrame:
     """Flags of lone bidders, like bids and rotating winners."""
     alone = sheets.where((F.size("bids") == 1) & F.col("amount").isNotNull()).groupBy(F.col("best.firm").alias("firm")).agg(F.count("*").alias("n"), F.sum("amount").alias("v")).where(F.col("n") >= least)
     two = pairs(sheets)
     close = F.abs(F.col("bid_a") - F.col("bid_b")).cast("double") < F.col("bid_a").cast("double") * tolerance
     like = two.where((F.col("bid_a") > 0) & (F.col("bid_b") > 0) & close)
-    wins = two.groupBy("a", "b").agg(F.count("*").alias("k"), F.count(F.when(F.col("winner") == F.col("a"), 1)).alias("wins_a"), F.count(F.when(F.col("winner") == F.col("b"), 1)).alias("wins_b"))
+    wins = two.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count("*").alias("k"), F.count(F.when(F.col("winner") == F.col("a"), 1)).alias("wins_a"), F.count(F.when(F.col("winner") == F.col("b"), 1)).alias("wins_b"))
     rotating = wins.where((F.col("k") >= least) & (F.col("wins_a") > 0) & (F.col("wins_b") > 0))
     return (
         flagged(alone, "single_bidder", "medium", "firm", F.col("firm"), F.col("n"), F.col("v"))

@@ -146,12 +146,12 @@ def flag_shell_network(d: Domain):
 def all_flags(d: Domain) -> DataFrame:
     """The flags of all thirteen detectors from one table of contracts and one of firms at offices."""
     lines = d.table("lineitem").select(F.col("l_orderkey").alias("ref"), F.col("l_suppkey").alias("firm"), F.col("l_extendedprice").cast(MONEY).alias("bid"))
-    book = sheets.bid_sheets(lines, d.contracts)
+    book = sheets.bid_sheets(lines, d.contracts, d.tasks)
     held = sheets.holdings(book, d.firms, THRESHOLD, FOCUS)
     given = donations(d).select("firm", "office").distinct().join(held.select("firm", "office", "n", "v"), ["firm", "office"])
     campaign = op.flagged(given, "campaign_connection", "high", "firm", F.col("firm"), F.col("n"), F.col("v"))
     others = (flag_political(d), flag_phoenix(d), op.circular_flow(sheets.subcontract_edges(book, FOCUS)), flag_shell_network(d))
-    return reduce(DataFrame.unionByName, (sheets.bid_flags(book), sheets.award_flags(held, 130), campaign, *others))
+    return reduce(DataFrame.unionByName, (sheets.bid_flags(book, d.tasks), sheets.award_flags(held, 130), campaign, *others))
 
 
 @query(oracle(f"""SELECT entity_type, entity_id, CAST(sum(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS BIGINT) AS risk_score,
