@@ -12,10 +12,10 @@ from awardlens.operators.settle import settled
 def _rooted(hooks: DataFrame) -> DataFrame:
     """`c, root` of hooks(c, to), a forest but for pairs that point at each other, by pointer jumping."""
     back = hooks.select(F.col("c").alias("to"), F.col("to").alias("back"))
-    parent = settled(hooks.join(back, "to", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root")), "forest-hooks")
+    parent = settled(hooks.hint("merge").join(back, "to", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root")), "forest-hooks")
     while True:
         up = parent.select(F.col("c").alias("root"), F.col("root").alias("next"))
-        step = settled(parent.join(up, "root", "left").select("c", "root", F.coalesce("next", "root").alias("next")), "forest-jumps")
+        step = settled(parent.hint("merge").join(up, "root", "left").select("c", "root", F.coalesce("next", "root").alias("next")), "forest-jumps")
         parent = step.select("c", F.col("next").alias("root"))
         if step.where("root <> next").isEmpty():
             return parent
@@ -37,7 +37,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         first = settled(both.groupBy("c").agg(F.min(F.struct("e", "to")).alias("f")).select("c", "f.to", "f.e"), "forest-first")
         chosen = settled(first.select("e.src", "e.dst", "e.year").distinct(), "forest")
         forest = chosen if forest is None else forest.unionByName(chosen)
-        roots = _rooted(first.select("c", "to"))
+        roots = _rooted(first.select("c", "to")).hint("shuffle_hash")  # no join of nodes sends them through the driver
         moved = left.join(roots.select(F.col("c").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("c").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
         kept = moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min(F.struct("year", "src", "dst")).alias("e"))
         left = settled(kept.select("a", "b", "e.year", "e.src", "e.dst"), "forest-edges")
