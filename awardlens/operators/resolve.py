@@ -236,12 +236,15 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, block: int | None
         def run(frames: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
             names, m = q.value
             for pdf in frames:
-                own = pdf["id"].to_numpy()
-                s = np.round(unit(np.stack(pdf["embedding"].to_numpy()).astype(float)) @ m.T, 6)
-                for j, name in enumerate(names):
-                    keep = np.lexsort((own, -s[:, j]))[: k + 1]
-                    keep = keep[own[keep] != name][:k]
-                    yield pd.DataFrame({"query": name, "id": own[keep], "similarity": s[keep, j]})
+                own, rows = pdf["id"].to_numpy(), unit(np.stack(pdf["embedding"].to_numpy()).astype(float))
+                for top in range(0, len(names), QUERY_STRIP):  # so many queries' similarities are held at a time
+                    found, some = [], names[top : top + QUERY_STRIP]
+                    s = np.round(rows @ m[top : top + QUERY_STRIP].T, 6)
+                    for j, name in enumerate(some):
+                        keep = np.lexsort((own, -s[:, j]))[: k + 1]
+                        found.append(keep[own[keep] != name][:k])
+                    keep, j = np.concatenate(found), np.repeat(np.arange(len(some)), [len(f) for f in found])
+                    yield pd.DataFrame({"query": some[j], "id": own[keep], "similarity": s[keep, j]})
 
         order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
         found = vectors.select("id", "embedding").mapInPandas(run, "query long, id long, similarity double")
@@ -255,3 +258,5 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, block: int | None
 
 #: Query vectors that a task holds at a time.
 QUERY_BLOCK = 4096
+#: Of these, queries that a batch of vectors is compared with at a time.
+QUERY_STRIP = 128
