@@ -62,7 +62,7 @@ def build(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> Cells:
 
     placed = settled(rows.mapInPandas(assign, "id long, cell int, v binary"), "cell-rows")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = placed.hint("merge").join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -92,7 +92,8 @@ def nearest(index: Cells, questions: DataFrame, k: int, probes: int) -> DataFram
     asked = rows.mapInPandas(route, "query long, cell int, q binary")
     # questions of a cell meet its blocks in groups, so a block is sent once for each of them
     grouped = asked.withColumn("g", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")).groupBy("cell", "g").agg(F.collect_list(F.struct("query", "q")).alias("asked"))
-    pairs = grouped.join(index.blocks, "cell").select("asked", "ids", "data")
+    # blocks are as large as the vectors: they meet the questions by a shuffle, not through the driver
+    pairs = grouped.join(index.blocks.hint("merge"), "cell").select("asked", "ids", "data")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
