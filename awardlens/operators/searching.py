@@ -5,10 +5,10 @@ sorted by its key over all files, so that a range of keys reads the files that h
 
 * `entities`: the search forms of label and aliases,
 * `postings`: word -> entities,
-* `beginnings`: the first one, two and three characters of every word's every end -> words. A piece
+* `beginnings`: the first three characters of every word's every end -> words. A piece
   of a word is the beginning of one of its ends, so inner pieces and beginnings of words are found alike,
-* `deletions`: every word with up to two characters left out -> words. Two words at most two edits apart
-  have such a form in common.
+* `segments`: the three thirds of every word, with its length -> words. Two edits leave one third whole, which
+  then stands in the other word at most two places off.
 
 The last two grow with distinct words, not with entities. A question takes its candidates from the word
 that has the fewest postings and is then checked against each candidate's own text, so the answers are
@@ -18,6 +18,7 @@ those of a scan. Entities beyond what a question needs are never read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ class Index:
     entities: DataFrame
     postings: DataFrame
     beginnings: DataFrame
-    deletions: DataFrame
+    segments: DataFrame
 
 
 def slack(word: Column) -> Column:
@@ -54,6 +55,13 @@ def left_out(word: Column, most: int = 2) -> Column:
     return forms
 
 
+def _third(word: Column, length: Column, i: Column, place: Column | None = None) -> tuple[Column, Column, Column]:
+    """Start (from 0) and length of the third `i` of words of a length, and its key for what stands in a word at `place` (its start, if none)."""
+    width = F.floor(length / 3)
+    start, wide = i * width, F.when(i == 2, length - 2 * width).otherwise(width)
+    return start, wide, F.concat_ws(":", length, i, F.substring(word, (start if place is None else place) + 1, wide))
+
+
 def _sorted(df: DataFrame, key: str, purpose: str) -> DataFrame:
     return settled(df.repartitionByRange(key).sortWithinPartitions(key), purpose)
 
@@ -64,13 +72,14 @@ def build(entities: DataFrame) -> Index:
     first = F.filter(named, lambda a, i: ~F.exists(F.slice(named, 1, i), lambda b: b["norm"] == a["norm"]))
     rows = entities.select("id", "label", "value", fn.search_form(F.coalesce("label", F.lit(""))).alias("norm"), F.coalesce(first, F.array().cast("array<struct<text:string,kind:string,norm:string>>")).alias("aliases"))
     rows = rows.withColumn("hay", F.concat_ws(" ", "norm", F.array_join(F.transform("aliases", lambda a: a["norm"]), " ")))
-    rows = _sorted(rows, "id", "search-entities")
+    rows = _sorted(settled(rows, "search-forms"), "id", "search-entities")
     postings = _sorted(rows.select(F.explode(F.array_distinct(F.split(F.trim("hay"), " +"))).alias("word"), "id").where("word <> ''"), "word", "search-postings")
     words = settled(postings.groupBy("word").agg(F.count("*").alias("n")), "search-words")
-    ends = words.select("word", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", i, F.length("word")))).alias("at", "end"))
-    keys = ends.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(KEY)), lambda k: F.substring("end", F.lit(1), k)))).alias("key"), "end", "at", "word", "n")
-    deletions = words.select("word", "n", F.explode(left_out(F.col("word"))).alias("form"))
-    return Index(rows, postings, _sorted(keys, "key", "search-beginnings"), _sorted(deletions, "form", "search-deletions"))
+    ends = words.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).select("word", "n", (F.col("i") - 1).alias("at"), F.expr("substring(word, i)").alias("end"))
+    keys = ends.select(F.substring("end", 1, KEY).alias("key"), "end", "at", "word", "n")
+    # a word within the slack of a token has three letters at least
+    thirds = words.where(F.length("word") >= 3).select("word", "n", F.explode(F.array(*(_third(F.col("word"), F.length("word"), F.lit(i))[2] for i in range(3)))).alias("third"))
+    return Index(rows, postings, _sorted(keys, "key", "search-beginnings"), _sorted(thirds, "third", "search-segments"))
 
 
 def _tokens(questions: DataFrame) -> DataFrame:
@@ -81,8 +90,23 @@ def _tokens(questions: DataFrame) -> DataFrame:
 
 def _begun(index: Index, tokens: DataFrame) -> DataFrame:
     """q, token, at, word, n: words one of whose ends begins with the token."""
-    asked = tokens.select("q", F.explode(F.array_distinct("tokens")).alias("token")).withColumn("key", F.substring("token", 1, KEY))
-    return asked.join(index.beginnings, "key").where(F.startswith("end", "token")).select("q", "token", "at", "word", "n")
+    asked = tokens.select("q", F.explode(F.array_distinct("tokens")).alias("token"))
+    found = []
+    for k in range(1, KEY + 1):  # tokens shorter than a key meet its beginning
+        some = asked.where(F.length("token") == k if k < KEY else F.length("token") >= k).withColumn("begin", F.substring("token", 1, k))
+        found.append(some.join(index.beginnings, F.col("begin") == F.substring("key", 1, k)).where(F.startswith("end", "token")).select("q", "token", "at", "word", "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _near(index: Index, asked: DataFrame) -> DataFrame:
+    """q, token, word, n: words at most the token's slack away; asked: q, token."""
+    off = slack(F.col("token"))
+    sizes = asked.where(off > 0).select("q", "token", F.explode(F.sequence(F.length("token") - off, F.length("token") + off)).alias("size"))
+    sizes = sizes.select("q", "token", "size", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i"))
+    start, wide, _ = _third(F.col("token"), F.col("size"), F.col("i"))
+    places = sizes.select("*", F.greatest(start - off, F.lit(0)).alias("low"), F.least(start + off, F.length("token") - wide).alias("high")).where("low <= high").select("q", "token", "size", "i", F.explode(F.sequence("low", "high")).alias("place"))
+    keys = places.select("q", "token", _third(F.col("token"), F.col("size"), F.col("i"), F.col("place"))[2].alias("third")).distinct()
+    return keys.join(index.segments, "third").where(F.levenshtein("token", "word") <= off).select("q", "token", "word", "n")
 
 
 def _candidates(index: Index, tokens: DataFrame, words: DataFrame) -> DataFrame:
@@ -129,9 +153,7 @@ def search(index: Index, questions: DataFrame) -> DataFrame:
 
     full = exact.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH)
     thin = settled(tokens.join(full, "q", "left_anti"), "search-thin")
-    asked = thin.select("q", F.explode(F.array_distinct("tokens")).alias("token")).where(slack(F.col("token")) > 0)
-    forms = asked.select("q", "token", F.explode(F.when(slack(F.col("token")) == 1, left_out(F.col("token"), 1)).otherwise(left_out(F.col("token")))).alias("form"))
-    off = forms.join(index.deletions, "form").where(F.levenshtein("token", "word") <= slack(F.col("token"))).select("q", "token", "word", "n")
+    off = _near(index, thin.select("q", F.explode(F.array_distinct("tokens")).alias("token")))
     starts = begun.where("at = 0").join(thin.select("q"), "q", "left_semi").select("q", "token", "word", "n")
     near = lambda form: F.transform("tokens", lambda t: _distance(t, F.split(form, " ")))
     close = lambda form: F.forall(near(form), lambda d: d.isNotNull())
