@@ -249,9 +249,8 @@ def search_index(d: Domain):
 @query(oracle("SELECT *, count(*) OVER () AS n_all FROM feet ORDER BY val DESC, a, b LIMIT 12", temporal_plans.FOOT))
 def footprint_top(d: Domain, n: int = 12):
     """The twelve pairs of like footprints with most value, and how many there are in all."""
-    found = temporal_plans.footprint_pairs(d)
-    total = found.agg(F.count("*").alias("n_all"))  # one row
-    return found.crossJoin(F.broadcast(total)).orderBy(F.desc("val"), "a", "b").limit(n)
+    d.keep("focus")
+    return temporal_op.best_footprints(d.focus, *temporal_plans.FEET, n)
 
 
 @query(oracle("""SELECT component, n_nodes, CAST(v AS DOUBLE) AS val FROM (SELECT component, count(*) AS n_nodes FROM comp GROUP BY 1) JOIN (SELECT component, sum(amount) AS v FROM focus JOIN comp ON firm = id GROUP BY 1) USING (component) WHERE n_nodes BETWEEN 3 AND 1500 ORDER BY val DESC, component LIMIT 10""", REACH))
