@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from awardlens.operators import blocks, graph, temporal
+from awardlens.operators import blocks, embed, graph, temporal
 from awardlens.plans import views
 
 
@@ -88,3 +88,17 @@ def test_numbers_above_are_told_by_steps():
     for n, m in ((0, 5), (1, 50), (400, 3000)):
         marks, values = np.round(rng.random(n), 2), np.round(rng.random(m) * 1.4 - 0.2, 2)
         assert blocks._Marks(marks).twice(values) == sum(2 * int((v < marks).sum()) + int((v == marks).sum()) for v in values)
+
+
+def test_predicted_ties_are_the_best_open_pairs_by_cosine(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SIZE", 64)
+    rng = random.Random(6)
+    at, vector = {m: set(rng.sample(range(9), 2)) for m in range(150)}, {m: [rng.gauss(0, 1) for _ in range(5)] for m in range(150)}
+    linked = {p for p in itertools.combinations(at, 2) if rng.random() < 0.2}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    open_ = {(a, b): round(cosine(vector[a], vector[b]), 6) for a, b in itertools.combinations(at, 2) if at[a] & at[b] and (a, b) not in linked}
+    best = sorted((p for p in open_ if open_[p] >= 0.5), key=lambda p: (-open_[p], p))[:30]
+    held = spark.createDataFrame([(0, o, m, 1.0, 1.0) for m, s in at.items() for o in s], "grp int, item long, member long, x double, u double")
+    vectors = spark.createDataFrame(list(vector.items()), "id long, vector array<double>")
+    links = spark.createDataFrame([(0, a, b, 0) for a, b in linked], "grp int, a long, b long, since int")
+    assert [tuple(r) for r in embed.predicted_ties(vectors, held, links, 0.5, 30).collect()] == [(*p, open_[p], len(at[p[0]] & at[p[1]])) for p in best]
