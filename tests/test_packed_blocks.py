@@ -102,3 +102,29 @@ def test_predicted_ties_are_the_best_open_pairs_by_cosine(spark, monkeypatch):
     vectors = spark.createDataFrame(list(vector.items()), "id long, vector array<double>")
     links = spark.createDataFrame([(0, a, b, 0) for a, b in linked], "grp int, a long, b long, since int")
     assert [tuple(r) for r in embed.predicted_ties(vectors, held, links, 0.5, 30).collect()] == [(*p, open_[p], len(at[p[0]] & at[p[1]])) for p in best]
+
+
+def test_open_pairs_on_rewired_graphs_score_as_given_ones(spark, monkeypatch):
+    for name, value in (("BROAD", 64), ("CELLS", 640), ("CHUNK", 2)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = random.Random(7)
+    rows = [(f * 100 + k, f, rng.choice("abcdefghij"), rng.randrange(1993, 1999)) for f in range(130) for k in range(5)]
+    rows += [(90_000 + k, f, rng.choice("abc"), rng.randrange(1994, 1999)) for k in range(300) for f in rng.sample(range(130), 2)]
+    awards = spark.createDataFrame(rows, "ref long, firm long, office string, year int").cache()
+    big = awards.select("firm").where("firm % 9 <> 0").distinct()
+    drawn = []
+
+    def lists(graphs, rounds):
+        drawn.append(embed.swapped_lists(graphs, rounds).cache())
+        return drawn[0]
+
+    monkeypatch.setattr(temporal, "swapped_lists", lists)
+    cuts, times = [1996, 1997], 3
+    got = {(r.cut, r.replicate): r.auc for r in temporal.rewired_open_nulls(awards, big, cuts, times).collect()}
+    known = temporal.known_by(awards.join(big, "firm", "left_semi"), cuts).cache()
+    names = sorted(r.office for r in known.select("office").distinct().collect())
+    graphs = [((r.replicate - 1) // times, (r.replicate - 1) % times + 1, r.left, names[o]) for r in drawn[0].collect() for o in r.rights]
+    candidates = temporal.link_candidates(awards, big, cuts)
+    want = temporal.rewired_auc(candidates, known, spark.createDataFrame(graphs, "cut int, replicate long, firm long, office string"), times)
+    assert got == {(r.cut, r.replicate): r.auc for r in want.collect()} and len(got) == 6
+    assert len(set(graphs)) == len(graphs) and {(c, f, o) for c, _, f, o in graphs} != {(r.cut, r.firm, r.office) for r in known.collect()}
