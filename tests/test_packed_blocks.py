@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from awardlens.operators import blocks, embed, graph, temporal
-from awardlens.plans import views
+from awardlens.plans import structure, views
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +128,20 @@ def test_open_pairs_on_rewired_graphs_score_as_given_ones(spark, monkeypatch):
     want = temporal.rewired_auc(candidates, known, spark.createDataFrame(graphs, "cut int, replicate long, firm long, office string"), times)
     assert got == {(r.cut, r.replicate): r.auc for r in want.collect()} and len(got) == 6
     assert len(set(graphs)) == len(graphs) and {(c, f, o) for c, _, f, o in graphs} != {(r.cut, r.firm, r.office) for r in known.collect()}
+
+
+def test_firms_of_the_same_offices_by_a_year_are_one_node_of_it(spark):
+    rng = random.Random(8)
+    rows = [(f, f"O{o}", 2000 + rng.randrange(3)) for f in range(60) for o in rng.sample(range(6), 5)]
+    first, years = spark.createDataFrame(rows, "firm long, office string, since int"), spark.createDataFrame([(y,) for y in (2000, 2001, 2002)], "graph int")
+    edges, members = structure.sharing_years(first, years)
+    held = {y: {f: frozenset(o for g, o, s in rows if g == f and s <= y) for f in range(60)} for y in (2000, 2001, 2002)}
+    node = {(r.graph, r.firm): r.id for r in members.collect()}
+    assert node == {(y, f): min(g for g, t in of.items() if t == s) for y, of in held.items() for f, s in of.items() if s}
+    assert len({i for (y, _), i in node.items() if y == 2002}) <= 6  # of 60 firms with 60 ways there
+    want = collections.Counter()
+    for y, of in held.items():
+        for a, b in itertools.combinations(range(60), 2):
+            if len(of[a] & of[b]) >= 2:
+                want[y, *sorted((node[y, a], node[y, b]))] += len(of[a] & of[b])
+    assert {(r.graph, r.src, r.dst): r.weight for r in edges.collect()} == want
